@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis"]
+MODULES = ["analysis", "cleaning"]
 
 
 def load_all():
