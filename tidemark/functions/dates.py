@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,8 +13,15 @@ TIMESTAMP_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
 DATE_SHAPE = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
 
 
+def _shape(fmt: str) -> str:
+    """A regular expression for text that can fit ``fmt``; the parser is only
+    called on such text, since every failed parse costs an exception."""
+    out = re.sub(r"'([^']*)'", r"\1", fmt.replace("yyyy", "\0"))
+    return "^" + re.sub(r"[MdHms]+", r"\\d{1,2}", out).replace("\0", r"\d{4}") + "$"
+
+
 def parse_date(col: str | Column, formats: Sequence[str] = DATE_FORMATS + TIMESTAMP_FORMATS) -> Column:
     """The first format that fits wins. A column whose rows mix several formats
     is read in full; pass only one format to accept just that one."""
     c = F.trim(F.col(f"`{col}`") if isinstance(col, str) else col)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats])

@@ -90,14 +90,16 @@ def exact_quantiles(
         *[F.count_if(F.col(f"_v{i}") < F.col(f"_lo{i}_{j}")).alias(f"_c{i}_{j}") for i, j in cells],
         *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))],
     )
-    below_long = below.select(
+    # The rows below a bracket enter the running sum as one leading row.
+    leading = below.select(
         *knames,
         F.explode(F.array(*[
-            F.struct(F.lit(i).alias("ci"), F.lit(j).alias("pi"), F.col(f"_c{i}_{j}").alias("below"), F.col(f"_n{i}").alias("n"))
-            for i, j in cells
+            F.struct(
+                F.lit(i).alias("ci"), F.lit(j).alias("pi"), F.lit(None).cast("double").alias("v"),
+                F.col(f"_c{i}_{j}").alias("cnt"), F.col(f"_n{i}").alias("n"),
+            ) for i, j in cells
         ])).alias("b"),
     ).select(*knames, "b.*").filter("n > 0")
-
     hits = joined.select(
         *knames,
         F.explode(F.filter(
@@ -111,26 +113,16 @@ def exact_quantiles(
         )).alias("h"),
     ).select(*knames, "h.*").groupBy(*knames, "ci", "pi", "v").agg(F.count("*").alias("cnt"))
 
-    w = Window.partitionBy(*knames, "ci", "pi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hits.withColumn("upto", F.sum("cnt").over(w))
-    h, b = ranked.alias("h"), below_long.alias("b")
-    cond = (F.col("h.ci") == F.col("b.ci")) & (F.col("h.pi") == F.col("b.pi"))
-    for k in knames:
-        cond = cond & F.col(f"h.{k}").eqNullSafe(F.col(f"b.{k}"))
-    pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("b.pi") + 1) * (F.col("b.n") - 1)
-    last = F.col("b.below") + F.col("h.upto") - 1
-    first = last - F.col("h.cnt") + 1
-    picked = (
-        b.join(h, cond, "left")
-        .select(
-            *[F.col(f"b.{k}").alias(k) for k in knames], "b.ci", "b.pi", "b.n",
-            pos.alias("pos"), F.col("h.v").alias("v"), first.alias("f"), last.alias("l"),
-        )
-        .groupBy(*knames, "ci", "pi", "n", "pos")
-        .agg(
-            F.max(F.when(F.floor("pos").between(F.col("f"), F.col("l")), F.col("v"))).alias("a"),
-            F.max(F.when(F.ceil("pos").between(F.col("f"), F.col("l")), F.col("v"))).alias("z"),
-        )
+    cell = Window.partitionBy(*knames, "ci", "pi")
+    running = cell.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = leading.unionByName(hits.withColumn("n", F.lit(None).cast("long"))).withColumns(
+        {"upto": F.sum("cnt").over(running), "n": F.max("n").over(cell)}
+    )
+    pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("pi") + 1) * (F.col("n") - 1)
+    holds = lambda r: r.between(F.col("upto") - F.col("cnt"), F.col("upto") - 1) & F.col("v").isNotNull()
+    picked = ranked.withColumn("pos", pos).groupBy(*knames, "ci", "pi", "n", "pos").agg(
+        F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("a"),
+        F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("z"),
     )
     value = F.when(
         F.col("a").isNull() | F.col("z").isNull(),
@@ -182,15 +174,16 @@ def cumulative_histogram(values: DataFrame, splits: int = 256) -> DataFrame:
 
 
 def values_at_ranks(hist: DataFrame, ranks: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Value at each zero-based ``rank`` of ``ranks`` (column, rank, n) in a
-    cumulative histogram. Both sides are cut into rank buckets; inside a bucket
-    one sorted pass carries the last value forward, so no pairs are built."""
+    """Adds ``found``, the value at each zero-based ``rank`` of ``ranks``
+    (column, rank, n, ...), from a cumulative histogram. Both sides are cut into
+    rank buckets; inside a bucket one sorted pass carries the last value
+    forward, so no pairs are built."""
+    extra = [c for c in ranks.columns if c not in ("column", "rank", "n")]
     width = F.greatest(F.lit(1), F.ceil(F.col("n") / buckets)).cast("long")
-    h = hist.select("column", "value", "n", F.col("before").alias("pos"), (F.col("before") + F.col("cnt") - 1).alias("last"))
-    h = h.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("last") / width))))
-    h = h.select("column", "bucket", F.greatest(F.col("pos"), F.col("bucket") * width).alias("pos"), F.lit(0).alias("side"), "value")
-    r = ranks.select("column", "rank", "n").distinct()
-    r = r.select("column", F.floor(F.col("rank") / width).alias("bucket"), F.col("rank").alias("pos"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("value"))
-    w = Window.partitionBy("column", "bucket").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = h.unionByName(r).withColumn("found", F.last("value", ignorenulls=True).over(w))
-    return both.filter("side = 1").select("column", F.col("pos").alias("rank"), F.col("found").alias("value"))
+    h = hist.select("column", "n", F.col("value").alias("_v"), F.col("before").alias("rank"), (F.col("before") + F.col("cnt") - 1).alias("_last"))
+    h = h.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("rank") / width), F.floor(F.col("_last") / width))))
+    h = h.select("column", "n", "_v", "_bucket", F.greatest(F.col("rank"), F.col("_bucket") * width).alias("rank"), F.lit(0).alias("_side"))
+    r = ranks.withColumns({"_bucket": F.floor(F.col("rank") / width), "_side": F.lit(1)})
+    w = Window.partitionBy("column", "_bucket").orderBy("rank", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = h.unionByName(r, allowMissingColumns=True).withColumn("found", F.last("_v", ignorenulls=True).over(w))
+    return both.filter("_side = 1").select("column", "rank", "n", *extra, "found")

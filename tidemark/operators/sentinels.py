@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import cumulative_histogram, values_at_ranks
 from tidemark.operators.cleaning import col, doubles
+from tidemark.session import materialize
 
 # Numbers that commonly stand for "missing".
 KNOWN_SENTINELS = (999.0, 9999.0, 99999.0, -1.0, -999.0, -9999.0)
@@ -26,14 +27,13 @@ def percentile_without(hist: DataFrame, candidates: DataFrame) -> DataFrame:
     pos = lambda p: F.lit(p) * (rest - 1)
     shift = lambda r: F.when(r < F.col("before"), r).otherwise(r + F.col("cnt")).cast("long")
     wanted = candidates.select(
-        "column", "value", "cnt", "before", "n",
+        "column", "value", "cnt", "n",
         F.explode(F.array(*[
             F.struct(F.lit(name).alias("q"), F.lit(end).alias("end"), shift(f(pos(p))).alias("rank"))
             for name, p in (("q1", 0.25), ("q3", 0.75)) for end, f in (("a", F.floor), ("z", F.ceil))
         ])).alias("w"),
-    ).select("column", "value", "cnt", "before", "n", "w.*")
-    found = values_at_ranks(hist, wanted).withColumnRenamed("value", "found")
-    t = wanted.join(found, ["column", "rank"]).groupBy("column", "value", "cnt", "n").agg(*[
+    ).select("column", "value", "cnt", "n", "w.*")
+    t = values_at_ranks(hist, wanted).groupBy("column", "value", "cnt", "n").agg(*[
         F.max(F.when((F.col("q") == q) & (F.col("end") == e), F.col("found"))).alias(f"{q}{e}") for q in ("q1", "q3") for e in ("a", "z")
     ])
     mix = lambda q, p: F.col(f"{q}a") + (F.col(f"{q}z") - F.col(f"{q}a")) * (pos(p) - F.floor(pos(p)))
@@ -47,20 +47,21 @@ def repeated_value_findings(df: DataFrame, cols: Sequence[str] | None = None, k:
 
     In columns with more than 500 values and 20 candidates, other values within
     2.5·IQR of the whole column are skipped."""
-    hist = cumulative_histogram(doubles(df, cols))
+    hist = materialize(cumulative_histogram(doubles(df, cols)), "histogram")
     known = F.col("value").isin(*KNOWN_SENTINELS)
-    cand = hist.filter((F.col("cnt") >= min_repeats) & (F.col("n") >= 6) & (F.col("n") - F.col("cnt") >= 5))
-    # Quartiles of the whole column: the same lookup, leaving out nothing.
-    sizes = hist.groupBy("column").agg(F.max("n").alias("n"), F.count_if(F.col("cnt") >= min_repeats).alias("candidates"))
-    whole = percentile_without(hist, sizes.select("column", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("cnt"), F.col("n").alias("before"), "n"))
-    whole = whole.join(sizes.select("column", "candidates"), "column").select(
+    repeated = F.col("cnt") >= min_repeats
+    cand = hist.filter(repeated & (F.col("n") >= 6) & (F.col("n") - F.col("cnt") >= 5))
+    # Leaving out nothing gives the quartiles of the whole column.
+    whole = hist.groupBy("column").agg(F.max("n").alias("n"), F.count_if(repeated).alias("candidates"))
+    nothing = whole.select("column", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("cnt"), F.col("n").alias("before"), "n")
+    q = percentile_without(hist, cand.unionByName(nothing))
+    limits = q.filter("value is null").join(whole, ["column", "n"]).select(
         "column", "candidates", F.col("q1").alias("w1"), F.col("q3").alias("w3")
     )
+    q = q.filter("value is not null").join(F.broadcast(limits), "column")  # one row per column
     iqr_all = F.col("w3") - F.col("w1")
     in_range = F.col("value").between(F.col("w1") - 2.5 * iqr_all, F.col("w3") + 2.5 * iqr_all)
-    skipped = ~known & (F.col("n") > 500) & (F.col("candidates") > 20) & (iqr_all > 0) & in_range
-    cand = cand.join(F.broadcast(whole), "column").filter(~skipped)  # one row per column
-    q = percentile_without(hist, cand)
+    q = q.filter(known | (F.col("n") <= 500) | (F.col("candidates") <= 20) | (iqr_all <= 0) | ~in_range)
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     return q.filter((iqr > 0) & ((F.col("value") < low) | (F.col("value") > high))).select(
