@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis", "cleaning"]
+MODULES = ["analysis", "cleaning", "profiling"]
 
 
 def load_all():
