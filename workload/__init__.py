@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis", "cleaning", "profiling"]
+MODULES = ["analysis", "cleaning", "profiling", "relational", "verification"]
 
 
 def load_all():
