@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis", "cleaning", "profiling", "relational", "verification"]
+MODULES = ["analysis", "cleaning", "profiling", "relational", "verification", "findings"]
 
 
 def load_all():
