@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis", "cleaning", "profiling", "relational", "verification", "findings", "sources"]
+MODULES = ["analysis", "cleaning", "profiling", "relational", "verification", "findings", "sources", "plans"]
 
 
 def load_all():
