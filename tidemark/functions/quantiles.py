@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.dataset import as_double
@@ -19,6 +19,11 @@ from tidemark.dataset import as_double
 BROADCAST_ROWS = 10_000
 
 
+def _number(x: float | None) -> str:
+    """A double as SQL text, without loss."""
+    return "CAST(NULL AS DOUBLE)" if x is None else f"double('{x!r}')"
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it is proven to have at most ``max_rows`` rows.
 
@@ -43,75 +48,53 @@ def exact_quantiles(
     ``by`` keys match null-safely. Columns without values give no row.
     """
     by = list(by)
-    keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(by)]
     knames = [f"_k{i}" for i in range(len(by))]
-    base = df.select(*keys, *[as_double(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    base = df.select(
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(by, knames)], *[as_double(c).alias(f"_v{i}") for i, c in enumerate(columns)]
+    )
     margin = 3.0 / accuracy
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    points = F.array(*[F.lit(float(x)) for x in lows + highs])
-
-    aggs = []
-    for i in range(len(columns)):
-        aggs.append(F.count(f"_v{i}").alias(f"_n{i}"))
-        aggs.append(F.percentile_approx(f"_v{i}", points, accuracy).alias(f"_q{i}"))
-    sketch = (base.groupBy(*knames) if by else base).agg(*aggs)
-
-    def bound(i: int, j: int, low: bool) -> Column:
+    points = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    plist = "array(" + ", ".join(_number(x) for x in points) + ")"
+    sketch = (base.groupBy(*knames) if by else base).agg(*[
+        F.expr(e) for i in range(len(columns))
+        for e in (f"count(_v{i}) AS _n{i}", f"percentile_approx(_v{i}, {plist}, {accuracy}) AS _q{i}")
+    ])
+
+    def bound(i: int, j: int, low: bool) -> str:
         # Few values, or a quantile at the edge: the bracket stays open.
         p = probs[j]
-        at_edge = p - margin <= 0 if low else p + margin >= 1
-        open_end = F.lit(float("-inf") if low else float("inf"))
-        if at_edge:
+        open_end = _number(float("-inf") if low else float("inf"))
+        if p - margin <= 0 if low else p + margin >= 1:
             return open_end
-        idx = j if low else len(probs) + j
-        return F.when(F.col(f"_n{i}") <= accuracy, open_end).otherwise(F.col(f"_q{i}")[idx])
+        return f"CASE WHEN _n{i} <= {accuracy} THEN {open_end} ELSE _q{i}[{j if low else len(probs) + j}] END"
 
     cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    brackets = sketch.select(
-        *knames,
-        *[F.col(f"_n{i}") for i in range(len(columns))],
-        *[bound(i, j, True).alias(f"_lo{i}_{j}") for i, j in cells],
-        *[bound(i, j, False).alias(f"_hi{i}_{j}") for i, j in cells],
+    brackets = sketch.selectExpr(
+        *knames, *[f"_n{i}" for i in range(len(columns))],
+        *[f"{bound(i, j, True)} AS _lo{i}_{j}" for i, j in cells], *[f"{bound(i, j, False)} AS _hi{i}_{j}" for i, j in cells],
     )
-
+    lo, hi, size = "_lo{}_{}".format, "_hi{}_{}".format, "_n{}".format
     if by:
         brackets = bounded_broadcast(brackets)
-        b = brackets.select(*[F.col(k).alias(f"_b{k}") for k in knames], *[c for c in brackets.columns if c not in knames])
-        cond = F.lit(True)
-        for k in knames:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_b{k}"))
-        joined = base.join(b, cond).drop(*[f"_b{k}" for k in knames])
+        renamed = brackets.toDF(*[f"_b{c}" if c in knames else c for c in brackets.columns])
+        joined = base.join(renamed, F.expr(" AND ".join(f"{k} <=> _b{k}" for k in knames))).drop(*[f"_b{k}" for k in knames])
     else:
+        # One small row: as literals the limits need no join.
         row = brackets.first()
-        joined = base.select("*", *[F.lit(row[c]).alias(c) for c in brackets.columns])
-
-    below = (joined.groupBy(*knames) if by else joined).agg(
-        *[F.count_if(F.col(f"_v{i}") < F.col(f"_lo{i}_{j}")).alias(f"_c{i}_{j}") for i, j in cells],
-        *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))],
-    )
+        joined = base
+        lo, hi = (lambda i, j: _number(row[f"_lo{i}_{j}"])), (lambda i, j: _number(row[f"_hi{i}_{j}"]))
+        size = lambda i: f"{row[f'_n{i}']}L"
+
+    below = (joined.groupBy(*knames) if by else joined).agg(*[
+        F.expr(f"named_struct('ci', {i}, 'pi', {j}, 'v', CAST(NULL AS DOUBLE), 'cnt', count_if(_v{i} < {lo(i, j)}), 'n', max({size(i)})) AS _c{i}_{j}")
+        for i, j in cells
+    ])
     # The rows below a bracket enter the running sum as one leading row.
-    leading = below.select(
-        *knames,
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(i).alias("ci"), F.lit(j).alias("pi"), F.lit(None).cast("double").alias("v"),
-                F.col(f"_c{i}_{j}").alias("cnt"), F.col(f"_n{i}").alias("n"),
-            ) for i, j in cells
-        ])).alias("b"),
-    ).select(*knames, "b.*").filter("n > 0")
-    hits = joined.select(
-        *knames,
-        F.explode(F.filter(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("ci"), F.lit(j).alias("pi"),
-                    F.when(F.col(f"_v{i}").between(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")), F.col(f"_v{i}")).alias("v"),
-                ) for i, j in cells
-            ]),
-            lambda s: s["v"].isNotNull(),
-        )).alias("h"),
-    ).select(*knames, "h.*").groupBy(*knames, "ci", "pi", "v").agg(F.count("*").alias("cnt"))
+    leading = below.selectExpr(*knames, "inline(array(" + ", ".join(f"_c{i}_{j}" for i, j in cells) + "))").filter("n > 0")
+    inside = ", ".join(
+        f"named_struct('ci', {i}, 'pi', {j}, 'v', CASE WHEN _v{i} BETWEEN {lo(i, j)} AND {hi(i, j)} THEN _v{i} END)" for i, j in cells
+    )
+    hits = joined.selectExpr(*knames, f"inline(filter(array({inside}), s -> s.v IS NOT NULL))").groupBy(*knames, "ci", "pi", "v").agg(F.count("*").alias("cnt"))
 
     cell = Window.partitionBy(*knames, "ci", "pi")
     running = cell.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

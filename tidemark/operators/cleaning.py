@@ -95,18 +95,14 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def column_facts(df: DataFrame) -> DataFrame:
     """CL-09, CL-10: per column its null share and whether it is constant (one
     distinct value, NULL counting as a value). One aggregate, no distinct."""
-    cols = df.columns
-    wide = df.agg(F.count("*").alias("n"), *[
-        x for i, c in enumerate(cols)
-        for x in (F.count(col(c)).alias(f"k{i}"), F.min(col(c)).alias(f"a{i}"), F.max(col(c)).alias(f"z{i}"))
-    ])
-    return wide.select(long_rows([
-        F.struct(
-            F.lit(c).alias("column"), F.col("n").alias("rows"), (F.col("n") - F.col(f"k{i}")).alias("null_count"),
-            F.when(F.col("n") > 0, (F.col("n") - F.col(f"k{i}")) / F.col("n")).otherwise(F.lit(0.0)).alias("null_share"),
-            ((F.col(f"k{i}") == 0) | ((F.col(f"k{i}") == F.col("n")) & (F.col(f"a{i}") == F.col(f"z{i}")))).alias("is_constant"),
-        ) for i, c in enumerate(cols)
-    ]).alias("s")).select("s.*")
+    q = [c.replace("`", "``") for c in df.columns]
+    names = [c.replace("\\", "\\\\").replace("'", "\\'") for c in df.columns]
+    wide = df.selectExpr("count(*) AS n", *[e for i, c in enumerate(q) for e in (f"count(`{c}`) AS k{i}", f"min(`{c}`) AS a{i}", f"max(`{c}`) AS z{i}")])
+    rows = ", ".join(
+        f"named_struct('column', '{c}', 'rows', n, 'null_count', n - k{i}, 'null_share', CASE WHEN n > 0 THEN (n - k{i}) / n ELSE 0D END, "
+        f"'is_constant', k{i} = 0 OR (k{i} = n AND a{i} = z{i}))" for i, c in enumerate(names)
+    )
+    return wide.selectExpr(f"inline(array({rows}))")
 
 
 def columns_to_drop(facts: Sequence, threshold: float = 0.80, constant: bool = True) -> tuple[list[str], list[str]]:

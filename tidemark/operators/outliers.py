@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.dataset import Dataset, as_dataset
 from tidemark.functions.quantiles import quantile_columns
 from tidemark.operators.common import ToolResult, any_of, long_rows, numeric_frame, usable
+from tidemark.session import pin
 
 SAMPLE_VALUES = 10
 
@@ -87,14 +88,14 @@ def outliers(ds: Dataset | DataFrame, method: str = "iqr", columns: Sequence[str
     spark = ds.df.sparkSession
     base = _observed_values(ds, cols)
     flags = _flags(ds, cols, limits, method)
-    wide = base.agg(
+    wide = pin(base.agg(
         F.count("*").alias("total"),
         F.count_if(any_of([F.col(f"m{i}") for i in range(len(cols))])).alias("imputed_rows"),
         F.count_if(any_of([f for _, _, f in flags])).alias("anomalous"),
         *[F.count_if(f).alias(f"o{i}") for i, _, f in flags],
         *[F.count(f"v{i}").alias(f"u{i}") for i, _, _ in flags],
         *[F.count_if(f"m{i}").alias(f"x{i}") for i, _, _ in flags],
-    )
+    ), "outliers")
     pct = lambda num, den: F.coalesce(F.round(F.try_divide(num, den) * 100, 2), F.lit(0.0))
     n_used = F.col("total") - F.col("imputed_rows")
     summary = wide.select(

@@ -9,6 +9,7 @@ from tidemark.dataset import Dataset, as_dataset, as_double, is_numeric
 from tidemark.functions.quantiles import quantile_columns
 from tidemark.functions.tails import chi2_pvalue, f_pvalue
 from tidemark.operators.common import NULL_TOKENS, ToolResult, currency_to_double
+from tidemark.session import pin
 
 # Labels taken as the positive class, in order of preference.
 POSITIVE_LABELS = ("yes", "true", "1", "left", "churn")
@@ -46,27 +47,37 @@ def _working(ds: Dataset, segment: str, metric: str, value: Column, name: str) -
     ).filter(F.col("segment").isNotNull() & F.col(name).isNotNull())
 
 
-def segment_stats(ds: Dataset | DataFrame, segment: str, metric: str) -> DataFrame:
+def segment_groups(ds: Dataset | DataFrame, segment: str, metric: str) -> DataFrame:
+    """Per segment the unrounded count, sum, mean, variance, minimum and maximum
+    of the observed rows: one shuffle, from which AN-08..11 all follow."""
+    ds = as_dataset(ds)
+    return _segment_rows(ds, segment, metric).groupBy("segment").agg(
+        F.count("metric").alias("n"), F.sum("metric").alias("s"), F.avg("metric").alias("m"), F.var_samp("metric").alias("v"),
+        F.stddev_samp("metric").alias("sd"), F.min("metric").alias("lo"), F.max("metric").alias("hi"),
+    )
+
+
+def _segment_rows(ds: Dataset, segment: str, metric: str) -> DataFrame:
+    value = as_double(metric) if is_numeric(ds.df, metric) else currency_to_double(metric)
+    return _working(ds, segment, metric, value, "metric")
+
+
+def segment_stats(ds: Dataset | DataFrame, segment: str, metric: str, groups: DataFrame | None = None) -> DataFrame:
     """AN-08: per segment count, sum, mean, median, std, min, max, share of the
     total and ratio to the overall mean. Totals are a second, tiny aggregate
     over the per-segment rows (the shuffle is shared); medians are exact."""
     ds = as_dataset(ds)
-    value = as_double(metric) if is_numeric(ds.df, metric) else currency_to_double(metric)
-    rows = _working(ds, segment, metric, value, "metric")
-    g = rows.groupBy("segment").agg(
-        F.count("metric").alias("count"), F.sum("metric").alias("sum"), F.avg("metric").alias("mean"),
-        F.stddev_samp("metric").alias("std"), F.min("metric").alias("min"), F.max("metric").alias("max"),
-    )
-    total = g.agg(F.sum("sum").alias("total")).scalar()
-    overall = g.agg((F.sum("sum") / F.sum("count")).alias("overall")).scalar()
-    medians = quantile_columns(rows, ["metric"], {"median": 0.5}, by=["segment"]).select("segment", "median")
+    g = segment_groups(ds, segment, metric) if groups is None else groups
+    total = g.agg(F.sum("s").alias("total")).scalar()
+    overall = g.agg((F.sum("s") / F.sum("n")).alias("overall")).scalar()
+    medians = quantile_columns(_segment_rows(ds, segment, metric), ["metric"], {"median": 0.5}, by=["segment"]).select("segment", "median")
     return g.join(medians, "segment").select(
-        "segment", "count", F.round("sum", 2).alias("sum"), F.round("mean", 2).alias("mean"),
+        "segment", F.col("n").alias("count"), F.round("s", 2).alias("sum"), F.round("m", 2).alias("mean"),
         F.round("median", 2).alias("median"),
-        F.when(F.col("count") > 1, F.round("std", 2)).otherwise(F.lit(0.0)).alias("std"),
-        F.round("min", 2).alias("min"), F.round("max", 2).alias("max"),
-        F.when(total != 0, F.round(F.col("sum") / total * 100, 2)).otherwise(F.lit(0.0)).alias("share_of_total_percent"),
-        F.when(overall != 0, F.round(F.round("mean", 2) / overall, 2)).otherwise(F.lit(1.0)).alias("relative_to_overall_mean"),
+        F.when(F.col("n") > 1, F.round("sd", 2)).otherwise(F.lit(0.0)).alias("std"),
+        F.round("lo", 2).alias("min"), F.round("hi", 2).alias("max"),
+        F.when(total != 0, F.round(F.col("s") / total * 100, 2)).otherwise(F.lit(0.0)).alias("share_of_total_percent"),
+        F.when(overall != 0, F.round(F.round("m", 2) / overall, 2)).otherwise(F.lit(1.0)).alias("relative_to_overall_mean"),
     )
 
 
@@ -90,16 +101,12 @@ def top_bottom(stats: DataFrame, by: str = "mean") -> DataFrame:
     )
 
 
-def anova(ds: Dataset | DataFrame, segment: str, metric: str) -> DataFrame:
+def anova(ds: Dataset | DataFrame, segment: str, metric: str, groups: DataFrame | None = None) -> DataFrame:
     """AN-10: one-way analysis of variance from per-group n, mean and variance.
 
     F is NULL with fewer than 2 groups or a group of one, and with no variance
     inside the groups."""
-    ds = as_dataset(ds)
-    value = as_double(metric) if is_numeric(ds.df, metric) else currency_to_double(metric)
-    g = _working(ds, segment, metric, value, "metric").groupBy("segment").agg(
-        F.count("metric").alias("n"), F.avg("metric").alias("m"), F.var_samp("metric").alias("v"), F.sum("metric").alias("s")
-    )
+    g = segment_groups(ds, segment, metric) if groups is None else groups
     grand = g.agg((F.sum("s") / F.sum("n")).alias("grand")).scalar()
     t = g.agg(
         F.count("*").alias("groups"), F.sum("n").alias("n_used"), F.min("n").alias("smallest"),
@@ -121,13 +128,10 @@ def with_anova_p(stats: DataFrame) -> DataFrame:
     return out.withColumn("is_significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-def cardinality_guard(ds: Dataset | DataFrame, segment: str, metric: str) -> DataFrame:
+def cardinality_guard(ds: Dataset | DataFrame, segment: str, metric: str, groups: DataFrame | None = None) -> DataFrame:
     """AN-11: whether a segment column looks like a record identifier."""
-    ds = as_dataset(ds)
-    value = as_double(metric) if is_numeric(ds.df, metric) else currency_to_double(metric)
-    t = _working(ds, segment, metric, value, "metric").agg(
-        F.count_distinct("segment").alias("distinct_segments"), F.count("*").alias("n_used")
-    )
+    g = segment_groups(ds, segment, metric) if groups is None else groups
+    t = g.agg(F.count("*").alias("distinct_segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_used"))
     name = segment.lower()
     id_name = any(name.endswith(a) or name.startswith(a) for a in ID_AFFIXES)
     ratio = F.coalesce(F.try_divide(F.col("distinct_segments"), F.col("n_used")), F.lit(0.0))
@@ -214,10 +218,11 @@ def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_hi
         if c not in ds.columns:
             raise ValueError(f"Column '{c}' not found in dataset. Available: {ds.columns}")
     kind, _ = metric_kind(ds, metric)
-    total = ds.df.agg(F.count("*").alias("n")).scalar()
+    total = F.lit(ds.df.count())
     params = {"segment": segment, "metric": metric, "kind": kind}
     if kind == "numeric":
-        guard = cardinality_guard(ds, segment, metric).first()
+        groups = pin(segment_groups(ds, segment, metric), "segments")
+        guard = cardinality_guard(ds, segment, metric, groups).first()
         if guard["n_used"] == 0:
             return ToolResult("segment_compare", "error", "No valid non-null rows remaining after alignment.", params=params)
         if guard["rejected"] and not allow_high_cardinality:
@@ -225,14 +230,14 @@ def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_hi
                 f"Column '{segment}' looks like a record identifier ({guard['reason']}: "
                 f"{guard['distinct_segments']} distinct values in {guard['n_used']} rows)."
             )
-        stats = segment_stats(ds, segment, metric)
-        ends, test = top_bottom(stats), with_anova_p(anova(ds, segment, metric))
+        stats = pin(segment_stats(ds, segment, metric, groups), "segments")
+        ends, test = top_bottom(stats), with_anova_p(anova(ds, segment, metric, groups))
         tables = {"segments": rank_segments(stats), "test": test}
         stat_name = "f_statistic"
     else:
-        rates = segment_rates(ds, segment, metric)
+        rates = pin(segment_rates(ds, segment, metric), "rates")
         stats = rates.filter("segment is not null").withColumn("count", F.col("n_used"))
-        ends, test = top_bottom(stats, "rate_percent"), with_chi2_p(chi_square(crosstab(ds, segment, metric)))
+        ends, test = top_bottom(stats, "rate_percent"), with_chi2_p(chi_square(pin(crosstab(ds, segment, metric), "cells")))
         tables = {"segments": rank_segments(stats, "rate"), "overall": rates.filter("segment is null"), "test": test}
         stat_name = "chi2_statistic"
     one = F.lit(1).alias("_k")

@@ -9,6 +9,7 @@ from tidemark.dataset import Dataset, as_dataset, as_double, is_numeric, is_temp
 from tidemark.functions.dates import parse_date
 from tidemark.functions.tails import corr_pvalue
 from tidemark.operators.common import ToolResult, currency_to_double
+from tidemark.session import pin
 
 STABLE_WITHIN_PERCENT = 5.0
 FREQUENCIES = {"M": "month", "ME": "month", "W": "week", "D": "day"}
@@ -33,13 +34,13 @@ def period_end(ds: Column, unit: str) -> Column:
     return F.to_date(ds)
 
 
-def auto_unit(points: DataFrame) -> str | None:
-    """AN-15: monthly beyond 180 days, weekly beyond 30, else daily. None when
-    there are fewer than 3 points."""
+def auto_unit(points: DataFrame) -> tuple[int, str | None]:
+    """AN-15: the number of points, and monthly beyond 180 days, weekly beyond
+    30, else daily. No unit when there are fewer than 3 points."""
     row = points.agg(F.count("*").alias("n"), F.floor(F.timestamp_diff("SECOND", F.min("ds"), F.max("ds")) / 86400).alias("span")).first()
     if row["n"] < 3:
-        return None
-    return "month" if row["span"] > 180 else ("week" if row["span"] > 30 else "day")
+        return row["n"], None
+    return row["n"], "month" if row["span"] > 180 else ("week" if row["span"] > 30 else "day")
 
 
 def period_means(points: DataFrame, unit: str) -> DataFrame:
@@ -101,15 +102,14 @@ def trend(ds: Dataset | DataFrame, date: str, value: str, freq: str = "auto") ->
         if c not in ds.columns:
             raise ValueError(f"Column '{c}' not found. Available: {ds.columns}")
     points = trend_points(ds, date, value)
-    unit = auto_unit(points)
+    n_points, unit = auto_unit(points)
     params = {"date": date, "value": value, "unit": unit}
     if unit is None:
         return ToolResult("trend_analysis", "skipped", "Fewer than 3 valid non-imputed date/value pairs found for trend analysis.", params=params)
     if freq != "auto":
         unit = FREQUENCIES[freq.upper()]
-    line = timeline(period_means(points, unit))
-    total = ds.df.agg(F.count("*").alias("n")).scalar()
-    used = points.agg(F.count("*").alias("n")).scalar()
+    line = pin(timeline(period_means(points, unit)), "timeline")
+    total, used = F.lit(ds.df.count()), F.lit(n_points)
     summary = with_trend_p(trend_summary(line)).select(
         F.lit(date).alias("date_column"), F.lit(value).alias("value_column"), "*",
         total.alias("total_records"), used.alias("n_used"), (total - used).alias("n_excluded"),

@@ -19,6 +19,7 @@ from tidemark.operators.segments import ID_AFFIXES
 from tidemark.operators.windows import top_groups
 from tidemark.plans.clean import CleaningOptions, clean
 from tidemark.registry import run_tool
+from tidemark.session import pin
 
 MAX_CORRELATED = 10
 MAX_DRILLDOWNS = 3
@@ -87,7 +88,11 @@ def run_steps(ds: Dataset, steps: Sequence[Step]) -> list[ToolResult]:
         key = (s.tool, tuple(sorted((k, str(v)) for k, v in s.args.items() if k not in ("threshold", "method"))))
         if key not in seen:
             seen.add(key)
-            out.append(run_tool(s.tool, ds, **s.args))
+            r = run_tool(s.tool, ds, **s.args)
+            # Results are small and read several times from here on.
+            r.summary = None if r.summary is None else pin(r.summary)
+            r.tables = {k: t if k == "samples" else pin(t) for k, t in r.tables.items()}
+            out.append(r)
     return out
 
 
@@ -155,7 +160,7 @@ def drilldowns(ds: Dataset | DataFrame, results: Sequence[ToolResult], profile:
 def result_insights(ds: Dataset, results: Sequence[ToolResult], run_id: str = "run", disclosure: str | None = None) -> DataFrame:
     """All findings of a run, unranked."""
     run = F.lit(run_id).alias("run_id")
-    total = ds.df.agg(F.count("*").alias("n")).scalar()
+    total = F.lit(ds.df.count())
     parts: list[DataFrame] = []
     segs = [r for r in results if r.status == "success" and r.tool == "segment_compare"]
     if segs:
@@ -201,8 +206,6 @@ class Analysis:
 def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None, run_id: str = "run") -> Analysis:
     """IN-15: clean, profile, baseline scan, plan, drill-downs, ranked findings
     and their narrative. Findings are checked for unfilled templates."""
-    from tidemark.session import materialize
-
     ds = df if isinstance(df, Dataset) else clean(df, options)
     disclosure = ds.report.get("sampling_disclosure")
     profile = profile_columns(ds.clean())
@@ -212,6 +215,6 @@ def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None
     found = result_insights(ds, results, run_id, disclosure)
     ranked = ins.rank_insights(found)
     ranked = ins.placeholder_flags(ranked, "summary").filter(~F.col("has_placeholder")).drop("has_placeholder")
-    ranked = materialize(ranked, "insights")
+    ranked = pin(ranked, "insights")
     spark = ds.df.sparkSession
     return Analysis(ds, spark.createDataFrame(rows, profile.schema), results, follow, ranked, ins.narrate(ranked, disclosure))

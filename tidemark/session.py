@@ -19,6 +19,7 @@ def build_session(app: str = "tidemark", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
@@ -57,3 +58,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+PIN_ROWS = 10_000
+
+
+def pin(df: DataFrame, name: str = "result", max_rows: int = PIN_ROWS) -> DataFrame:
+    """Compute a result once for its later readers: a result of at most
+    ``max_rows`` rows becomes a local table, a larger one goes to the shared
+    folder. The driver never holds more than ``max_rows + 1`` rows."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return materialize(df, name)
+    return df.sparkSession.createDataFrame(rows, df.schema)
