@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as sc, tails, text as tx
 from tidemark.functions.labels import format_label, title_case
-from tidemark.functions.quantiles import cumulative_histogram, exact_quantiles, values_at_ranks
+from tidemark.functions.quantiles import cumulative_histogram, exact_quantiles, value_histogram, values_at_ranks
 
 
 def linear(values, p):
@@ -65,10 +65,11 @@ def test_exact_quantiles_without_values(spark):
     assert [(r["column"], r["value"]) for r in exact_quantiles(d, ["x", "y"], [0.5]).collect()] == [("y", 1.5)]
 
 
-def test_rank_lookup_equals_sorted_list(spark):
+@pytest.mark.parametrize("splits", [2, 16, 100, 256])
+def test_rank_lookup_equals_sorted_list(spark, splits):
     rnd = random.Random(5)
     values = [float(rnd.randint(0, 300)) for _ in range(3000)] + [77.0] * 1500
-    hist = cumulative_histogram(spark.createDataFrame([("c", v) for v in values], "column string, value double"), splits=16)
+    hist = cumulative_histogram(value_histogram(spark.createDataFrame([("c", v) for v in values], "column string, value double")), splits=splits)
     n = len(values)
     ranks = spark.createDataFrame([("c", r, n) for r in range(0, n, 37)], "column string, rank long, n long")
     s = sorted(values)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import cumulative_histogram, values_at_ranks
+from tidemark.functions.quantiles import cumulative_histogram, value_histogram, values_at_ranks
 from tidemark.operators.cleaning import col, doubles
 from tidemark.session import materialize
 
@@ -47,7 +47,10 @@ def repeated_value_findings(df: DataFrame, cols: Sequence[str] | None = None, k:
 
     In columns with more than 500 values and 20 candidates, other values within
     2.5·IQR of the whole column are skipped."""
-    hist = materialize(cumulative_histogram(doubles(df, cols)), "histogram")
+    counts = materialize(value_histogram(doubles(df, cols)), "histogram")
+    # Most continuous columns repeat nothing and need no further work.
+    repeating = [r["column"] for r in counts.filter(F.col("cnt") >= min_repeats).select("column").distinct().collect()]
+    hist = materialize(cumulative_histogram(counts.filter(F.col("column").isin(*repeating))), "histogram")
     known = F.col("value").isin(*KNOWN_SENTINELS)
     repeated = F.col("cnt") >= min_repeats
     cand = hist.filter(repeated & (F.col("n") >= 6) & (F.col("n") - F.col("cnt") >= 5))

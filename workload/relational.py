@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import format_label
-from tidemark.functions.quantiles import cumulative_histogram
+from tidemark.functions.quantiles import cumulative_histogram, value_histogram
 from tidemark.operators import casing, cleaning as cl, correlation as co, imputation as im, joins as jn, outliers as ou, questions as qu
 from tidemark.operators import segments as sg, sentinels as se, sets as st, sqlview as sq, windows as wn
 from workload import fixtures_text as fx
@@ -187,7 +187,7 @@ def jn01(spark, sf):
 SELECT 'visits' AS "column", value, cnt, (SELECT count(*) FROM m) AS n, (SELECT round(quantile_cont(x.visits::DOUBLE, 0.25), 6) FROM m x WHERE x.visits <> h.value) AS q1,
  (SELECT round(quantile_cont(x.visits::DOUBLE, 0.75), 6) FROM m x WHERE x.visits <> h.value) AS q3 FROM h""")
 def jn02(spark, sf):
-    h = cumulative_histogram(cl.doubles(rows(spark, sf), ["visits"]))
+    h = cumulative_histogram(value_histogram(cl.doubles(rows(spark, sf), ["visits"])))
     return se.percentile_without(h, h).withColumns({"q1": F.round("q1", 6), "q3": F.round("q3", 6)})
 
 
