@@ -101,15 +101,22 @@ def apply_map(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return out.select([F.coalesce("_canonical", "_spelling").alias(column) if x == column else col(x) for x in df.columns])
 
 
-def canonical_case(df: DataFrame, cols: Sequence[str] | None = None, changed: DataFrame | None = None) -> DataFrame:
-    """CL-06 on every given text column."""
+def small_map(changed: DataFrame) -> list | None:
+    """The rows of a label map if it is proven small, else None."""
+    rows = changed.limit(MAP_ROWS + 1).collect()
+    return rows if len(rows) <= MAP_ROWS else None
+
+
+def canonical_case(df: DataFrame, cols: Sequence[str] | None = None, changed: DataFrame | None = None, rows: list | None = None) -> DataFrame:
+    """CL-06 on every given text column. ``rows`` are those of ``changed`` if the
+    caller has them already."""
     cols = list(string_columns(df) if cols is None else cols)
     if not cols:
         return df
     if changed is None:
         changed = changed_spellings(spelling_counts(df, cols))
-    rows = changed.limit(MAP_ROWS + 1).collect()
-    if len(rows) > MAP_ROWS:
+    rows = small_map(changed) if rows is None else rows
+    if rows is None:
         for c in cols:
             df = apply_map(df, changed, c)
         return df
