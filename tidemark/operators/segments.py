@@ -240,11 +240,11 @@ def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_hi
         ends, test = top_bottom(stats, "rate_percent"), with_chi2_p(chi_square(pin(crosstab(ds, segment, metric), "cells")))
         tables = {"segments": rank_segments(stats, "rate"), "overall": rates.filter("segment is null"), "test": test}
         stat_name = "chi2_statistic"
-    one = F.lit(1).alias("_k")
-    summary = ends.select("*", one).join(
-        test.select("n_used", F.col(stat_name).alias("statistic"), "p_value", "is_significant", one), "_k"
-    ).drop("_k").select(
-        F.lit(segment).alias("segment_column"), F.lit(metric).alias("metric_column"), F.lit(kind).alias("kind"),
-        "*", total.alias("total_records"), (total - F.col("n_used")).alias("n_excluded"),
+    t = test.first()  # one row
+    used = F.lit(t["n_used"]).cast("long")
+    summary = ends.select(
+        F.lit(segment).alias("segment_column"), F.lit(metric).alias("metric_column"), F.lit(kind).alias("kind"), "*",
+        used.alias("n_used"), F.lit(t[stat_name]).cast("double").alias("statistic"), F.lit(t["p_value"]).cast("double").alias("p_value"),
+        F.lit(t["is_significant"]).alias("is_significant"), total.alias("total_records"), (total - used).alias("n_excluded"),
     )
     return ToolResult("segment_compare", "success", summary=summary, tables=tables, params=params)
