@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SCRATCH: dict[str, str] = {}
@@ -29,20 +31,32 @@ def build_session(app: str = "tidemark", master: str | None = None, partitions:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, else the
+    context's own checkpoint folder.
 
-    Only where that setting is absent (a local test session) is a folder of our
-    own made, once per application.
+    Only a local session may go without one: it gets a folder of our own, made
+    once per application. On a cluster such a folder would be another one on each
+    machine, so an absent setting is an error there.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that every machine of {master or 'the cluster'} shares")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _OWN_SCRATCH[app]
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except PySparkException:  # a Connect session has no context
+        return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch folder; never reuses an older run's data."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
