@@ -9,7 +9,10 @@ level by level, until one node is left or no node can take more.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,32 +25,74 @@ from tidemark.llm.common import stage, texts
 
 CAPACITY, SLACK, FAN_IN, NODE_ITEMS = 4096, 8, 8, 1_000_000
 #: Cached words per worker; a cache only, the ids do not depend on it.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+#: Letters and then ASCII marks without an apostrophe, which would join a contraction.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 
 
 class WordTokenizer:
-    """Token ids of whole texts for a vocabulary that drops white space: the ids of a
-    text are those of its words in order, so frequent words are encoded once."""
+    """Token ids of whole texts for a vocabulary that lower-cases and drops white space:
+    the ids of a text are those of its words in order, so a frequent word is encoded
+    once. A word of letters and closing marks is the letters' ids and the marks' ids;
+    letters in any case share theirs and go to the merges alone, many at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._whole, self._letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._letters.normalizer = normalizers.Sequence([])
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._ids: dict[str, bytes] = {"": b""}
+        self._parts: dict[str, bytes] = {"": b""}
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words).difference(self._ids) if w]
-        if not new:
-            return b"".join(map(self._ids.__getitem__, words))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self._ids)
         if len(self._ids) > CACHED_WORDS:
             self._ids = {"": b""}
-            new = [w for w in set(words) if w]
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False))}
-        out = b"".join([self._ids[w] if w in self._ids else ids[w] for w in words])
+            new = set().union(*split) - {""}
+        ids = self._encode(new) if new else {}
         self._ids.update((w, x) for w, x in ids.items() if len(w) <= CACHED_LENGTH)
+        held = self._ids
+        if all(len(w) <= CACHED_LENGTH for w in ids):
+            return [b"".join(map(held.__getitem__, words)) for words in split]
+        return [b"".join([held[w] if w in held else ids[w] for w in words]) for words in split]
+
+    def _encode(self, words: set[str]) -> dict[str, bytes]:
+        if len(self._parts) > CACHED_WORDS:
+            self._parts = {"": b""}
+        plain = {w: m for w in words if (m := self._split(w))}
+        letters = {m[0] for m in plain.values()}.difference(self._parts)
+        parts = self._parts
+        parts.update(self._merge(sorted(letters)))
+        rest = [w for w in words if w not in plain]
+        rest += {m[1] for m in plain.values()}.difference(parts)
+        other = {w: array("I", e.ids).tobytes() for w, e in zip(rest, self._whole.encode_batch_fast(rest, add_special_tokens=False))}
+        parts.update((m[1], other[m[1]]) for m in plain.values() if m[1] not in parts)
+        return {w: parts[plain[w][0]] + parts[plain[w][1]] if w in plain else other[w] for w in words}
+
+    @staticmethod
+    def _split(word: str) -> tuple[str, str] | None:
+        """(lower-case letters, marks), only where case and composition are beyond doubt."""
+        if not (m := _PLAIN.fullmatch(word)) or len(word) > CACHED_LENGTH:
+            return None
+        letters = m[1]
+        if letters.isascii():
+            return letters.lower(), m[2]
+        if max(letters) >= "\u0530" or "\u0130" in letters or "\u03a3" in letters or not letters.isalpha() or not is_normalized("NFC", letters):
+            return None
+        return letters.lower(), m[2]
+
+    def _merge(self, letters: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(letters), 2000):
+            some = letters[at : at + 2000]
+            e = self._letters.encode(" ".join(some), add_special_tokens=False)
+            word, raw = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(word, np.arange(len(some)), side="right").tolist()
+            out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends))
         return out
 
 
@@ -93,9 +138,10 @@ def _pack_partition(path: str, end_id: int, capacity: int, digest, keep_ids: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         doc_id, piece, start, length, mark, kept = [], [], [], [], [], []
-        for b in batches:
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encode(text.as_py() or "") + end
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
+            ids_of = encode([t or "" for t in b.column("text").to_pylist()])
+            for d, ids in zip(b.column("doc_id").to_pylist(), ids_of):
+                ids += end
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     doc_id.append(d)
