@@ -26,7 +26,8 @@ from tidemark.llm.components import components, local_forest
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Above this many fingerprints under one key, ``_centres`` finds the links instead.
-BUCKET = 2048
+BUCKET = 256
+_PAIRS = 500_000
 _LOWER = bytes(range(256)).lower()
 _SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 _GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -126,19 +127,26 @@ def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits
 
 
+def _same_key(key: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    at = at[at < len(key) - step]
+    return at[key[at] == key[at + step]]
+
+
 def _link(max_bits: int):
     """Star edges of a task's buckets; rows come sorted by key, each bucket whole."""
 
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        found, step = [], 1
-        while (same := key[step:] == key[:-step]).any():
-            at = np.flatnonzero(same)
-            at = at[_near(fp[at], fp[at + step], max_bits)]
-            found.append((fp[at], fp[at + step]))
+        a, b, step = np.empty(0, np.int64), np.empty(0, np.int64), 1
+        at = np.arange(max(len(key) - 1, 0))
+        while len(at := _same_key(key, at, step)):
+            near = at[_near(fp[at], fp[at + step], max_bits)]
+            a, b = np.concatenate([a, fp[near]]), np.concatenate([b, fp[near + step]])
+            if len(a) > _PAIRS:  # a forest says as much in fewer edges
+                a, b = local_forest(a, b)
             step += 1
-        if not found:
+        if not len(a):
             return None
-        a, b = local_forest(*(np.concatenate(x) for x in zip(*found)))
+        a, b = local_forest(a, b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
