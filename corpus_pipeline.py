@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, rules, simhash
+from tidemark.llm import mixing, packing, rules, simhash, suffix
 from tidemark.llm.common import stage
 
 #: The tree of the mix and the packing have no SQL form; tests use brute force.
@@ -29,6 +29,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur more than once are cut out of the texts."""
+    out = suffix.strip_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, digest=zlib.crc32)
     return out.select("doc_id", "piece", "start", "length", F.col("digest").alias("ids_crc32"), "sequence_id", "offset")
@@ -42,6 +48,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
     ("mixing sources to target weights", source_mixing),
     ("best-fit packing", best_fit_packing),
 ]

@@ -6,11 +6,11 @@ import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from tidemark.llm import mixing, packing, rules, simhash
+from tidemark.llm import ann, kneser_ney, masked_lm, mixing, packing, rules, simhash, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,17 +36,59 @@ def op1(spark, sf_dir):
     return out.select("doc_id", "piece", "start", "length", F.col("digest").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@_query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op3_simhash_near_duplicates")
 def op3(spark, sf_dir):
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op4_masked_lm_scoring")
+def op4(spark, sf_dir):
+    return masked_lm.score(_table(spark, sf_dir, "documents"))
+
+
 @_query("op5_source_mixing")
 def op5(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def _remainder() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+
+
+@_query("op6_toxicity")
+def op6(spark, sf_dir):
+    out = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() != 0)
+    return out.select("doc_id", (_remainder() == 0).alias("held_out"), "score", "predicted")
+
+
+_OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+b AS (SELECT d, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM p LEFT JOIN b USING (d)
+"""
+
+
+@_query("op7_warc_transactions", _OP7_SQL)
+def op7(spark, sf_dir):
+    got = warc.round_trip(_table(spark, sf_dir, "pages"))
+    # a revisit has the payload of the response that it names
+    full = got.where("response.record_type = 'response'").select(F.col("capture_id").alias("held_in"), F.col("page_id").alias("held_by"), F.col("response.payload").alias("payload"))
+    full = full.select("held_in", "held_by", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    kind, refers = F.col("response.record_type"), F.col("response.refers_to")
+    each = got.select("page_id", kind.alias("record_type"), F.coalesce(refers, F.col("capture_id")).alias("held_in"))
+    return each.join(full, "held_in").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("held_by")).alias("refers_to"),
+    )
+
+
 _OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
@@ -77,6 +119,17 @@ def op8(spark, sf_dir):
     )
 
 
+@_query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.floor(F.size("spans") / 2).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op10_nearest_neighbours")
+def op10(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @_query("pipeline", ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return run(spark, sf_dir)
