@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from operator import add
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,11 +26,16 @@ from tidemark.llm.common import stage, texts
 
 CAPACITY, SLACK, FAN_IN, NODE_ITEMS = 4096, 8, 8, 1_000_000
 #: Cached words per worker; a cache only, the ids do not depend on it.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+CACHED_WORDS, CACHED_LENGTH = 800_000, 64
 #: Letters and then ASCII marks without an apostrophe, which would join a contraction.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 
 
+def _certain(letters: str) -> bool:
+    """Whether Python's case and classes are the vocabulary's beyond doubt."""
+    return max(letters) < "\u0530" and "\u0130" not in letters and "\u03a3" not in letters and letters.isalpha() and is_normalized("NFC", letters)
+
+
 class WordTokenizer:
     """Token ids of whole texts for a vocabulary that lower-cases and drops white space:
     the ids of a text are those of its words in order, so a frequent word is encoded
@@ -49,41 +55,37 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self._ids)
+        words = set().union(*split)
         if len(self._ids) > CACHED_WORDS:
             self._ids = {"": b""}
-            new = set().union(*split) - {""}
-        ids = self._encode(new) if new else {}
-        self._ids.update((w, x) for w, x in ids.items() if len(w) <= CACHED_LENGTH)
-        held = self._ids
-        if all(len(w) <= CACHED_LENGTH for w in ids):
-            return [b"".join(map(held.__getitem__, words)) for words in split]
-        return [b"".join([held[w] if w in held else ids[w] for w in words]) for words in split]
-
-    def _encode(self, words: set[str]) -> dict[str, bytes]:
         if len(self._parts) > CACHED_WORDS:
             self._parts = {"": b""}
-        plain = {w: m for w in words if (m := self._split(w))}
-        letters = {m[0] for m in plain.values()}.difference(self._parts)
+        ids = self._ids
+        self._encode(words.difference(ids))
+        out = [b"".join(map(ids.__getitem__, x)) for x in split]
+        for w in [w for w in words if len(w) > CACHED_LENGTH]:
+            del ids[w]
+        return out
+
+    def _encode(self, words: set[str]) -> None:
+        """Add the words to the known ones."""
+        plain, letters, marks, rest, match = [], [], [], [], _PLAIN.fullmatch
+        for w in words:
+            if len(w) <= CACHED_LENGTH and (m := match(w)) and ((x := m[1]).isascii() or _certain(x)):
+                plain.append(w)
+                letters.append(x.lower())
+                marks.append(m[2])
+            else:
+                rest.append(w)
         parts = self._parts
-        parts.update(self._merge(sorted(letters)))
-        rest = [w for w in words if w not in plain]
-        rest += {m[1] for m in plain.values()}.difference(parts)
-        other = {w: array("I", e.ids).tobytes() for w, e in zip(rest, self._whole.encode_batch_fast(rest, add_special_tokens=False))}
-        parts.update((m[1], other[m[1]]) for m in plain.values() if m[1] not in parts)
-        return {w: parts[plain[w][0]] + parts[plain[w][1]] if w in plain else other[w] for w in words}
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, str] | None:
-        """(lower-case letters, marks), only where case and composition are beyond doubt."""
-        if not (m := _PLAIN.fullmatch(word)) or len(word) > CACHED_LENGTH:
-            return None
-        letters = m[1]
-        if letters.isascii():
-            return letters.lower(), m[2]
-        if max(letters) >= "\u0530" or "\u0130" in letters or "\u03a3" in letters or not letters.isalpha() or not is_normalized("NFC", letters):
-            return None
-        return letters.lower(), m[2]
+        parts.update(self._merge(list(set(letters).difference(parts))))
+        new = list(set(marks).difference(parts))
+        encoded = self._whole.encode_batch_fast(new + rest, add_special_tokens=False)
+        other = [array("I", e.ids).tobytes() for e in encoded]
+        parts.update(zip(new, other))
+        part = parts.__getitem__
+        self._ids.update(zip(plain, map(add, map(part, letters), map(part, marks))))
+        self._ids.update(zip(rest, other[len(new):]))
 
     def _merge(self, letters: list[str]) -> dict[str, bytes]:
         out = {}
