@@ -13,6 +13,7 @@ from tidemark.session import materialize
 #: A word is a run of bytes other than these six: what ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def small_batches(df: DataFrame) -> None:
+    """From now on Python tasks of this session get at most ROWS rows at once: rows
+    that hold whole texts fill much memory, outside the heap and in Python, at the
+    default of 10,000."""
+    conf = df.sparkSession.conf
+    if int(conf.get(ARROW_ROWS, "10000")) > ROWS:
+        conf.set(ARROW_ROWS, ROWS)
+
+
 def column(name: str) -> Column:
     """A top-level column whatever its name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -35,6 +45,7 @@ def column(name: str) -> Column:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns of the
     caller can have any names. The text may be null."""
+    small_batches(docs)
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import column
+from tidemark.llm.common import column, small_batches
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 _SCHEMA = StructType([StructField(m, LongType()) for m in MEASURES])
@@ -109,6 +109,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null text is an empty one (no words: ``few_words`` fails). Repeated rows and
     null ids each keep their own row. An empty table gives an empty ledger.
     """
+    small_batches(docs)
     # asNondeterministic keeps the optimizer from evaluating the texts once per use
     measured = docs.select(column(id_col).alias("doc_id"), _measures.asNondeterministic()(column(text_col).cast("string")).alias("m"))
     return measured.select("doc_id", "m.*", failure_bits("m").alias("failure_bits"))
@@ -120,6 +121,7 @@ def passes(bits: Column, policy: str) -> Column:
 
 def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents, all columns unchanged, that fail no rule of the policy."""
+    small_batches(docs)
     m = "__rule_measures"
     out = docs.withColumn(m, _measures.asNondeterministic()(column(text_col).cast("string")))
     return out.where(passes(failure_bits(m), policy)).select(*[column(c) for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import arrow_rows, column, encoded, stage, texts
+from tidemark.llm.common import arrow_rows, column, encoded, small_batches, stage, texts
 
 LENGTH, ANCHOR, GROUP, CHUNK = 200, 32, 4096, 1 << 18
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -180,6 +180,7 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, spans): per document with any, the byte ranges [a, b, a, b, ...] that
     strings of ``length`` bytes found at least twice cover; ranges may overlap."""
+    small_batches(docs)
     keyed = docs.select(*_keys(id_col, text_col), column(text_col).cast("string").alias("text"))
     found = stage(keyed.mapInArrow(_anchor_batches(length, anchor), "kg long, ctx long, id long, at long"), "suffix-anchors")
     twice = found.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1").select("kg")
