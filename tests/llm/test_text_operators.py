@@ -85,7 +85,7 @@ def test_targets_share_and_stop(spark):
     assert sum(t for _, t in got.values()) == pytest.approx(1.5 * 2015)
     # weights 5, 2, 1, 5, 2 in the order a, b, c, z, null: small ones stop, b and c share 2 : 1
     assert got["a"][1] == 20 and got[None][1] == 10 and got["z"][1] == 0
-    assert got["b"][1] == 2000 and got["c"][1] == pytest.approx(1.5 * 2015 - 2030)
+    assert got["b"][1] == pytest.approx(1995) and got["c"][1] == pytest.approx(997.5)
 
 
 def test_mix_comes_near_targets(spark):
@@ -128,7 +128,7 @@ def test_packing_is_exact_and_gapless(spark):
             at += length
         assert at <= 512
     total = sum(r.length for r in got)
-    assert len(full) <= -(-total // 512) + 2
+    assert len(full) <= 1.02 * total / 512
     assert packing.pack(spark.createDataFrame([], DOCS), TOKENS).count() == 0
 
 
