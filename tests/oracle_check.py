@@ -88,7 +88,7 @@ def main(argv):
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("check", "local[8]", 8)
+    spark = build_session("check", f"local[{os.environ.get('CPUS', '8')}]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     qs, os_ = queries(), oracle_sql()

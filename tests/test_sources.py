@@ -92,18 +92,41 @@ def test_store_round_trip(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sql,word", [
-    ("", "empty"), ("SELECT 1; SELECT 2", "Multi"), ("DROP TABLE df", "Forbidden"), ("SELECT * FROM read_csv('x')", "External"),
-    ("SELECT * FROM '/etc/passwd/x'", "External"), ("SHOW TABLES", "begin"), ("SELECT * FROM parquet.`x`", "External"),
+    ("", "empty"), ("SELECT 1; SELECT 2", "multiple"), ("DROP TABLE df", "keyword"), ("SELECT * FROM read_csv('x')", "external"),
+    ("SELECT * FROM '/etc/passwd/x'", "external"), ("SHOW TABLES", "begin"), ("SELECT * FROM parquet.`x`", "external"), ("SELECT * FROM `parquet`.`x`", "external"),
+    ("SELECT TRANSFORM(a) USING 'cat' AS (b) FROM df", "external"), ("SELECT java_method('java.lang.System', 'exit', 0)", "external"),
+    ("SELECT reflect ('java.util.UUID', 'randomUUID')", "external"), ("SELECT * FROM spark_catalog.default.other", "external"), ("SELECT * FROM other", "external"),
+    ("SELECT * FROM df, other", "external"), ("SELECT * FROM df a JOIN other b ON a.x = b.x", "external"), ("SELECT * FROM (SELECT * FROM/**/other)", "external"),
 ])
-def test_statement_guard(sql, word):
+def test_statement_guard(spark, sql, word):
     with pytest.raises(ValueError, match=word):
-        sq.guard_statement(sql)
+        sq.guard_statement(spark, sql)
 
 
-def test_query_limit(spark):
+@pytest.mark.parametrize("sql", [
+    "SELECT EXTRACT(year FROM date'2024-01-01') AS y FROM df", "WITH t AS (SELECT x FROM df), u AS (SELECT x FROM t) SELECT * FROM u JOIN data_observed USING (x)",
+    "SELECT 'from other' AS a, transform(array(x), v -> v + 1) AS b FROM data_clean -- from other", "select x from `df` where x is distinct from 3",
+])
+def test_statements_that_may_run(spark, sql):
+    assert sq.query_sql(spark.range(3).withColumnRenamed("id", "x"), sql).count() >= 2
+
+
+def test_query_limit_and_views(spark):
     d = spark.range(500).withColumnRenamed("id", "x")
-    assert sq.query_sql(d, "SELECT x FROM data_clean").count() == 200
+    spark.range(7).createOrReplaceTempView("df")
+    assert sq.query_sql(d, "SELECT x FROM data_clean").count() == 500
+    assert sq.query_sql(d, "SELECT x FROM data_clean -- LIMIT 9", 200).count() == 200
     assert sq.query_sql(d, "select x from df limit 300").count() == 300
+    assert spark.table("df").count() == 7
+    with pytest.raises(ValueError, match="at least 1"):
+        sq.query_sql(d, "SELECT x FROM df", 0)
+
+
+def test_dotted_names(spark):
+    d = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0), (None, 5.0, float("nan"))], "`p.seg` string, `p.x` double, `p.y` double")
+    assert sq.group_metric(d, "p.seg", ["p.x", "p.y"]).count() == 2 and sq.group_count(d, "p.seg", True).count() == 2
+    assert sq.category_share(d, "p.seg").count() == 2 and sq.ratio_of_sums(d, "p.seg", "p.x", "p.y").count() == 2
+    assert sq.overall_metric(d, ["p.x", "p.y"]).first()["n"] == 2
 
 
 def test_claim_statuses(spark):

@@ -49,8 +49,10 @@ def guard_rows(df: DataFrame, max_rows: int) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """CL-02: a repeatable sample of ``n`` rows in the order of a key hash. An
     option; the engine otherwise uses every row."""
-    mixed = F.pmod((F.col(key).cast("long") + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
-    return df.orderBy(mixed, key).limit(n)
+    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = col(key).cast("long") if whole else F.xxhash64(col(key)).bitwiseAND(F.lit(0xFFFFFFFF))
+    mixed = F.pmod((number + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    return df.orderBy(mixed, col(key)).limit(n)
 
 
 def sampling_disclosure(n: int, total: int, seed: int = 42) -> dict[str, object]:
@@ -74,7 +76,7 @@ def trim_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def collapse_spaces(c: Column) -> Column:
     """CL-05: trim, then turn inner white space into single blanks."""
-    return F.regexp_replace(F.trim(c), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:

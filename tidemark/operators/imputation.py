@@ -178,14 +178,15 @@ def quality_raw(df: DataFrame, findings: DataFrame) -> DataFrame:
     per = column_facts(df).join(F.broadcast(f), "column", "left").na.fill(0, ["inv", "sen"])  # one row per column
     t = per.agg(
         F.max("rows").alias("rows"), F.sum("null_count").alias("missing"), F.sum("inv").alias("invalid_count"), F.sum("sen").alias("sentinel_count"),
-        F.count_if((F.col("null_count") + F.col("inv") + F.col("sen")) / F.col("rows") > 0.30).alias("defective_columns"),
+        F.count_if(F.try_divide(F.col("null_count") + F.col("inv") + F.col("sen"), F.col("rows")) > 0.30).alias("defective_columns"),
     )
     dups = duplicate_count(df).select("duplicates_removed").scalar()
     cells = F.col("rows") * cols
+    percent = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)) * 100  # noqa: E731  an empty table has no faults
     t = t.withColumn("duplicate_rows", dups)
     score = 100 - (
-        0.7 * F.col("missing") / cells * 100 + F.col("duplicate_rows") / F.col("rows") * 100
-        + 3.5 * F.col("invalid_count") / cells * 100 + 2.5 * F.col("sentinel_count") / cells * 100 + 12.0 * F.col("defective_columns")
+        percent(0.7 * F.col("missing"), cells) + percent(F.col("duplicate_rows"), F.col("rows"))
+        + percent(3.5 * F.col("invalid_count"), cells) + percent(2.5 * F.col("sentinel_count"), cells) + 12.0 * F.col("defective_columns")
     )
     return t.select(
         "rows", F.col("missing").alias("missing_cells"), "duplicate_rows", "invalid_count", "sentinel_count", "defective_columns",

@@ -115,7 +115,7 @@ def label_jobs(jobs: DataFrame, datasets: DataFrame) -> DataFrame:
     return jobs.join(names, "dataset_id", "left").withColumn("dataset_name", F.coalesce("dataset_name", F.lit("Dataset")))
 
 
-def compare_views(ds: Dataset, sql: str, max_rows: int = 200) -> DataFrame:
+def compare_views(ds: Dataset, sql: str, max_rows: int | None = None) -> DataFrame:
     """JN-08: a statement that joins ``data_clean`` and ``data_observed``."""
     from tidemark.operators.sqlview import query_sql
 

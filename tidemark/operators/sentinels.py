@@ -40,13 +40,13 @@ def percentile_without(hist: DataFrame, candidates: DataFrame) -> DataFrame:
     return t.select("column", "value", "cnt", "n", mix("q1", 0.25).alias("q1"), mix("q3", 0.75).alias("q3"))
 
 
-def repeated_value_findings(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.0, min_repeats: int = 3) -> DataFrame:
+def repeated_value_findings(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.0, min_repeats: int = 3, skip_common: bool = False) -> DataFrame:
     """CL-17, CL-18: values that occur at least ``min_repeats`` times and lie
     outside the k·IQR fence of the other values of their column. ``kind`` is
     ``sentinel`` for known placeholder numbers, else ``extreme``.
 
-    In columns with more than 500 values and 20 candidates, other values within
-    2.5·IQR of the whole column are skipped."""
+    ``skip_common`` leaves out values other than placeholders that lie within
+    2.5·IQR of the whole column, whatever its size."""
     counts = materialize(value_histogram(doubles(df, cols)), "histogram")
     # Most continuous columns repeat nothing and need no further work.
     repeating = [r["column"] for r in counts.filter(F.col("cnt") >= min_repeats).select("column").distinct().collect()]
@@ -64,7 +64,8 @@ def repeated_value_findings(df: DataFrame, cols: Sequence[str] | None = None, k:
     q = q.filter("value is not null").join(F.broadcast(limits), "column")  # one row per column
     iqr_all = F.col("w3") - F.col("w1")
     in_range = F.col("value").between(F.col("w1") - 2.5 * iqr_all, F.col("w3") + 2.5 * iqr_all)
-    q = q.filter(known | (F.col("n") <= 500) | (F.col("candidates") <= 20) | (iqr_all <= 0) | ~in_range)
+    if skip_common:
+        q = q.filter(known | (iqr_all <= 0) | ~in_range)
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     return q.filter((iqr > 0) & ((F.col("value") < low) | (F.col("value") > high))).select(

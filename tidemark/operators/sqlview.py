@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, as_dataset
@@ -23,19 +24,43 @@ FORBIDDEN_PATHS = (
 WORDS_RE = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
 PATHS_RE = "(?i)(" + "|".join(FORBIDDEN_PATHS) + ")"
 START_RE = r"(?i)^(SELECT|WITH)\b"
-# Words that reach files or other catalogs in Spark SQL.
-SPARK_PATHS_RE = r"(?i)\b(parquet|csv|json|orc|text|binaryFile|delta|jdbc|avro)\s*\.\s*`|\bread_files\b"
+# Words that reach files, programs or the Java runtime in Spark SQL.
+SPARK_PATHS_RE = r"(?i)\b(parquet|csv|json|orc|text|xml|binaryFile|delta|jdbc|avro)`?\s*\.\s*`"
+DENIED_RE = r"(?i)\b(java_method|reflect|try_reflect|read_files|input_file_name|input_file_block_start|input_file_block_length)\s*\(|\busing\s*['\"]"
+VIEWS = ("data_clean", "df", "dataset", "data_observed")
+
+# What is left of a statement without comments and the insides of text literals.
+COMMENT_RE = r"--[^\n]*|/\*[^*]*\*+([^/*][^*]*\*+)*/"
+LITERAL_RE = r"'[^']*'"
+# FROM inside these calls names no table.
+CALL_FROM_RE = r"(?i)\b(extract|trim|substring|substr|overlay)\s*\([^()]*\)|\bdistinct\s+from\b"
+FROM_LIST_RE = r"(?i)\bfrom\s+[`\w.]+(\s+(as\s+)?`?\w+`?)?\s*,"
+TABLE_RE = r"(?i)\b(?:from|join)\s+([^\s(),;]+)"
+NAMED_RE = r"(?i)(?:\bwith|\brecursive|,)\s*`?(\w+)`?\s+as\s*\("
+MESSAGES = {
+    "empty": "The statement is empty.", "multiple statements": "Only one statement is allowed.", "forbidden keyword": "The statement has a word that changes data or settings.",
+    "external access": "The statement reaches outside the two views.", "not a select": "The statement has to begin with SELECT or WITH.",
+}
 
 
 def statement_reason(sql: Column) -> Column:
-    """SQ-02 as an expression: NULL for an allowed statement, else why not."""
+    """SQ-02 as an expression: NULL for an allowed statement, else why not.
+
+    Tables are the four view names and names the statement defines with WITH; a
+    list of tables after FROM has to be written as joins."""
     s = F.trim(sql)
+    bare = F.regexp_replace(F.regexp_replace(s, COMMENT_RE, " "), LITERAL_RE, "''")
+    tables = F.regexp_extract_all(F.regexp_replace(bare, CALL_FROM_RE, " "), F.lit(TABLE_RE), F.lit(1))
+    named = F.regexp_extract_all(bare, F.lit(NAMED_RE), F.lit(1))
+    low = lambda xs: F.transform(xs, lambda x: F.lower(F.replace(x, F.lit("`"), F.lit(""))))
+    foreign = F.size(F.array_except(low(tables), F.concat(low(named), F.array(*map(F.lit, VIEWS))))) > 0
     return (
         F.when(s.isNull() | (s == ""), "empty")
         .when(F.regexp_replace(s, ";+$", "").contains(";"), "multiple statements")
         .when(s.rlike(WORDS_RE), "forbidden keyword")
-        .when(s.rlike(PATHS_RE) | s.rlike(SPARK_PATHS_RE), "external access")
+        .when(s.rlike(PATHS_RE) | s.rlike(SPARK_PATHS_RE) | s.rlike(DENIED_RE), "external access")
         .when(~s.rlike(START_RE), "not a select")
+        .when(bare.rlike(FROM_LIST_RE) | foreign, "external access")
     )
 
 
@@ -45,40 +70,36 @@ def check_statements(df: DataFrame, sql: str) -> DataFrame:
     return df.withColumns({"reason": r, "allowed": r.isNull()})
 
 
-def guard_statement(sql: str) -> str:
+def guard_statement(spark: SparkSession, sql: str) -> str:
     """SQ-02 for one statement: the text to run, or a ValueError."""
-    s = sql.strip()
-    if not s:
-        raise ValueError("SQL query cannot be empty.")
-    body = s.rstrip(";")
-    if ";" in body:
-        raise ValueError("Multi-statement SQL queries are prohibited for security.")
-    if re.search(WORDS_RE, s):
-        raise ValueError("Forbidden SQL keyword detected. Only read-only SELECT queries are permitted.")
-    if re.search(PATHS_RE, s) or re.search(SPARK_PATHS_RE, s):
-        raise ValueError("External filesystem access or scanner functions are prohibited.")
-    if not re.match(START_RE, s):
-        raise ValueError("Query must begin with SELECT or WITH.")
-    return body
-
-
-def register_views(ds: Dataset | DataFrame) -> None:
-    """SQ-01: ``data_clean`` (also ``df``, ``dataset``) and ``data_observed``."""
-    ds = as_dataset(ds)
-    clean = ds.clean()
-    for name in ("data_clean", "df", "dataset"):
-        clean.createOrReplaceTempView(name)
-    ds.observed().createOrReplaceTempView("data_observed")
+    reason = spark.range(1).select(statement_reason(F.lit(sql)).alias("reason")).first()["reason"]
+    if reason:
+        raise ValueError(f"{reason}: {MESSAGES[reason]}")
+    return sql.strip().rstrip(";")
+
 
+def query_sql(ds: Dataset | DataFrame, sql: str, max_rows: int | None = None) -> DataFrame:
+    """SQ-01, SQ-03: run a checked statement over ``data_clean`` (also ``df`` and
+    ``dataset``) and ``data_observed``. All rows come back unless ``max_rows`` is given.
 
-def query_sql(ds: Dataset | DataFrame, sql: str, max_rows: int = 200) -> DataFrame:
-    """SQ-01, SQ-03: run a checked statement over the two views. Without a LIMIT
-    of its own the result is cut to ``max_rows``."""
+    The views are names of this statement only: a caller's views of the same names
+    stay as they are."""
     ds = as_dataset(ds)
-    body = guard_statement(sql)
-    register_views(ds)
-    out = ds.df.sparkSession.sql(body)
-    return out if re.search(r"\bLIMIT\s+\d+", body, re.IGNORECASE) else out.limit(max_rows)
+    if max_rows is not None and max_rows < 1:
+        raise ValueError("max_rows has to be at least 1")
+    spark = ds.df.sparkSession
+    body = guard_statement(spark, sql)
+    clean, observed = (f"{name}_{uuid.uuid4().hex}" for name in ("clean", "observed"))
+    ds.clean().createOrReplaceTempView(clean)
+    ds.observed().createOrReplaceTempView(observed)
+    views = ", ".join(f"{v} AS (SELECT * FROM {observed if v == 'data_observed' else clean})" for v in VIEWS)
+    first = re.match(r"(?i)with(\s+recursive)?\b", body)
+    try:
+        out = spark.sql(f"WITH{first[1] or ''} {views}, {body[first.end():]}" if first else f"WITH {views} {body}")
+    finally:
+        for name in (clean, observed):
+            spark.catalog.dropTempView(name)
+    return out if max_rows is None else out.limit(max_rows)
 
 
 def _view(ds: Dataset | DataFrame, basis: str) -> DataFrame:
@@ -86,38 +107,47 @@ def _view(ds: Dataset | DataFrame, basis: str) -> DataFrame:
     return ds.observed() if basis == "data_observed" else ds.clean()
 
 
+def present(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows in which all the columns hold a value (no NULL, no NaN)."""
+    nan = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+    keep = F.lit(True)
+    for n in names:
+        keep = keep & col(n).isNotNull() & ((~F.isnan(col(n))) if n in nan else F.lit(True))
+    return df.filter(keep)
+
+
 def group_metric(ds: Dataset | DataFrame, group: str, metrics: Sequence[str], how: str = "avg", basis: str = "data_observed") -> DataFrame:
     """SQ-06: averages or sums per group over rows in which group and all
     metrics are present, with n."""
-    rows = _view(ds, basis).dropna(subset=[group, *metrics])
+    rows = present(_view(ds, basis), [group, *metrics])
     f, prefix = (F.avg, "avg") if how == "avg" else (F.sum, "total")
     return rows.groupBy(col(group)).agg(*[F.round(f(col(m)), 2).alias(f"{prefix}_{m.lower()}") for m in metrics], F.count("*").alias("n")).withColumn("basis", F.lit(basis))
 
 
 def group_count(ds: Dataset | DataFrame, group: str, highest_first: bool = False, basis: str = "data_clean") -> DataFrame:
     """SQ-07."""
-    out = _view(ds, basis).dropna(subset=[group]).groupBy(col(group)).agg(F.count("*").alias("count"))
-    return out.orderBy(F.desc("count"), group) if highest_first else out
+    out = present(_view(ds, basis), [group]).groupBy(col(group)).agg(F.count("*").alias("count"))
+    return out.orderBy(F.desc("count"), col(group)) if highest_first else out
 
 
 def category_share(ds: Dataset | DataFrame, column: str, basis: str = "data_clean") -> DataFrame:
     """SQ-08: share of each value among rows that have one."""
-    g = _view(ds, basis).dropna(subset=[column]).groupBy(col(column)).agg(F.count("*").alias("n"))
+    g = present(_view(ds, basis), [column]).groupBy(col(column)).agg(F.count("*").alias("n"))
     total = g.agg(F.sum("n").alias("t")).scalar()
     return g.select(col(column), "n", F.round(F.col("n") * 100.0 / total, 2).alias("share_percent"), total.alias("n_total"))
 
 
 def ratio_of_sums(ds: Dataset | DataFrame, group: str, num: str, den: str, basis: str = "data_observed") -> DataFrame:
     """SQ-09: sum(num)/sum(den) in percent per group, highest first."""
-    rows = _view(ds, basis).dropna(subset=[group, num, den])
+    rows = present(_view(ds, basis), [group, num, den])
     g = rows.groupBy(col(group)).agg(F.sum(col(num)).alias("total_num"), F.sum(col(den)).alias("total_den"), F.count("*").alias("n"))
     rate = F.round(F.col("total_num") * 100.0 / F.nullif(F.col("total_den"), F.lit(0)), 2)
-    return g.withColumn("rate_percent", rate).orderBy(F.desc_nulls_last("rate_percent"), group)
+    return g.withColumn("rate_percent", rate).orderBy(F.desc_nulls_last("rate_percent"), col(group))
 
 
 def overall_metric(ds: Dataset | DataFrame, metrics: Sequence[str], how: str = "avg", basis: str = "data_observed") -> DataFrame:
     """SQ-10: the same without a group."""
-    rows = _view(ds, basis).dropna(subset=list(metrics))
+    rows = present(_view(ds, basis), metrics)
     f, prefix = (F.avg, "avg") if how == "avg" else (F.sum, "total")
     return rows.agg(*[F.round(f(col(m)), 2).alias(f"{prefix}_{m.lower()}") for m in metrics], F.count("*").alias("n"))
 

@@ -15,7 +15,6 @@ from tidemark.operators.common import long_rows
 from tidemark.operators.profiling import value_counts
 from tidemark.operators.trend import period_means
 
-MAX_LABELS = 20
 FENCES = ("1.5", "3.0")
 
 
@@ -25,8 +24,7 @@ def _named(pairs) -> object:
 
 def stat_pool(df: DataFrame) -> DataFrame:
     """(metric, value): column statistics, missing shares, outlier counts at both
-    fences, value counts and shares, group statistics of columns with at most 20
-    labels, and dates with the growth between the first and last month."""
+    fences, value counts and shares, group statistics of every label, and dates with the growth between the first and last month."""
     nums = [c for c in df.columns if is_numeric(df, c)]
     dates = [c for c in df.columns if is_temporal(df, c)]
     labels = [c for c in df.columns if c not in nums and c not in dates]
@@ -39,8 +37,7 @@ def stat_pool(df: DataFrame) -> DataFrame:
             F.struct(F.concat(name, F.lit(".count")).alias("metric"), F.col("n").cast("double").alias("value")),
             F.struct(F.concat(name, F.lit(".percent")).alias("metric"), (F.col("n") / rows * 100).alias("value")),
         )).alias("s")).select("s.*"))
-        sizes = {r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count("*").alias("k")).collect()}
-        parts += [_group_part(df, c, nums) for c in labels if nums and 0 < sizes.get(c, 0) <= MAX_LABELS]
+        parts += [_group_part(df, c, nums) for c in labels if nums]
     parts += [_date_part(df, c, nums) for c in dates]
     return reduce(DataFrame.unionByName, parts)
 

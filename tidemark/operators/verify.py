@@ -28,17 +28,17 @@ def metric_index(df: DataFrame, source: str, metrics: str) -> DataFrame:
 
 
 def _related_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(asked_key, metric_key) where one key contains the other. Keys are short
-    names, so all substrings of the distinct keys are joined by equality."""
+    """(source_id, asked_key, metric_key) where one key of a source contains the
+    other. Keys are short names, so all their substrings are joined by equality."""
     def pieces(df: DataFrame, name: str) -> DataFrame:
         size = F.length("k")
         starts = F.sequence(F.lit(1), size)
         subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr("k", i, n))))
-        return df.withColumn("piece", F.explode(F.array_distinct(subs))).select(F.col("k").alias(name), "piece")
-    a = asked.select(F.col("asked_key").alias("k")).filter("k <> ''").distinct()
-    m = known.select(F.col("metric_key").alias("k")).filter("k <> ''").distinct()
-    inside = pieces(m, "metric_key").join(a.select(F.col("k").alias("piece")), "piece").select(F.col("piece").alias("asked_key"), "metric_key")
-    around = pieces(a, "asked_key").join(m.select(F.col("k").alias("piece")), "piece").select("asked_key", F.col("piece").alias("metric_key"))
+        return df.withColumn("piece", F.explode(F.array_distinct(subs))).select("source_id", F.col("k").alias(name), "piece")
+    a = asked.select("source_id", F.col("asked_key").alias("k")).filter("k <> ''").distinct()
+    m = known.select("source_id", F.col("metric_key").alias("k")).filter("k <> ''").distinct()
+    inside = pieces(m, "metric_key").join(a.select("source_id", F.col("k").alias("piece")), ["source_id", "piece"]).select("source_id", F.col("piece").alias("asked_key"), "metric_key")
+    around = pieces(a, "asked_key").join(m.select("source_id", F.col("k").alias("piece")), ["source_id", "piece"]).select("source_id", "asked_key", F.col("piece").alias("metric_key"))
     return inside.unionByName(around).distinct()
 
 
@@ -57,7 +57,7 @@ def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLE
     known = exact.join(sources, "source_id", "left")
     open_ = known.filter(F.col("exact_value").isNull() & F.col("has_source"))
     related = _related_keys(open_, m)
-    pool = open_.select("source_id", "asked_key").distinct().join(related, "asked_key").join(m, ["source_id", "metric_key"]).select("source_id", "asked_key", "value")
+    pool = open_.select("source_id", "asked_key").distinct().join(related, ["source_id", "asked_key"]).join(m, ["source_id", "metric_key"]).select("source_id", "asked_key", "value")
     near = nearest_values(open_.select("source_id", "asked_key", F.col("value").alias("number")), pool, ["source_id", "asked_key"], tol, tol)
     n = F.col("number")
     lo_ok, hi_ok = tolerates(n, F.col("lower"), tol, tol), tolerates(n, F.col("upper"), tol, tol)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_FILE_BYTES = 50 * 1024 * 1024
+# The reader of whole files takes no more bytes than this.
+READABLE_BYTES = 2**31 - 1
 # Extensions and first bytes (as hex) that identify formats.
 MEDIA = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "ico", "svg", "mp3", "wav", "ogg", "mp4", "avi", "mov", "mkv", "webm", "flac")
 MEDIA_MAGIC = ("89504E47", "FFD8FF", "47494638", "52494646", "494433")
@@ -65,23 +66,24 @@ def classify_files(files: DataFrame) -> DataFrame:
 
 
 def catalog_files(spark: SparkSession, directory: str) -> DataFrame:
-    """IO-11: one row per file below ``directory``. Only files within the size
-    limit are opened, and only their first bytes are kept."""
+    """IO-11: one row per file below ``directory``. Of each file
+    only the first bytes are kept; one of 2 GiB or more is judged by its name."""
     every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    small = every.filter(F.col("length") <= MAX_FILE_BYTES).select("path", name.alias("file_name"), "length", F.hex(F.substring("content", 1, HEAD_BYTES)).alias("head"))
-    large = every.filter(F.col("length") > MAX_FILE_BYTES).select("path", name.alias("file_name"), "length", F.lit(None).cast("string").alias("head"))
+    small = every.filter(F.col("length") <= READABLE_BYTES).select("path", name.alias("file_name"), "length", F.hex(F.substring("content", 1, HEAD_BYTES)).alias("head"))
+    large = every.filter(F.col("length") > READABLE_BYTES).select("path", name.alias("file_name"), "length", F.lit(None).cast("string").alias("head"))
     return classify_files(small.unionByName(large))
 
 
-def accept_files(catalog: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """IO-13: ``reject_reason`` for empty, executable and oversized files and for
+def accept_files(catalog: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """IO-13: ``reject_reason`` for empty and executable files, for those
+    above ``max_bytes`` if it is given, and for
     content that contradicts the extension; NULL for accepted ones."""
     office = F.col("extension").isin("xlsx", "xlsm") & ~_starts(F.col("head"), ZIP)
     reason = (
         F.when(F.col("length") == 0, "empty file")
         .when(F.col("extension").isin(*EXECUTABLE), "executable")
-        .when(F.col("length") > max_bytes, "too large")
+        .when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "too large")
         .when(office, "content does not match extension")
     )
     return catalog.withColumns({"reject_reason": reason, "accepted": reason.isNull()})

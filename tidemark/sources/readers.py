@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.quantiles import bounded_broadcast
 from tidemark.operators.cleaning import col, string_columns
 
 # Delimiters looked for, text read as missing, and the keys under
@@ -57,10 +58,11 @@ def _head(spark: SparkSession, path: str, encoding: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """IO-02: UTF-8 unless the first lines hold bytes that are not; then Latin-1,
-    which accepts every byte (so a third choice never comes up)."""
-    rows = spark.read.text(path).limit(HEAD_LINES).collect()
-    return "ISO-8859-1" if any("�" in r["value"] for r in rows) else "UTF-8"
+    """IO-02: UTF-8 unless some line holds bytes that are not; then Latin-1, which
+    accepts every byte (so a third choice never comes up). One pass over all lines;
+    give the encoding to spare it."""
+    other = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if other else "UTF-8"
 
 
 def detect_delimiter(sample: str) -> str:
@@ -74,8 +76,8 @@ def detect_delimiter(sample: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool = False) -> DataFrame:
-    """IO-01, IO-02, IO-09: delimited text as strings, with delimiter and
-    encoding found from the first lines. ``.gz`` files are read as they are.
+    """IO-01, IO-02, IO-09: delimited text as strings, with the
+    delimiter found from the first lines and the encoding from all. ``.gz`` files are read as they are.
     ``multi_line`` accepts line breaks inside quotes, at the price of one task
     per file."""
     encoding = encoding or detect_encoding(spark, path)
@@ -162,7 +164,7 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    numbered = lines.join(blocks, ["file", "_block"]).withColumn("line_number", F.col("_id") - F.col("_first") + F.col("_offset") + 1)
+    numbered = lines.join(bounded_broadcast(blocks), ["file", "_block"]).withColumn("line_number", F.col("_id") - F.col("_first") + F.col("_offset") + 1)
     return _line_facts(numbered.select("file", "line_number", "text_content"))
 
 
@@ -174,8 +176,9 @@ def text_lines(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
-    """IO-16: the first 1 to 100 rows in a stated order, with the total."""
-    n = max(1, min(100, n))
+    """IO-16: the first ``n`` rows in a stated order, with the total."""
+    if n < 1:
+        raise ValueError("n has to be at least 1")
     total = df.agg(F.count("*").alias("n")).scalar()
     return df.orderBy(*order).limit(n).withColumn("total_rows", total)
 

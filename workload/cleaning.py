@@ -36,7 +36,7 @@ def cl04(spark, sf):
     return cl.trim_cells(rows(spark, sf).select("order_id", "priority"))
 
 
-@query("cl05_collapse_spaces", r"SELECT doc_id, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') AS text FROM documents")
+@query("cl05_collapse_spaces", r"SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS text FROM documents")
 def cl05(spark, sf):
     return table(spark, sf, "documents").select("doc_id", cl.collapse_spaces(F.col("text")).alias("text"))
 

@@ -217,7 +217,7 @@ def in09(spark, sf):
 _MANY = """SELECT o_custkey % 50 AS run_id, CASE WHEN o_orderkey % 8 = 0 THEN 'insight-dq-insufficient-' ELSE 'insight-' END || CAST(o_orderkey AS STRING) AS insight_id,
  CASE WHEN o_orderkey % 8 = 0 OR o_orderkey % 3 = 0 THEN 'data_quality' WHEN o_orderkey % 3 = 1 THEN 'trend' ELSE 'segment_difference' END AS type, o_orderpriority || ' ' || CAST(o_orderkey % 40 AS STRING) AS title,
  'Order ' || CAST(o_orderkey % 40 AS STRING) || ' is stable.' AS summary, o_orderstatus AS target, o_orderkey % 500 AS n_used, (o_orderkey * 7919 % 10007) / 10007.0E0 AS impact_score FROM orders"""
-_RANKED = f"""d AS (SELECT * FROM ({_MANY}) QUALIFY row_number() OVER (PARTITION BY run_id, type, target, title ORDER BY insight_id) = 1),
+_RANKED = f"""d AS (SELECT * FROM ({_MANY}) QUALIFY row_number() OVER (PARTITION BY run_id, type, target, title ORDER BY impact_score DESC, insight_id DESC) = 1),
 a AS (SELECT *, (type = 'data_quality')::INT AS c, row_number() OVER (PARTITION BY run_id, type = 'data_quality' ORDER BY CASE WHEN type <> 'data_quality' OR contains(insight_id, 'insufficient') THEN 0 ELSE 1 END, impact_score DESC, insight_id) AS r FROM d),
 z AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY c, r))::INTEGER AS rank FROM a WHERE r <= CASE c WHEN 1 THEN 3 ELSE 5 END), ranked AS (SELECT * EXCLUDE (c, r) FROM z WHERE rank <= 8)"""
 
@@ -251,7 +251,7 @@ def in16_findings(spark, sf):
 
 @query("in16_narrate", f"""WITH {_RANKED}, f AS (SELECT run_id, rank, {_CAT} AS category, replace(summary, 'stable', 'consistent') AS narrative, row_number() OVER (PARTITION BY run_id, {_CAT} ORDER BY rank) AS k FROM ranked)
 SELECT run_id, count(*) AS total_findings, concat_ws(' ', 'Autonomous analysis concluded with validated analytical findings.', string_agg(narrative, ' ' ORDER BY rank) FILTER (category NOT LIKE 'Data Quality%'),
- 'Suppressed analyses: ' || string_agg(narrative, '; ' ORDER BY rank) FILTER (category = 'Data Quality Suppression') || '.', 'Data quality caveats: ' || string_agg(narrative, ' ' ORDER BY rank) FILTER (category = 'Data Quality' AND k <= 2)) AS executive_summary FROM f GROUP BY 1""")
+ 'Suppressed analyses: ' || string_agg(narrative, '; ' ORDER BY rank) FILTER (category = 'Data Quality Suppression') || '.', 'Data quality caveats: ' || string_agg(narrative, ' ' ORDER BY rank) FILTER (category = 'Data Quality')) AS executive_summary FROM f GROUP BY 1""")
 def in16(spark, sf):
     return ins.narrate(ranked(spark, sf))
 

@@ -11,11 +11,16 @@ QUESTIONS = """SELECT o_orderkey AS question_id, CASE o_orderkey % 14
  WHEN 12 THEN 'Number of visits, non-missing only' ELSE 'Headcount by department' END AS question FROM orders"""
 COLUMNS = ["order_id", "customer_id", "order_date", "priority", "unit_price", "quantity", "salary", "age", "visits", "churned"]
 
-STATEMENTS = """SELECT o_orderkey AS statement_id, CASE o_orderkey % 10
+STATEMENTS = """SELECT o_orderkey AS statement_id, CASE o_orderkey % 19
  WHEN 0 THEN 'SELECT avg(o_totalprice) FROM data_clean WHERE o_custkey = ' || CAST(o_custkey AS STRING) WHEN 1 THEN 'DROP TABLE data_clean'
  WHEN 2 THEN '  ' WHEN 3 THEN 'SELECT 1; SELECT ' || CAST(o_custkey AS STRING) WHEN 4 THEN 'SELECT * FROM read_csv(''x.csv'')'
  WHEN 5 THEN 'with t as (select 1 as a) select a from t;' WHEN 6 THEN 'SHOW TABLES' WHEN 7 THEN 'SELECT * FROM ''/etc/hosts/' || CAST(o_orderkey AS STRING) || ''''
- WHEN 8 THEN 'select updated_at, dropped from df limit 5' ELSE 'SELECT created, inserted FROM data_observed' END AS statement FROM orders"""
+ WHEN 8 THEN 'select updated_at, dropped from df limit 5' WHEN 10 THEN 'SELECT TRANSFORM(a) USING ''cat'' AS (b) FROM df'
+ WHEN 11 THEN 'SELECT java_method(''java.lang.Math'', ''abs'', ' || CAST(o_custkey AS STRING) || ')' WHEN 12 THEN 'SELECT reflect (''java.util.UUID'', ''randomUUID'')'
+ WHEN 13 THEN 'SELECT * FROM spark_catalog.default.t' || CAST(o_custkey AS STRING) WHEN 14 THEN 'SELECT * FROM df, payroll'
+ WHEN 15 THEN 'SELECT a.x FROM df a JOIN payroll b ON a.x = b.x' WHEN 16 THEN 'WITH t AS (SELECT x FROM df), u AS (SELECT x FROM t) SELECT * FROM u JOIN data_observed USING (x)'
+ WHEN 17 THEN 'SELECT ''from payroll'' AS a, extract(year FROM b) FROM data_clean -- from payroll' WHEN 18 THEN 'SELECT * FROM (SELECT x FROM/**/payroll)'
+ ELSE 'SELECT created, inserted FROM data_observed' END AS statement FROM orders"""
 
 INSIGHT_ROWS = """SELECT p_partkey AS insight_key, 'insight-' || CAST(p_partkey AS STRING) AS insight_id,
  CASE p_partkey % 5 WHEN 0 THEN 'salary' WHEN 1 THEN 'quantity' WHEN 2 THEN 'unit_price' WHEN 3 THEN 'age' ELSE 'churned' END AS metric,

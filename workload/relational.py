@@ -35,20 +35,29 @@ def sq01(spark, sf):
     return sq.query_sql(imputed(spark, sf), _S1)
 
 
-_REASON = """CASE WHEN trim(statement) = '' THEN 'empty' WHEN contains(rtrim(trim(statement), ';'), ';') THEN 'multiple statements'
- WHEN regexp_matches(statement, '(?i)\\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|ATTACH|DETACH|COPY|EXPORT|IMPORT|PRAGMA|INSTALL|LOAD|SET|CALL|EXEC|EXECUTE|GRANT|REVOKE)\\b') THEN 'forbidden keyword'
- WHEN regexp_matches(statement, '(?i)(\\.\\.[/\\\\]|/[a-zA-Z0-9_\\-]+/[a-zA-Z0-9_\\-]+|[a-zA-Z]:[/\\\\]|read_csv|read_parquet|read_json|scan_csv|scan_parquet|http[s]?://)') THEN 'external access'
- WHEN NOT regexp_matches(trim(statement), '(?i)^(SELECT|WITH)\\b') THEN 'not a select' END"""
-
-
-@query("sq02_statement_guard", f"SELECT *, {_REASON} AS reason, {_REASON} IS NULL AS allowed FROM ({fx.STATEMENTS})")
+_BARE = r"""SELECT *, regexp_replace(regexp_replace(trim(statement), '--[^\n]*|/\*[^*]*\*+([^/*][^*]*\*+)*/', ' ', 'g'), '\x27[^\x27]*\x27', '''''', 'g') AS bare"""
+_REASON = r"""CASE WHEN trim(statement) = '' THEN 'empty' WHEN contains(rtrim(trim(statement), ';'), ';') THEN 'multiple statements'
+ WHEN regexp_matches(statement, '(?i)\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|ATTACH|DETACH|COPY|EXPORT|IMPORT|PRAGMA|INSTALL|LOAD|SET|CALL|EXEC|EXECUTE|GRANT|REVOKE)\b') THEN 'forbidden keyword'
+ WHEN regexp_matches(statement, '(?i)(\.\.[/\\]|/[a-zA-Z0-9_\-]+/[a-zA-Z0-9_\-]+|[a-zA-Z]:[/\\]|read_csv|read_parquet|read_json|scan_csv|scan_parquet|http[s]?://)') THEN 'external access'
+ WHEN regexp_matches(statement, '(?i)\b(java_method|reflect|try_reflect|read_files|input_file_name|input_file_block_start|input_file_block_length)\s*\(|\busing\s*[\x27\x22]') THEN 'external access'
+ WHEN NOT regexp_matches(trim(statement), '(?i)^(SELECT|WITH)\b') THEN 'not a select'
+ WHEN regexp_matches(bare, '(?i)\bfrom\s+[`\w.]+(\s+(as\s+)?`?\w+`?)?\s*,') OR len(list_filter(list_transform(
+  regexp_extract_all(regexp_replace(bare, '(?i)\b(extract|trim|substring|substr|overlay)\s*\([^()]*\)|\bdistinct\s+from\b', ' ', 'g'), '(?i)\b(?:from|join)\s+([^\s(),;]+)', 1), lambda x: lower(replace(x, '`', ''))),
+  lambda x: NOT list_contains(list_concat(list_transform(regexp_extract_all(bare, '(?i)(?:\bwith|\brecursive|,)\s*`?(\w+)`?\s+as\s*\(', 1), lambda n: lower(n)), ['data_clean', 'df', 'dataset', 'data_observed']), x))) > 0
+ THEN 'external access' END"""
+
+
+@query("sq02_statement_guard", f"SELECT * EXCLUDE (bare), {_REASON} AS reason, {_REASON} IS NULL AS allowed FROM ({_BARE} FROM ({fx.STATEMENTS}))")
 def sq02(spark, sf):
     return sq.check_statements(derived(spark, sf, fx.STATEMENTS), "statement")
 
 
-@query("sq03_result_limit", f"WITH {FILLED} SELECT least(200, count(*)) AS n FROM data_clean")
+@query("sq03_result_limit", f"WITH {FILLED} SELECT least(200, count(*)) AS limited, count(*) AS n, sum(order_id)::BIGINT AS ids, round(sum(salary), 2) AS salaries FROM data_clean")
 def sq03(spark, sf):
-    return sq.query_sql(imputed(spark, sf), "SELECT order_id, salary FROM data_clean").agg(F.count("*").alias("n"))
+    ds = imputed(spark, sf)
+    few = sq.query_sql(ds, "SELECT order_id, salary FROM data_clean -- LIMIT 3", 200).agg(F.count("*").alias("limited"))
+    every = sq.query_sql(ds, "SELECT order_id, salary FROM data_clean")
+    return every.agg(few.scalar().alias("limited"), F.count("*").alias("n"), F.sum("order_id").alias("ids"), F.round(F.sum("salary"), 2).alias("salaries"))
 
 
 def _any(words, q="q"):

@@ -148,7 +148,7 @@ def io12(spark, sf):
 @query("io13_accept_files", f"""SELECT file_name, CASE WHEN length = 0 THEN 'empty file' WHEN extension IN ('exe', 'js') THEN 'executable' WHEN length > 52428800 THEN 'too large'
  WHEN extension IN ('xlsx', 'xlsm') AND head <> '504B0304' THEN 'content does not match extension' END AS reject_reason FROM (SELECT *, {_EXT} AS extension FROM ({_FILES}))""")
 def io13(spark, sf):
-    return ca.accept_files(ca.classify_files(derived(spark, sf, _FILES))).select("file_name", "reject_reason")
+    return ca.accept_files(ca.classify_files(derived(spark, sf, _FILES)), 50 * 1024 * 1024).select("file_name", "reject_reason")
 
 
 _CLEAN_TOTALS = "SELECT count(*) AS rows, count(*) FILTER (quantity IS NULL) AS imputed_quantity, round(sum(coalesce(quantity, f_quantity)), 1) AS quantity FROM ty, fl"
