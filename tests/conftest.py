@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from tidemark.session import build_session
 
-    s = build_session("tests", "local[8]", 4)
+    s = build_session("tests", f"local[{os.environ.get('CPUS', '8')}]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -147,3 +147,32 @@ def test_auto_analysis_finds_planted_signals(spark):
         assert r["n_used"] + r["n_excluded"] == n
     text = a.narrative.first()["executive_summary"]
     assert text.startswith("Autonomous analysis concluded") and "None" not in text
+
+
+def test_tools_report_every_fault(spark):
+    ds = az.as_dataset(days(spark, range(20)).withColumn("w", F.col("v") * 2))
+    assert run_tool("trend_analysis", ds, date="day", value="v", freq="Q").status == "error"
+    assert "str" in run_tool("detect_outliers", ds, method=3).message
+    assert run_tool("detect_outliers", ds, columns="v").status == "error" and run_tool("run_correlation", ds, threshold=True).status == "error"
+    late = run_tool("query_sql", ds, sql="SELECT 1 / (v - v) AS x FROM df")
+    assert late.status == "error" and "DIVIDE_BY_ZERO" in late.message
+    assert run_tool("generate_chart", ds, kind="trend", date="day", value="v").summary.count() > 0
+    assert run_tool("generate_chart", ds, kind="correlation").summary.count() == 4
+    assert run_tool("generate_chart", ds, kind="pie").status == "error"
+
+
+def test_equal_steps_run_once_and_others_all(spark):
+    for n in (10, 11):
+        profile = [{"column": f"m{i}", "inferred_type": "numeric", "unique_count": 50, "is_unique": False, "rows": 50} for i in range(n)]
+        steps = az.baseline_steps(profile) + az.plan(profile)
+        d = spark.range(50).select(*[(F.col("id") * (i + 1) % 37).cast("double").alias(f"m{i}") for i in range(n)])
+        done = az.run_steps(az.as_dataset(d), steps)
+        assert sorted(r.tool for r in done) == ["detect_outliers", "run_correlation", "run_correlation"]
+        assert {len(s.args["columns"]) for s in steps} == {n}
+
+
+def test_left_out_steps_are_named():
+    profile = [{"column": f"m{i}", "inferred_type": "numeric", "unique_count": 50} for i in range(3)]
+    profile += [{"column": f"c{i}", "inferred_type": "categorical", "unique_count": 4} for i in range(3)]
+    assert len(az.left_out(profile, az.AnalysisOptions())) == 5
+    assert az.left_out(profile, az.AnalysisOptions(segment_labels=None, segment_measures=None)) == []

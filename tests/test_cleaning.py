@@ -121,3 +121,44 @@ def test_sample_and_guard(spark):
     assert cl.sampling_disclosure(50, 1000)["sampling_disclosure"] == "random sample of 50 of 1,000 rows (seed 42)"
     with pytest.raises(ValueError, match="maximum supported row count"):
         cl.guard_rows(d, 10)
+
+
+def test_numbers_are_strict(spark):
+    texts = ["12D", "5F", "Infinity", "NaN", "$1,200.50", " 7 ", "-3.", ".5", "1e3", "0x1", "", None, "€ 9"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(cl.currency_to_double("t")).collect()] == [None, None, None, None, 1200.5, 7.0, -3.0, 0.5, 1000.0, None, None, None, 9.0]
+    seats = spark.createDataFrame([(f"{i}D",) for i in range(9)], "seat string")
+    assert cl.coerce_numeric(seats).schema["seat"].dataType.simpleString() == "string"
+
+
+@pytest.mark.parametrize("text,day", [
+    ("2024/01/15", "2024-01-15 00:00:00"), ("Jan 5, 2024", "2024-01-05 00:00:00"), ("January 5, 2024", "2024-01-05 00:00:00"), ("5 Mar 2024", "2024-03-05 00:00:00"),
+    ("1/15/24", "2024-01-15 00:00:00"), ("2024-01-15T10:20:30.123456", "2024-01-15 10:20:30.123456"), ("2024-01-15T10:20:30Z", "2024-01-15 10:20:30"),
+    ("2024-01-15 10:20:30+02:00", "2024-01-15 08:20:30"), ("2024-13-45", "None"), ("Foo 5, 2024", "None"),
+])
+def test_dates_in_many_forms(spark, text, day):
+    from tidemark.functions.dates import parse_date
+
+    d = spark.createDataFrame([(text,)], "order_date string")
+    assert str(d.select(parse_date("order_date")).first()[0]) == day
+    if day != "None":
+        rows = spark.createDataFrame([(text,)] * 5, "order_date string")
+        assert cl.coerce_dates(rows).schema["order_date"].dataType.simpleString() == "timestamp"
+
+
+def test_blanks_of_any_kind(spark):
+    d = spark.createDataFrame([("\tab  c\n",), (" \n",), (None,)], "t string")
+    assert [r[0] for r in d.select(cl.collapse_spaces(F.col("t"))).collect()] == ["ab c", "", None]
+
+
+def test_clean_an_empty_table(spark):
+    ds = clean(spark.createDataFrame([], "a string, b double"))
+    assert ds.df.count() == 0 and ds.report["quality_raw"] == 100.0
+
+
+def test_samples_need_a_key(spark):
+    d = spark.createDataFrame([(f"k{i}", float(i)) for i in range(40)], "k string, x double")
+    with pytest.raises(ValueError, match="sample_key"):
+        clean(d, CleaningOptions(sample=10))
+    kept = cl.sample_rows(d, 10, "k")
+    assert kept.count() == 10 and {r.k for r in kept.collect()} == {r.k for r in cl.sample_rows(d.repartition(3), 10, "k").collect()}

@@ -169,3 +169,50 @@ def test_rate_limit_equals_brute_force(spark):
     got = {r["i"]: r["recent"] for r in sm.rate_limit_flags(d, "k", "ts", 10, 60).collect()}
     for i, k, s in rows:
         assert got[i] == sum(1 for j, k2, s2 in rows if k2 == k and j != i and 0 <= s - s2 < 60)
+
+
+def test_late_bytes_decide_the_encoding(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_bytes(b"name,n\n" + b"".join(b"row%d,%d\n" % (i, i) for i in range(500)) + "Déjà,1\n".encode("latin-1"))
+    assert rd.detect_encoding(spark, str(p)) == "ISO-8859-1"
+    assert rd.read_delimited(spark, str(p)).filter("name = 'Déjà'").count() == 1
+    (tmp_path / "utf.csv").write_text("name,n\nDéjà �,1\n", encoding="utf-8")
+    assert rd.detect_encoding(spark, str(tmp_path / "utf.csv")) == "UTF-8"
+
+
+def test_preview_obeys(spark):
+    assert rd.preview(spark.range(300), ["id"], 250).count() == 250
+    with pytest.raises(ValueError, match="at least 1"):
+        rd.preview(spark.range(3), ["id"], 0)
+
+
+def test_related_keys_stay_in_their_source(spark):
+    m = spark.createDataFrame([(f"s{i}", f"rate{i}", float(i + 1)) for i in range(30)], "source_id string, metric_key string, value double")
+    asked = spark.createDataFrame([(f"s{i}", "rate") for i in range(30)], "source_id string, asked_key string")
+    got = vf._related_keys(asked, m).collect()
+    assert len(got) == 30 and all(r.metric_key == f"rate{r.source_id[1:]}" for r in got)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tidemark import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        conf, sparkContext = Conf({"spark.master": "spark://host:1"}), Context()
+
+    s = Session()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(s)
+    Context.folder = "hdfs://shared/dir/"
+    assert session.scratch_dir(s) == "hdfs://shared/dir"
+    s.conf["spark.checkpoint.dir"] = "s3a://bucket/x/"
+    assert session.scratch_dir(s) == "s3a://bucket/x"

@@ -50,8 +50,9 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """CL-02: a repeatable sample of ``n`` rows in the order of a key hash. An
     option; the engine otherwise uses every row."""
     whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    number = col(key).cast("long") if whole else F.xxhash64(col(key)).bitwiseAND(F.lit(0xFFFFFFFF))
-    mixed = F.pmod((number + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    number = col(key).cast("long") if whole else F.xxhash64(col(key)).bitwiseAND(F.lit(0x7FFFFFFF))
+    low = F.pmod(number.cast("decimal(20,0)") + F.lit(seed), F.lit(1 << 31)).cast("long")  # so that the product fits a long
+    mixed = F.pmod(low * F.lit(2654435761), F.lit(4294967296))
     return df.orderBy(mixed, col(key)).limit(n)
 
 

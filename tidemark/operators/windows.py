@@ -105,4 +105,5 @@ def page(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) ->
 
 def top_groups(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     """SO-05: the most frequent groups."""
-    return df.groupBy(*cols).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *cols).limit(n)
+    names = [F.col(f"`{c}`") for c in cols]
+    return df.groupBy(*names).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *names).limit(n)

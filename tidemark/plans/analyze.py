@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,14 +16,27 @@ from tidemark.operators.common import ToolResult
 from tidemark.operators.imputation import is_id_name
 from tidemark.operators.profiling import profile_columns
 from tidemark.operators.segments import ID_AFFIXES
-from tidemark.operators.windows import top_groups
 from tidemark.plans.clean import CleaningOptions, clean
 from tidemark.registry import run_tool
 from tidemark.session import pin
 
-MAX_CORRELATED = 10
-MAX_DRILLDOWNS = 3
+
+@dataclass
+class AnalysisOptions:
+    """How far the automatic analysis goes; None is no limit. What a limit leaves
+    out is listed in ``Analysis.left_out``."""
+
+    correlated: int | None = None
+    segment_labels: int | None = 2
+    segment_measures: int | None = 2
+    drilldowns: int | None = 3
+    groups: int | None = 10
+    findings: int = ins.TOP_TOTAL
+
+
 ALPHA, OUTLIER_SHARE, STRONG_R = 0.05, 5.0, 0.5
+# What the tools assume where a step says nothing, so that equal steps run once.
+DEFAULTS = {"detect_outliers": {"method": "iqr", "threshold": 3.0}, "run_correlation": {"threshold": 0.4}}
 
 
 @dataclass
@@ -42,19 +55,27 @@ def labels(profile: Sequence, low: int = 2, high: int = 20) -> list[str]:
     return [r["column"] for r in profile if r["inferred_type"] in ("categorical", "text") and low <= r["unique_count"] <= high]
 
 
-def baseline_steps(profile: Sequence) -> list[Step]:
-    """IN-12: outliers on all measures, correlation of the first ten, and two
-    labels times two measures."""
+def baseline_steps(profile: Sequence, options: AnalysisOptions | None = None) -> list[Step]:
+    """IN-12: outliers and correlation of all measures, and labels times measures
+    (two times two, unless the options say otherwise)."""
+    o = options or AnalysisOptions()
     nums, cats = measures(profile), labels(profile)
     steps = []
     if nums:
         steps.append(Step("detect_outliers", {"method": "iqr", "columns": nums, "threshold": 3.0}, "baseline"))
     if len(nums) >= 2:
-        steps.append(Step("run_correlation", {"columns": nums[:MAX_CORRELATED]}, "baseline"))
-    steps += [Step("segment_compare", {"segment": c, "metric": n}, "baseline") for c in cats[:2] for n in nums[:2]]
+        steps.append(Step("run_correlation", {"columns": nums[:o.correlated]}, "baseline"))
+    steps += [Step("segment_compare", {"segment": c, "metric": n}, "baseline") for c in cats[:o.segment_labels] for n in nums[:o.segment_measures]]
     return steps
 
 
+def left_out(profile: Sequence, options: AnalysisOptions) -> list[str]:
+    """The steps that the options' limits leave out of the baseline."""
+    every = baseline_steps(profile, AnalysisOptions(None, None, None))
+    done = baseline_steps(profile, options)
+    return [f"{s.tool} {s.args}" for s in every if s.args not in [d.args for d in done]]
+
+
 def plan(profile: Sequence) -> list[Step]:
     """IN-13: what to run, from profile rows alone: outliers, correlation at .3,
     the label whose number of values is nearest to five, the first date."""
@@ -85,7 +106,7 @@ def run_steps(ds: Dataset, steps: Sequence[Step]) -> list[ToolResult]:
     """Run each distinct step once."""
     seen, out = set(), []
     for s in steps:
-        key = (s.tool, tuple(sorted((k, str(v)) for k, v in s.args.items() if k not in ("threshold", "method"))))
+        key = (s.tool, tuple(sorted((k, str(v)) for k, v in {**DEFAULTS.get(s.tool, {}), **s.args}.items())))
         if key not in seen:
             seen.add(key)
             r = run_tool(s.tool, ds, **s.args)
@@ -103,21 +124,26 @@ def baseline_scan(ds: Dataset | DataFrame, profile: Sequence | None = None) -> l
     return run_steps(ds, baseline_steps(rows))
 
 
-def segment_drilldown(ds: Dataset | DataFrame, segment: str, second: str, metric: str) -> DataFrame:
-    """IN-14: the ten largest groups of two labels, with the mean of a metric."""
+def segment_drilldown(ds: Dataset | DataFrame, segment: str, second: str, metric: str, k: int | None = 10) -> DataFrame:
+    """IN-14: the ``k`` largest groups of two labels, with the mean of a metric."""
     g = as_dataset(ds).clean().groupBy(col(segment), col(second)).agg(F.count("*").alias("n"), F.round(F.avg(col(metric)), 2).alias(f"avg_{metric}"))
-    return g.orderBy(F.desc("n"), segment, second).limit(10)
+    return _largest(g, [segment, second], k)
+
+
+def _largest(groups: DataFrame, names: Sequence[str], k: int | None) -> DataFrame:
+    out = groups.orderBy(F.desc("n"), *map(col, names))
+    return out if k is None else out.limit(k)
 
 
-def value_frequencies(ds: Dataset | DataFrame, column: str) -> DataFrame:
-    """IN-14: the ten most frequent values of a column."""
-    return top_groups(as_dataset(ds).clean(), [column]).withColumnRenamed("n", "frequency")
+def value_frequencies(ds: Dataset | DataFrame, column: str, k: int | None = 10) -> DataFrame:
+    """IN-14: the ``k`` most frequent values of a column."""
+    return _largest(as_dataset(ds).clean().groupBy(col(column)).agg(F.count("*").alias("n")), [column], k).withColumnRenamed("n", "frequency")
 
 
-def pair_means(ds: Dataset | DataFrame, segment: str, x: str, y: str) -> DataFrame:
-    """IN-14: the means of two measures in the ten largest segments."""
+def pair_means(ds: Dataset | DataFrame, segment: str, x: str, y: str, k: int | None = 10) -> DataFrame:
+    """IN-14: the means of two measures in the ``k`` largest segments."""
     g = as_dataset(ds).clean().groupBy(col(segment)).agg(F.count("*").alias("n"), F.round(F.avg(col(x)), 2).alias(f"avg_{x}"), F.round(F.avg(col(y)), 2).alias(f"avg_{y}"))
-    return g.orderBy(F.desc("n"), segment).limit(10)
+    return _largest(g, [segment], k)
 
 
 def drilldown_labels(profile: Sequence) -> list[str]:
@@ -132,28 +158,29 @@ def drilldown_labels(profile: Sequence) -> list[str]:
     return out
 
 
-def drilldowns(ds: Dataset | DataFrame, results: Sequence[ToolResult], profile: Sequence, limit: int = MAX_DRILLDOWNS) -> list[tuple[str, DataFrame]]:
+def drilldowns(ds: Dataset | DataFrame, results: Sequence[ToolResult], profile: Sequence, limit: int | None = 3, k: int | None = 10) -> list[tuple[str, DataFrame]]:
     """IN-14: a significant segment (p < .05) is split by a second label, a column
     with more than 5 % outliers is counted by value, and a pair with |r| > .5 is
-    compared across a label. At most ``limit`` distinct follow-ups."""
+    compared across a label. At most ``limit`` distinct follow-ups, each of
+    the ``k`` largest groups."""
     ds = as_dataset(ds)
     cats = drilldown_labels(profile)
     out: dict[str, DataFrame] = {}
     for r in results:
-        if r.status != "success" or len(out) >= limit:
+        if r.status != "success" or (limit is not None and len(out) >= limit):
             continue
         if r.tool == "segment_compare":
             p = r.summary.select("p_value").first()["p_value"]
             second = next((c for c in cats if c != r.params["segment"]), None)
             if p is not None and p < ALPHA and second and is_numeric(ds.df, str(r.params["metric"])):
                 seg, met = str(r.params["segment"]), str(r.params["metric"])
-                out.setdefault(f"segment p={p:.4f} < 0.05 for '{met}' across '{seg}' -> drill down by '{second}'", segment_drilldown(ds, seg, second, met))
+                out.setdefault(f"segment p={p:.4f} < 0.05 for '{met}' across '{seg}' -> drill down by '{second}'", segment_drilldown(ds, seg, second, met, k))
         elif r.tool == "detect_outliers" and "column_outliers" in r.tables:
             for c in r.tables["column_outliers"].filter(F.col("outlier_percentage") > OUTLIER_SHARE).select("column", "outlier_percentage").orderBy("column").collect():
-                out.setdefault(f"outlier rate {c['outlier_percentage']:.1f}% > 5% in column '{c['column']}' -> inspect column", value_frequencies(ds, c["column"]))
+                out.setdefault(f"outlier rate {c['outlier_percentage']:.1f}% > 5% in column '{c['column']}' -> inspect column", value_frequencies(ds, c["column"], k))
         elif r.tool == "run_correlation" and cats:
-            for c in r.tables["pairs"].filter(F.col("abs_correlation") > STRONG_R).orderBy(F.desc("abs_correlation")).select("column_x", "column_y", "abs_correlation").limit(limit).collect():
-                out.setdefault(f"|r|={c['abs_correlation']:.2f} > 0.5 between '{c['column_x']}' and '{c['column_y']}' -> check pair by segment '{cats[0]}'", pair_means(ds, cats[0], c["column_x"], c["column_y"]))
+            for c in r.tables["pairs"].filter(F.col("abs_correlation") > STRONG_R).orderBy(F.desc("abs_correlation")).select("column_x", "column_y", "abs_correlation").limit(limit or 1000).collect():
+                out.setdefault(f"|r|={c['abs_correlation']:.2f} > 0.5 between '{c['column_x']}' and '{c['column_y']}' -> check pair by segment '{cats[0]}'", pair_means(ds, cats[0], c["column_x"], c["column_y"], k))
     return list(out.items())[:limit]
 
 
@@ -193,7 +220,8 @@ def result_insights(ds: Dataset, results: Sequence[ToolResult], run_id: str = "r
 
 @dataclass
 class Analysis:
-    """The outcome of :func:`auto_analyze`."""
+    """The outcome of :func:`auto_analyze`. ``found`` has every finding, ``insights``
+    the ranked ones, ``left_out`` the steps that limits kept from running."""
 
     dataset: Dataset
     profile: DataFrame
@@ -201,20 +229,23 @@ class Analysis:
     follow_ups: list[tuple[str, DataFrame]]
     insights: DataFrame
     narrative: DataFrame
+    found: DataFrame | None = None
+    left_out: list[str] = field(default_factory=list)
 
 
-def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None, run_id: str = "run") -> Analysis:
+def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None, run_id: str = "run", analysis: AnalysisOptions | None = None) -> Analysis:
     """IN-15: clean, profile, baseline scan, plan, drill-downs, ranked findings
     and their narrative. Findings are checked for unfilled templates."""
     ds = df if isinstance(df, Dataset) else clean(df, options)
     disclosure = ds.report.get("sampling_disclosure")
     profile = profile_columns(ds.clean())
     rows = profile.collect()  # one row per column
-    results = run_steps(ds, baseline_steps(rows) + plan(rows))
-    follow = drilldowns(ds, results, rows)
-    found = result_insights(ds, results, run_id, disclosure)
-    ranked = ins.rank_insights(found)
+    o = analysis or AnalysisOptions()
+    results = run_steps(ds, baseline_steps(rows, o) + plan(rows))
+    follow = drilldowns(ds, results, rows, o.drilldowns, o.groups)
+    found = pin(result_insights(ds, results, run_id, disclosure), "found")
+    ranked = ins.rank_insights(found, n_total=o.findings)
     ranked = ins.placeholder_flags(ranked, "summary").filter(~F.col("has_placeholder")).drop("has_placeholder")
     ranked = pin(ranked, "insights")
     spark = ds.df.sparkSession
-    return Analysis(ds, spark.createDataFrame(rows, profile.schema), results, follow, ranked, ins.narrate(ranked, disclosure))
+    return Analysis(ds, spark.createDataFrame(rows, profile.schema), results, follow, ranked, ins.narrate(ranked, disclosure), found, left_out(rows, o))

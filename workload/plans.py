@@ -91,5 +91,5 @@ def in15(spark, sf):
 def uf01(spark, sf):
     ds = imputed(spark, sf)
     r = run_tool("query_sql", ds, sql="SELECT count(*) AS n, count(*) - count(salary) AS missing FROM data_observed")
-    assert set(OPERATORS) == {"profile_dataset", "run_correlation", "detect_outliers", "segment_compare", "trend_analysis", "query_sql"}
+    assert set(OPERATORS) == {"profile_dataset", "run_correlation", "detect_outliers", "segment_compare", "trend_analysis", "query_sql", "generate_chart", "write_summary"}
     return r.summary.select(F.lit(r.tool).alias("tool"), "n", "missing")
