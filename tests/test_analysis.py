@@ -176,3 +176,23 @@ def test_left_out_steps_are_named():
     profile += [{"column": f"c{i}", "inferred_type": "categorical", "unique_count": 4} for i in range(3)]
     assert len(az.left_out(profile, az.AnalysisOptions())) == 5
     assert az.left_out(profile, az.AnalysisOptions(segment_labels=None, segment_measures=None)) == []
+
+
+@pytest.mark.parametrize("range_rows", [7, 50_000])
+def test_adjusted_p_values_by_hand(spark, range_rows):
+    r = random.Random(3)
+    # nine in ten lie within 0.01 of 1, with ties
+    groups = {g: [0.99 + r.randrange(60) / 6000 if r.random() < 0.9 else r.random() ** 4 for _ in range(150)] for g in ("a", "b")}
+    rows = [(g, i, p) for g, ps in groups.items() for i, p in enumerate(ps)] + [("a", -1, None)]
+    got = {(x.g, x.i): x.p_adj for x in wn.bh_adjust(spark.createDataFrame(rows, "g string, i int, p double"), "p", ["g"], range_rows).collect()}
+    assert got.pop(("a", -1)) is None and len(got) == 300
+    for g, ps in groups.items():
+        ranked = sorted(ps)
+        for i, p in enumerate(ps):
+            want = min([1.0] + [x * len(ps) / sum(y <= x for y in ranked) for x in ranked if x >= p])
+            assert got[g, i] == pytest.approx(want)
+
+
+def test_long_series_need_groups(spark):
+    with pytest.raises(ValueError, match="by"):
+        wn.period_index(spark.range(wn.SERIES_ROWS + 1), "id")

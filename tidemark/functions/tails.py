@@ -32,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             h *= d * c
         if abs(d * c - 1.0) < _EPS:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function of {a}, {b}, {x} did not converge")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -73,8 +73,8 @@ def gamma_upper(s: float, x: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         h *= d * c
         if abs(d * c - 1.0) < _EPS:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the incomplete gamma function of {s}, {x} did not converge")
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:

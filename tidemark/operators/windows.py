@@ -8,10 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# More rows than this in a series without groups are no series of periods.
+SERIES_ROWS = 100_000
+# Distinct p-values of about so many share a range, and so a task.
+RANGE_ROWS = 50_000
+
+
+def _series(df: DataFrame, by: Sequence[str]) -> list:
+    """The window's groups; without any, one task takes all rows, so they have to be few."""
+    if by:
+        return list(by)
+    if df.limit(SERIES_ROWS + 1).count() > SERIES_ROWS:
+        raise ValueError(f"more than {SERIES_ROWS:,} rows in one series: name the columns in 'by' that tell the series apart")
+    return [F.lit(0)]
+
+
 def rolling_mean(df: DataFrame, order: str, value: str, w: int, by: Sequence[str] = ()) -> DataFrame:
     """WN-01: mean over the last ``w`` rows, partial at the start. Without
-    ``by`` it is meant for a series of periods, which is short."""
-    win = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(-(w - 1), 0)
+    ``by`` the rows are one series of at most SERIES_ROWS periods."""
+    win = Window.partitionBy(*_series(df, by)).orderBy(order).rowsBetween(-(w - 1), 0)
     return df.withColumn("rolling_mean", F.round(F.avg(value).over(win), 2))
 
 
@@ -24,7 +39,7 @@ def share_of_total(df: DataFrame, value: str) -> DataFrame:
 
 def period_index(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """WN-04: zero-based position of a period."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)) - 1)
+    return df.withColumn("idx", F.row_number().over(Window.partitionBy(*_series(df, by)).orderBy(order)) - 1)
 
 
 def first_last(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,18 +57,23 @@ def first_last(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) ->
     )
 
 
-def bh_adjust(df: DataFrame, p: str, by: Sequence[str]) -> DataFrame:
+def bh_adjust(df: DataFrame, p: str, by: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """WN-06: Benjamini-Hochberg adjusted p-values within each ``by`` group.
 
     p * m / rank, then the running minimum from the largest p, at most 1. Equal
     p-values share the highest rank, so only distinct ones are ranked; they are
-    cut into ranges of -ln(p), ranked inside a range, and the ranges (a bounded
-    number per group) carry the offsets. No task sorts a whole group."""
+    cut at quantiles of their group into ranges whose number grows with the data,
+    ranked inside a range, and the ranges carry the offsets. No task sorts a group
+    of more than about ``range_rows`` values."""
     by = list(by)
     rows = df.filter(F.col(p).isNotNull())
     distinct = rows.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_cnt"))
-    part = F.floor(-F.ln(F.greatest(F.col("_p"), F.lit(1e-300))) * 32)
-    distinct = distinct.withColumn("_part", part)
+    ranges = -(-distinct.count() // range_rows)
+    if ranges > 1:
+        cuts = distinct.groupBy(*by).agg(F.percentile_approx("_p", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("_cuts"))
+        distinct = distinct.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda e: e >= F.col("_p")))).drop("_cuts")
+    else:
+        distinct = distinct.withColumn("_part", F.lit(0))
     totals = distinct.groupBy(*by, "_part").agg(F.sum("_cnt").alias("_c"))
     g = Window.partitionBy(*by)
     # A larger part number means smaller p-values.

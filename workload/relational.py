@@ -275,10 +275,10 @@ def wn05(spark, sf):
 _PVALUES = "SELECT l_orderkey AS test_id, l_linenumber AS seed, floor((l_discount * 10 + l_tax) * (l_partkey % 97 + 1) / 120 * 10000) / 10000 AS p FROM lineitem"
 
 
-@query("wn06_bh_adjust", f"""WITH t AS (SELECT * FROM ({_PVALUES}) WHERE p <= 1), r AS (SELECT *, count(*) OVER (PARTITION BY seed) AS m, rank() OVER (PARTITION BY seed ORDER BY p) + count(*) OVER (PARTITION BY seed, p) - 1 AS rk FROM t)
+@query("wn06_bh_adjust", f"""WITH t AS (SELECT * FROM ({_PVALUES})), r AS (SELECT *, count(*) OVER (PARTITION BY seed) AS m, rank() OVER (PARTITION BY seed ORDER BY p) + count(*) OVER (PARTITION BY seed, p) - 1 AS rk FROM t)
 SELECT test_id, seed, p, round(least(1.0, min(p * m / rk) OVER (PARTITION BY seed ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS p_adj FROM r""")
 def wn06(spark, sf):
-    return wn.bh_adjust(derived(spark, sf, _PVALUES).filter("p <= 1"), "p", ["seed"]).withColumn("p_adj", F.round("p_adj", 8))
+    return wn.bh_adjust(derived(spark, sf, _PVALUES), "p", ["seed"]).withColumn("p_adj", F.round("p_adj", 8))
 
 
 @query("wn07_latest_job", f"""SELECT job_id, dataset_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, job_id) AS r FROM ({fx.JOBS}) WHERE status = 'completed') WHERE r = 1""")
