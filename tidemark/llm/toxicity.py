@@ -1,8 +1,8 @@
 """Toxicity by character n-grams: a linear classifier whose features are scaled by
 naive Bayes log-count ratios, trained on labelled text.
 
-A feature is an n-gram inside a word, its edges marked; its value in a text is the
-share of the words that hold it. Each feature is multiplied by the log ratio of its
+A feature is an n-gram inside a word, its edges marked; its value in a text is its
+number of occurrences per word. Each feature is multiplied by the log ratio of its
 smoothed share in toxic and in other texts, and a logistic regression over the
 scaled features gives the weights. So a text's score is the mean of its words'
 scores, and a worker computes each frequent word's score once.
@@ -10,7 +10,6 @@ scores, and a worker computes each frequent word's score once.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,8 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.llm.common import arrow_rows, column, encoded, stage, texts
 
-GRAMS, BUCKETS = (2, 3, 4, 5), 1 << 20
+GRAMS, BITS = (2, 3, 4, 5), 20
+BUCKETS = 1 << BITS
 #: Bounds of the labelled rows that the classifier is fitted on.
 TRAIN_ROWS, TRAIN_CHARS = 5000, 48_000_000
 STEPS, RATE, RIDGE, SCALE, PRIOR = 50, 0.5, 1e-5, 10.0, 1e-3
@@ -33,21 +33,34 @@ CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 _LOWER = bytes(range(256)).lower()
 
 
-def word_features(word: bytes) -> np.ndarray:
-    w = b"^" + word + b"$"
-    found = {zlib.crc32(w[i : i + n]) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)}
-    return np.fromiter(found, np.int32, len(found))
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, position of its word) of every n-gram occurrence of the words."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    data = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # characters from here to the word's end
+    code, buckets, owners = data, [], []
+    for n in range(2, max(GRAMS) + 1):
+        code = code[:-1] | (data[n - 1 :] << np.uint64(8 * (n - 1)))
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(code)] >= n)
+            mixed = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+            owners.append(word[at])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a text and the share of its words that hold each."""
+    """The features of a text and how often each occurs, per word."""
     words = Counter(text.translate(_LOWER).split())
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    found = [word_features(w) for w in words]
-    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(f) for f in found])
-    ids, at = np.unique(np.concatenate(found), return_inverse=True)
-    return ids, (np.bincount(at, weights=times) / words.total()).astype(np.float32)
+    bucket, owner = grams(list(words))
+    times = np.fromiter(words.values(), np.float64, len(words))
+    ids, at = np.unique(bucket, return_inverse=True)
+    return ids.astype(np.int32), (np.bincount(at, weights=times[owner]) / words.total()).astype(np.float32)
 
 
 def fit(toxic: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -114,23 +127,21 @@ def _score(model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = model.value
         known: dict[bytes, float] = {}
-
-        def of(word: bytes) -> float:
-            if (s := known.get(word)) is None:
-                s = float(weights[word_features(word)].sum())
-                if len(word) <= CACHED_LENGTH:
-                    known[word] = s
-            return s
-
-        for texts_ in batches:
-            out = []
-            for text in texts_:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                words = (text or "").encode().translate(_LOWER).split()
-                z = bias + (sum(map(of, words)) / len(words) if words else 0.0)
-                out.append(1 / (1 + np.exp(-min(max(z, -700.0), 700.0))))
-            yield pd.Series(out, dtype="float64")
+        for part in batches:
+            split = [(t or "").encode().translate(_LOWER).split() for t in part]
+            words = set().union(*split)
+            if len(known) > CACHED_WORDS:
+                known = {}
+            new = list(words.difference(known))
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
+                bucket, owner = grams(some)
+                known.update(zip(some, np.bincount(owner, weights=weights[bucket], minlength=len(some)).tolist()))
+            of = known.__getitem__
+            z = np.array([bias + (sum(map(of, x)) / len(x) if x else 0.0) for x in split])
+            for w in [w for w in words if len(w) > CACHED_LENGTH]:
+                del known[w]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700.0, 700.0))))
 
     return F.pandas_udf(run, DoubleType())
 
