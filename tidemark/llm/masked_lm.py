@@ -91,13 +91,16 @@ def initial(seed: int = SEED) -> dict[str, np.ndarray]:
     }
 
 
-def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours, middle) of each word of the texts."""
+def windows(docs: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, middle) of each word of the texts, or of every EVERY-th one, other
+    ones for each ``turn``."""
     size = VOCABULARY + SHAPES
     gap = np.full(SIDE, size, np.int32)
     flat = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
     lengths = np.array([len(d) for d in docs])
     at = SIDE + np.arange(lengths.sum()) + np.repeat(np.arange(len(docs)) * SIDE, lengths)
+    if turn is not None:
+        at = at[turn * 7 % EVERY :: EVERY]
     return np.stack([flat[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), flat[at]
 
 
@@ -184,13 +187,10 @@ def _train_task(shared, turn: int):
         held, pending, n = [], 0, 0
 
         def learn():
-            near, middle = windows(held)
-            # every EVERY-th word of all texts, other ones in each round
-            pick = np.flatnonzero((np.arange(len(middle)) * 7 + turn) % EVERY == 0)
-            for at in range(0, len(pick), BATCH):
-                p = pick[at : at + BATCH]
-                train_batch(w, seen, near[p], middle[p])
-            return len(pick)
+            near, middle = windows(held, turn)
+            for at in range(0, len(middle), BATCH):
+                train_batch(w, seen, near[at : at + BATCH], middle[at : at + BATCH])
+            return len(middle)
 
         for b in batches:
             for t in encoded(b):
