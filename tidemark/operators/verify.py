@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -44,7 +44,8 @@ def _related_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLERANCE) -> DataFrame:
     """TX-03: claims (claim_id, source_id, metric_key, value) with ``status``
-    verified, mismatch, metric_missing or source_missing, and the expected value.
+    verified, mismatch, metric_missing or source_missing, the expected value and
+    the ``reason`` in words.
 
     A key the source does not have may still match by containment, if the value
     of such a key is within tolerance. That search compares each claimed value
@@ -69,7 +70,17 @@ def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLE
         .when(F.col("near_value").isNotNull(), "verified")
         .otherwise("metric_missing")
     )
-    return out.select("claim_id", "source_id", "metric_key", "value", F.coalesce("exact_value", "near_value").alias("expected"), status.alias("status"))
+    return out.select("claim_id", "source_id", "metric_key", "value", F.coalesce("exact_value", "near_value").alias("expected"), status.alias("status"), _reason(status).alias("reason"))
+
+
+def _reason(status: Column) -> Column:
+    found = F.col("exact_value").isNotNull()
+    return (
+        F.when(status == "verified", F.when(found, "the metric has this value").otherwise("a metric of a related name has this value"))
+        .when(status == "mismatch", "the metric has another value")
+        .when(status == "source_missing", "there is no such source")
+        .otherwise("the source has no such metric")
+    )
 
 
 def verify_numbers(numbers: DataFrame, values: DataFrame, by: Sequence[str], tol: float = CLAIM_TOLERANCE) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -34,6 +35,7 @@ class AnalysisOptions:
     findings: int = ins.TOP_TOTAL
 
 
+AT_ONCE = 4
 ALPHA, OUTLIER_SHARE, STRONG_R = 0.05, 5.0, 0.5
 # What the tools assume where a step says nothing, so that equal steps run once.
 DEFAULTS = {"detect_outliers": {"method": "iqr", "threshold": 3.0}, "run_correlation": {"threshold": 0.4}}
@@ -103,18 +105,20 @@ def plan(profile: Sequence) -> list[Step]:
 
 
 def run_steps(ds: Dataset, steps: Sequence[Step]) -> list[ToolResult]:
-    """Run each distinct step once."""
-    seen, out = set(), []
+    """Run each distinct step once. Steps do not depend on each other, so a few run
+    at a time: their small jobs would otherwise leave most cores idle."""
+    todo: dict[tuple, Step] = {}
     for s in steps:
-        key = (s.tool, tuple(sorted((k, str(v)) for k, v in {**DEFAULTS.get(s.tool, {}), **s.args}.items())))
-        if key not in seen:
-            seen.add(key)
-            r = run_tool(s.tool, ds, **s.args)
-            # Results are small and read several times from here on.
-            r.summary = None if r.summary is None else pin(r.summary)
-            r.tables = {k: t if k == "samples" else pin(t) for k, t in r.tables.items()}
-            out.append(r)
-    return out
+        todo.setdefault((s.tool, tuple(sorted((k, str(v)) for k, v in {**DEFAULTS.get(s.tool, {}), **s.args}.items()))), s)
+
+    def one(s: Step) -> ToolResult:
+        r = run_tool(s.tool, ds, **s.args)
+        # Results are small and read several times from here on.
+        r.tables = {k: t if k == "samples" else pin(t) for k, t in r.tables.items()}
+        return r
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(one, todo.values()))
 
 
 def baseline_scan(ds: Dataset | DataFrame, profile: Sequence | None = None) -> list[ToolResult]:

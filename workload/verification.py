@@ -78,14 +78,16 @@ x AS (SELECT c.claim_id, c.source_id, c.k AS metric_key, c.value, (SELECT max(va
  EXISTS (SELECT 1 FROM s WHERE s.source_id = c.source_id) AS src,
  EXISTS (SELECT 1 FROM s WHERE s.source_id = c.source_id AND (contains(s.k, c.k) OR contains(c.k, s.k)) AND (abs(c.value - s.value) / greatest(1e-9, abs(s.value)) <= 0.05 OR abs(c.value - s.value) <= 0.05)) AS near FROM c)
 SELECT claim_id, source_id, metric_key, CASE WHEN NOT src THEN 'source_missing' WHEN ex IS NOT NULL THEN CASE WHEN abs(value - ex) / greatest(1e-9, abs(ex)) <= 0.05 OR abs(value - ex) <= 0.05 THEN 'verified' ELSE 'mismatch' END
- WHEN near THEN 'verified' ELSE 'metric_missing' END AS status FROM x"""
+ WHEN near THEN 'verified' ELSE 'metric_missing' END AS status,
+ CASE WHEN NOT src THEN 'there is no such source' WHEN ex IS NOT NULL THEN CASE WHEN abs(value - ex) / greatest(1e-9, abs(ex)) <= 0.05 OR abs(value - ex) <= 0.05 THEN 'the metric has this value' ELSE 'the metric has another value' END
+ WHEN near THEN 'a metric of a related name has this value' ELSE 'the source has no such metric' END AS reason FROM x"""
 
 
 @query("tx03_verify_claims", f"WITH {_CLAIM_SQL}")
 def tx03(spark, sf):
     claims = derived(spark, sf, fx.CLAIMS).withColumn("metric_key", F.when(F.col("metric_key") == "profit", "price").otherwise(tx.normalize_key(F.col("metric_key"))))
     metrics = derived(spark, sf, fx.METRICS).withColumn("metric_key", tx.normalize_key(F.col("metric_key")))
-    return vf.verify_claims(claims, metrics).select("claim_id", "source_id", "metric_key", "status")
+    return vf.verify_claims(claims, metrics).select("claim_id", "source_id", "metric_key", "status", "reason")
 
 
 _NUMS = f"nums AS ({exploded('doc_id', numbers_sql('text'), f'({NARRATIVES})')})"
