@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -19,13 +20,19 @@ ARROW_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``materialize`` for long chains: the written table cuts the lineage, so the
     shuffle files behind it go as soon as it is there and disk use does not add up."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
+    with shuffles_cleaned(df.sparkSession):
         return materialize(df, name)
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written in here takes its shuffle files away when it is done."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
 
 
 def small_batches(df: DataFrame) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, stage
+from tidemark.llm.common import column, shuffles_cleaned, stage
 from tidemark.session import scratch_path
 
 REVISIT_BYTES, RECORDS_PER_FILE = 1000, 3000
@@ -34,7 +34,7 @@ def captures(pages: DataFrame, min_bytes: int = REVISIT_BYTES, id_col: str = "pa
     rows = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary"))).withColumn("bytes", F.octet_length("body").cast("long"))
     nth = F.row_number().over(W.partitionBy("page_id").orderBy("digest", "url")) - 1
-    rows = stage(rows.withColumn("nth", nth), "warc-captures")
+    rows = rows.withColumn("nth", nth)
     best = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "nth")).alias("keeper"))
     best = best.select(F.col("digest").alias("k_digest"), "keeper")
     out = rows.join(best, (F.col("digest") == F.col("k_digest")) & (F.col("bytes") >= min_bytes), "left")
@@ -92,7 +92,8 @@ def records(pages: DataFrame, min_bytes: int = REVISIT_BYTES, **cols: str) -> Da
 def write(pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, **cols: str) -> None:
     """Write gzip WARC files of at most ``records_per_file`` records into a new folder."""
     out = records(pages, min_bytes, **cols).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file)
-    out.text(path)
+    with shuffles_cleaned(pages.sparkSession):
+        out.text(path)
 
 
 _ROW = "record_id string, record_type string, concurrent_to string, refers_to string, url string, digest string, block binary"
