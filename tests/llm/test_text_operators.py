@@ -179,7 +179,7 @@ def test_near_duplicates_match_all_pairs(spark, bucket):
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = "changed"
         texts.append(" ".join(w))
-    docs = spark.createDataFrame(rows(*texts) + rows(*texts[7:9]) + [(None, "one", "en", "s", 3, "x", 1)], DOCS)
+    docs = spark.createDataFrame(rows(*texts) + rows(*texts[7:9], ids=[7, 8]) + [(None, "one", "en", "s", 3, "x", 1)], DOCS)
     got = simhash.near_duplicates(docs, bucket=bucket).collect()
     assert len(got) == len(texts) + 3
     by_id = {r.doc_id: r for r in got}
