@@ -26,9 +26,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from tidemark.llm.common import encoded, stage, texts
 
 VOCABULARY, SHAPES, CLASS = 1984, 64, 32
-SIDE, HIDDEN, ROUNDS, EVERY, BATCH, RATE, SEED = 3, 24, 2, 16, 1024, 0.1, 11
+SIDE, HIDDEN, ROUNDS, EVERY, BATCH, RATE, SEED = 3, 24, 2, 16, 2048, 0.1, 11
 FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 16, 400_000, 64
 _COUNTED = 400_000
+# Each byte as upper-case letter, other letter (all beyond ASCII), digit, mark, or none of these.
+_KINDS = bytes(ord("A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 or c >= 128 else "0" if 48 <= c <= 57 else "." if 33 <= c <= 126 else " ") for c in range(256))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -56,12 +58,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def shape(word: bytes) -> int:
     """0 to 63: length in four steps, and which kinds of characters there are."""
-    upper = any(65 <= c <= 90 for c in word)
-    lower = any(97 <= c <= 122 or c >= 128 for c in word)
-    digit = any(48 <= c <= 57 for c in word)
-    other = any(33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 for c in word)
+    kinds = word.translate(_KINDS)
     size = 0 if len(word) < 4 else 1 if len(word) < 8 else 2 if len(word) < 14 else 3
-    return size * 16 + upper * 8 + lower * 4 + digit * 2 + other
+    return size * 16 + (b"A" in kinds) * 8 + (b"a" in kinds) * 4 + (b"0" in kinds) * 2 + (b"." in kinds)
 
 
 class Ids:
@@ -73,11 +72,15 @@ class Ids:
         words = text.split()
         if len(self.known) > CACHED_WORDS:
             self.known = dict(self.fixed)
-        for w in set(words).difference(self.known):
-            if len(w) <= CACHED_LENGTH:
-                self.known[w] = shape(w)
-        get = self.known.get
-        return np.fromiter((i if (i := get(w)) is not None else shape(w) for w in words), np.int32, len(words))
+        known, long = self.known, []
+        for w in set(words).difference(known):
+            known[w] = shape(w)
+            if len(w) > CACHED_LENGTH:
+                long.append(w)
+        out = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        for w in long:
+            del known[w]
+        return out
 
 
 def initial(seed: int = SEED) -> dict[str, np.ndarray]:
