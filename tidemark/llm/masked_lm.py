@@ -30,7 +30,7 @@ SIDE, HIDDEN, ROUNDS, EVERY, BATCH, RATE, SEED = 3, 24, 2, 16, 2048, 0.1, 11
 FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 16, 400_000, 64
 _COUNTED = 400_000
 # Each byte as upper-case letter, other letter (all beyond ASCII), digit, mark, or none of these.
-_KINDS = bytes(ord("A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 or c >= 128 else "0" if 48 <= c <= 57 else "." if 33 <= c <= 126 else " ") for c in range(256))
+_KINDS = np.array([8 if 65 <= c <= 90 else 4 if 97 <= c <= 122 or c >= 128 else 2 if 48 <= c <= 57 else 1 if 33 <= c <= 126 else 0 for c in range(256)], np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shape(word: bytes) -> int:
-    """0 to 63: length in four steps, and which kinds of characters there are."""
-    kinds = word.translate(_KINDS)
-    size = 0 if len(word) < 4 else 1 if len(word) < 8 else 2 if len(word) < 14 else 3
-    return size * 16 + (b"A" in kinds) * 8 + (b"a" in kinds) * 4 + (b"0" in kinds) * 2 + (b"." in kinds)
+def shapes(words: list[bytes]) -> np.ndarray:
+    """0 to 63 for each word: length in four steps, and which kinds of characters it has."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    kinds = _KINDS[np.frombuffer(b"".join(words), np.uint8)]
+    return np.searchsorted([4, 8, 14], sizes, side="right") * 16 + np.bitwise_or.reduceat(kinds, np.cumsum(sizes) - sizes)
 
 
 class Ids:
@@ -72,14 +72,13 @@ class Ids:
         words = text.split()
         if len(self.known) > CACHED_WORDS:
             self.known = dict(self.fixed)
-        known, long = self.known, []
-        for w in set(words).difference(known):
-            known[w] = shape(w)
-            if len(w) > CACHED_LENGTH:
-                long.append(w)
+        known, new = self.known, list(set(words).difference(self.known))
+        if new:
+            known.update(zip(new, shapes(new).tolist()))
         out = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        for w in long:
-            del known[w]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
         return out
 
 
