@@ -263,3 +263,16 @@ def test_queries_against_sql(spark, name):
 
 def test_all_ten_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+
+
+def test_word_ids_and_shapes():
+    ids = masked_lm.Ids([b"the", b"of"])
+    text = b"the of The THE2 a.b 99 \xc3\xa9t\xc3\xa9 ... " + b"x" * 100
+    slow = []
+    for w in text.split():
+        kinds = [any(c in s for c in w) for s in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(97, 123)) + bytes(range(128, 256)), b"0123456789")]
+        kinds.append(any(33 <= c <= 126 and not chr(c).isalnum() for c in w))
+        size = sum(len(w) >= k for k in (4, 8, 14))
+        slow.append({b"the": 64, b"of": 65}.get(w, size * 16 + sum(k << (3 - i) for i, k in enumerate(kinds))))
+    assert ids.of(text).tolist() == ids.of(text).tolist() == slow
+    assert b"x" * 100 not in ids.known and len(ids.of(b" \n")) == 0
