@@ -33,11 +33,16 @@ def captures(pages: DataFrame, min_bytes: int = REVISIT_BYTES, id_col: str = "pa
     body = F.coalesce(column(body_col).cast("string"), F.lit(""))
     rows = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary"))).withColumn("bytes", F.octet_length("body").cast("long"))
-    nth = F.row_number().over(W.partitionBy("page_id").orderBy("digest", "url")) - 1
-    rows = rows.withColumn("nth", nth)
-    best = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "nth")).alias("keeper"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = rows.withColumn("k", F.concat_ws("|", name("page_id"), "digest", name("url")))
+    # who keeps what is found without the bodies, which then move once
+    same = rows.groupBy("k").agg(F.first("page_id").alias("page_id"), F.first("digest").alias("digest"), F.first("bytes").alias("bytes"), F.count("*").alias("m"))
+    earlier = W.partitionBy("page_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    same = same.withColumn("at", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    best = same.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", (F.col("at") + F.col("m") - 1).alias("nth"))).alias("keeper"))
     best = best.select(F.col("digest").alias("k_digest"), "keeper")
-    out = rows.join(best, (F.col("digest") == F.col("k_digest")) & (F.col("bytes") >= min_bytes), "left")
+    found = same.join(best, (F.col("digest") == F.col("k_digest")) & (F.col("bytes") >= min_bytes), "left").select("k", "at", "k_digest", "keeper")
+    out = rows.join(found, "k").withColumn("nth", F.col("at") + F.row_number().over(W.partitionBy("k").orderBy("k")) - 1)
     own = F.col("k_digest").isNull()
     return out.select(
         "page_id", "nth", "url", "body", "digest", "bytes",
