@@ -276,3 +276,22 @@ def test_word_ids_and_shapes():
         slow.append({b"the": 64, b"of": 65}.get(w, size * 16 + sum(k << (3 - i) for i, k in enumerate(kinds))))
     assert ids.of(text).tolist() == ids.of(text).tolist() == slow
     assert b"x" * 100 not in ids.known and len(ids.of(b" \n")) == 0
+
+
+def test_masked_lm_tells_rare_words_apart(spark):
+    """Words beyond the vocabulary have their own probability, by count and spelling."""
+    vocab = [f"w{i}" for i in range(masked_lm.VOCABULARY)]
+    rows = [(" ".join(vocab) + " ") * 30 + "lanterns " * 5 + "gatherings mornings evenings rainings leanings landings", "w1 lanterns w2", "w1 gatherings w2", "w1 qzxkvwjqpx w2"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    counts = masked_lm.word_counts(docs)
+    top = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(masked_lm.VOCABULARY).collect()]
+    logp = {bytes(r.word): r.logp for r in masked_lm.word_probabilities(counts, top).collect()}
+    by_shape = {}
+    for w, p in logp.items():
+        by_shape[int(masked_lm.shapes([w])[0])] = by_shape.get(int(masked_lm.shapes([w])[0]), 0) + math.exp(p)
+    assert len(logp) == 8 and all(s == pytest.approx(1) for s in by_shape.values())
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs, rounds=0).collect()}
+    assert got[1] > got[2] > got[3]  # one shape, so one id in the middle
+    ids = masked_lm.Ids(top)
+    near, middle = masked_lm.windows([ids.codes(rows[i].encode().split()) for i in (1, 3)])
+    assert near[0].tolist() != near[3].tolist() and middle[1] == middle[4] < masked_lm.SHAPES

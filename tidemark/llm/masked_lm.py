@@ -3,15 +3,20 @@
 A word is an id: one of the corpus' most frequent words, or else a shape (length and
 kind of characters). The network adds up a vector for each of the neighbours, one
 table per relative position, and a tanh layer predicts the word in the middle in two
-steps: its class (words of like frequency), then the word within the class. Word
-counts run over all documents. Training is data-parallel: in each round every task
-walks its documents from the common weights, and weights averaged by a tree of small
-sums start the next round. A document's score is the sum of its words' log
+steps: its class (words of like frequency), then the word within the class. A word
+beyond the vocabulary takes a third step, P(word | shape): its discounted count in
+the corpus, and what the discounts leave shared out by its spelling, a model of byte
+triples. This table has a row per distinct word and grows with the input; documents
+meet it by a join. As a neighbour such a word is one of BESIDE rows, by its hash.
+Word counts run over all documents. Training is data-parallel: in each round every
+task walks its documents from the common weights, and weights averaged by a tree of
+small sums start the next round. A document's score is the sum of its words' log
 probabilities.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.common import encoded, stage, texts
 
-VOCABULARY, SHAPES, CLASS = 1984, 64, 32
+VOCABULARY, SHAPES, CLASS, BESIDE = 1984, 64, 32, 1 << 14
 SIDE, HIDDEN, ROUNDS, EVERY, BATCH, RATE, SEED = 3, 24, 2, 16, 2048, 0.1, 11
 FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 16, 400_000, 64
 _COUNTED = 400_000
@@ -64,38 +68,44 @@ def shapes(words: list[bytes]) -> np.ndarray:
 
 
 class Ids:
+    """Codes of words: the id below, the row as a neighbour above 16 bits."""
+
     def __init__(self, vocabulary: list[bytes]):
-        self.fixed = {w: i + SHAPES for i, w in enumerate(vocabulary)}
+        self.fixed = {w: (i + SHAPES) * 0x10001 for i, w in enumerate(vocabulary)}
         self.known = dict(self.fixed)
 
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
+    def codes(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHED_WORDS:
             self.known = dict(self.fixed)
         known, new = self.known, list(set(words).difference(self.known))
         if new:
-            known.update(zip(new, shapes(new).tolist()))
+            first = VOCABULARY + SHAPES + 1
+            known.update((w, s | (first + zlib.crc32(w) % BESIDE) << 16) for w, s in zip(new, shapes(new).tolist()))
         out = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         for w in new:
             if len(w) > CACHED_LENGTH:
                 del known[w]
         return out
 
+    def of(self, text: bytes) -> np.ndarray:
+        return self.codes(text.split()) & 0xFFFF
+
 
 def initial(seed: int = SEED) -> dict[str, np.ndarray]:
-    """Weights before training. Id ``size`` is the place beyond a text's ends."""
+    """Weights before training. Neighbour ``size`` is the place beyond a text's ends,
+    those after it are the words beyond the vocabulary."""
     r, size, classes = np.random.default_rng(seed), VOCABULARY + SHAPES, (VOCABULARY + SHAPES) // CLASS
     f = np.float32
     return {
-        "near": r.normal(0, 0.1, (2 * SIDE, size + 1, HIDDEN)).astype(f), "bias": np.zeros(HIDDEN, f),
+        "near": r.normal(0, 0.1, (2 * SIDE, size + 1 + BESIDE, HIDDEN)).astype(f), "bias": np.zeros(HIDDEN, f),
         "to_class": r.normal(0, 0.1, (HIDDEN, classes)).astype(f), "class_bias": np.zeros(classes, f),
         "to_word": r.normal(0, 0.1, (classes, HIDDEN, CLASS)).astype(f), "word_bias": np.zeros((classes, CLASS), f),
     }
 
 
 def windows(docs: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours, middle) of each word of the texts, or of every EVERY-th one, other
-    ones for each ``turn``."""
+    """(neighbours, middle) of each word of the texts (ids or codes), or of every
+    EVERY-th one, other ones for each ``turn``."""
     size = VOCABULARY + SHAPES
     gap = np.full(SIDE, size, np.int32)
     flat = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
@@ -103,7 +113,8 @@ def windows(docs: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray
     at = SIDE + np.arange(lengths.sum()) + np.repeat(np.arange(len(docs)) * SIDE, lengths)
     if turn is not None:
         at = at[turn * 7 % EVERY :: EVERY]
-    return np.stack([flat[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), flat[at]
+    beside = np.where(flat >> 16, flat >> 16, flat)
+    return np.stack([beside[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), flat[at] & 0xFFFF
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -196,7 +207,7 @@ def _train_task(shared, turn: int):
 
         for b in batches:
             for t in encoded(b):
-                if len(x := ids.of(t)):
+                if len(x := ids.codes(t.split())):
                     held.append(x)
                     pending += len(x)
                 if pending >= BATCH * EVERY:
@@ -219,7 +230,7 @@ def _add_up(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged weights (1.4 MB, whatever the input)."""
+    """The averaged weights (11 MB, whatever the input)."""
     spark, flat = docs.sparkSession, _flat(initial())
     kind = "part long, chunk int, n long, w array<float>"
     for turn in range(rounds):
@@ -238,25 +249,99 @@ def train(docs: DataFrame, vocabulary: list[bytes], rounds: int = ROUNDS) -> np.
     return flat
 
 
-_RESULT = StructType([StructField("n_words", LongType()), StructField("log_likelihood", DoubleType())])
+def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, code) of each byte of the words and of their ends, after the two bytes before."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    raw = np.frombuffer(b"\n\n" + b"".join(w + b"\n\n" for w in words), np.uint8).astype(np.int32)
+    word = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(word)) + word + 2
+    return word, raw[at - 2] << 16 | raw[at - 1] << 8 | raw[at]
+
+
+def _rare(vocabulary: list[bytes], fn, names: list[str]):
+    """A ``mapInArrow`` function over the counted words beyond the vocabulary."""
+    frequent = set(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(w, n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()) if w not in frequent]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fn(*map(list, zip(*pairs)))], names)
+
+    return run
+
+
+def _count_triples(words, n):
+    return np.unique(_triples(words)[1], return_counts=True)
+
+
+def spelling(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-probability of the last byte of each seen triple, from the two before it:
+    Witten-Bell smoothing by pairs, single bytes, all 256 alike."""
+    pair = np.bincount(codes & 0xFFFF, weights=n, minlength=1 << 16)
+    one = pair.reshape(256, 256).sum(axis=0)
+    p1 = (one + 1) / (one.sum() + 256)
+    pair = pair.reshape(256, 256)
+    kinds = (pair > 0).sum(axis=1, keepdims=True)
+    p2 = np.where(kinds > 0, (pair + kinds * p1) / np.maximum(pair.sum(axis=1, keepdims=True) + kinds, 1), p1)
+    before = codes >> 8
+    total = np.bincount(before, weights=n, minlength=1 << 16)[before]
+    kinds = np.bincount(before, minlength=1 << 16)[before]
+    return np.log((n + kinds * p2.ravel()[codes & 0xFFFF]) / (total + kinds))
+
+
+def word_probabilities(counts: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """(word, logp) of each word beyond the vocabulary: log P(word | shape), a
+    distribution over the words of a shape. Absolute discounting; the discounts go to
+    the shape's words by spelling."""
+    grams = counts.mapInArrow(_rare(vocabulary, _count_triples, ["code", "n"]), "code int, n long")
+    table = grams.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()  # at most 256 ** 3 numbers
+    codes, n = (table.column(c).to_numpy() for c in ("code", "n"))
+    shared = counts.sparkSession.sparkContext.broadcast((codes, spelling(codes, n)))
+
+    def spelt(words, n):
+        codes, logs = shared.value
+        word, code = _triples(words)
+        return words, n, shapes(words).astype(np.int32), np.bincount(word, weights=logs[np.searchsorted(codes, code)], minlength=len(words))
+
+    words = stage(counts.mapInArrow(_rare(vocabulary, spelt, ["word", "n", "shape", "q"]), "word binary, n long, shape int, q double"), "lm-spelt")
+    once, twice = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
+    d = F.least(F.greatest(F.coalesce(F.try_divide(once, once + 2 * twice), F.lit(0.5)), F.lit(0.1)), F.lit(0.95))
+    of = F.broadcast(words.groupBy("shape").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("q").alias("top"), d.alias("d")))  # at most SHAPES rows
+    share = F.exp(F.col("q") - F.col("top"))
+    shares = F.broadcast(words.join(of, "shape").groupBy("shape").agg(F.sum(share).alias("shares")))
+    p = (F.col("n") - F.col("d") + F.col("d") * F.col("kinds") * share / F.col("shares")) / F.col("total")
+    return words.join(of, "shape").join(shares, "shape").select("word", F.log(p).alias("logp"))
 
 
 def _score(shared):
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(row, doc_id, n_words, network, words, times): the network's part of the sum, and
+    the text's distinct words beyond the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
         ids, w = Ids(vocabulary), _shaped(flat)
-        for part in parts:
-            lengths, sums, held, pending = [], [], [], 0
-            for i, t in enumerate(part):
-                held.append(ids.of((t or "").encode()))
+        for b in batches:
+            lengths, sums, held, pending, rare, ends = [], [], [], 0, [], [0]
+            times: list[int] = []
+            for i, t in enumerate(encoded(b)):
+                words = t.split()
+                held.append(ids.codes(words))
+                found = Counter(map(words.__getitem__, np.flatnonzero((held[-1] & 0xFFFF) < SHAPES).tolist()))
+                rare += found.keys()
+                times += found.values()
+                ends.append(len(rare))
                 pending += len(held[-1])
-                if pending >= 32_768 or i == len(part) - 1:
+                if pending >= 32_768 or i == b.num_rows - 1:
                     sums.append(_sums(w, held))
                     lengths += [len(x) for x in held]
                     held, pending = [], 0
-            yield pd.DataFrame({"n_words": np.array(lengths, np.int64), "log_likelihood": np.concatenate(sums) if sums else np.empty(0)})
+            if lengths:
+                at = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((rare, pa.binary()), (times, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(np.concatenate(sums)), *lists], ["row", "doc_id", "n_words", "network", "words", "times"])
 
-    return F.pandas_udf(run, _RESULT).asNondeterministic()
+    return run
 
 
 def _sums(w, docs: list[np.ndarray], block: int = 16_384) -> np.ndarray:
@@ -278,6 +363,11 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     counts = stage(word_counts(plain), "lm-word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # at most VOCABULARY rows
     vocabulary = [bytes(r["word"]) for r in top]
+    known = word_probabilities(counts, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(plain, vocabulary, rounds)))
-    out = plain.select("doc_id", _score(shared)("text").alias("s")).select("doc_id", "s.*")
+    rows = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = stage(rows.mapInArrow(_score(shared), "row long, doc_id long, n_words long, network double, words array<binary>, times array<long>"), "lm-network")
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
+    spelt = each.join(known, each["words"] == known["word"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("spelt"))
+    out = rows.drop("words", "times").join(spelt, "row", "left").select("doc_id", "n_words", (F.col("network") + F.coalesce("spelt", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
