@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
@@ -295,3 +296,20 @@ def test_masked_lm_tells_rare_words_apart(spark):
     ids = masked_lm.Ids(top)
     near, middle = masked_lm.windows([ids.codes(rows[i].encode().split()) for i in (1, 3)])
     assert near[0].tolist() != near[3].tolist() and middle[1] == middle[4] < masked_lm.SHAPES
+
+
+def test_masked_lm_trains_on_every_word(spark, monkeypatch):
+    """Over the rounds each place of each text is a target once, whatever the batches."""
+    docs = [np.arange(n, dtype=np.int32) for n in (1, 5, 40)]
+    met = [masked_lm.windows(docs, turn, 2) for turn in range(2)]
+    whole = masked_lm.windows(docs)
+    rows = lambda near, middle: sorted(map(tuple, np.column_stack([near, middle]).tolist()))
+    assert rows(*whole) == rows(*map(np.concatenate, zip(*met)))
+    seen = []
+    monkeypatch.setattr(masked_lm, "train_batch", lambda w, s, near, middle: seen.append(len(middle)))
+    one = spark.sparkContext.broadcast(([b"a"], masked_lm._flat(masked_lm.initial())))
+    monkeypatch.setattr(masked_lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b " * n for n in (1, 30, 20_000)] + [None, "a"])], ["text"])
+    for turn in range(masked_lm.ROUNDS):
+        list(masked_lm._train_task(one, turn, masked_lm.ROUNDS)(iter([batch])))
+    assert sum(seen) == 2 * 20_031 + 1

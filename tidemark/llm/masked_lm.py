@@ -10,7 +10,7 @@ triples. This table has a row per distinct word and grows with the input; docume
 meet it by a join. As a neighbour such a word is one of BESIDE rows, by its hash.
 Word counts run over all documents. Training is data-parallel: in each round every
 task walks its documents from the common weights, and weights averaged by a tree of
-small sums start the next round. A document's score is the sum of its words' log
+small sums start the next round. Over the rounds every word is predicted once. A document's score is the sum of its words' log
 probabilities.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import encoded, stage, texts
 
 VOCABULARY, SHAPES, CLASS, BESIDE = 1984, 64, 32, 1 << 14
-SIDE, HIDDEN, ROUNDS, EVERY, BATCH, RATE, SEED = 3, 24, 2, 16, 2048, 0.1, 11
-FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 16, 400_000, 64
+SIDE, HIDDEN, ROUNDS, BATCH, HELD, RATE, SEED = 3, 24, 2, 2048, 32_768, 0.1, 11
+FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 64, 400_000, 64
 _COUNTED = 400_000
 # Each byte as upper-case letter, other letter (all beyond ASCII), digit, mark, or none of these.
 _KINDS = np.array([8 if 65 <= c <= 90 else 4 if 97 <= c <= 122 or c >= 128 else 2 if 48 <= c <= 57 else 1 if 33 <= c <= 126 else 0 for c in range(256)], np.int64)
@@ -103,16 +103,17 @@ def initial(seed: int = SEED) -> dict[str, np.ndarray]:
     }
 
 
-def windows(docs: list[np.ndarray], turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours, middle) of each word of the texts (ids or codes), or of every
-    EVERY-th one, other ones for each ``turn``."""
+def windows(docs: list[np.ndarray], turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, middle) of each word of the texts (ids or codes) whose place in its
+    text is ``turn`` modulo ``rounds``: each word is in one of the turns."""
     size = VOCABULARY + SHAPES
     gap = np.full(SIDE, size, np.int32)
     flat = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
     lengths = np.array([len(d) for d in docs])
     at = SIDE + np.arange(lengths.sum()) + np.repeat(np.arange(len(docs)) * SIDE, lengths)
-    if turn is not None:
-        at = at[turn * 7 % EVERY :: EVERY]
+    if rounds > 1:
+        place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = at[place % rounds == turn]
     beside = np.where(flat >> 16, flat >> 16, flat)
     return np.stack([beside[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), flat[at] & 0xFFFF
 
@@ -190,7 +191,7 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _train_task(shared, turn: int):
+def _train_task(shared, turn: int, rounds: int):
     """Chunks of this task's weights, times the number of its training words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def _train_task(shared, turn: int):
         held, pending, n = [], 0, 0
 
         def learn():
-            near, middle = windows(held, turn)
+            near, middle = windows(held, turn, rounds)
             for at in range(0, len(middle), BATCH):
                 train_batch(w, seen, near[at : at + BATCH], middle[at : at + BATCH])
             return len(middle)
@@ -210,7 +211,7 @@ def _train_task(shared, turn: int):
                 if len(x := ids.codes(t.split())):
                     held.append(x)
                     pending += len(x)
-                if pending >= BATCH * EVERY:
+                if pending >= HELD:
                     n += learn()
                     held, pending = [], 0
         if held:
@@ -218,24 +219,24 @@ def _train_task(shared, turn: int):
         if n:
             part = TaskContext.get().partitionId()
             chunks = np.array_split(_flat(w).astype(np.float64) * n, CHUNKS)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([n] * CHUNKS, pa.int64()), pa.array([c.astype(np.float32) for c in chunks], pa.list_(pa.float32()))], ["part", "chunk", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([n] * CHUNKS, pa.int64()), pa.array([c.astype(np.float32).tobytes() for c in chunks], pa.binary())], ["part", "chunk", "n", "w"])
 
     return run
 
 
 def _add_up(g: pd.DataFrame) -> pd.DataFrame:
     g = g.sort_values("part")
-    total = np.sum(np.stack(g["w"]).astype(np.float64), axis=0).astype(np.float32)
-    return pd.DataFrame({"part": [int(g["part"].iloc[0]) // FAN_IN], "chunk": [g["chunk"].iloc[0]], "n": [g["n"].sum()], "w": [total]})
+    total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in g["w"]], axis=0).astype(np.float32)
+    return pd.DataFrame({"part": [int(g["part"].iloc[0]) // FAN_IN], "chunk": [g["chunk"].iloc[0]], "n": [g["n"].sum()], "w": [total.tobytes()]})
 
 
 def train(docs: DataFrame, vocabulary: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights (11 MB, whatever the input)."""
     spark, flat = docs.sparkSession, _flat(initial())
-    kind = "part long, chunk int, n long, w array<float>"
+    kind = "part long, chunk int, n long, w binary"
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, flat))
-        sums = stage(docs.mapInArrow(_train_task(shared, turn), kind), f"lm-round{turn}")
+        sums = stage(docs.mapInArrow(_train_task(shared, turn, rounds), kind), f"lm-round{turn}")
         parts = sums.agg(F.max("part")).first()[0]
         if parts is None:  # no words anywhere
             break
@@ -244,7 +245,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], rounds: int = ROUNDS) -> np.
             sums = stage(node.groupBy("node", "chunk").applyInPandas(lambda g: _add_up(g.drop(columns="node")), kind), f"lm-sums{turn}")
             parts //= FAN_IN
         rows = sums.orderBy("chunk").collect()
-        flat = np.concatenate([np.array(r["w"], np.float32) / np.float32(r["n"]) for r in rows])
+        flat = np.concatenate([np.frombuffer(r["w"], np.float32) / np.float32(r["n"]) for r in rows])
         shared.destroy()
     return flat
 
@@ -332,7 +333,7 @@ def _score(shared):
                 times += found.values()
                 ends.append(len(rare))
                 pending += len(held[-1])
-                if pending >= 32_768 or i == b.num_rows - 1:
+                if pending >= HELD or i == b.num_rows - 1:
                     sums.append(_sums(w, held))
                     lengths += [len(x) for x in held]
                     held, pending = [], 0
