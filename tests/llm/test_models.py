@@ -313,3 +313,21 @@ def test_masked_lm_trains_on_every_word(spark, monkeypatch):
     for turn in range(masked_lm.ROUNDS):
         list(masked_lm._train_task(one, turn, masked_lm.ROUNDS)(iter([batch])))
     assert sum(seen) == 2 * 20_031 + 1
+
+
+def test_quality_depends_on_word_order(spark):
+    """Pairs by hand, sums of one, and order, repeats and unseen words in a text."""
+    train = spark.createDataFrame([("the cat sat on the mat the cat ran",)] * 3 + [("a dog sat on a mat",)] * 3, "text string")
+    logp, logb = (dict(map(tuple, t.collect())) for t in kneser_ney.model_tables(train))
+    words, pairs = kneser_ney.pair_tables(train)
+    model = kneser_ney.Model(logp, logb, 5, words, pairs)
+    size = len(words)
+    assert words == sorted(words) and size == 8
+    back, own = pairs["back"], pairs["own"]
+    assert back[size + 1] + own.sum() == pytest.approx(1)
+    for v in range(size + 1):  # shares after a word and what it leaves
+        share = pairs["own_pair"][pairs["pair"] // (size + 1) == v].sum()
+        assert share + (back[v] if share else 0) == pytest.approx(1 if share else 0)
+    clean, shuffled, repeated = (model.texts([t])[0] for t in ("the cat sat on a mat", "mat a on sat cat the", "cat cat cat cat cat cat"))
+    assert clean[0] == shuffled[0] and clean[1] < 0.8 * shuffled[1] and clean[1] < 0.8 * repeated[1]
+    assert model.texts([None, " ", "zebra zebra"])[:2] == [(0, None), (0, None)]
