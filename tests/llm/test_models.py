@@ -331,3 +331,14 @@ def test_quality_depends_on_word_order(spark):
     clean, shuffled, repeated = (model.texts([t])[0] for t in ("the cat sat on a mat", "mat a on sat cat the", "cat cat cat cat cat cat"))
     assert clean[0] == shuffled[0] and clean[1] < 0.8 * shuffled[1] and clean[1] < 0.8 * repeated[1]
     assert model.texts([None, " ", "zebra zebra"])[:2] == [(0, None), (0, None)]
+
+
+def test_one_long_text_does_not_void_the_samples(spark):
+    docs = spark.createDataFrame([(i, "abc " * 25) for i in range(40)], "doc_id long, text string")
+    first = docs.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("xyz "), 5000)).otherwise(F.col("text")))
+    ids = docs.select("doc_id")
+    for chars, least in ((4000, 30), (10_000, 40), (30_000, 40)):
+        texts = [r.text for r in kneser_ney.sample(docs, ids, chars=chars).collect()]
+        toxic = toxicity.training_rows(docs, ids.withColumn("toxic", F.lit(1)), chars=chars).count()
+        assert sum(map(len, texts)) <= chars and min(len(texts), toxic) >= least

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -67,6 +68,18 @@ def arrow_rows(fn: Callable[..., pa.RecordBatch | None]):
     return run
 
 
+def bounded(met: DataFrame, chars: int) -> DataFrame:
+    """Rows (doc_id, text and more; one an id, few) with together at most ``chars``
+    characters, in the order of a hash of the id. Where all are too long together no
+    text takes more than an eighth of them: the rest of it is cut off, so that one
+    long text leaves room for others."""
+    if (met.agg(F.sum(F.length("text"))).first()[0] or 0) <= chars:
+        return met
+    met = met.withColumn("text", F.substring("text", 1, max(chars // 8, 1)))
+    fits = met.select("doc_id", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(W.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("sum"))
+    return met.join(F.broadcast(fits.where(F.col("sum") <= chars).select("doc_id")), "doc_id")
+
+
 def encoded(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of each text of a batch; null is empty."""
     for x in batch.column(name).cast(pa.binary()):

@@ -17,11 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.llm.common import arrow_rows, column, encoded, stage, texts
+from tidemark.llm.common import arrow_rows, bounded, column, encoded, stage, texts
 
 GRAMS, BITS = (2, 3, 4, 5), 20
 BUCKETS = 1 << BITS
@@ -96,9 +95,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     # at most ``rows`` pairs of numbers; of documents that share an id one is taken
     met = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     met = stage(met, "toxic-sample")
-    sizes = met.select("doc_id", F.length("text").alias("n"))
-    fits = sizes.withColumn("sum", F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= chars).select("doc_id")
-    met = met.join(F.broadcast(fits), "doc_id")
+    met = bounded(met, chars)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [text_features(t) for t in encoded(b)]
