@@ -342,3 +342,20 @@ def test_one_long_text_does_not_void_the_samples(spark):
         texts = [r.text for r in kneser_ney.sample(docs, ids, chars=chars).collect()]
         toxic = toxicity.training_rows(docs, ids.withColumn("toxic", F.lit(1)), chars=chars).count()
         assert sum(map(len, texts)) <= chars and min(len(texts), toxic) >= least
+
+
+def test_thresholds_of_small_languages(spark, monkeypatch):
+    """No switch by size, and an outlier is no threshold."""
+    def thresholds(sizes, outlier=None):
+        rows = [(lang, 5 + 0.01 * i + 3 * (lang == "b")) for lang, n in sizes.items() for i in np.linspace(0, 100, n)]
+        rows += [("a", outlier)] if outlier else []
+        made = [(i, lang, 10, float(p)) for i, (lang, p) in enumerate(rows)]
+        scored = spark.createDataFrame(made, "doc_id long, lang string, symbols long, perplexity double")
+        monkeypatch.setattr(kneser_ney, "perplexities", lambda *a: scored)
+        labels = spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int")
+        out = kneser_ney.classify(scored, labels, folds=1)
+        return {r.lang: r.threshold for r in out.select("lang", "threshold").distinct().collect()}
+
+    few, more, outlier = thresholds({"a": 300, "b": 99}), thresholds({"a": 300, "b": 101}), thresholds({"a": 107, "b": 99}, 40.0)
+    assert few["a"] < few["b"] and abs(few["b"] - more["b"]) < 0.1
+    assert outlier["a"] < thresholds({"a": 107, "b": 99})["a"] + 0.1
