@@ -359,3 +359,27 @@ def test_thresholds_of_small_languages(spark, monkeypatch):
     few, more, outlier = thresholds({"a": 300, "b": 99}), thresholds({"a": 300, "b": 101}), thresholds({"a": 107, "b": 99}, 40.0)
     assert few["a"] < few["b"] and abs(few["b"] - more["b"]) < 0.1
     assert outlier["a"] < thresholds({"a": 107, "b": 99})["a"] + 0.1
+
+
+def test_graph_looks_at_all_reverse_edges():
+    """Of 300 nodes that point at one the nearest stay, wherever they stand."""
+    r = np.random.default_rng(6)
+    x = ann._unit(r.normal(size=(301, 24)))
+    x[300] = ann._unit((x[0] + 0.1 * x[1])[None, :])[0]  # the nearest of all comes last
+    edges = np.full((301, 32), -1, np.int64)
+    ann._add_back(x, edges, np.arange(1, 301), np.zeros(300, np.int64), 32, 1.0)
+    assert 300 in edges[0]
+
+
+def test_graph_recall_on_full_shards_of_clusters():
+    r = np.random.default_rng(8)
+    hits = 0
+    for _ in range(2):
+        centres = r.normal(size=(12, 16))
+        x = ann._unit(centres[r.integers(0, 12, ann.SHARD)] + 0.15 * r.normal(size=(ann.SHARD, 16)))
+        edges, start = ann.build_graph(x)
+        q = x[:: ann.SHARD // 100]
+        found, _ = ann.beam_search(x, edges, start, q, ann.SEARCH_BEAM)
+        want = np.argsort(1 - q @ x.T, axis=1, kind="stable")[:, :6]
+        hits += sum(len({*a[:6].tolist()} & {*b.tolist()}) for a, b in zip(found, want)) / want.size
+    assert hits / 2 >= 0.95

@@ -86,21 +86,23 @@ def _prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, alpha:
 
 
 def _add_back(x: np.ndarray, edges: np.ndarray, src: np.ndarray, dst: np.ndarray, degree: int, alpha: float) -> None:
-    """Edges dst -> src; a node with more than ``degree`` is pruned again."""
-    order = np.argsort(dst, kind="stable")
+    """Edges dst -> src; a node with more than ``degree`` is pruned again. Where very
+    many point at one node they are looked at nearest first, some at a time."""
+    order = np.lexsort((1 - np.einsum("ad,ad->a", x[src], x[dst]), dst))
     src, dst = src[order], dst[order]
-    own, first, count = np.unique(dst, return_index=True, return_counts=True)
-    # the nearest are enough to choose from where very many point at one node
+    _, first, count = np.unique(dst, return_index=True, return_counts=True)
     wide = 2 * degree
-    new = np.full((len(own), wide), -1, np.int64)
     slot = np.arange(len(dst)) - np.repeat(first, count)
-    fits = slot < wide
-    new[np.repeat(np.arange(len(own)), count)[fits], slot[fits]] = src[fits]
-    for at in range(0, len(own), _BATCH):
-        o, extra = own[at : at + _BATCH], new[at : at + _BATCH]
-        held = edges[o]
-        extra = np.where((extra[:, :, None] == held[:, None, :]).any(axis=2), -1, extra)
-        edges[o] = _prune(x, o, np.concatenate([held, extra], axis=1), degree, alpha)
+    for turn in range(int(slot.max(initial=0)) // wide + 1):
+        now = slot // wide == turn
+        own, at_own = np.unique(dst[now], return_inverse=True)
+        new = np.full((len(own), wide), -1, np.int64)
+        new[at_own, slot[now] % wide] = src[now]
+        for at in range(0, len(own), _BATCH):
+            o, extra = own[at : at + _BATCH], new[at : at + _BATCH]
+            held = edges[o]
+            extra = np.where((extra[:, :, None] == held[:, None, :]).any(axis=2), -1, extra)
+            edges[o] = _prune(x, o, np.concatenate([held, extra], axis=1), degree, alpha)
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
