@@ -13,7 +13,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, kneser_ney, masked_lm, toxicity, warc
+from tidemark.llm import ann, kneser_ney, masked_lm, suffix, toxicity, warc
 from tidemark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -383,3 +383,12 @@ def test_graph_recall_on_full_shards_of_clusters():
         want = np.argsort(1 - q @ x.T, axis=1, kind="stable")[:, :6]
         hits += sum(len({*a[:6].tolist()} & {*b.tolist()}) for a, b in zip(found, want)) / want.size
     assert hits / 2 >= 0.95
+
+
+def test_texts_of_one_id_have_their_own_keys(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert rows.select(*suffix._keys("doc_id", "text")).distinct().count() == 3000
+    twice = "".join(random.Random(1).choices("abcdef", k=300))
+    docs = spark.createDataFrame([(1, f"{i} {twice}" if i < 2 else f"{i} short") for i in range(20)], "doc_id long, text string")
+    got = suffix.remove_repeats(docs).collect()
+    assert len(got) == 20 and sum(len(r.spans) > 0 for r in got) == 2

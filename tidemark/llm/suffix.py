@@ -90,7 +90,7 @@ def _anchor_batches(length: int, anchor: int):
         part, start, windows, kg, ctx = found
         ids, tags = np.array([k[0] for k in keys], np.int64)[part], np.array([k[1] for k in keys], np.int64)[part]
         start = start + np.array(shifts, np.int64)[part]
-        return pa.RecordBatch.from_arrays([pa.array(kg), pa.array(ctx), pa.array(ids), pa.array((start << 32) | (windows << 16) | tags)], ["kg", "ctx", "id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(kg), pa.array(ctx), pa.array(ids), pa.array(tags), pa.array((start << 32) | (windows << 16))], ["kg", "ctx", "id", "tag", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,12 +168,12 @@ def _single_windows(length: int):
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
-    """A row is found again by its id and 16 bits of its text, so that rows that share
+    """A row is found again by its id and a 64-bit hash of its text, so that rows that share
     an id are told apart; rows equal in both have equal spans. Null ids use the text."""
     text = column(text_col).cast("string")
     return [
         F.coalesce(column(id_col).cast("long"), F.xxhash64(text)).alias("id"),
-        F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(0xFFFF)).alias("tag"),
+        F.xxhash64(F.lit(1), text).alias("tag"),
     ]
 
 
@@ -182,13 +182,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     strings of ``length`` bytes found at least twice cover; ranges may overlap."""
     small_batches(docs)
     keyed = docs.select(*_keys(id_col, text_col), column(text_col).cast("string").alias("text"))
-    found = stage(keyed.mapInArrow(_anchor_batches(length, anchor), "kg long, ctx long, id long, at long"), "suffix-anchors")
+    found = stage(keyed.mapInArrow(_anchor_batches(length, anchor), "kg long, ctx long, id long, tag long, at long"), "suffix-anchors")
     twice = found.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1").select("kg")
     alive = stage(found.join(twice, "kg"), "suffix-digit1")
-    contexts = alive.groupBy("kg", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("rep"))
+    contexts = alive.groupBy("kg", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "tag", "at")).alias("rep"))
     contexts = stage(contexts, "suffix-digit2")
     mixed = contexts.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = contexts.join(mixed, "kg").select("kg", "ctx", "c", "m", F.col("rep.id").alias("id"), *_at("rep.at"))
+    open_ = contexts.join(mixed, "kg").select("kg", "ctx", "c", "m", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag"), *_at("rep.at"))
     body = F.expr(f"substr(cast(text AS binary), cast(start + 1 AS int), cast(windows + {length - 1} AS int))")
     bodies = stage(keyed.join(open_, ["id", "tag"]).select("kg", "ctx", "c", "m", body.alias("body")), "suffix-contexts")
     small = bodies.where(F.col("m") <= group).select("kg", "ctx", "c", "body").repartition("kg").sortWithinPartitions("kg")
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     runs = runs.union(single.where("c = 1").join(again, ["kg", "h"]).select("kg", "ctx", "low", F.lit(1).alias("n")))
     whole = contexts.where("c > 1").select("kg", "ctx", F.lit(0).alias("low"), F.lit(None).cast("int").alias("n"))
     runs = stage(whole.union(runs), "suffix-runs")
-    hit = alive.join(runs, ["kg", "ctx"]).select("id", *_at("at"), "low", "n")
+    hit = alive.join(runs, ["kg", "ctx"]).select("id", "tag", *_at("at"), "low", "n")
     a = F.col("start") + F.col("low")
     span = hit.select("id", "tag", F.struct(a.alias("a"), (a + F.coalesce("n", "windows") + (length - 1)).alias("b")).alias("s"))
     return span.groupBy("id", "tag").agg(F.sort_array(F.collect_set("s")).alias("s")).select("id", "tag", F.flatten(F.transform("s", lambda s: F.array(s["a"], s["b"]))).alias("spans"))
@@ -209,7 +209,6 @@ def _at(name: str) -> list[Column]:
     return [
         F.shiftright(at, 32).alias("start"),
         F.shiftright(at, 16).bitwiseAND(F.lit(0xFFFF)).alias("windows"),
-        at.bitwiseAND(F.lit(0xFFFF)).alias("tag"),
     ]
 
 
