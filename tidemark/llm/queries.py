@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from tidemark.llm import ann, kneser_ney, masked_lm, mixing, packing, rules, simhash, suffix, toxicity, warc
+from tidemark.llm import ann, hard_negatives, kneser_ney, masked_lm, mixing, packing, prefix_trie, rules, simhash, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,55 @@ def op10(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+_OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c::VARCHAR AS s FROM t GROUP BY c),
+bits AS (SELECT c, list_transform(range(8 * length(s)), lambda k: (ascii(s[k // 8 + 1]) >> (k % 8)) & 1) AS bs FROM ids),
+k AS (SELECT c, c - c % 5 AS b, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bs),
+  lambda a, x: xor(a >> 1, 3988292384 * (xor(a, x) & 1)))) % 9 AS h FROM bits),
+r AS (SELECT k.c, 0 AS part, i, role, text FROM k JOIN t ON t.c = k.b AND i < h UNION ALL SELECT k.c, 1, i, role, text FROM k JOIN t ON t.c = k.c AND i >= h),
+o AS (SELECT c, row_number() OVER w AS d, strlen(text)::BIGINT AS bytes,
+  md5(string_agg(md5(strlen(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY part, i)),
+p AS (SELECT *, lag(node, 1, 'root') OVER (PARTITION BY c ORDER BY d) AS parent, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS is_end FROM o),
+n AS (SELECT node, d, min(parent) AS parent, min(c) AS c, count(*) AS n_convs, max(bytes) AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end) AS ends FROM p GROUP BY node, d
+  UNION ALL SELECT 'root', 0, NULL, min(c), count(*), 0, (SELECT string_agg(c::VARCHAR, ',' ORDER BY c) FROM k WHERE c NOT IN (SELECT c FROM p)) FROM k HAVING count(*) > 0),
+up AS (SELECT c, d, node FROM p UNION ALL SELECT c, 0, 'root' FROM k),
+kids AS (SELECT parent, count(*) AS m FROM n GROUP BY parent),
+below AS (SELECT up.node, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved, count(*) FILTER (kids.m IS NULL) AS leaves
+  FROM n JOIN up ON up.c = n.c AND up.d <= n.d LEFT JOIN kids ON kids.parent = n.node GROUP BY up.node)
+SELECT n.c AS conv_id, n.d AS depth, q.c AS parent_conv_id, n.n_convs, coalesce(kids.m, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN below ON below.node = n.node LEFT JOIN n q ON q.node = n.parent LEFT JOIN kids ON kids.parent = n.node
+"""
+
+
+@_query("op12_prefix_trie", _OP12_SQL)
+def op12(spark, sf_dir):
+    c = F.col("conv_id")
+    turns = prefix_trie.turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.build(*prefix_trie.with_heads(turns, c - c % 5, F.crc32(c.cast("string")) % 9, 8))
+
+
+_OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER w::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 3
+"""
+
+
+@_query("op13_hard_negatives", _OP13_SQL)
+def op13(spark, sf_dir):
+    rows, label = _table(spark, sf_dir, "embeddings"), F.col("label")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(relabelled, F.col("vec_id") % 50 == 0)
+
+
 @_query("pipeline", ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return run(spark, sf_dir)
