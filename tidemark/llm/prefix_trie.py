@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import column, stage
 
-_ROOT = F.unhex(F.lit("00" * 16))
+_ROOT = "X'" + "00" * 16 + "'"
 #: Rows of one conversation that meet its facts in one place; member ids in one piece of text.
 _CHUNK, _IDS = 4096, 4096
 
@@ -91,7 +91,7 @@ def _named_prefixes(t: DataFrame, convs: DataFrame, levels: int) -> DataFrame:
     for _ in range(levels):
         whole = blocks[-1].groupBy("conv_id", F.shiftright("i", 1).alias("at")).agg(F.count("*").alias("m"), half(0).alias("a"), half(1).alias("b"))
         blocks.append(stage(whole.where("m = 2").select("conv_id", F.col("at").alias("i"), _name(F.col("a"), F.col("b")).alias("h")), "trie-blocks"))
-    named = convs.select("conv_id", F.lit(0).cast("long").alias("d"), _ROOT.alias("name"))
+    named = convs.select("conv_id", F.lit(0).cast("long").alias("d"), F.expr(_ROOT).alias("name"))
     for j in reversed(range(levels + 1)):
         # an even block starts where a cut above has been named and ends at a cut of this level
         below = blocks[j].where(F.col("i") % 2 == 0).select("conv_id", F.shiftleft("i", j).alias("d"), "h")
@@ -175,7 +175,7 @@ def build(t: DataFrame, convs: DataFrame) -> DataFrame:
     own = stage(own, "trie-own")
 
     ends = paths.select("conv_id", F.col("d").alias("n"), "name").join(convs, ["conv_id", "n"]).select(F.col("n").alias("d"), "name", "conv_id")
-    ends = ends.unionByName(convs.where("n = 0").select(F.lit(0).cast("long").alias("d"), _ROOT.alias("name"), "conv_id"))
+    ends = ends.unionByName(convs.where("n = 0").select(F.lit(0).cast("long").alias("d"), F.expr(_ROOT).alias("name"), "conv_id"))
     # what is known of a node comes from three places and meets in one sum
     facts = own.select("d", "name", "conv_id", "parent", "n_convs", "n_children")
     totals = facts.unionByName(_grafted(own, paths, levels), True).unionByName(_members(ends), True).groupBy("d", "name").agg(
@@ -188,7 +188,7 @@ def build(t: DataFrame, convs: DataFrame) -> DataFrame:
     # three tables of one row each
     root = root.withColumns({c: top.select(c).scalar() for c in ("n_children", "leaves", "saved")} | {"ends": root_ends.scalar()})
     root = root.select(
-        F.lit(0).cast("long").alias("d"), _ROOT.alias("name"), "conv_id", F.lit(None).cast("binary").alias("parent"), "n_convs", "n_children", "ends",
+        F.lit(0).cast("long").alias("d"), F.expr(_ROOT).alias("name"), "conv_id", F.lit(None).cast("binary").alias("parent"), "n_convs", "n_children", "ends",
         F.greatest(F.coalesce("leaves", F.lit(0)), F.lit(1)).cast("long").alias("leaves"), F.coalesce("saved", F.lit(0)).cast("long").alias("saved"),
     )
     every = totals.where("d > 0").unionByName(root)

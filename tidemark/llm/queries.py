@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from tidemark.llm import ann, hard_negatives, kneser_ney, masked_lm, mixing, packing, prefix_trie, rules, simhash, suffix, toxicity, warc
+from tidemark.llm import ann, hard_negatives, kneser_ney, masked_lm, mixing, packing, page_text, prefix_trie, rules, simhash, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,11 @@ def op10(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@_query("op11_main_text")
+def op11(spark, sf_dir):
+    return page_text.extract(_table(spark, sf_dir, "pages"))
+
+
 _OP12_SQL = """
 WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
