@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import column, stage
 
 #: Rows and anchors that meet in one task; rows and anchors that meet at once there.
-ROWS, ANCHORS, _ROWS, _ANCHORS = 65_536, 65_536, 8192, 256
+ROWS, ANCHORS, _ROWS, _ANCHORS = 16_384, 65_536, 8192, 256
 #: Where thresholds stop on their way from the top of a window to its lower end.
 _STOPS = (0.75, 0.625, 0.5, 0.25, 0.0)
 _CUTS = (0.0, 0.125, 0.25, 0.5, 1.0)
-_LAST = np.iinfo(np.int64).max
+_LAST = int(np.iinfo(np.int64).max)
 
 
 class Index:
@@ -97,18 +97,19 @@ def fill(index: Index, ids: np.ndarray, q: np.ndarray, accepts, low: np.ndarray,
     """(query, row, score): enough rows for the k best of each query with a score from
     ``low`` to ``high`` that ``accepts(query, row)`` takes. ``full`` is the score of the
     k-th best row that a query already has (-inf: fewer)."""
-    reach = np.linalg.norm(q.astype(float), axis=1) * index.largest + 1
-    top, end = np.minimum(high, reach), np.maximum(low, -reach)
+    reach = np.linalg.norm(q, axis=1) * index.largest + 1
+    floor = np.nextafter(low.astype(float), -np.inf)  # ends are longs, thresholds doubles
+    top, end = np.minimum(high, reach), np.maximum(floor, -reach)
     todo = np.flatnonzero((low <= high) & (top >= end))
     got, before = [], np.full(len(q), np.inf)
     for stop in _STOPS:
         if not len(todo):
             break
-        least = np.where(stop > 0, end[todo] + stop * (top[todo] - end[todo]), low[todo])
+        least = np.where(stop > 0, end[todo] + stop * (top[todo] - end[todo]), floor[todo])
         least = np.maximum(least, full[todo])
         i, r, score = index.join(q[todo], least)
         i = todo[i]
-        new = (score < before[i]) & (score <= high[i])
+        new = (score < before[i]) & (score <= high[i]) & (score >= low[i])
         i, r, score = i[new], r[new], score[new]
         ok = accepts(i, r)
         got.append((i[ok], r[ok], score[ok]))
@@ -117,14 +118,14 @@ def fill(index: Index, ids: np.ndarray, q: np.ndarray, accepts, low: np.ndarray,
         got = [(i[kept], r[kept], score[kept])]
         before[todo] = least
         # full, or nothing below can be among the best
-        done = (np.bincount(got[0][0], minlength=len(q))[todo] >= k) | (full[todo] >= least) | (least <= low[todo])
+        done = (np.bincount(got[0][0], minlength=len(q))[todo] >= k) | (full[todo] >= least) | (least <= floor[todo])
         todo = todo[~done]
     return got[0] if got else (np.empty(0, int),) * 3
 
 
 def _search(k: int, same: bool):
     """Cogrouped: each query's k best rows of one block, of its own label or of others."""
-    schema = {"anchor": np.int64, "mark": np.int64, "low": np.float64, "high": np.float64, "vec_id": np.int64, "score": np.int64}
+    schema = {"anchor": np.int64, "mark": np.int64, "low": np.int64, "high": np.int64, "vec_id": np.int64, "score": np.int64}
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -159,7 +160,7 @@ def _search(k: int, same: bool):
     return run
 
 
-_FOUND = "anchor long, mark long, low double, high double, vec_id long, score long"
+_FOUND = "anchor long, mark long, low long, high long, vec_id long, score long"
 
 
 def _joined(rows: DataFrame, asked: DataFrame, k: int, same: bool, per: list[str]) -> DataFrame:
@@ -189,8 +190,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     part. A null id comes after all others and is no anchor. Rows equal in id, label and
     vector are one row; of rows with one id and different content each is an anchor and
     a candidate of its own. Labels are whole numbers, others are compared by a hash. Vectors meet only those of their own length. Vectors of any
-    length are taken whole; scores past 2^53 are computed in whole numbers, but the ends of
-    their windows are doubles, and a score past a long becomes the nearest long.
+    length are taken whole; scores past 2^53 are computed in whole numbers. A score past a
+    long becomes the nearest long, from which its window follows.
     """
     x = lambda v: v.cast("double") * F.lit(float(scale))
     whole = lambda v: F.when(F.abs(x(v)) < 2.0**52, F.floor(x(v)).cast("double")).otherwise(x(v))
@@ -201,11 +202,11 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     rows = rows.select(F.coalesce("vec_id", F.lit(_LAST)).alias("vec_id"), F.xxhash64("label", "v").alias("mark"), "label", "v", F.size("v").alias("dim"), is_anchor.alias("asks"))
     rows = stage(rows, "negatives-rows")
     anchors = stage(rows.where("asks").withColumnRenamed("vec_id", "anchor").drop("asks"), "negatives-anchors")
-    rows, ends = rows.drop("asks"), {"low": F.lit(float("-inf")), "high": F.lit(float("inf"))}
+    rows, ends = rows.drop("asks"), {"low": F.lit(-_LAST), "high": F.lit(_LAST)}
     near = _joined(rows, anchors.withColumns(ends), positives, True, ["anchor", "mark"])
     near = stage(near.select("anchor", "mark", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
     share = lambda p: F.col("positive_score").cast("decimal(20,0)") * p / 100
-    ends = {"low": F.ceil(share(low)).cast("double"), "high": F.floor(share(high)).cast("double")}
+    ends = {"low": F.ceil(share(low)).cast("long"), "high": F.floor(share(high)).cast("long")}
     # positives of one score have the same window
     windows = near.select("anchor", "mark", "positive_score").distinct().withColumns(ends)
     per = ["anchor", "mark", "low", "high"]
