@@ -5,77 +5,180 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.java_gateway import JavaObject, is_instance_of
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, as_dataset
 from tidemark.operators.cleaning import col
+from tidemark.session import pin
 
-# Words and patterns a read-only statement must not contain.
-FORBIDDEN_WORDS = (
-    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "DETACH", "COPY", "EXPORT",
-    "IMPORT", "PRAGMA", "INSTALL", "LOAD", "SET", "CALL", "EXEC", "EXECUTE", "GRANT", "REVOKE",
-)
-FORBIDDEN_PATHS = (
-    r"\.\.[/\\]", r"/[a-zA-Z0-9_\-]+/[a-zA-Z0-9_\-]+", r"[a-zA-Z]:[/\\]",
-    "read_csv", "read_parquet", "read_json", "scan_csv", "scan_parquet", r"http[s]?://",
-)
-WORDS_RE = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
-PATHS_RE = "(?i)(" + "|".join(FORBIDDEN_PATHS) + ")"
-START_RE = r"(?i)^(SELECT|WITH)\b"
-# Words that reach files, programs or the Java runtime in Spark SQL.
-SPARK_PATHS_RE = r"(?i)\b(parquet|csv|json|orc|text|xml|binaryFile|delta|jdbc|avro)`?\s*\.\s*`"
-DENIED_RE = r"(?i)\b(java_method|reflect|try_reflect|read_files|input_file_name|input_file_block_start|input_file_block_length)\s*\(|\busing\s*['\"]"
+#: The names a statement may read besides those it defines with WITH.
 VIEWS = ("data_clean", "df", "dataset", "data_observed")
-
-# What is left of a statement without comments and the insides of text literals.
-COMMENT_RE = r"--[^\n]*|/\*[^*]*\*+([^/*][^*]*\*+)*/"
-LITERAL_RE = r"'[^']*'"
-# FROM inside these calls names no table.
-CALL_FROM_RE = r"(?i)\b(extract|trim|substring|substr|overlay)\s*\([^()]*\)|\bdistinct\s+from\b"
-FROM_LIST_RE = r"(?i)\bfrom\s+[`\w.]+(\s+(as\s+)?`?\w+`?)?\s*,"
-TABLE_RE = r"(?i)\b(?:from|join)\s+([^\s(),;]+)"
-NAMED_RE = r"(?i)(?:\bwith|\brecursive|,)\s*`?(\w+)`?\s+as\s*\("
+# Plan nodes that a reading statement is made of, as Spark's parser names them.
+PLANS = frozenset(
+    "Project Filter Aggregate Sort Distinct Deduplicate GlobalLimit LocalLimit Offset Union Intersect Except Join LateralJoin SubqueryAlias UnresolvedSubqueryColumnAliases "
+    "UnresolvedWith UnresolvedHaving UnresolvedHint WithWindowDefinition Window Generate Pivot UnresolvedPivot Unpivot Sample Expand RepartitionByExpression Repartition "
+    "OneRowRelation OneRowRelation$ LocalRelation UnresolvedInlineTable UnresolvedRelation UnresolvedTableValuedFunction".split()
+)
+# Table functions that make rows out of their arguments alone.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+# Built-in functions that reach files or the Java runtime.
+DENIED_FUNCTIONS = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length".split())
 MESSAGES = {
-    "empty": "The statement is empty.", "multiple statements": "Only one statement is allowed.", "forbidden keyword": "The statement has a word that changes data or settings.",
-    "external access": "The statement reaches outside the two views.", "not a select": "The statement has to begin with SELECT or WITH.",
+    "empty": "The statement is empty.", "multiple statements": "Only one statement is allowed.", "not a select": "Only statements that read are allowed.",
+    "external access": "The statement reaches outside the two views.", "unreadable": "The statement cannot be parsed.",
 }
-
-
-def statement_reason(sql: Column) -> Column:
-    """SQ-02 as an expression: NULL for an allowed statement, else why not.
-
-    Tables are the four view names and names the statement defines with WITH; a
-    list of tables after FROM has to be written as joins."""
-    s = F.trim(sql)
-    bare = F.regexp_replace(F.regexp_replace(s, COMMENT_RE, " "), LITERAL_RE, "''")
-    tables = F.regexp_extract_all(F.regexp_replace(bare, CALL_FROM_RE, " "), F.lit(TABLE_RE), F.lit(1))
-    named = F.regexp_extract_all(bare, F.lit(NAMED_RE), F.lit(1))
-    low = lambda xs: F.transform(xs, lambda x: F.lower(F.replace(x, F.lit("`"), F.lit(""))))
-    foreign = F.size(F.array_except(low(tables), F.concat(low(named), F.array(*map(F.lit, VIEWS))))) > 0
-    return (
-        F.when(s.isNull() | (s == ""), "empty")
-        .when(F.regexp_replace(s, ";+$", "").contains(";"), "multiple statements")
-        .when(s.rlike(WORDS_RE), "forbidden keyword")
-        .when(s.rlike(PATHS_RE) | s.rlike(SPARK_PATHS_RE) | s.rlike(DENIED_RE), "external access")
-        .when(~s.rlike(START_RE), "not a select")
-        .when(bare.rlike(FROM_LIST_RE) | foreign, "external access")
-    )
+_CATALYST = "org.apache.spark.sql.catalyst"
+#: A number that stands alone: statements that differ in nothing else have one verdict.
+_NUMBER_RE = r"(?<![\w.\\$])\d+(?![\w.])"
+_CHUNK = 5000
+
+
+class _Refused(Exception):
+    """Why a statement is not allowed."""
+
+
+class StatementGuard:
+    """SQ-02: reads a statement with the session's own parser and walks the plan that it
+    builds. Every relation has to be one of the four views or a name that a WITH defines
+    for that place, every table function and function a known built-in one, and every
+    node one of a reading statement; so no wording can hide a table.
+
+    The parser is part of the driver: a Spark Connect session has none."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
+        self._parser = spark._jsparkSession.sessionState().sqlParser()
+        self._builtin = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - DENIED_FUNCTIONS
+
+    def reason(self, sql: str | None) -> str | None:
+        """None for an allowed statement, else a key of ``MESSAGES``."""
+        if sql is None or not sql.strip().rstrip(";").strip():
+            return "empty"
+        if "${" in sql:  # the parser puts settings and environment variables there
+            return "external access"
+        try:
+            plan = self._parser.parsePlan(sql)
+        except (ParseException, Py4JJavaError):
+            ends = (i for i, c in enumerate(sql) if c == ";")
+            return "multiple statements" if any(self._parses(sql[:i]) for i in ends) else "unreadable"
+        try:
+            self._walk(plan, frozenset(VIEWS))
+        except _Refused as e:
+            return str(e)
+        return None
+
+    def body(self, sql: str) -> str:
+        """An allowed statement without what ends it."""
+        text = sql.strip()
+        whole = self._shape(text)
+        for i in range(len(text) - 1, -1, -1):
+            if text[i] == ";" and self._parses(text[:i]) and self._shape(text[:i]) == whole:
+                return self.body(text[:i])
+        return text
+
+    def _shape(self, sql: str) -> str:
+        return re.sub(r"#\d+", "#", self._parser.parsePlan(sql).toString())
+
+    def _parses(self, sql: str) -> bool:
+        try:
+            self._parser.parsePlan(sql)
+        except (ParseException, Py4JJavaError):
+            return False
+        return True
+
+    def _is(self, x, name: str) -> bool:
+        return is_instance_of(self._gateway, x, name)
+
+    def _walk(self, x, names: frozenset[str]) -> None:
+        """All plans and expressions below ``x``, through lists, options and pairs;
+        ``names`` are the relations that can be read here."""
+        if not isinstance(x, JavaObject):
+            return
+        if self._is(x, f"{_CATALYST}.plans.logical.LogicalPlan"):
+            kind = x.getClass().getSimpleName()
+            if kind == "ScriptTransformation":
+                raise _Refused("external access")
+            if kind not in PLANS:
+                raise _Refused("external access" if "Identifier" in kind or "TimeTravel" in kind or "Relation" in kind else "not a select")
+            if kind == "UnresolvedRelation" and (x.isStreaming() or self._name(x.multipartIdentifier()) not in names):
+                raise _Refused("external access")
+            if kind == "UnresolvedTableValuedFunction" and self._name(x.name()) not in TABLE_FUNCTIONS:
+                raise _Refused("external access")
+            if kind == "UnresolvedWith":
+                self._with(x, names)
+                return
+        elif self._is(x, f"{_CATALYST}.expressions.Expression"):
+            kind = x.getClass().getSimpleName()
+            if "UnresolvedIdentifier" in kind or (kind == "UnresolvedFunction" and self._name(x.nameParts()) not in self._builtin):
+                raise _Refused("external access")
+        if self._is(x, "scala.collection.IterableOnce"):
+            self._each(x.iterator(), names)
+        elif self._is(x, "scala.Product"):
+            self._each(x.productIterator(), names)
+
+    def _each(self, it, names: frozenset[str]) -> None:
+        while it.hasNext():
+            self._walk(it.next(), names)
+
+    def _with(self, x, names: frozenset[str]) -> None:
+        """A name holds in the definitions after its own and in the statement itself; in
+        its own only if WITH is recursive."""
+        it = x.cteRelations().iterator()
+        while it.hasNext():
+            pair = it.next()
+            name = pair._1().lower()
+            self._walk(pair._2(), names | {name} if x.allowRecursion() else names)
+            names = names | {name}
+        self._walk(x.child(), names)
+
+    @staticmethod
+    def _name(parts) -> str:
+        """The lower-case name, whole: ``a.b`` is none of the known names."""
+        return parts.mkString("\0").lower()
 
 
 def check_statements(df: DataFrame, sql: str) -> DataFrame:
-    """SQ-02 over a table of statements."""
-    r = statement_reason(F.col(sql))
-    return df.withColumns({"reason": r, "allowed": r.isNull()})
+    """SQ-02 over a table of statements: adds ``reason`` and ``allowed``.
+
+    Spark's parser belongs to the driver. Statements that differ only in numbers have one
+    verdict, and each different one is parsed there, some thousands at a time."""
+    spark = df.sparkSession
+    guard = StatementGuard(spark)
+    s = col(sql).cast("string")
+    # in back quotes a number is part of a name
+    shaped = df.withColumn("_shape", F.when(s.contains("`"), s).otherwise(F.regexp_replace(s, _NUMBER_RE, "0")))
+    out, held = [], []
+
+    def told() -> None:
+        if held:
+            out.append(pin(spark.createDataFrame([(x, guard.reason(x)) for x in held], "_told string, reason string"), "statements"))
+            held.clear()
+
+    for r in shaped.select("_shape").distinct().toLocalIterator():
+        held.append(r[0])
+        if len(held) == _CHUNK:
+            told()
+    told()
+    if not out:
+        return df.withColumns({"reason": F.lit(None).cast("string"), "allowed": F.lit(None).cast("boolean")})
+    verdicts = reduce(DataFrame.unionByName, out)
+    return shaped.join(verdicts, F.col("_shape").eqNullSafe(F.col("_told")), "left").drop("_shape", "_told").withColumn("allowed", F.col("reason").isNull())
 
 
 def guard_statement(spark: SparkSession, sql: str) -> str:
     """SQ-02 for one statement: the text to run, or a ValueError."""
-    reason = spark.range(1).select(statement_reason(F.lit(sql)).alias("reason")).first()["reason"]
+    guard = StatementGuard(spark)
+    reason = guard.reason(sql)
     if reason:
         raise ValueError(f"{reason}: {MESSAGES[reason]}")
-    return sql.strip().rstrip(";")
+    return guard.body(sql)
 
 
 def query_sql(ds: Dataset | DataFrame, sql: str, max_rows: int | None = None) -> DataFrame:
@@ -93,9 +196,8 @@ def query_sql(ds: Dataset | DataFrame, sql: str, max_rows: int | None = None) ->
     ds.clean().createOrReplaceTempView(clean)
     ds.observed().createOrReplaceTempView(observed)
     views = ", ".join(f"{v} AS (SELECT * FROM {observed if v == 'data_observed' else clean})" for v in VIEWS)
-    first = re.match(r"(?i)with(\s+recursive)?\b", body)
     try:
-        out = spark.sql(f"WITH{first[1] or ''} {views}, {body[first.end():]}" if first else f"WITH {views} {body}")
+        out = spark.sql(f"WITH {views} SELECT * FROM (\n{body}\n)")
     finally:
         for name in (clean, observed):
             spark.catalog.dropTempView(name)

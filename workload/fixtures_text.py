@@ -11,7 +11,7 @@ QUESTIONS = """SELECT o_orderkey AS question_id, CASE o_orderkey % 14
  WHEN 12 THEN 'Number of visits, non-missing only' ELSE 'Headcount by department' END AS question FROM orders"""
 COLUMNS = ["order_id", "customer_id", "order_date", "priority", "unit_price", "quantity", "salary", "age", "visits", "churned"]
 
-STATEMENTS = """SELECT o_orderkey AS statement_id, CASE o_orderkey % 19
+STATEMENTS = """SELECT o_orderkey AS statement_id, CASE o_orderkey % 32
  WHEN 0 THEN 'SELECT avg(o_totalprice) FROM data_clean WHERE o_custkey = ' || CAST(o_custkey AS STRING) WHEN 1 THEN 'DROP TABLE data_clean'
  WHEN 2 THEN '  ' WHEN 3 THEN 'SELECT 1; SELECT ' || CAST(o_custkey AS STRING) WHEN 4 THEN 'SELECT * FROM read_csv(''x.csv'')'
  WHEN 5 THEN 'with t as (select 1 as a) select a from t;' WHEN 6 THEN 'SHOW TABLES' WHEN 7 THEN 'SELECT * FROM ''/etc/hosts/' || CAST(o_orderkey AS STRING) || ''''
@@ -20,6 +20,10 @@ STATEMENTS = """SELECT o_orderkey AS statement_id, CASE o_orderkey % 19
  WHEN 13 THEN 'SELECT * FROM spark_catalog.default.t' || CAST(o_custkey AS STRING) WHEN 14 THEN 'SELECT * FROM df, payroll'
  WHEN 15 THEN 'SELECT a.x FROM df a JOIN payroll b ON a.x = b.x' WHEN 16 THEN 'WITH t AS (SELECT x FROM df), u AS (SELECT x FROM t) SELECT * FROM u JOIN data_observed USING (x)'
  WHEN 17 THEN 'SELECT ''from payroll'' AS a, extract(year FROM b) FROM data_clean -- from payroll' WHEN 18 THEN 'SELECT * FROM (SELECT x FROM/**/payroll)'
+ WHEN 19 THEN 'SELECT * FROM (payroll)' WHEN 20 THEN 'SELECT * FROM (TABLE payroll)' WHEN 21 THEN 'SELECT * FROM (SELECT 1) t, payroll'
+ WHEN 22 THEN 'SELECT x FROM df UNION ALL TABLE payroll' WHEN 23 THEN 'SELECT x FROM df WHERE s = ''update'' OR s = ''drop ' || CAST(o_custkey AS STRING) || '''' WHEN 24 THEN 'SELECT x FROM df WHERE x IN (SELECT y FROM payroll)'
+ WHEN 25 THEN 'SELECT max(a) FROM (SELECT x AS a FROM dataset) t JOIN (SELECT x FROM data_clean WHERE x > ' || CAST(o_custkey AS STRING) || ') u ON a = u.x' WHEN 26 THEN 'SELECT (SELECT max(y) FROM payroll) AS m FROM df'
+ WHEN 27 THEN 'INSERT INTO df SELECT ' || CAST(o_custkey AS STRING) WHEN 28 THEN 'SELECT x FROM df EXCEPT SELECT x FROM data_observed' WHEN 29 THEN 'SELECT * FROM df a, data_observed b' WHEN 30 THEN 'TABLE payroll'
  ELSE 'SELECT created, inserted FROM data_observed' END AS statement FROM orders"""
 
 INSIGHT_ROWS = """SELECT p_partkey AS insight_key, 'insight-' || CAST(p_partkey AS STRING) AS insight_id,
