@@ -193,6 +193,36 @@ def test_adjusted_p_values_by_hand(spark, range_rows):
             assert got[g, i] == pytest.approx(want)
 
 
-def test_long_series_need_groups(spark):
-    with pytest.raises(ValueError, match="by"):
-        wn.period_index(spark.range(wn.SERIES_ROWS + 1), "id")
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_long_series_are_cut(spark, by):
+    r = random.Random(4)
+    rows = [(r.choice(["a", None]), i, r.choice([None, float(r.randint(0, 9))])) for i in range(300)]
+    d = spark.createDataFrame(rows, "g string, t int, v double").repartition(6)
+    got = {x["t"]: x["rolling_mean"] for x in wn.rolling_mean(d, "t", "v", 5, by, series_rows=7).collect()}
+    at = {x["t"]: x["idx"] for x in wn.period_index(d, "t", by).collect()}
+    for g in ("a", None) if by else (0,):
+        mine = [x for x in rows if not by or x[0] == g]
+        for i, x in enumerate(mine):
+            some = [y[2] for y in mine[max(0, i - 4) : i + 1] if y[2] is not None]
+            assert at[x[1]] == i
+            assert got[x[1]] == (pytest.approx(sum(some) / len(some), abs=0.0051) if some else None)
+
+
+def test_adjusted_p_values_with_null_groups(spark):
+    d = spark.createDataFrame([(None, 0.01), (None, 0.04), ("a", 0.5), (None, None)], "g string, p double")
+    assert sorted(((x["g"], x["p"], x["p_adj"]) for x in wn.bh_adjust(d, "p", ["g"]).collect()), key=str) == sorted([(None, 0.01, 0.02), (None, 0.04, 0.04), ("a", 0.5, 0.5), (None, None, None)], key=str)
+
+
+def test_numbers_without_end(spark):
+    """Infinity, NaN and null on both sides, and nine in ten numbers in one narrow range."""
+    inf, nan, rnd = float("inf"), float("nan"), random.Random(1)
+    nums = [inf, -inf, nan, None, 1e300, 5.0] + [100 + rnd.random() / 1000 for _ in range(900)]
+    pool = [inf, nan, None, 1e300, 5.04, 100.0005]
+    n, p = spark.createDataFrame([(x,) for x in nums], "number double"), spark.createDataFrame([(x,) for x in pool], "value double")
+    got = {str(r["number"]): r["result"] for r in jn.classify_numbers(n, p).collect()}
+    assert len(got) == 905 and {got["inf"], got["-inf"], got["nan"]} == {"unverifiable"}
+    assert got["1e+300"] == "match" and got["5.0"] == "rounding" and list(got.values()).count("rounding") == 901
+    few = {r["number"]: (r["lower"], r["upper"]) for r in jn.nearest_values(n, p, ranges=5).collect()}
+    for x in [v for v in nums if v is not None and abs(v) < inf]:
+        known = [5.04, 100.0005, 1e300]
+        assert few[x] == (max((k for k in known if k <= x), default=None), min((k for k in known if k >= x), default=None))

@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring as sc, tails, text as tx
+from tidemark.functions import quantiles, scoring as sc, tails, text as tx
 from tidemark.functions.labels import format_label, title_case
+from tidemark.functions.ranges import carry, join_keys, running_sum
 from tidemark.functions.quantiles import cumulative_histogram, exact_quantiles, value_histogram, values_at_ranks
 
 
@@ -32,11 +33,13 @@ def test_corr_p_value_edges(spark):
     assert p[0.5] == pytest.approx(0.004898, abs=1e-5)
 
 
-@pytest.mark.parametrize("shape", ["hot", "normal", "few", "one", "constant"])
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_quantiles_equal_brute_force(spark, shape, accuracy):
+@pytest.mark.parametrize("shape", ["hot", "normal", "few", "one", "constant", "narrow"])
+@pytest.mark.parametrize("accuracy, here", [(50, 50_000), (10_000, 50_000), (50, 10), (10_000, 10)])
+def test_exact_quantiles_equal_brute_force(spark, monkeypatch, shape, accuracy, here):
+    monkeypatch.setattr(quantiles, "CELL_VALUES", here)
     rnd = random.Random(7)
     values = {
+        "narrow": [rnd.gauss(0, 10) for _ in range(300)] + [3 + rnd.random() * 1e-9 for _ in range(2700)],
         "hot": [42.5] * 1000 + [rnd.uniform(0, 100) for _ in range(2000)], "normal": [rnd.gauss(0, 10) for _ in range(3000)],
         "few": [1.0, 2.0], "one": [3.25], "constant": [5.0] * 700,
     }[shape]
@@ -65,18 +68,40 @@ def test_exact_quantiles_without_values(spark):
     assert [(r["column"], r["value"]) for r in exact_quantiles(d, ["x", "y"], [0.5]).collect()] == [("y", 1.5)]
 
 
-@pytest.mark.parametrize("splits", [2, 16, 100, 256])
-def test_rank_lookup_equals_sorted_list(spark, splits):
+@pytest.mark.parametrize("ranges", [None, 2, 16, 100])
+def test_rank_lookup_equals_sorted_list(spark, ranges):
     rnd = random.Random(5)
-    values = [float(rnd.randint(0, 300)) for _ in range(3000)] + [77.0] * 1500
-    hist = cumulative_histogram(value_histogram(spark.createDataFrame([("c", v) for v in values], "column string, value double")), splits=splits)
+    # nine in ten values lie within 0.001
+    values = [float(rnd.randint(0, 300)) for _ in range(300)] + [77.0] * 1500 + [50 + rnd.random() / 1000 for _ in range(2700)]
+    hist = cumulative_histogram(value_histogram(spark.createDataFrame([("c", v) for v in values], "column string, value double")), ranges)
     n = len(values)
     ranks = spark.createDataFrame([("c", r, n) for r in range(0, n, 37)], "column string, rank long, n long")
     s = sorted(values)
-    for r in values_at_ranks(hist, ranks, buckets=32).collect():
+    for r in values_at_ranks(hist, ranks, ranges).collect():
         assert r["found"] == s[r["rank"]]
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_sums_and_carried_values_over_ranges(spark, ranges):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, 1.0])) for i in range(500)]
+    d = spark.createDataFrame([(g, i, v and float(i)) for g, i, v in rows], "g string, i int, v double").repartition(5)
+    sums = {r["i"]: (r["upto"], r["total"]) for r in running_sum(d, ["g"], ["i"], "i", ranges).collect()}
+    near = {r["i"]: (r["below"], r["above"]) for r in carry(d, ["g"], ["i"], "v", ranges).collect()}
+    for g, i, _ in rows:
+        mine = [x[1] for x in rows if x[0] == g]
+        known = [x[1] for x in rows if x[0] == g and x[2]]
+        assert sums[i] == (sum(x for x in mine if x <= i), sum(mine))
+        assert near[i] == (max((x for x in known if x <= i), default=None), min((x for x in known if x >= i), default=None))
+
+
+def test_join_keys_takes_nulls_for_equal(spark):
+    a, b = spark.createDataFrame([("x", 1), (None, 2)], "k string, a int"), spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")
+    rows = lambda how: sorted(((r["k"], r["a"], r["b"]) for r in join_keys(a, b, ["k"], how).collect()), key=str)
+    assert rows("inner") == [(None, 2, 3)] and rows("left") == sorted([("x", 1, None), (None, 2, 3)], key=str)
+    assert rows("full") == sorted([("x", 1, None), (None, 2, 3), ("y", None, 4)], key=str)
+
+
 def test_numbers_in_text(spark):
     cases = {
         "Revenue rose to $1,234.50 (12%) in 2024, see TXN-1003 on 2025-03-23.": [1234.5, 12.0],

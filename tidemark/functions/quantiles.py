@@ -3,20 +3,25 @@
 ``percentile`` keeps a map of all distinct values of a group in one aggregation
 buffer. Here a mergeable sketch first brackets each wanted quantile, then one
 columnar pass counts the rows below each bracket and one pass collects only the
-values inside it (a few n/accuracy per quantile). The result is exact, with
-linear interpolation between neighbours.
+values inside it (a few n/accuracy per quantile). Where those are still many, they get their
+ranks in ranges of the order. The result is exact, with linear interpolation between
+neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dataset import as_double
+from tidemark.functions.ranges import carry, join_keys, running_sum
+from tidemark.session import pin
 
 BROADCAST_ROWS = 10_000
+#: So many values of one quantile's bracket are summed up in one place, more in ranges.
+CELL_VALUES = 50_000
 
 
 def _number(x: float | None) -> str:
@@ -86,27 +91,21 @@ def exact_quantiles(
         size = lambda i: f"{row[f'_n{i}']}L"
 
     below = (joined.groupBy(*knames) if by else joined).agg(*[
-        F.expr(f"named_struct('ci', {i}, 'pi', {j}, 'v', CAST(NULL AS DOUBLE), 'cnt', count_if(_v{i} < {lo(i, j)}), 'n', max({size(i)})) AS _c{i}_{j}")
+        F.expr(
+            f"named_struct('ci', {i}, 'pi', {j}, 'below', count_if(_v{i} < {lo(i, j)}), 'inside', count_if(_v{i} BETWEEN {lo(i, j)} AND {hi(i, j)}), 'n', max({size(i)})) AS _c{i}_{j}"
+        )
         for i, j in cells
     ])
-    # The rows below a bracket enter the running sum as one leading row.
-    leading = below.selectExpr(*knames, "inline(array(" + ", ".join(f"_c{i}_{j}" for i, j in cells) + "))").filter("n > 0")
+    below = pin(below.selectExpr(*knames, "inline(array(" + ", ".join(f"_c{i}_{j}" for i, j in cells) + "))").filter("n > 0"), "quantile-brackets")
     inside = ", ".join(
         f"named_struct('ci', {i}, 'pi', {j}, 'v', CASE WHEN _v{i} BETWEEN {lo(i, j)} AND {hi(i, j)} THEN _v{i} END)" for i, j in cells
     )
-    hits = joined.selectExpr(*knames, f"inline(filter(array({inside}), s -> s.v IS NOT NULL))").groupBy(*knames, "ci", "pi", "v").agg(F.count("*").alias("cnt"))
-
-    cell = Window.partitionBy(*knames, "ci", "pi")
-    running = cell.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = leading.unionByName(hits.withColumn("n", F.lit(None).cast("long"))).withColumns(
-        {"upto": F.sum("cnt").over(running), "n": F.max("n").over(cell)}
-    )
+    cell = [*knames, "ci", "pi"]
+    hits = joined.selectExpr(*knames, f"inline(filter(array({inside}), s -> s.v IS NOT NULL))").groupBy(*cell, "v").agg(F.count("*").alias("cnt"))
+    most = below.agg(F.max("inside")).first()[0] or 0
     pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("pi") + 1) * (F.col("n") - 1)
-    holds = lambda r: r.between(F.col("upto") - F.col("cnt"), F.col("upto") - 1) & F.col("v").isNotNull()
-    picked = ranked.withColumn("pos", pos).groupBy(*knames, "ci", "pi", "n", "pos").agg(
-        F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("a"),
-        F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("z"),
-    )
+    below = below.drop("inside").withColumn("pos", pos)
+    picked = _picked_here(hits, below, cell) if most <= CELL_VALUES else _picked_in_ranges(hits, below, cell)
     value = F.when(
         F.col("a").isNull() | F.col("z").isNull(),
         F.raise_error(F.lit("a quantile fell outside its bracket: raise `accuracy`")).cast("double"),
@@ -122,6 +121,24 @@ def exact_quantiles(
     )
 
 
+def _picked_here(hits: DataFrame, below: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """``below`` with ``a`` and ``z``, the values around ``pos``: each cell's few values
+    are sorted and counted off in one row."""
+    values = hits.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("v", "cnt"))).alias("xs"))
+    start = "named_struct('upto', below, 'a', CAST(NULL AS DOUBLE), 'z', CAST(NULL AS DOUBLE))"
+    pick = "CASE WHEN s.upto <= {0}(pos) AND {0}(pos) < s.upto + x.cnt THEN x.v ELSE s.{1} END"
+    step = f"named_struct('upto', s.upto + x.cnt, 'a', {pick.format('floor', 'a')}, 'z', {pick.format('ceil', 'z')})"
+    out = join_keys(values, below, cell, "right").withColumn("_end", F.expr(f"aggregate(xs, {start}, (s, x) -> {step})"))
+    return out.select(*cell, "n", "pos", "_end.a", "_end.z")
+
+
+def _picked_in_ranges(hits: DataFrame, below: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """The same for cells of any size, ranked in ranges of their order."""
+    ranked = join_keys(running_sum(hits, cell, ["v"], "cnt"), below, cell, "right").withColumn("upto", F.col("upto") + F.col("below"))
+    holds = lambda r: r.between(F.col("upto") - F.col("cnt"), F.col("upto") - 1)
+    return ranked.groupBy(*cell, "n", "pos").agg(F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("a"), F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("z"))
+
+
 def quantile_columns(df: DataFrame, columns: Sequence[str], probs: dict[str, float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Wide form of :func:`exact_quantiles`: one row per (by..., column)."""
     long = exact_quantiles(df, columns, list(probs.values()), by, accuracy)
@@ -136,44 +153,21 @@ def value_histogram(values: DataFrame) -> DataFrame:
     return values.filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("cnt"))
 
 
-def cumulative_histogram(hist: DataFrame, splits: int = 256) -> DataFrame:
+def cumulative_histogram(hist: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per ``column``: each distinct ``value`` with its count, the number of rows
-    below it and the total, from a value histogram.
-
-    The running sum is two-level: inside value ranges, and over the at most
-    ``splits`` range totals of a column, so no task sorts a whole column.
-    """
-    cuts = [i / splits for i in range(1, splits)]
-    edges = hist.groupBy("column").agg(F.percentile_approx("value", F.array(*[F.lit(x) for x in cuts]), 10_000).alias("edges"))
-    edges = bounded_broadcast(edges, 5_000)
-    # Two steps find the range: every 16th edge first, then the 16 edges there.
-    coarse = "size(filter(transform(sequence(1, size(edges) div 16 + 1), k -> get(edges, k * 16 - 1)), e -> e < value))"
-    fine = "size(filter(slice(edges, _c * 16 + 1, 16), e -> e < value))"
-    placed = hist.join(edges, "column").withColumn("_c", F.expr(coarse)).withColumn("range", F.expr(f"_c * 16 + {fine}")).drop("edges", "_c")
-    totals = placed.groupBy("column", "range").agg(F.sum("cnt").alias("range_cnt"))
-    wt = Window.partitionBy("column")
-    totals = totals.select(
-        "column", "range",
-        (F.sum("range_cnt").over(wt.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_cnt")).alias("range_before"),
-        F.sum("range_cnt").over(wt).alias("n"),
-    )
-    inner = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("_upto", F.sum("cnt").over(inner)).join(totals, ["column", "range"]).select(
-        "column", "value", "cnt", (F.col("range_before") + F.col("_upto") - F.col("cnt")).alias("before"), "n"
-    )
+    below it and the total, from a value histogram. The running sum goes over ranges of
+    the values, of which there are the more the more values there are."""
+    out = running_sum(hist.select("column", "value", "cnt"), ["column"], ["value"], "cnt", ranges)
+    return out.select("column", "value", "cnt", (F.col("upto") - F.col("cnt")).alias("before"), F.col("total").alias("n"))
 
 
-def values_at_ranks(hist: DataFrame, ranks: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Adds ``found``, the value at each zero-based ``rank`` of ``ranks``
-    (column, rank, n, ...), from a cumulative histogram. Both sides are cut into
-    rank buckets; inside a bucket one sorted pass carries the last value
-    forward, so no pairs are built."""
+def values_at_ranks(hist: DataFrame, ranks: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Adds ``found``, the value at each zero-based ``rank`` of ``ranks`` (column, rank,
+    n, ...), from a cumulative histogram: in the order of ranks the last value that
+    begins at or before it. Ranks past the end find nothing."""
     extra = [c for c in ranks.columns if c not in ("column", "rank", "n")]
-    width = F.greatest(F.lit(1), F.ceil(F.col("n") / buckets)).cast("long")
-    h = hist.select("column", "n", F.col("value").alias("_v"), F.col("before").alias("rank"), (F.col("before") + F.col("cnt") - 1).alias("_last"))
-    h = h.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("rank") / width), F.floor(F.col("_last") / width))))
-    h = h.select("column", "n", "_v", "_bucket", F.greatest(F.col("rank"), F.col("_bucket") * width).alias("rank"), F.lit(0).alias("_side"))
-    r = ranks.withColumns({"_bucket": F.floor(F.col("rank") / width), "_side": F.lit(1)})
-    w = Window.partitionBy("column", "_bucket").orderBy("rank", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = h.unionByName(r, allowMissingColumns=True).withColumn("found", F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").select("column", "rank", "n", *extra, "found")
+    starts = hist.select("column", F.col("before").alias("rank"), F.lit(0).alias("_side"), F.col("value").alias("_v"))
+    asked = ranks.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast("double")})
+    both = carry(starts.unionByName(asked, allowMissingColumns=True), ["column"], ["rank", "_side"], "_v", ranges)
+    fits = (F.col("rank") >= 0) & (F.col("rank") < F.col("n"))
+    return both.filter("_side = 1").select("column", "rank", "n", *extra, F.when(fits, F.col("below")).alias("found"))

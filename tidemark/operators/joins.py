@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset
+from tidemark.functions.ranges import carry, join_keys
 
 ABS_TOLERANCE = 0.05
 REL_TOLERANCE = 0.02
@@ -29,36 +29,26 @@ def join_claims(claims: DataFrame, metrics: DataFrame, tol: float = 0.05) -> Dat
     )
 
 
-def tolerance_bucket(x: Column, rel: float, abs_: float) -> Column:
-    """A bucket number that grows with ``x`` so slowly that a value and anything
-    within ``rel`` or ``abs_`` of it are at most one bucket apart: linear near
-    zero, logarithmic beyond."""
-    edge, step, log_step = 1.1 * abs_ / rel, 1.3 * abs_, -1.05 * math.log1p(-rel)
-    far = F.signum(x) * (F.lit(edge / step) + F.ln(F.abs(x) / edge) / log_step)
-    return F.floor(F.when(F.abs(x) <= edge, x / step).otherwise(far))
+def finite(x: Column) -> Column:
+    """Not null, not NaN, not infinite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def nearest_values(
-    nums: DataFrame, pool: DataFrame, by: Sequence[str] = (), rel: float = REL_TOLERANCE, abs_: float = ABS_TOLERANCE
-) -> DataFrame:
-    """(by..., number, lower, upper): the closest pool values at or below and
-    above each distinct number, among those that can be within tolerance.
+def nearest_values(nums: DataFrame, pool: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """(by..., number, lower, upper): the closest pool values at or below and above each
+    distinct number. Null keys are a group; numbers and pool values that are null, NaN or
+    infinite are left out.
 
-    Numbers and pool values are made distinct first, so a value that fills a
-    third of the rows is one row here. Pool values also go to both neighbouring
-    buckets; inside a bucket one sort finds both neighbours, no pairs are built."""
+    Both sides are made distinct first, so a value that fills a third of the rows is one
+    row here. In one order of both, the last pool value is carried along, across ranges
+    of the order: no pairs are built, and a range that holds most numbers is split."""
     by = list(by)
-    n = nums.select(*by, F.col("number").cast("double").alias("_x")).filter("_x is not null").distinct()
-    n = n.withColumns({"_side": F.lit(1), "_bucket": tolerance_bucket(F.col("_x"), rel, abs_)})
-    p = pool.select(*by, F.col("value").cast("double").alias("_x")).filter("_x is not null").distinct()
-    own = tolerance_bucket(F.col("_x"), rel, abs_)
-    p = p.withColumns({"_side": F.lit(0), "_bucket": F.explode(F.sequence(own - 1, own + 1))})
-    part = Window.partitionBy(*by, "_bucket")
-    up = part.orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    down = part.orderBy(F.desc("_x"), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("_side") == 0, F.col("_x"))
-    both = n.unionByName(p).withColumns({"lower": F.last(known, ignorenulls=True).over(up), "upper": F.last(known, ignorenulls=True).over(down)})
-    return both.filter("_side = 1").select(*by, F.col("_x").alias("number"), "lower", "upper")
+    n = nums.select(*by, F.col("number").cast("double").alias("_x"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_known")).filter(finite(F.col("_x"))).distinct()
+    p = pool.select(*by, F.col("value").cast("double").alias("_x"), F.lit(0).alias("_side"), F.col("value").cast("double").alias("_known")).filter(finite(F.col("_x"))).distinct()
+    both = carry(n.unionByName(p), by, ["_x", "_side"], "_known", ranges).filter("_side = 1")
+    # an equal pool value stands before the number
+    upper = F.when(F.col("below") == F.col("_x"), F.col("below")).otherwise(F.col("above"))
+    return both.select(*by, F.col("_x").alias("number"), F.col("below").alias("lower"), upper.alias("upper"))
 
 
 def tolerates(number: Column, candidate: Column, rel: float = REL_TOLERANCE, abs_: float = ABS_TOLERANCE) -> Column:
@@ -70,28 +60,34 @@ def classify_numbers(
     nums: DataFrame, pool: DataFrame, by: Sequence[str] = (), rel: float = REL_TOLERANCE, abs_: float = ABS_TOLERANCE
 ) -> DataFrame:
     """JN-04: each distinct ``number`` with ``result`` match, rounding or
-    unverifiable, and the pool value it was matched to.
+    unverifiable, and the pool value it was matched to. Null numbers are left out; NaN
+    and infinity are unverifiable, and such pool values match nothing.
 
     The tolerance grows with the pool value, so if any pool value fits, the
     nearest one below or above does: two candidates decide."""
     by = list(by)
     distinct = nums.select(*by, F.col("number").cast("double").alias("number")).filter("number is not null").distinct()
     n = F.col("number")
-    forms = F.array_distinct(F.array(n, F.round(n, 2), F.round(n, 1), F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("double")))
-    exact = distinct.withColumn("value", F.explode(forms)).join(
-        pool.select(*by, F.col("value").cast("double").alias("value")).distinct(), [*by, "value"], "left_semi"
-    ).select(*by, "number").distinct().withColumn("is_exact", F.lit(True))
+    forms = F.array_distinct(F.array(n, F.round(n, 2), F.round(n, 1), truncated(n)))
+    values = pool.select(*by, F.col("value").cast("double").alias("value")).filter(finite(F.col("value"))).distinct()
+    exact = join_keys(distinct.filter(finite(n)).withColumn("value", F.explode(forms)), values, [*by, "value"]).select(*by, "number").distinct().withColumn("is_exact", F.lit(True))
     lo, hi = F.col("lower"), F.col("upper")
     lo_ok, hi_ok = tolerates(n, lo, rel, abs_), tolerates(n, hi, rel, abs_)
     closer = F.when(lo_ok & hi_ok, F.when(n - lo <= hi - n, lo).otherwise(hi)).when(lo_ok, lo).when(hi_ok, hi)
     exact_hit = F.coalesce(F.col("is_exact"), F.lit(False))
-    return nearest_values(distinct, pool, by, rel, abs_).join(exact, [*by, "number"], "left").select(
+    near = join_keys(distinct, nearest_values(distinct, pool, by), [*by, "number"], "left")
+    return join_keys(near, exact, [*by, "number"], "left").select(
         *by, "number",
         F.when(exact_hit, "match").when(lo_ok | hi_ok, "rounding").otherwise("unverifiable").alias("result"),
         F.when(exact_hit, n).otherwise(F.round(closer, 4)).alias("recomputed"),
     )
 
 
+def truncated(x: Column) -> Column:
+    """Without its decimals; a number too large to have any stays as it is."""
+    return F.when(F.abs(x) < 2.0**52, F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("double")).otherwise(x)
+
+
 def match_numbers(nums: DataFrame, pool: DataFrame, rel: float = REL_TOLERANCE, abs_: float = ABS_TOLERANCE) -> DataFrame:
     """JN-04: rows of ``nums`` that match the pool."""
     ok = classify_numbers(nums, pool, (), rel, abs_).filter("result <> 'unverifiable'").select("number", "result")

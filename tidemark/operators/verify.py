@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.joins import classify_numbers, nearest_values, tolerates, within
+from tidemark.functions.ranges import join_keys
+from tidemark.operators.joins import classify_numbers, nearest_values, tolerates, truncated, within
 
 CLAIM_TOLERANCE = 0.05
 EXACT = 1e-4
+CLAIM_WORDING = 10
 
 
 def extract_numbers(df: DataFrame, text: str, keys: Sequence[str], plain: bool = False) -> DataFrame:
@@ -20,63 +22,118 @@ def extract_numbers(df: DataFrame, text: str, keys: Sequence[str], plain: bool =
     return df.select(*keys, F.posexplode(f(F.col(text))).alias("position", "number"))
 
 
-def metric_index(df: DataFrame, source: str, metrics: str) -> DataFrame:
+def metric_index(df: DataFrame, source: str, metrics: str, every: bool = False) -> DataFrame:
     """TX-02: (source_id, metric_key, value) from a map of metrics per source,
-    with normalised keys; of keys that normalise alike the largest value stays."""
+    with normalised keys; of keys that normalise alike the largest value stays, or with
+    ``every`` each different one."""
     rows = df.select(F.col(source).alias("source_id"), F.explode(metrics).alias("key", "value")).filter("value is not null")
-    return rows.groupBy("source_id", tx.normalize_key(F.col("key")).alias("metric_key")).agg(F.max("value").alias("value"))
+    rows = rows.select("source_id", tx.normalize_key(F.col("key")).alias("metric_key"), "value")
+    return rows.distinct() if every else rows.groupBy("source_id", "metric_key").agg(F.max("value").alias("value"))
+
+
+def harvest(df: DataFrame, source: str, text: str) -> DataFrame:
+    """(source_id, value): the numbers that a source's own text states."""
+    return df.select(F.col(source).alias("source_id"), F.explode(tx.numbers_in(F.col(text))).alias("value")).distinct()
+
+
+PIECE = 4
+
+
+def _pieces(df: DataFrame, by: str, name: str, sizes: Sequence[int]) -> DataFrame:
+    """(by, name, piece): the distinct pieces of each text, of the given sizes."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, F.lit(n)))
+    every = F.flatten(F.array(*[F.when(F.length(name) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    return df.select(by, name, F.explode(F.array_distinct(every)).alias("piece"))
+
+
+def _contained(short: DataFrame, long: DataFrame, by: str, a: str, z: str) -> DataFrame:
+    """(by, a, z) where a text of ``short`` is part of a text of ``long`` with the same
+    ``by``; both without empty texts.
+
+    An index holds the pieces of up to PIECE characters of the long texts. A short one is
+    looked up by that piece of its own that the fewest long ones beside it have, and
+    what is found is compared in full: a text costs as many rows as it has characters,
+    and a piece that all share is never used where another one is rarer."""
+    index = _pieces(long, by, z, range(1, PIECE + 1))
+    common = index.groupBy(by, "piece").agg(F.count("*").alias("n"))
+    asked = _pieces(short, by, a, range(1, PIECE + 1)).filter(F.length("piece") == F.least(F.length(a), F.lit(PIECE)))
+    seen = join_keys(asked, common, [by, "piece"], "left")
+    # a piece that no long text has rules the short one out
+    probe = seen.groupBy(by, a).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count_if(F.col("n").isNull()).alias("absent"))
+    found = join_keys(probe.filter("absent = 0").drop("absent"), index, [by, "piece"])
+    return found.filter(F.col(z).contains(F.col(a))).select(by, a, z)
 
 
 def _related_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(source_id, asked_key, metric_key) where one key of a source contains the
-    other. Keys are short names, so all their substrings are joined by equality."""
-    def pieces(df: DataFrame, name: str) -> DataFrame:
-        size = F.length("k")
-        starts = F.sequence(F.lit(1), size)
-        subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr("k", i, n))))
-        return df.withColumn("piece", F.explode(F.array_distinct(subs))).select("source_id", F.col("k").alias(name), "piece")
-    a = asked.select("source_id", F.col("asked_key").alias("k")).filter("k <> ''").distinct()
-    m = known.select("source_id", F.col("metric_key").alias("k")).filter("k <> ''").distinct()
-    inside = pieces(m, "metric_key").join(a.select("source_id", F.col("k").alias("piece")), ["source_id", "piece"]).select("source_id", F.col("piece").alias("asked_key"), "metric_key")
-    around = pieces(a, "asked_key").join(m.select("source_id", F.col("k").alias("piece")), ["source_id", "piece"]).select("source_id", "asked_key", F.col("piece").alias("metric_key"))
-    return inside.unionByName(around).distinct()
-
-
-def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLERANCE) -> DataFrame:
+    """(source_id, asked_key, metric_key) where one key of a source contains the other."""
+    a = asked.select("source_id", "asked_key").filter("asked_key <> ''").distinct()
+    m = known.select("source_id", "metric_key").filter("metric_key <> ''").distinct()
+    inside = _contained(a, m, "source_id", "asked_key", "metric_key")
+    return inside.unionByName(_contained(m, a, "source_id", "metric_key", "asked_key")).distinct()
+
+
+def _rounded(v: Column) -> Column:
+    """A number to two decimals and to one, as names of its rounded forms."""
+    return F.array(F.concat(F.lit("2:"), F.round(v, 2).cast("string")), F.concat(F.lit("1:"), F.round(v, 1).cast("string")))
+
+
+def _stated(asked: DataFrame, values: DataFrame, keys: Sequence[str], name: str, tol: float) -> DataFrame:
+    """(keys..., value, name): the number of ``values`` that equals the claimed value to
+    two decimals or one and is within ``tol`` of it; joined on the rounded forms."""
+    forms = lambda rows, v: rows.withColumn("form", F.explode(_rounded(F.col(v))))
+    a, v = forms(asked.select(*keys, "value").filter("value is not null").distinct(), "value"), forms(values.select(*keys, F.col("value").alias(name)).distinct(), name)
+    met = join_keys(a, v, [*keys, "form"]).filter(within(F.col("value"), F.col(name), tol))
+    return met.groupBy(*keys, "value").agg(F.min_by(name, F.struct(F.abs(F.col("value") - F.col(name)), name)).alias(name))
+
+
+def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLERANCE, harvested: DataFrame | None = None) -> DataFrame:
     """TX-03: claims (claim_id, source_id, metric_key, value) with ``status``
     verified, mismatch, metric_missing or source_missing, the expected value and
     the ``reason`` in words.
 
-    A key the source does not have may still match by containment, if the value
-    of such a key is within tolerance. That search compares each claimed value
+    A key can have several values in a source: the largest is the expected one, and a
+    claim may also state another of them, to two decimals or one. A key the source does
+    not have may still match by containment, if the value of such a key is within
+    tolerance, and last a number that the source's own text states (``harvested``,
+    (source_id, value)). The search by containment compares each claimed value
     with its two nearest values only, so a source with many claims and many
-    metrics is never multiplied out."""
+    metrics is never multiplied out. Null sources are one source, a null key or value
+    matches nothing."""
     m = metrics.select("source_id", "metric_key", "value")
     c = claims.withColumn("asked_key", tx.normalize_key(F.col("metric_key")))
-    exact = c.join(m.select("source_id", F.col("metric_key").alias("asked_key"), F.col("value").alias("exact_value")), ["source_id", "asked_key"], "left")
-    sources = m.select("source_id").distinct().withColumn("has_source", F.lit(True))
-    known = exact.join(sources, "source_id", "left")
+    main = m.groupBy("source_id", F.col("metric_key").alias("asked_key")).agg(F.max("value").alias("exact_value"))
+    exact = join_keys(c, main, ["source_id", "asked_key"], "left")
+    sources = m.select("source_id") if harvested is None else m.select("source_id").unionByName(harvested.select("source_id"))
+    known = join_keys(exact, sources.distinct().withColumn("has_source", F.lit(True)), ["source_id"], "left")
+    other = _stated(known.filter("exact_value is not null"), m.withColumnRenamed("metric_key", "asked_key"), ["source_id", "asked_key"], "other_value", tol)
+    known = join_keys(known, other, ["source_id", "asked_key", "value"], "left")
     open_ = known.filter(F.col("exact_value").isNull() & F.col("has_source"))
     related = _related_keys(open_, m)
-    pool = open_.select("source_id", "asked_key").distinct().join(related, ["source_id", "asked_key"]).join(m, ["source_id", "metric_key"]).select("source_id", "asked_key", "value")
-    near = nearest_values(open_.select("source_id", "asked_key", F.col("value").alias("number")), pool, ["source_id", "asked_key"], tol, tol)
+    pool = join_keys(related, m, ["source_id", "metric_key"]).select("source_id", "asked_key", "value")
+    near = nearest_values(open_.select("source_id", "asked_key", F.col("value").alias("number")), pool, ["source_id", "asked_key"])
     n = F.col("number")
     lo_ok, hi_ok = tolerates(n, F.col("lower"), tol, tol), tolerates(n, F.col("upper"), tol, tol)
     near = near.select("source_id", "asked_key", F.col("number").alias("value"), F.when(lo_ok, F.col("lower")).when(hi_ok, F.col("upper")).alias("near_value"))
-    out = known.join(near, ["source_id", "asked_key", "value"], "left")
+    out = join_keys(known, near, ["source_id", "asked_key", "value"], "left")
+    if harvested is None:
+        out = out.withColumn("text_value", F.lit(None).cast("double"))
+    else:
+        out = join_keys(out, _stated(open_, harvested, ["source_id"], "text_value", tol), ["source_id", "value"], "left")
     status = (
         F.when(F.col("has_source").isNull(), "source_missing")
-        .when(F.col("exact_value").isNotNull(), F.when(within(F.col("value"), F.col("exact_value"), tol), "verified").otherwise("mismatch"))
-        .when(F.col("near_value").isNotNull(), "verified")
+        .when(F.col("exact_value").isNotNull(), F.when(within(F.col("value"), F.col("exact_value"), tol) | F.col("other_value").isNotNull(), "verified").otherwise("mismatch"))
+        .when(F.col("near_value").isNotNull() | F.col("text_value").isNotNull(), "verified")
         .otherwise("metric_missing")
     )
-    return out.select("claim_id", "source_id", "metric_key", "value", F.coalesce("exact_value", "near_value").alias("expected"), status.alias("status"), _reason(status).alias("reason"))
+    right = within(F.col("value"), F.col("exact_value"), tol)
+    expected = F.coalesce(F.when(right, F.col("exact_value")), "other_value", "exact_value", "near_value", F.when(F.col("has_source"), F.col("text_value")))
+    return out.select("claim_id", "source_id", "metric_key", "value", expected.alias("expected"), status.alias("status"), _reason(status).alias("reason"))
 
 
 def _reason(status: Column) -> Column:
     found = F.col("exact_value").isNotNull()
     return (
-        F.when(status == "verified", F.when(found, "the metric has this value").otherwise("a metric of a related name has this value"))
+        F.when(status == "verified", F.when(found, "the metric has this value").when(F.col("near_value").isNotNull(), "a metric of a related name has this value").otherwise("the source's text states this value"))
         .when(status == "mismatch", "the metric has another value")
         .when(status == "source_missing", "there is no such source")
         .otherwise("the source has no such metric")
@@ -87,45 +144,80 @@ def verify_numbers(numbers: DataFrame, values: DataFrame, by: Sequence[str], tol
     """Numbers (by..., number) with ``is_verified``: equal to a rounded form of a
     verified value of the same document, or within ``tol`` of one."""
     v = F.col("value")
-    forms = values.select(*by, F.explode(F.array(F.round(v, 2), F.round(v, 1), F.round(v, 4), F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("double"))).alias("value"))
+    forms = values.select(*by, F.explode(F.array(F.round(v, 2), F.round(v, 1), F.round(v, 4), truncated(v))).alias("value"))
     seen = classify_numbers(numbers, forms, by, rel=tol, abs_=1e-9)
-    return numbers.join(seen.select(*by, "number", (F.col("result") != "unverifiable").alias("is_verified")), [*by, "number"])
+    return join_keys(numbers, seen.select(*by, "number", (F.col("result") != "unverifiable").alias("is_verified")), [*by, "number"])
 
 
-def strip_unverified(docs: DataFrame, text: str, key: str, bad: DataFrame) -> DataFrame:
-    """TX-04: drop each sentence that holds a number of ``bad`` (key, number).
+def strip_unverified(docs: DataFrame, text: str, key: str, bad: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """TX-04: drop each sentence that holds a number of ``bad`` (key, number), or the
+    wording of a claim of ``claims`` (key, text, status) that is not verified; wordings of
+    up to CLAIM_WORDING characters say too little and count for nothing.
 
-    Sentences are exploded and judged one by one; a document is put together
-    again in order. Hot documents cost one row per sentence."""
-    rows = docs.select(F.col(key), F.posexplode(tx.sentences(F.col(text))).alias("position", "sentence"))
+    Sentences are exploded and judged one by one; a document is put together again
+    in order. Every key of ``docs`` gives a row: a null text stays null, null keys are
+    one document."""
+    rows = docs.select(F.col(key), F.posexplode_outer(tx.sentences(F.col(text))).alias("position", "sentence"))
     cells = rows.select(key, "position", F.explode(tx.numbers_in(F.col("sentence"))).alias("number"))
     wrong = bad.select(key, F.round("number", 2).alias("number")).distinct()
-    hit = cells.withColumn("number", F.round("number", 2)).join(wrong, [key, "number"], "left_semi").select(key, "position").distinct().withColumn("is_bad", F.lit(True))
-    flagged = rows.join(hit, [key, "position"], "left")
-    kept = F.when(F.col("is_bad").isNull(), F.struct("position", F.trim("sentence").alias("sentence")))
+    hit = join_keys(cells.withColumn("number", F.round("number", 2)), wrong, [key, "number"]).select(key, "position")
+    if claims is not None:
+        worded = claims.filter("status <> 'verified'").select(key, F.lower(F.trim("text")).alias("wording")).filter(F.length("wording") > CLAIM_WORDING).distinct()
+        low = rows.select(key, "position", F.lower("sentence").alias("low")).filter("low <> ''")
+        asked = join_keys(low, worded.select(key).distinct(), [key])
+        said = _contained(worded, asked.select(key, "low").distinct(), key, "wording", "low").select(key, "low").distinct()
+        hit = hit.unionByName(join_keys(asked, said, [key, "low"]).select(key, "position"))
+    flagged = join_keys(rows, hit.distinct().withColumn("is_bad", F.lit(True)), [key, "position"], "left")
+    kept = F.when(F.col("is_bad").isNull() & F.col("sentence").isNotNull(), F.struct("position", F.trim("sentence").alias("sentence")))
     return flagged.groupBy(key).agg(
-        F.sort_array(F.collect_list(kept)).alias("_kept"), F.count("is_bad").alias("sentences_dropped"),
-    ).select(key, F.array_join(F.col("_kept.sentence"), " ").alias("cleaned_text"), "sentences_dropped")
+        F.sort_array(F.collect_list(kept)).alias("_kept"), F.count("is_bad").alias("sentences_dropped"), F.count("sentence").alias("_n"),
+    ).select(key, F.when(F.col("_n") > 0, F.array_join(F.col("_kept.sentence"), " ")).alias("cleaned_text"), "sentences_dropped")
+
 
+def _worded(wording: Column, text: Column) -> Column:
+    """Whether a claim's wording is in a text, or at least the first three of its words of
+    four or more characters are, if it has two."""
+    words = F.filter(F.regexp_extract_all(wording, F.lit(r"(?U)(\b\w+\b)"), F.lit(1)), lambda w: F.length(w) > 3)
+    each = F.forall(F.slice(words, 1, 3), lambda w: text.contains(w))
+    return F.coalesce((wording != "") & (text.contains(wording) | ((F.size(words) >= 2) & each)), F.lit(False))
 
-def verification_rates(numbers: DataFrame, claims: DataFrame, key: str, tol: float = CLAIM_TOLERANCE) -> DataFrame:
+
+def verification_rates(
+    numbers: DataFrame, claims: DataFrame, key: str, tol: float = CLAIM_TOLERANCE, texts: DataFrame | None = None, cleaned: DataFrame | None = None
+) -> DataFrame:
     """TX-05: per document the number and claim verification rates and the share
     of claims that occur in its text. ``numbers`` is (key, number, is_verified),
-    ``claims`` (key, claim_id, value, status)."""
+    ``claims`` (key, claim_id, value, status).
+
+    A claim occurs in a text if its value does, or with ``texts`` (key, text; one row a
+    key) its own ``text`` by its wording. With ``cleaned`` (key, cleaned_text) there are
+    the rates before and after stripping: of the numbers left, those that were not
+    unverified. Documents are those with a number or a claim; null keys are one. A claim
+    without a value occurs by its wording only."""
     share = lambda a, b: F.when(b > 0, F.round(a / b * 100, 2)).otherwise(F.lit(100.0))
-    near = nearest_values(
-        claims.select(key, F.col("value").alias("number")), numbers.select(key, F.col("number").alias("value")), [key], tol * 1.06, EXACT
-    ).withColumnRenamed("number", "value")
+    near = nearest_values(claims.select(key, F.col("value").alias("number")), numbers.select(key, F.col("number").alias("value")), [key]).withColumnRenamed("number", "value")
     v = F.col("value")
     close = lambda x: F.coalesce((F.abs(x - v) < EXACT) | ((F.abs(v) > 0) & (F.abs(x - v) / F.abs(v) <= tol)), F.lit(False))
-    present = claims.join(near, [key, "value"]).withColumn("is_present", close(F.col("lower")) | close(F.col("upper")))
-    n = numbers.groupBy(key).agg(F.count("*").alias("numbers"), F.count_if("is_verified").alias("verified_numbers"))
+    present = join_keys(claims, near, [key, "value"], "left").withColumn("is_present", close(F.col("lower")) | close(F.col("upper")))
+    if texts is not None:
+        bodies = texts.select(key, F.lower("text").alias("_body"))
+        said = _worded(F.lower(F.trim("text")), F.col("_body"))
+        present = join_keys(present, bodies, [key], "left").withColumn("is_present", F.col("is_present") | said).drop("_body")
+    counted = lambda rows, a, b: rows.groupBy(key).agg(F.count("*").alias(a), F.count_if("is_verified").alias(b))
+    n = counted(numbers, "numbers", "verified_numbers")
     c = present.groupBy(key).agg(F.count("*").alias("claims"), F.count_if(F.col("status") == "verified").alias("verified_claims"), F.count_if("is_present").alias("present_claims"))
-    t = n.join(c, key, "full").na.fill(0)
+    t = join_keys(n, c, [key], "full")
+    if cleaned is not None:
+        unverified = numbers.filter("not is_verified").select(key, F.round("number", 2).alias("_at")).distinct().withColumn("_bad", F.lit(True))
+        left = cleaned.select(key, F.explode(tx.numbers_in(F.col("cleaned_text"))).alias("number")).withColumn("_at", F.round("number", 2))
+        left = join_keys(left, unverified, [key, "_at"], "left").withColumn("is_verified", F.col("_bad").isNull())
+        t = join_keys(t, counted(left, "numbers_after", "verified_after"), [key], "left")
+    t = t.na.fill(0, [x for x in t.columns if x != key])
     passed = (F.col("numbers") == F.col("verified_numbers")) & (F.col("claims") == F.col("verified_claims")) & (F.col("claims") == F.col("present_claims"))
+    after = [] if cleaned is None else ["numbers_after", share(F.col("verified_after"), F.col("numbers_after")).alias("post_strip_rate")]
     return t.select(
         key, "numbers", "verified_numbers", share(F.col("verified_numbers"), F.col("numbers")).alias("number_verification_rate"),
-        "claims", "verified_claims", share(F.col("present_claims"), F.col("claims")).alias("claim_presence_rate"),
+        "claims", "verified_claims", share(F.col("present_claims"), F.col("claims")).alias("claim_presence_rate"), *after,
         F.when(passed, "passed").otherwise("flagged").alias("status"),
     )
 
@@ -151,4 +243,4 @@ def audit_numbers(df: DataFrame, text: str, keys: Sequence[str], pool: DataFrame
     pool holds it (match), nearly holds it (rounding) or not (unverifiable)."""
     tokens = number_context(df, text, keys).filter("number is not null")
     seen = classify_numbers(tokens, pool)
-    return tokens.join(seen, "number").select(*keys, "sentence_no", "token_no", "token", "number", "context", "result", "recomputed")
+    return join_keys(tokens, seen, ["number"]).select(*keys, "sentence_no", "token_no", "token", "number", "context", "result", "recomputed")

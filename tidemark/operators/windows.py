@@ -7,27 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import join_keys, running_sum
 
-# More rows than this in a series without groups are no series of periods.
-SERIES_ROWS = 100_000
+# Rows of a series that one task averages.
+SERIES_ROWS = 50_000
 # Distinct p-values of about so many share a range, and so a task.
 RANGE_ROWS = 50_000
 
 
-def _series(df: DataFrame, by: Sequence[str]) -> list:
-    """The window's groups; without any, one task takes all rows, so they have to be few."""
-    if by:
-        return list(by)
-    if df.limit(SERIES_ROWS + 1).count() > SERIES_ROWS:
-        raise ValueError(f"more than {SERIES_ROWS:,} rows in one series: name the columns in 'by' that tell the series apart")
-    return [F.lit(0)]
-
-
-def rolling_mean(df: DataFrame, order: str, value: str, w: int, by: Sequence[str] = ()) -> DataFrame:
-    """WN-01: mean over the last ``w`` rows, partial at the start. Without
-    ``by`` the rows are one series of at most SERIES_ROWS periods."""
-    win = Window.partitionBy(*_series(df, by)).orderBy(order).rowsBetween(-(w - 1), 0)
-    return df.withColumn("rolling_mean", F.round(F.avg(value).over(win), 2))
+def rolling_mean(df: DataFrame, order: str, value: str, w: int, by: Sequence[str] = (), series_rows: int = SERIES_ROWS) -> DataFrame:
+    """WN-01: mean over the last ``w`` rows, partial at the start. A series, with or
+    without ``by``, can have any length: it is cut into pieces of at least ``w`` rows,
+    and each piece starts with the last ``w - 1`` rows of the one before."""
+    size = max(w, series_rows)
+    rows = period_index(df, order, by).withColumnRenamed("idx", "_idx")
+    piece, late = F.floor(F.col("_idx") / size), F.col("_idx") % size > size - w
+    rows = rows.withColumn("_piece", F.explode(F.when(late, F.array(piece, piece + 1)).otherwise(F.array(piece))))
+    win = Window.partitionBy(*[f"`{k}`" for k in by], "_piece").orderBy("_idx").rowsBetween(-(w - 1), 0)
+    out = rows.withColumn("rolling_mean", F.round(F.avg(value).over(win), 2))
+    return out.filter(F.col("_piece") == F.floor(F.col("_idx") / size)).drop("_idx", "_piece")
 
 
 def share_of_total(df: DataFrame, value: str) -> DataFrame:
@@ -38,8 +36,9 @@ def share_of_total(df: DataFrame, value: str) -> DataFrame:
 
 
 def period_index(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """WN-04: zero-based position of a period."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(*_series(df, by)).orderBy(order)) - 1)
+    """WN-04: zero-based position of a period, counted in ranges of the order."""
+    counted = running_sum(df.withColumn("_one", F.lit(1)), by, [order], "_one")
+    return counted.withColumn("idx", (F.col("upto") - 1).cast("int")).drop("_one", "upto", "total")
 
 
 def first_last(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -60,6 +59,7 @@ def first_last(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) ->
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """WN-06: Benjamini-Hochberg adjusted p-values within each ``by`` group.
 
+    Rows with a null key are a group; a null p-value has none adjusted.
     p * m / rank, then the running minimum from the largest p, at most 1. Equal
     p-values share the highest rank, so only distinct ones are ranked; they are
     cut at quantiles of their group into ranges whose number grows with the data,
@@ -71,7 +71,7 @@ def bh_adjust(df: DataFrame, p: str, by: Sequence[str], range_rows: int = RANGE_
     ranges = -(-distinct.count() // range_rows)
     if ranges > 1:
         cuts = distinct.groupBy(*by).agg(F.percentile_approx("_p", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("_cuts"))
-        distinct = distinct.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda e: e >= F.col("_p")))).drop("_cuts")
+        distinct = join_keys(distinct, cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda e: e >= F.col("_p")))).drop("_cuts")
     else:
         distinct = distinct.withColumn("_part", F.lit(0))
     totals = distinct.groupBy(*by, "_part").agg(F.sum("_cnt").alias("_c"))
@@ -82,17 +82,17 @@ def bh_adjust(df: DataFrame, p: str, by: Sequence[str], range_rows: int = RANGE_
         F.sum("_c").over(g).alias("_m"),
     )
     inside = Window.partitionBy(*by, "_part")
-    ranked = distinct.join(totals, [*by, "_part"]).withColumn(
+    ranked = join_keys(distinct, totals, [*by, "_part"]).withColumn(
         "_rank", F.col("_before") + F.sum("_cnt").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
     low = ranked.groupBy(*by, "_part").agg(F.min("_q").alias("_qmin"))
     # The smallest ratio among all larger p-values in other ranges.
     low = low.select(*by, "_part", F.min("_qmin").over(g.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    adjusted = ranked.join(low, [*by, "_part"]).select(
+    adjusted = join_keys(ranked, low, [*by, "_part"]).select(
         *by, "_p", F.least(F.lit(1.0), F.col("_later"), F.min("_q").over(inside.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))).alias("p_adj"),
     )
     back = adjusted.withColumnRenamed("_p", p)
-    return rows.join(back, [*by, p]).unionByName(df.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
+    return join_keys(rows, back, [*by, p]).unionByName(df.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:

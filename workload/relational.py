@@ -267,11 +267,12 @@ def wn05(spark, sf):
     return wn.first_last(table(spark, sf, "events"), "event_id", "value", ["event_type"])
 
 
-_PVALUES = "SELECT l_orderkey AS test_id, l_linenumber AS seed, floor((l_discount * 10 + l_tax) * (l_partkey % 97 + 1) / 120 * 10000) / 10000 AS p FROM lineitem"
+_PVALUES = """SELECT l_orderkey AS test_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS seed,
+ CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE floor((l_discount * 10 + l_tax) * (l_partkey % 97 + 1) / 120 * 10000) / 10000 END AS p FROM lineitem"""
 
 
-@query("wn06_bh_adjust", f"""WITH t AS (SELECT * FROM ({_PVALUES})), r AS (SELECT *, count(*) OVER (PARTITION BY seed) AS m, rank() OVER (PARTITION BY seed ORDER BY p) + count(*) OVER (PARTITION BY seed, p) - 1 AS rk FROM t)
-SELECT test_id, seed, p, round(least(1.0, min(p * m / rk) OVER (PARTITION BY seed ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS p_adj FROM r""")
+@query("wn06_bh_adjust", f"""WITH t AS (SELECT * FROM ({_PVALUES})), r AS (SELECT *, count(p) OVER (PARTITION BY seed) AS m, rank() OVER (PARTITION BY seed ORDER BY p NULLS LAST) + count(*) OVER (PARTITION BY seed, p) - 1 AS rk FROM t)
+SELECT test_id, seed, p, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(p * m / rk) OVER (PARTITION BY seed ORDER BY p DESC NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) END AS p_adj FROM r""")
 def wn06(spark, sf):
     return wn.bh_adjust(derived(spark, sf, _PVALUES), "p", ["seed"]).withColumn("p_adj", F.round("p_adj", 8))
 

@@ -107,23 +107,47 @@ def tx03_numbers(spark, sf):
     return _verified(spark, sf)[1].select("doc_id", "position", "number", "is_verified")
 
 
-@query("tx04_strip_unverified", f"""WITH {_VER}, sent AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM ({NARRATIVES}))),
-bad AS (SELECT doc_id, pos, sentence, EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = sent.doc_id AND NOT is_verified AND list_contains(list_transform({numbers_sql('sentence')}, lambda v: round(v, 2)), round(ok.number, 2))) AS is_bad FROM sent)
-SELECT doc_id, coalesce(string_agg(trim(sentence), ' ' ORDER BY pos) FILTER (NOT is_bad), '') AS cleaned_text, count(*) FILTER (is_bad) AS sentences_dropped FROM bad GROUP BY 1""")
+# The same with a null key, null texts and claims that have a wording.
+_DOCS = f"SELECT nullif(doc_id, 5) AS doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS text FROM ({NARRATIVES})"
+_VALUES = f"SELECT nullif(doc_id, 5) AS doc_id, value FROM ({NARRATIVE_VALUES})"
+_WORDED = f"""SELECT doc_id, 'c' AS claim_id, value, CASE WHEN value > 5000 THEN 'verified' ELSE 'mismatch' END AS status,
+ CASE doc_id % 4 WHEN 0 THEN 'An unrelated FIGURE' WHEN 1 THEN 'Orders were placed by this customer' WHEN 2 THEN 'stable' ELSE 'Revenue, customer and orders' END AS text FROM ({_VALUES})"""
+_VER_NULLS = _VER.replace(NARRATIVES, _DOCS).replace(NARRATIVE_VALUES, _VALUES).replace("f.doc_id = nums.doc_id", "f.doc_id IS NOT DISTINCT FROM nums.doc_id")
+_STRIPPED = f"""{_VER_NULLS}, docs AS ({_DOCS}), claimed AS ({_WORDED}),
+sent AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM docs WHERE text IS NOT NULL)),
+bad AS (SELECT doc_id, pos, sentence, EXISTS (SELECT 1 FROM ok WHERE ok.doc_id IS NOT DISTINCT FROM sent.doc_id AND NOT is_verified AND list_contains(list_transform({numbers_sql('sentence')}, lambda v: round(v, 2)), round(ok.number, 2)))
+ OR EXISTS (SELECT 1 FROM claimed c WHERE c.doc_id IS NOT DISTINCT FROM sent.doc_id AND status <> 'verified' AND length(c.text) > 10 AND contains(lower(sentence), lower(c.text))) AS is_bad FROM sent),
+cleaned AS (SELECT docs.doc_id, CASE WHEN any_value(docs.text) IS NOT NULL THEN coalesce(string_agg(trim(sentence), ' ' ORDER BY pos) FILTER (NOT is_bad), '') END AS cleaned_text, count(*) FILTER (is_bad) AS sentences_dropped
+ FROM docs LEFT JOIN bad ON bad.doc_id IS NOT DISTINCT FROM docs.doc_id GROUP BY 1)"""
+
+
+def _verified_nulls(spark, sf):
+    docs = derived(spark, sf, _DOCS)
+    nums = vf.verify_numbers(vf.extract_numbers(docs, "text", ["doc_id"]), derived(spark, sf, _VALUES), ["doc_id"])
+    return docs, nums, derived(spark, sf, _WORDED)
+
+
+@query("tx04_strip_unverified", f"WITH {_STRIPPED} SELECT doc_id, cleaned_text, sentences_dropped FROM cleaned")
 def tx04(spark, sf):
-    docs, nums = _verified(spark, sf)
-    return vf.strip_unverified(docs, "text", "doc_id", nums.filter("not is_verified"))
+    docs, nums, claims = _verified_nulls(spark, sf)
+    return vf.strip_unverified(docs, "text", "doc_id", nums.filter("not is_verified"), claims)
 
 
-@query("tx05_verification_rates", f"""WITH {_VER}, cl AS (SELECT doc_id, value, value > 5000 AS v, EXISTS (SELECT 1 FROM nums WHERE nums.doc_id = vals.doc_id AND (abs(number - value) < 1e-4 OR (abs(value) > 0 AND abs(number - value) / abs(value) <= 0.05))) AS p FROM vals),
+@query("tx05_verification_rates", f"""WITH {_STRIPPED}, w AS (SELECT c.*, lower(d.text) AS body, list_filter(regexp_extract_all(lower(c.text), '\\w+'), lambda x: length(x) > 3) AS ws FROM claimed c LEFT JOIN docs d ON d.doc_id IS NOT DISTINCT FROM c.doc_id),
+cl AS (SELECT doc_id, value, status = 'verified' AS v, EXISTS (SELECT 1 FROM nums WHERE nums.doc_id IS NOT DISTINCT FROM w.doc_id AND (abs(number - value) < 1e-4 OR (abs(value) > 0 AND abs(number - value) / abs(value) <= 0.05)))
+ OR coalesce(contains(body, lower(text)) OR (body IS NOT NULL AND len(ws) >= 2 AND len(list_filter(list_slice(ws, 1, 3), lambda x: NOT contains(body, x))) = 0), false) AS p FROM w),
 n AS (SELECT doc_id, count(*) AS numbers, count(*) FILTER (is_verified) AS verified_numbers FROM ok GROUP BY 1),
-c AS (SELECT doc_id, count(*) AS claims, count(*) FILTER (v) AS verified_claims, count(*) FILTER (p) AS present FROM cl GROUP BY 1)
-SELECT doc_id, numbers, verified_numbers, round(verified_numbers / numbers * 100, 2) AS number_verification_rate, claims, verified_claims, round(present / claims * 100, 2) AS claim_presence_rate,
- CASE WHEN numbers = verified_numbers AND claims = verified_claims AND claims = present THEN 'passed' ELSE 'flagged' END AS status FROM n JOIN c USING (doc_id)""")
+c AS (SELECT doc_id, count(*) AS claims, count(*) FILTER (v) AS verified_claims, count(*) FILTER (p) AS present FROM cl GROUP BY 1),
+l AS (SELECT doc_id, unnest({numbers_sql('cleaned_text')}) AS number FROM cleaned), a AS (SELECT doc_id, count(*) AS numbers_after,
+ count(*) FILTER (NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id IS NOT DISTINCT FROM l.doc_id AND NOT is_verified AND round(ok.number, 2) = round(l.number, 2))) AS good FROM l GROUP BY 1)
+SELECT c.doc_id, coalesce(numbers, 0) AS numbers, coalesce(verified_numbers, 0) AS verified_numbers, CASE WHEN numbers > 0 THEN round(verified_numbers / numbers * 100, 2) ELSE 100.0 END AS number_verification_rate,
+ claims, verified_claims, round(present / claims * 100, 2) AS claim_presence_rate, coalesce(numbers_after, 0) AS numbers_after, CASE WHEN numbers_after > 0 THEN round(good / numbers_after * 100, 2) ELSE 100.0 END AS post_strip_rate,
+ CASE WHEN coalesce(numbers, 0) = coalesce(verified_numbers, 0) AND claims = verified_claims AND claims = present THEN 'passed' ELSE 'flagged' END AS status
+FROM c LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM c.doc_id LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM c.doc_id""")
 def tx05(spark, sf):
-    _, nums = _verified(spark, sf)
-    claims = derived(spark, sf, NARRATIVE_VALUES).select("doc_id", F.lit("c").alias("claim_id"), "value", F.when(F.col("value") > 5000, "verified").otherwise("mismatch").alias("status"))
-    return vf.verification_rates(nums, claims, "doc_id")
+    docs, nums, claims = _verified_nulls(spark, sf)
+    cleaned = vf.strip_unverified(docs, "text", "doc_id", nums.filter("not is_verified"), claims)
+    return vf.verification_rates(nums, claims, "doc_id", texts=docs, cleaned=cleaned)
 
 
 def _replaced(t):
