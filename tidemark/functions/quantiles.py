@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tidemark.dataset import as_double
 from tidemark.functions.ranges import carry, join_keys, running_sum
-from tidemark.session import pin
 
 BROADCAST_ROWS = 10_000
 #: So many values of one quantile's bracket are summed up in one place, more in ranges.
@@ -80,31 +79,34 @@ def exact_quantiles(
     )
     lo, hi, size = "_lo{}_{}".format, "_hi{}_{}".format, "_n{}".format
     if by:
-        brackets = bounded_broadcast(brackets)
+        rows = brackets.limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) <= BROADCAST_ROWS:
+            brackets = F.broadcast(df.sparkSession.createDataFrame(rows, brackets.schema))
+        else:
+            rows = brackets.agg(*[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))]).collect()
         renamed = brackets.toDF(*[f"_b{c}" if c in knames else c for c in brackets.columns])
         joined = base.join(renamed, F.expr(" AND ".join(f"{k} <=> _b{k}" for k in knames))).drop(*[f"_b{k}" for k in knames])
     else:
         # One small row: as literals the limits need no join.
         row = brackets.first()
-        joined = base
+        rows, joined = [row], base
         lo, hi = (lambda i, j: _number(row[f"_lo{i}_{j}"])), (lambda i, j: _number(row[f"_hi{i}_{j}"]))
         size = lambda i: f"{row[f'_n{i}']}L"
 
     below = (joined.groupBy(*knames) if by else joined).agg(*[
-        F.expr(
-            f"named_struct('ci', {i}, 'pi', {j}, 'below', count_if(_v{i} < {lo(i, j)}), 'inside', count_if(_v{i} BETWEEN {lo(i, j)} AND {hi(i, j)}), 'n', max({size(i)})) AS _c{i}_{j}"
-        )
-        for i, j in cells
+        F.expr(f"named_struct('ci', {i}, 'pi', {j}, 'below', count_if(_v{i} < {lo(i, j)}), 'n', max({size(i)})) AS _c{i}_{j}") for i, j in cells
     ])
-    below = pin(below.selectExpr(*knames, "inline(array(" + ", ".join(f"_c{i}_{j}" for i, j in cells) + "))").filter("n > 0"), "quantile-brackets")
+    below = below.selectExpr(*knames, "inline(array(" + ", ".join(f"_c{i}_{j}" for i, j in cells) + "))").filter("n > 0")
     inside = ", ".join(
         f"named_struct('ci', {i}, 'pi', {j}, 'v', CASE WHEN _v{i} BETWEEN {lo(i, j)} AND {hi(i, j)} THEN _v{i} END)" for i, j in cells
     )
     cell = [*knames, "ci", "pi"]
     hits = joined.selectExpr(*knames, f"inline(filter(array({inside}), s -> s.v IS NOT NULL))").groupBy(*cell, "v").agg(F.count("*").alias("cnt"))
-    most = below.agg(F.max("inside")).first()[0] or 0
+    # a bracket is as wide as its margins and what the sketch may be off at both ends
+    largest = max((r[f"_n{i}"] or 0 for r in rows for i in range(len(columns))), default=0)
+    most = max(accuracy, (2 * margin + 2 / accuracy) * largest)
     pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("pi") + 1) * (F.col("n") - 1)
-    below = below.drop("inside").withColumn("pos", pos)
+    below = below.withColumn("pos", pos)
     picked = _picked_here(hits, below, cell) if most <= CELL_VALUES else _picked_in_ranges(hits, below, cell)
     value = F.when(
         F.col("a").isNull() | F.col("z").isNull(),

@@ -58,15 +58,17 @@ def carry(df: DataFrame, by: Sequence[str], order: Sequence[str], known: str, ra
     the first at or after it, nulls left out. ``known`` must not fall along ``order``."""
     by = list(by)
     rows = in_ranges(df, by, order, ranges)
-    group = Window.partitionBy(*[f"`{k}`" for k in by]).orderBy(_PART)
+    group = Window.partitionBy(*[f"`{k}`" for k in by])
+    earlier = Window.unboundedPreceding, -1
     parts = rows.groupBy(*[f"`{k}`" for k in by], _PART).agg(F.max(known).alias("_max"), F.min(known).alias("_min"))
     parts = parts.withColumns({
-        "_from_below": F.max("_max").over(group.rowsBetween(Window.unboundedPreceding, -1)), "_from_above": F.min("_min").over(group.rowsBetween(1, Window.unboundedFollowing)),
+        "_from_below": F.max("_max").over(group.orderBy(_PART).rowsBetween(*earlier)), "_from_above": F.min("_min").over(group.orderBy(F.desc(_PART)).rowsBetween(*earlier)),
     }).drop("_max", "_min")
-    inside = Window.partitionBy(*[f"`{k}`" for k in by], _PART).orderBy(*order)
+    inside, upto = Window.partitionBy(*[f"`{k}`" for k in by], _PART), (Window.unboundedPreceding, 0)
+    # both frames end at the row: one that reaches from the row to the end is summed up anew for each
     rows = rows.withColumns({
-        "_below": F.last(known, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "_above": F.first(known, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+        "_below": F.last(known, ignorenulls=True).over(inside.orderBy(*order).rowsBetween(*upto)),
+        "_above": F.last(known, ignorenulls=True).over(inside.orderBy(*[F.desc_nulls_last(o) for o in order]).rowsBetween(*upto)),
     })
     out = join_keys(rows, parts, [*by, _PART])
     return out.withColumns({"below": F.coalesce("_below", "_from_below"), "above": F.coalesce("_above", "_from_above")}).drop("_below", "_above", "_from_below", "_from_above", _PART)

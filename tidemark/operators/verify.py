@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.ranges import join_keys
 from tidemark.operators.joins import classify_numbers, nearest_values, tolerates, truncated, within
+from tidemark.session import materialize
 
 CLAIM_TOLERANCE = 0.05
 EXACT = 1e-4
@@ -99,14 +100,15 @@ def verify_claims(claims: DataFrame, metrics: DataFrame, tol: float = CLAIM_TOLE
     with its two nearest values only, so a source with many claims and many
     metrics is never multiplied out. Null sources are one source, a null key or value
     matches nothing."""
-    m = metrics.select("source_id", "metric_key", "value")
+    m = materialize(metrics.select("source_id", "metric_key", "value"), "metrics")
     c = claims.withColumn("asked_key", tx.normalize_key(F.col("metric_key")))
     main = m.groupBy("source_id", F.col("metric_key").alias("asked_key")).agg(F.max("value").alias("exact_value"))
     exact = join_keys(c, main, ["source_id", "asked_key"], "left")
     sources = m.select("source_id") if harvested is None else m.select("source_id").unionByName(harvested.select("source_id"))
     known = join_keys(exact, sources.distinct().withColumn("has_source", F.lit(True)), ["source_id"], "left")
     other = _stated(known.filter("exact_value is not null"), m.withColumnRenamed("metric_key", "asked_key"), ["source_id", "asked_key"], "other_value", tol)
-    known = join_keys(known, other, ["source_id", "asked_key", "value"], "left")
+    # read four times below
+    known = materialize(join_keys(known, other, ["source_id", "asked_key", "value"], "left"), "claims")
     open_ = known.filter(F.col("exact_value").isNull() & F.col("has_source"))
     related = _related_keys(open_, m)
     pool = join_keys(related, m, ["source_id", "metric_key"]).select("source_id", "asked_key", "value")
