@@ -68,7 +68,7 @@ def _contained(short: DataFrame, long: DataFrame, by: str, a: str, z: str) -> Da
 def _related_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(source_id, asked_key, metric_key) where one key of a source contains the other."""
     a = asked.select("source_id", "asked_key").filter("asked_key <> ''").distinct()
-    m = known.select("source_id", "metric_key").filter("metric_key <> ''").distinct()
+    m = join_keys(known.select("source_id", "metric_key").filter("metric_key <> ''").distinct(), a.select("source_id").distinct(), ["source_id"])
     inside = _contained(a, m, "source_id", "asked_key", "metric_key")
     return inside.unionByName(_contained(m, a, "source_id", "metric_key", "asked_key")).distinct()
 
