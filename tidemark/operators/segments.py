@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, as_dataset, as_double, is_numeric
 from tidemark.functions.quantiles import quantile_columns
 from tidemark.functions.tails import chi2_pvalue, f_pvalue
+from tidemark.operators.cleaning import col
 from tidemark.operators.common import NULL_TOKENS, ToolResult, currency_to_double
 from tidemark.session import pin
 
@@ -17,27 +21,85 @@ POSITIVE_LABELS = ("yes", "true", "1", "left", "churn")
 ID_AFFIXES = ("_id", "id", "uuid", "guid", "key", "code", "hash", "num", "number")
 
 
-def _label(col: str) -> Column:
+def _label(name: str) -> Column:
     """A trimmed label; blank and null tokens count as missing."""
-    c = F.trim(F.col(f"`{col}`").cast("string"))
+    c = F.trim(col(name).cast("string"))
     return F.when(~F.lower(c).isin(*NULL_TOKENS), c)
 
 
-def metric_kind(ds: Dataset, metric: str) -> tuple[str, Column]:
-    """``("numeric", value)`` or ``("rate", label)`` for a metric column: text is
-    numeric when at least half of all rows parse; a 0/1 number is a rate."""
+def metric_kinds(ds: Dataset, metrics: Sequence[str]) -> tuple[int, dict[str, tuple[str, Column]]]:
+    """The rows of the table, and per metric column ``("numeric", value)`` or
+    ``("rate", label)``, all from one aggregate: text is numeric when at least half of
+    all rows parse; a 0/1 number is a rate."""
+    ds = as_dataset(ds)
+    numbers = [c for c in metrics if is_numeric(ds.df, c)]
+    texts = [c for c in metrics if c not in numbers and ds.df.schema[c].dataType.simpleString() == "string"]
+    row = ds.df.agg(
+        F.count("*").alias("n"), *[F.count(currency_to_double(c)).alias(f"k{i}") for i, c in enumerate(texts)],
+        *[x for i, c in enumerate(numbers) for x in (F.min(as_double(c)).alias(f"lo{i}"), F.count_if(~as_double(c).isin(0.0, 1.0)).alias(f"other{i}"))],
+    ).first()
+    out = {c: ("rate", _label(c)) for c in metrics}
+    for i, c in enumerate(numbers):
+        if row[f"lo{i}"] is None or row[f"other{i}"] != 0:
+            out[c] = "numeric", as_double(c)
+    for i, c in enumerate(texts):
+        if row["n"] and row[f"k{i}"] / row["n"] >= 0.5:
+            out[c] = "numeric", currency_to_double(c)
+    return row["n"], out
+
+
+@dataclass
+class SegmentFacts:
+    """What comparisons of several label and metric pairs need, each counted in one pass
+    over the table for all of them: ``groups`` and ``medians`` per (segment_column,
+    segment, metric_column), ``cells`` (segment_column, metric_column, segment, target, n)."""
+
+    rows: int
+    kinds: dict[str, tuple[str, Column]]
+    groups: DataFrame | None
+    medians: DataFrame | None
+    cells: DataFrame | None
+
+    def of(self, table: DataFrame, segment: str, metric: str) -> DataFrame:
+        return table.filter((F.col("segment_column") == segment) & (F.col("metric_column") == metric)).drop("segment_column", "metric_column")
+
+
+def segment_facts(ds: Dataset | DataFrame, pairs: Sequence[tuple[str, str]]) -> SegmentFacts:
+    """One aggregate by GROUPING SETS for all numeric pairs, one call for their medians,
+    and one more aggregate for all pairs that are rates."""
     ds = as_dataset(ds)
-    if is_numeric(ds.df, metric):
-        row = ds.df.agg(F.min(as_double(metric)).alias("lo"), F.max(as_double(metric)).alias("hi"),
-                        F.count_if(~as_double(metric).isin(0.0, 1.0)).alias("other")).first()
-        if row["lo"] is not None and row["other"] == 0:
-            return "rate", _label(metric)
-        return "numeric", as_double(metric)
-    if ds.df.schema[metric].dataType.simpleString() == "string":
-        row = ds.df.agg(F.count("*").alias("n"), F.count(currency_to_double(metric)).alias("ok")).first()
-        if row["n"] and row["ok"] / row["n"] >= 0.5:
-            return "numeric", currency_to_double(metric)
-    return "rate", _label(metric)
+    rows, kinds = metric_kinds(ds, sorted({m for _, m in pairs}))
+    seen = lambda c, v: F.when(~ds.mask(c), v)  # noqa: E731  imputed cells do not count
+    groups = medians = cells = None
+    numeric = [(s, m) for s, m in dict.fromkeys(pairs) if kinds[m][0] == "numeric"]
+    wanted = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("m")) for s, m in numeric])
+    if numeric:
+        segs, mets = sorted({s for s, _ in numeric}), sorted({m for _, m in numeric})
+        base = ds.df.select(*[seen(c, _label(c)).alias(f"s{i}") for i, c in enumerate(segs)], *[seen(c, kinds[c][1]).alias(f"v{j}") for j, c in enumerate(mets)])
+        names = [f"s{i}" for i in range(len(segs))]
+        wide = base.groupingSets([[F.col(n)] for n in names], *names).agg(F.grouping_id().alias("gid"), *[
+            f(f"v{j}").alias(f"{x}_{j}") for j in range(len(mets))
+            for x, f in (("n", F.count), ("s", F.sum), ("m", F.avg), ("v", F.var_samp), ("sd", F.stddev_samp), ("lo", F.min), ("hi", F.max))
+        ])
+        # all bits of the grouping id are set but the one of the label in turn
+        own = lambda i: (1 << len(segs)) - 1 - (1 << (len(segs) - 1 - i))
+        which = F.coalesce(*[F.when(F.col("gid") == own(i), F.lit(c)) for i, c in enumerate(segs)])
+        cell = lambda j, c: F.struct(F.lit(c).alias("metric_column"), *[F.col(f"{x}_{j}").alias(x) for x in ("n", "s", "m", "v", "sd", "lo", "hi")])
+        long = wide.select(which.alias("segment_column"), F.coalesce(*names).alias("segment"), F.explode(F.array(*[cell(j, c) for j, c in enumerate(mets)])).alias("g"))
+        pair = F.struct(F.col("segment_column").alias("s"), F.col("metric_column").alias("m"))
+        groups = pin(long.select("segment_column", "segment", "g.*").filter((F.col("n") > 0) & F.col("segment").isNotNull() & F.array_contains(wanted, pair)), "segment-groups")
+        labelled = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("segment_column"), F.col(f"s{i}").alias("segment")) for i, c in enumerate(segs)])).alias("l"), *[F.col(f"v{j}").alias(c) for j, c in enumerate(mets)])
+        labelled = labelled.filter("l.segment is not null").select(F.col("l.segment_column").alias("_column"), F.col("l.segment").alias("_segment"), *map(col, mets))
+        found = quantile_columns(labelled, mets, {"median": 0.5}, by=["_column", "_segment"])
+        medians = pin(found.select(F.col("_column").alias("segment_column"), F.col("_segment").alias("segment"), F.col("column").alias("metric_column"), "median"), "segment-medians")
+    rates = [(s, m) for s, m in dict.fromkeys(pairs) if kinds[m][0] == "rate"]
+    if rates:
+        both = F.explode(F.array(*[
+            F.struct(F.lit(s).alias("segment_column"), F.lit(m).alias("metric_column"), seen(s, _label(s)).alias("segment"), seen(m, kinds[m][1]).alias("target")) for s, m in rates
+        ]))
+        seen_cells = ds.df.select(both.alias("c")).select("c.*").filter("segment is not null and target is not null")
+        cells = pin(seen_cells.groupBy("segment_column", "metric_column", "segment", "target").agg(F.count("*").alias("n")), "segment-cells")
+    return SegmentFacts(rows, kinds, groups, medians, cells)
 
 
 def _working(ds: Dataset, segment: str, metric: str, value: Column, name: str) -> DataFrame:
@@ -62,7 +124,7 @@ def _segment_rows(ds: Dataset, segment: str, metric: str) -> DataFrame:
     return _working(ds, segment, metric, value, "metric")
 
 
-def segment_stats(ds: Dataset | DataFrame, segment: str, metric: str, groups: DataFrame | None = None) -> DataFrame:
+def segment_stats(ds: Dataset | DataFrame, segment: str, metric: str, groups: DataFrame | None = None, medians: DataFrame | None = None) -> DataFrame:
     """AN-08: per segment count, sum, mean, median, std, min, max, share of the
     total and ratio to the overall mean. Totals are a second, tiny aggregate
     over the per-segment rows (the shuffle is shared); medians are exact."""
@@ -70,7 +132,8 @@ def segment_stats(ds: Dataset | DataFrame, segment: str, metric: str, groups: Da
     g = segment_groups(ds, segment, metric) if groups is None else groups
     total = g.agg(F.sum("s").alias("total")).scalar()
     overall = g.agg((F.sum("s") / F.sum("n")).alias("overall")).scalar()
-    medians = quantile_columns(_segment_rows(ds, segment, metric), ["metric"], {"median": 0.5}, by=["segment"]).select("segment", "median")
+    if medians is None:
+        medians = quantile_columns(_segment_rows(ds, segment, metric), ["metric"], {"median": 0.5}, by=["segment"]).select("segment", "median")
     return g.join(medians, "segment").select(
         "segment", F.col("n").alias("count"), F.round("s", 2).alias("sum"), F.round("m", 2).alias("mean"),
         F.round("median", 2).alias("median"),
@@ -158,8 +221,11 @@ def positive_class(rows: DataFrame) -> DataFrame:
 def segment_rates(ds: Dataset | DataFrame, segment: str, target: str) -> DataFrame:
     """AN-12: per segment n, positives and rate; the overall rate is the row
     whose segment is NULL, from the same pass by GROUPING SETS."""
-    rows = rate_rows(ds, segment, target)
-    counts = rows.groupBy("segment", "target").agg(F.count("*").alias("n"))
+    return rates_of(crosstab(ds, segment, target))
+
+
+def rates_of(counts: DataFrame) -> DataFrame:
+    """AN-12 from the counts (segment, target, n)."""
     positive = F.lower(positive_class(counts).scalar())
     both = counts.groupingSets([["segment"], []], "segment").agg(
         F.sum("n").alias("n_used"), F.sum(F.when(F.lower("target") == positive, F.col("n")).otherwise(0)).alias("positive_count"),
@@ -210,18 +276,19 @@ def with_chi2_p(stats: DataFrame) -> DataFrame:
     return out.withColumn("is_significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_high_cardinality: bool = False) -> ToolResult:
+def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_high_cardinality: bool = False, facts: SegmentFacts | None = None) -> ToolResult:
     """The segment tool: picks the mean or the rate path, guards against
-    identifiers, and returns the segment table with a one-row summary."""
+    identifiers, and returns the segment table with a one-row summary. ``facts`` are
+    those of several comparisons, counted together."""
     ds = as_dataset(ds)
     for c in (segment, metric):
         if c not in ds.columns:
             raise ValueError(f"Column '{c}' not found in dataset. Available: {ds.columns}")
-    kind, _ = metric_kind(ds, metric)
-    total = F.lit(ds.df.count())
+    facts = facts or segment_facts(ds, [(segment, metric)])
+    kind, total = facts.kinds[metric][0], F.lit(facts.rows)
     params = {"segment": segment, "metric": metric, "kind": kind}
     if kind == "numeric":
-        groups = pin(segment_groups(ds, segment, metric), "segments")
+        groups = facts.of(facts.groups, segment, metric)
         guard = cardinality_guard(ds, segment, metric, groups).first()
         if guard["n_used"] == 0:
             return ToolResult("segment_compare", "error", "No valid non-null rows remaining after alignment.", params=params)
@@ -230,14 +297,15 @@ def segment_compare(ds: Dataset | DataFrame, segment: str, metric: str, allow_hi
                 f"Column '{segment}' looks like a record identifier ({guard['reason']}: "
                 f"{guard['distinct_segments']} distinct values in {guard['n_used']} rows)."
             )
-        stats = pin(segment_stats(ds, segment, metric, groups), "segments")
+        stats = pin(segment_stats(ds, segment, metric, groups, facts.of(facts.medians, segment, metric)), "segments")
         ends, test = top_bottom(stats), with_anova_p(anova(ds, segment, metric, groups))
         tables = {"segments": rank_segments(stats), "test": test}
         stat_name = "f_statistic"
     else:
-        rates = pin(segment_rates(ds, segment, metric), "rates")
+        cells = facts.of(facts.cells, segment, metric)
+        rates = pin(rates_of(cells), "rates")
         stats = rates.filter("segment is not null").withColumn("count", F.col("n_used"))
-        ends, test = top_bottom(stats, "rate_percent"), with_chi2_p(chi_square(pin(crosstab(ds, segment, metric), "cells")))
+        ends, test = top_bottom(stats, "rate_percent"), with_chi2_p(chi_square(cells))
         tables = {"segments": rank_segments(stats, "rate"), "overall": rates.filter("segment is null"), "test": test}
         stat_name = "chi2_statistic"
     t = test.first()  # one row

@@ -16,7 +16,7 @@ from tidemark.operators.cleaning import col
 from tidemark.operators.common import ToolResult
 from tidemark.operators.imputation import is_id_name
 from tidemark.operators.profiling import profile_columns
-from tidemark.operators.segments import ID_AFFIXES
+from tidemark.operators.segments import ID_AFFIXES, segment_facts
 from tidemark.plans.clean import CleaningOptions, clean
 from tidemark.registry import run_tool
 from tidemark.session import pin
@@ -105,19 +105,25 @@ def plan(profile: Sequence) -> list[Step]:
 
 
 def run_steps(ds: Dataset, steps: Sequence[Step]) -> list[ToolResult]:
-    """Run each distinct step once. Steps do not depend on each other, so a few run
-    at a time: their small jobs would otherwise leave most cores idle."""
+    """Run each distinct step once. All segment comparisons share their counts and
+    medians. Steps do not depend on each other, so a few run at a time: their small jobs
+    would otherwise leave most cores idle."""
     todo: dict[tuple, Step] = {}
     for s in steps:
         todo.setdefault((s.tool, tuple(sorted((k, str(v)) for k, v in {**DEFAULTS.get(s.tool, {}), **s.args}.items()))), s)
 
+    pairs = [(str(s.args["segment"]), str(s.args["metric"])) for s in todo.values() if s.tool == "segment_compare" and {s.args["segment"], s.args["metric"]} <= set(ds.columns)]
+
     def one(s: Step) -> ToolResult:
-        r = run_tool(s.tool, ds, **s.args)
+        shared = {"facts": facts.result()} if s.tool == "segment_compare" and facts else None
+        r = run_tool(s.tool, ds, shared=shared, **s.args)
         # Results are small and read several times from here on.
         r.tables = {k: t if k == "samples" else pin(t) for k, t in r.tables.items()}
         return r
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
+        # all comparisons count in the same passes over the table
+        facts = pool.submit(segment_facts, ds, pairs) if pairs else None
         return list(pool.map(one, todo.values()))
 
 

@@ -93,10 +93,11 @@ OPERATORS: dict[str, OperatorSpec] = {
 }
 
 
-def run_tool(name: str, ds: Dataset, **args: object) -> ToolResult:
+def run_tool(name: str, ds: Dataset, /, *, shared: dict[str, object] | None = None, **args: object) -> ToolResult:
     """Run a listed tool. AN-20: what goes wrong comes back as a result with
     status ``error`` and a message, never as an exception. Results are computed
-    before they are reported, so a fault in a lazy plan is reported too."""
+    before they are reported, so a fault in a lazy plan is reported too. ``shared``
+    goes to the tool as it is: what a caller has worked out for several calls."""
     spec = OPERATORS.get(name)
     if spec is None:
         return ToolResult(name, "error", f"Unknown tool '{name}'. Available: {', '.join(OPERATORS)}")
@@ -108,7 +109,7 @@ def run_tool(name: str, ds: Dataset, **args: object) -> ToolResult:
     if faults:
         return ToolResult(name, "error", "; ".join(faults), params=dict(args))
     try:
-        out = spec.call(ds, **args)
+        out = spec.call(ds, **args, **(shared or {}))
         out = out if isinstance(out, ToolResult) else ToolResult(name, "success", summary=out, params=dict(args))
         if out.summary is not None:
             out.summary = pin(out.summary, name)
