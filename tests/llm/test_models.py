@@ -196,6 +196,31 @@ def test_archives_from_elsewhere(spark, tmp_path):
         list(warc.parse(data[:-6]))
 
 
+def test_archives_of_many_members(spark, tmp_path):
+    """A gzip member a record, as the format recommends, padding, and any piece size."""
+    def record(i, body):
+        return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    r = random.Random(3)
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\n" + bytes(r.choices(b"ab\r\n\0WARC/", k=n)) for n in (0, 5, 300_000, 17, 4000)]
+    data = b"".join(record(i, b) for i, b in enumerate(bodies))
+    for size in (1, 7, 1000, len(data)):
+        pieces = [data[i : i + size] for i in range(0, len(data), size)] if size > 1 else [data[:2000][i : i + 1] for i in range(2000)] + [b"", data[2000:]]
+        assert [x[6] for x in warc.parse(pieces)] == bodies
+    members = b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies)) + b"\0" * 512
+    assert b"".join(warc.inflate(members)) == data == b"".join(warc.inflate(gzip.compress(data)))
+    (tmp_path / "b.warc.gz").write_bytes(members)
+    got = {x["record_id"]: bytes(x["block"]) for x in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"<r{i}>": b for i, b in enumerate(bodies)}
+    for broken in (members[:-600], gzip.compress(data)[:-9]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse(warc.inflate(broken)))
+    for broken in (data[:-6], data[:40], b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse([broken]))
+
+
+
 def exact(rows, k):
     """Brute force over (id, vector) pairs, repeated pairs once."""
     rows = sorted({(i, tuple(v)) for i, v in rows})

@@ -264,6 +264,8 @@ def test_extra_columns_may_clash(spark):
     docs = spark.createDataFrame(rows(prose(80, 1), prose(80, 2)), DOCS)
     clash = docs.withColumns({c: F.lit(1) for c in ("id", "tag", "spans", "kept", "bits", "piece", "fp", "k1", "component", "size", "copies", "nth", "m", "doc", "left")})
     assert rules.keep(clash).columns == clash.columns
+    named = docs.withColumn("__rule_measures", F.lit("mine"))
+    assert {r["__rule_measures"] for r in rules.keep(named, "base").collect()} <= {"mine"} and rules.keep(named).columns == named.columns
     assert simhash.keep_one(clash).columns == clash.columns and simhash.keep_one(clash).count() == 2
     assert suffix.strip_repeats(clash).count() == 2
     assert mixing.take(clash, mixing.mix(clash)).columns == clash.columns

@@ -123,6 +123,8 @@ def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFra
     """The documents, all columns unchanged, that fail no rule of the policy."""
     small_batches(docs)
     m = "__rule_measures"
+    while m.lower() in {c.lower() for c in docs.columns}:
+        m += "_"
     out = docs.withColumn(m, _measures.asNondeterministic()(column(text_col).cast("string")))
     return out.where(passes(failure_bits(m), policy)).select(*[column(c) for c in docs.columns])
 

@@ -9,7 +9,7 @@ WARC-Concurrent-To. Reading gives one row per record; ``transactions`` joins the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,14 +105,63 @@ _ROW = "record_id string, record_type string, concurrent_to string, refers_to st
 _NAMES = {b"warc-record-id": 0, b"warc-type": 1, b"warc-concurrent-to": 2, b"warc-refers-to": 3, b"warc-target-uri": 4, b"warc-payload-digest": 5}
 
 
-def parse(data: bytes) -> Iterator[list]:
-    """The records of one archive; lengths decide, so blocks may hold anything."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
+_PIECE = 1 << 18
+
+
+def inflate(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file, a piece at a time. A file can have any number of
+    members, one a record as the format recommends; zeros after the last are padding."""
+    stream = None
+    for at in range(0, len(data), _PIECE):
+        rest = data[at : at + _PIECE]
+        while rest:
+            if stream is None:
+                rest = rest.lstrip(b"\0")
+                if not rest:
+                    break
+                stream = zlib.decompressobj(wbits=31)
+            yield stream.decompress(rest)
+            rest = stream.unused_data
+            if stream.eof:
+                stream = None
+    if stream is not None:
+        raise ValueError("the gzip file is cut off")
+
+
+def parse(data: bytes | Iterable[bytes]) -> Iterator[list]:
+    """The records of one archive, given whole or in pieces; lengths decide, so blocks may
+    hold anything. No more than a record and a piece is held."""
+    pieces = iter([data] if isinstance(data, bytes) else data)
+    held, at, before = b"", 0, 0
+
+    def more() -> bool:
+        nonlocal held, at, before
+        new = next(pieces, None)
+        if new is not None:
+            held, at, before = held[at:] + new, 0, before + at
+        return new is not None
+
+    def wait(size: int) -> None:
+        """Until the record's first ``size`` bytes are there."""
+        nonlocal held, at, before
+        parts, have = [held[at:]], len(held) - at
+        while have < size and (new := next(pieces, None)) is not None:
+            parts.append(new)
+            have += len(new)
+        if len(parts) > 1:
+            held, at, before = b"".join(parts), 0, before + at
+        if have < size:
+            raise ValueError(f"the WARC record at byte {before + at} has no length or is cut off")
+
+    while at < len(held) or more():
+        if at == len(held):
+            continue
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError(f"the WARC record at byte {before + at} has no length or is cut off")
+        lines = held[at:end].split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {before + at}")
         row, length = [None] * 7, None
         for line in lines[1:]:
             name, _, value = line.partition(b":")
@@ -121,15 +170,18 @@ def parse(data: bytes) -> Iterator[list]:
                 length = int(value)
             elif name in _NAMES:
                 row[_NAMES[name]] = value.decode()
-        if length is None or end + 4 + length + 4 > len(data):
-            raise ValueError(f"the WARC record at byte {at} has no length or is cut off")
-        row[6] = data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+        if length is None:
+            raise ValueError(f"the WARC record at byte {before + at} has no length or is cut off")
+        head = end + 4 - at
+        wait(head + length + 4)
+        row[6] = held[at + head : at + head + length]
+        at += head + length + 4
         yield row
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder; a file is one task's work."""
+    """One row per record of the archives in a folder; a file is one task's work. All gzip
+    members of a file are read, inflated a piece at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [x.split()[0] for x in _ROW.split(", ")]
     types = [pa.string()] * 6 + [pa.binary()]
@@ -138,7 +190,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column("content"):
                 rows = []
-                for row in parse(zlib.decompress(content.as_py(), wbits=31)):
+                for row in parse(inflate(content.as_py())):
                     rows.append(row)
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
