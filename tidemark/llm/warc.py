@@ -144,12 +144,13 @@ def parse(data: bytes | Iterable[bytes]) -> Iterator[list]:
     def wait(size: int) -> None:
         """Until the record's first ``size`` bytes are there."""
         nonlocal held, at, before
+        if len(held) - at >= size:
+            return
         parts, have = [held[at:]], len(held) - at
         while have < size and (new := next(pieces, None)) is not None:
             parts.append(new)
             have += len(new)
-        if len(parts) > 1:
-            held, at, before = b"".join(parts), 0, before + at
+        held, at, before = b"".join(parts), 0, before + at
         if have < size:
             raise ValueError(f"the WARC record at byte {before + at} has no length or is cut off")
 
