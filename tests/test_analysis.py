@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset
+from tidemark.operators import verify as vf
 from tidemark.operators import correlation as co, forest, joins as jn, outliers as ou, profiling as pr, segments as sg, trend as tr, windows as wn
 from tidemark.plans import analyze as az
 from tidemark.registry import run_tool
@@ -226,3 +227,22 @@ def test_numbers_without_end(spark):
     for x in [v for v in nums if v is not None and abs(v) < inf]:
         known = [5.04, 100.0005, 1e300]
         assert few[x] == (max((k for k in known if k <= x), default=None), min((k for k in known if k >= x), default=None))
+
+
+def test_a_narrative_is_checked_against_its_findings(spark):
+    schema = "run_id string, insight_id string, title string, summary string, metrics map<string,double>, significance double, effect_size double, n_used long, n_excluded long, exclusion_rate double"
+    rows = [
+        ("r1", "a", "Pay differs by team", "Team A earns 52.35 on average. The share is 12.5%.", {"top_mean": 52.349, "share": 0.125}, 0.01, 0.4, 90, 10, 0.1),
+        ("r1", "b", "A guess", "Nobody measured the value 777.7 anywhere.", {"x": 1.0}, None, 0.1, 90, 10, 0.1),
+        (None, "c", "Rows", "We used 90 rows.", {"n": 90.0}, None, 0.1, 90, 0, 0.0),
+        ("r2", "d", "No numbers", "Nothing to see.", {}, None, None, None, None, None),
+    ]
+    findings = spark.createDataFrame(rows, schema)
+    text = "Team A earns 52.35 on average. The share is 12.5%. Nobody measured the value 777.7 anywhere. Sales were 31 units."
+    story = spark.createDataFrame([("r1", text), (None, "We used 90 rows."), ("r2", "Nothing to see."), ("r3", None)], "run_id string, executive_summary string")
+    got = vf.check_narrative(findings, story)
+    assert {(r["value"], r["status"]) for r in got.claims.collect()} == {(52.35, "verified"), (12.5, "verified"), (777.7, "metric_missing"), (90.0, "verified")}
+    kept = {r["run_id"]: (r["executive_summary"], r["sentences_dropped"]) for r in got.narrative.collect()}
+    assert kept == {"r1": ("Team A earns 52.35 on average. The share is 12.5%.", 2), None: ("We used 90 rows.", 0), "r2": ("Nothing to see.", 0), "r3": (None, 0)}
+    rates = {r["run_id"]: (r["number_verification_rate"], r["post_strip_rate"], r["claim_presence_rate"], r["status"]) for r in got.rates.collect()}
+    assert rates == {"r1": (50.0, 100.0, 100.0, "flagged"), None: (100.0, 100.0, 100.0, "passed")}

@@ -167,6 +167,25 @@ def test_strip_keeps_order(spark):
     assert got == {1: ("We saw 10 rows. All 10 stayed? Yes.", 1), 2: ("Nothing here.", 0)}
 
 
+def test_claims_by_other_values_texts_and_long_keys(spark):
+    m = spark.createDataFrame([("s", "rate", 10.0), ("s", "rate", 25.25), (None, "n", 4.0), ("k", "x" * 10_000 + "abcd", 3.0)], "source_id string, metric_key string, value double")
+    c = spark.createDataFrame([
+        (1, "s", "rate", 25.25), (2, "s", "rate", 10.0), (3, "s", "rate", 30.0), (4, "s", "other", 7.5), (5, None, "n", 4.0), (6, "t", "x", 7.5), (7, "k", "xabcd", 3.0), (8, "k", "y" * 9000, 3.0), (9, "s", None, 1.0), (10, "s", "rate", None),
+        (11, "s", "rate", float("inf")),
+    ], "claim_id int, source_id string, metric_key string, value double")
+    own = vf.harvest(spark.createDataFrame([("s", "It was 7.5 then."), ("t", "7.5 again"), ("u", None)], "id string, t string"), "id", "t")
+    got = {r["claim_id"]: r["status"] for r in vf.verify_claims(c, m, harvested=own).collect()}
+    assert got == {1: "verified", 2: "verified", 3: "mismatch", 4: "verified", 5: "verified", 6: "verified", 7: "verified", 8: "metric_missing", 9: "metric_missing", 10: "mismatch", 11: "mismatch"}
+
+
+def test_documents_without_text_or_key_stay(spark):
+    d = spark.createDataFrame([(1, None), (None, "We saw 10 rows. It never happened, they said."), (3, "")], "id int, t string")
+    bad = spark.createDataFrame([(1, 99.0)], "id int, number double")
+    said = spark.createDataFrame([(None, "NEVER happened", "mismatch", 1.0), (None, "saw", "mismatch", 2.0), (3, "We saw 10 rows", "mismatch", 3.0)], "id int, text string, status string, value double")
+    got = {r["id"]: (r["cleaned_text"], r["sentences_dropped"]) for r in vf.strip_unverified(d, "t", "id", bad, said).collect()}
+    assert got == {1: (None, 0), None: ("We saw 10 rows.", 1), 3: ("", 0)}
+
+
 def test_questions(spark):
     cols = ["Department", "Annual_Salary", "Attrition", "Region"]
     q = spark.createDataFrame([(1, "Average pay by department?"), (2, "What is the credit score?"), (3, "How many rows per region?")], "question_id int, question string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,3 +247,57 @@ def audit_numbers(df: DataFrame, text: str, keys: Sequence[str], pool: DataFrame
     tokens = number_context(df, text, keys).filter("number is not null")
     seen = classify_numbers(tokens, pool)
     return join_keys(tokens, seen, ["number"]).select(*keys, "sentence_no", "token_no", "token", "number", "context", "result", "recomputed")
+
+
+@dataclass
+class NarrativeCheck:
+    """What :func:`check_narrative` found: ``claims`` (claim_id, run_id, source_id,
+    metric_key, value, text, status, reason), ``rates`` (TX-05 per run) and ``narrative``
+    (run_id, executive_summary without the sentences that do not hold)."""
+
+    claims: DataFrame
+    rates: DataFrame
+    narrative: DataFrame
+
+
+def narrative_claims(findings: DataFrame) -> DataFrame:
+    """One claim per number that a finding's title or summary states, bound to the
+    metric of that finding that has this value (to two decimals, one, none, or as a
+    percentage); a number that no metric has keeps its own digits as key."""
+    said = F.concat_ws(" ", "title", "summary")
+    rows = findings.select("run_id", "insight_id", F.col("summary").alias("text"), "metrics", F.explode(F.array_distinct(tx.numbers_in(said))).alias("value"))
+    v = F.col("value")
+    same = lambda x: (F.round(x, 2) == F.round(v, 2)) | (F.round(x, 1) == v) | (F.round(x, 0) == v) | (F.round(x * 100, 1) == F.round(v, 1))
+    key = F.get(F.map_keys(F.map_filter("metrics", lambda _, x: same(x) & x.isNotNull())), 0)
+    source = F.concat_ws("|", "run_id", "insight_id")
+    return rows.select(
+        F.concat_ws("#", source, v.cast("string")).alias("claim_id"), "run_id", source.alias("source_id"), F.coalesce(key, v.cast("string")).alias("metric_key"), "value", "text",
+    )
+
+
+def narrative_metrics(findings: DataFrame) -> DataFrame:
+    """(source_id, metric_key, value): what a finding's own metrics and counts say, shares
+    also as percentages."""
+    named = F.map_concat(F.col("metrics"), F.map_filter(
+        F.create_map(*[x for c in ("n_used", "n_excluded", "significance", "effect_size", "exclusion_rate") for x in (F.lit(f"finding_{c}"), F.col(c).cast("double"))]),
+        lambda _, x: x.isNotNull(),
+    ))
+    percents = F.transform_values(F.map_filter(named, lambda _, x: F.abs(x) <= 1), lambda _, x: x * 100)
+    rows = findings.select(F.concat_ws("|", "run_id", "insight_id").alias("id"), named.alias("plain"), percents.alias("shares"))
+    return metric_index(rows, "id", "plain", every=True).unionByName(metric_index(rows, "id", "shares", every=True)).distinct()
+
+
+def check_narrative(findings: DataFrame, narrative: DataFrame, tol: float = CLAIM_TOLERANCE) -> NarrativeCheck:
+    """IN-15: verify a run's narrative (run_id, executive_summary) against the findings
+    that it is made of: every number of a finding becomes a claim about that finding's
+    metrics, every number of the text has to belong to a verified claim of its run, and
+    sentences that hold another number, or the wording of a refuted claim, are dropped."""
+    claims = narrative_claims(findings)
+    status = verify_claims(claims, narrative_metrics(findings), tol).select("claim_id", "status", "reason")
+    claims = materialize(join_keys(claims, status.dropDuplicates(["claim_id"]), ["claim_id"]), "narrative-claims")
+    said = extract_numbers(narrative, "executive_summary", ["run_id"])
+    numbers = materialize(verify_numbers(said, claims.filter("status = 'verified'").select("run_id", "value"), ["run_id"], tol), "narrative-numbers")
+    cleaned = materialize(strip_unverified(narrative, "executive_summary", "run_id", numbers.filter("not is_verified"), claims), "narrative-cleaned")
+    texts = narrative.select("run_id", F.col("executive_summary").alias("text"))
+    rates = verification_rates(numbers, claims, "run_id", tol, texts, cleaned)
+    return NarrativeCheck(claims, rates, cleaned.select("run_id", F.col("cleaned_text").alias("executive_summary"), "sentences_dropped"))

@@ -17,6 +17,7 @@ from tidemark.operators.common import ToolResult
 from tidemark.operators.imputation import is_id_name
 from tidemark.operators.profiling import profile_columns
 from tidemark.operators.segments import ID_AFFIXES, segment_facts
+from tidemark.operators.verify import NarrativeCheck, check_narrative
 from tidemark.plans.clean import CleaningOptions, clean
 from tidemark.registry import run_tool
 from tidemark.session import pin
@@ -36,6 +37,8 @@ class AnalysisOptions:
 
 
 AT_ONCE = 4
+#: Strong pairs that one table of columns can have: 2^31 - 1 is no limit for Spark.
+MAX_PAIRS = 2**31 - 1
 ALPHA, OUTLIER_SHARE, STRONG_R = 0.05, 5.0, 0.5
 # What the tools assume where a step says nothing, so that equal steps run once.
 DEFAULTS = {"detect_outliers": {"method": "iqr", "threshold": 3.0}, "run_correlation": {"threshold": 0.4}}
@@ -189,7 +192,7 @@ def drilldowns(ds: Dataset | DataFrame, results: Sequence[ToolResult], profile:
             for c in r.tables["column_outliers"].filter(F.col("outlier_percentage") > OUTLIER_SHARE).select("column", "outlier_percentage").orderBy("column").collect():
                 out.setdefault(f"outlier rate {c['outlier_percentage']:.1f}% > 5% in column '{c['column']}' -> inspect column", value_frequencies(ds, c["column"], k))
         elif r.tool == "run_correlation" and cats:
-            for c in r.tables["pairs"].filter(F.col("abs_correlation") > STRONG_R).orderBy(F.desc("abs_correlation")).select("column_x", "column_y", "abs_correlation").limit(limit or 1000).collect():
+            for c in r.tables["pairs"].filter(F.col("abs_correlation") > STRONG_R).orderBy(F.desc("abs_correlation")).select("column_x", "column_y", "abs_correlation").limit(limit or MAX_PAIRS).collect():
                 out.setdefault(f"|r|={c['abs_correlation']:.2f} > 0.5 between '{c['column_x']}' and '{c['column_y']}' -> check pair by segment '{cats[0]}'", pair_means(ds, cats[0], c["column_x"], c["column_y"], k))
     return list(out.items())[:limit]
 
@@ -242,6 +245,11 @@ class Analysis:
     found: DataFrame | None = None
     left_out: list[str] = field(default_factory=list)
 
+    def check(self) -> NarrativeCheck:
+        """TX-03..05 on this run: its claims, the rates before and after stripping, and
+        the narrative without sentences that no finding bears out."""
+        return check_narrative(self.insights, self.narrative)
+
 
 def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None, run_id: str = "run", analysis: AnalysisOptions | None = None) -> Analysis:
     """IN-15: clean, profile, baseline scan, plan, drill-downs, ranked findings
@@ -252,10 +260,12 @@ def auto_analyze(df: DataFrame | Dataset, options: CleaningOptions | None = None
     rows = profile.collect()  # one row per column
     o = analysis or AnalysisOptions()
     results = run_steps(ds, baseline_steps(rows, o) + plan(rows))
-    follow = drilldowns(ds, results, rows, o.drilldowns, o.groups)
+    follow = drilldowns(ds, results, rows, None, o.groups)
+    cut = [] if o.drilldowns is None else [f"follow-up: {reason}" for reason, _ in follow[o.drilldowns:]]
+    follow = follow[:o.drilldowns]
     found = pin(result_insights(ds, results, run_id, disclosure), "found")
     ranked = ins.rank_insights(found, n_total=o.findings)
     ranked = ins.placeholder_flags(ranked, "summary").filter(~F.col("has_placeholder")).drop("has_placeholder")
     ranked = pin(ranked, "insights")
     spark = ds.df.sparkSession
-    return Analysis(ds, spark.createDataFrame(rows, profile.schema), results, follow, ranked, ins.narrate(ranked, disclosure), found, left_out(rows, o))
+    return Analysis(ds, spark.createDataFrame(rows, profile.schema), results, follow, ranked, ins.narrate(ranked, disclosure), found, left_out(rows, o) + cut)
