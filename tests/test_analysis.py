@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,38 @@ def test_a_narrative_is_checked_against_its_findings(spark):
     assert kept == {"r1": ("Team A earns 52.35 on average. The share is 12.5%.", 2), None: ("We used 90 rows.", 0), "r2": ("Nothing to see.", 0), "r3": (None, 0)}
     rates = {r["run_id"]: (r["number_verification_rate"], r["post_strip_rate"], r["claim_presence_rate"], r["status"]) for r in got.rates.collect()}
     assert rates == {"r1": (50.0, 100.0, 100.0, "flagged"), None: (100.0, 100.0, 100.0, "passed")}
+
+
+def test_many_correlations_from_one_scan(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(900, 30)) + 1e7
+    x[:, 1] = 3 * x[:, 0] - 2e7 + rnd.normal(size=900) * 0.3
+    x[:, 2] = 0.1
+    x[rnd.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = np.nan
+    x[4, 5] = np.inf
+    d = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(30)])).repartition(5)
+    got = {(r["column_x"], r["column_y"]): r for r in co.correlation_pairs(d).collect()}
+    assert len(got) == 30 * 29 // 2
+    for (a, b), r in got.items():
+        u, v = x[:, int(a[1:])], x[:, int(b[1:])]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        u, v = u[both], v[both]
+        assert r["n_used"] == len(u) and r["n_excluded"] == 900 - len(u)
+        if len(u) < 2 or u.std() < 1e-12 or v.std() < 1e-12 or not (np.isfinite(u).all() and np.isfinite(v).all()):
+            assert r["correlation"] is None, (a, b, r)
+        else:
+            assert r["correlation"] == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-4)
+    monkeypatch.setattr(co, "AGGREGATED_PAIRS", 10_000)
+    few = [f"c{i}" for i in range(9)]  # built-in aggregates give the same rows
+    same = co.correlation_pairs(d, few).collect()
+    assert len(same) == 36 and [r for r in same if r != got[r["column_x"], r["column_y"]]] == []
+    monkeypatch.setattr(co, "AGGREGATED_PAIRS", 1)
+    assert co.correlation_pairs(d.limit(0)).where("n_used = 0 and n_excluded = 0 and correlation is null").count() == 435
+
+
+def test_a_thousand_columns_in_one_scan(spark):
+    wide = spark.range(400).select(*[((F.col("id") * (i + 7) * 2654435761) % (1009 + i)).cast("double").alias(f"c{i}") for i in range(1000)])
+    plan = co.correlation_pairs(wide)
+    assert plan.count() == 1000 * 999 // 2
+    assert plan.where("n_used <> 400 or abs(correlation) > 1 or correlation is null").count() == 0

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, as_dataset
+from tidemark.functions.gram import pair_moments
 from tidemark.functions.tails import corr_pvalue
 from tidemark.operators.common import ToolResult, any_of, long_rows, numeric_frame, usable
 
-PAIRS_PER_PASS = 300
+# Up to this many pairs are built-in aggregates of one scan; more are matrix products
+# of whole batches, also in one scan.
+AGGREGATED_PAIRS = 300
+# A deviation this small beside the largest value is rounding.
+FLAT = 1e-14
 
 
 def strength(r: Column) -> Column:
@@ -25,7 +30,7 @@ def strength(r: Column) -> Column:
 
 def correlation_pairs(ds: Dataset | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """AN-01: one row per column pair, pairwise deletion of missing and imputed
-    cells, r rounded to 4 places. All pairs come from one scan (per 300 pairs)."""
+    cells, r rounded to 4 places. All pairs come from one scan, whatever their number."""
     ds = as_dataset(ds)
     cols = numeric_frame(ds, columns, 0.6, coerce=False)
     if len(cols) < 2:
@@ -36,22 +41,43 @@ def correlation_pairs(ds: Dataset | DataFrame, columns: Sequence[str] | None = N
 def _pairs(ds: Dataset, cols: list[tuple[str, Column]]) -> DataFrame:
     base = ds.df.select(*[usable(ds, c, v).alias(f"v{i}") for i, (c, v) in enumerate(cols)])
     pairs = list(combinations(range(len(cols)), 2))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        wide = base.agg(
-            F.count("*").alias("n_total"),
-            *[F.corr(f"v{i}", f"v{j}").alias(f"r{i}_{j}") for i, j in chunk],
-            *[F.count_if(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()).alias(f"n{i}_{j}") for i, j in chunk],
-        )
-        parts.append(wide.select("n_total", long_rows([
-            F.struct(
-                F.lit(cols[i][0]).alias("column_x"), F.lit(cols[j][0]).alias("column_y"),
-                F.when((F.col(f"n{i}_{j}") >= 2) & ~F.isnan(f"r{i}_{j}"), F.round(F.col(f"r{i}_{j}"), 4)).alias("correlation"),
-                F.col(f"n{i}_{j}").alias("n_used"),
-            ) for i, j in chunk
-        ]).alias("p")).select("p.*", (F.col("n_total") - F.col("p.n_used")).alias("n_excluded")))
-    return reduce(DataFrame.unionByName, parts)
+    if len(pairs) > AGGREGATED_PAIRS:
+        return _many_pairs(base, [c for c, _ in cols])
+    # covariance over deviations, as ``corr`` raises where a column is constant; a deviation
+    # below the rounding of the largest value is one
+    both = {(i, j): F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull() for i, j in pairs}
+    wide = base.agg(
+        F.count("*").alias("n_total"),
+        *[F.max(F.when(F.abs(f"v{i}") < math.inf, F.abs(f"v{i}"))).alias(f"m{i}") for i in range(len(cols))],
+        *[x for (i, j), on in both.items() for x in (
+            F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}"), F.stddev_pop(F.when(on, F.col(f"v{i}"))).alias(f"x{i}_{j}"),
+            F.stddev_pop(F.when(on, F.col(f"v{j}"))).alias(f"y{i}_{j}"), F.count_if(on).alias(f"n{i}_{j}"),
+        )],
+    )
+
+    def r(i: int, j: int) -> Column:
+        x, y = F.col(f"x{i}_{j}"), F.col(f"y{i}_{j}")
+        varies = (x > F.col(f"m{i}") * FLAT) & (y > F.col(f"m{j}") * FLAT)
+        out = F.when(varies & (F.col(f"n{i}_{j}") >= 2), F.try_divide(F.try_divide(F.col(f"c{i}_{j}"), x), y))
+        return F.when(out.isNotNull() & ~F.isnan(out), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), out)), 4))
+
+    return wide.select("n_total", long_rows([
+        F.struct(
+            F.lit(cols[i][0]).alias("column_x"), F.lit(cols[j][0]).alias("column_y"),
+            r(i, j).alias("correlation"), F.col(f"n{i}_{j}").alias("n_used"),
+        ) for i, j in pairs
+    ]).alias("p")).select("p.*", (F.col("n_total") - F.col("p.n_used")).alias("n_excluded"))
+
+
+def _many_pairs(base: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows from sums of matrix products. The count of all rows reads no
+    column of a columnar table."""
+    label = F.array(*[F.lit(n) for n in names])
+    total = base.agg(F.count("*").alias("n")).scalar()
+    return pair_moments(base).select(
+        F.get(label, F.col("i")).alias("column_x"), F.get(label, F.col("j")).alias("column_y"),
+        F.round("corr", 4).alias("correlation"), F.col("n").alias("n_used"), (total - F.col("n")).alias("n_excluded"),
+    )
 
 
 def with_strength(pairs: DataFrame, threshold: float = 0.4) -> DataFrame:
