@@ -73,7 +73,7 @@ def test_isolation_forest_finds_far_points(spark):
     )
     s = forest.isolation_scores(d, ["a", "b"])
     assert s.filter("score <= 0 or score >= 1").count() == 0
-    top = s.orderBy(F.desc("score")).limit(12).filter("v0 >= 40").count()
+    top = s.orderBy(F.desc("score")).limit(12).filter("a >= 40").count()
     assert top == 12
     r = forest.isolation_forest(d, ["a", "b"]).summary.first()
     assert r["n_used"] == 600 and r["anomaly_count"] == pytest.approx(30, abs=2)
@@ -283,3 +283,41 @@ def test_a_thousand_columns_in_one_scan(spark):
     plan = co.correlation_pairs(wide)
     assert plan.count() == 1000 * 999 // 2
     assert plan.where("n_used <> 400 or abs(correlation) > 1 or correlation is null").count() == 0
+
+
+def _forest_rows(spark, n):
+    return spark.range(n).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.col("id") * 37 % 1013 / 7.0).alias("a"),
+        F.when(F.col("id") % 3 == 0, 2.5).otherwise(F.col("id") * 53 % 997 / 5.0).alias("score"),
+    )
+
+
+def test_forest_scores_do_not_depend_on_partitions(spark):
+    d = _forest_rows(spark, 60_000)
+    for key in (["id"], None):
+        runs = []
+        for parts in (2, 7):
+            s = forest.isolation_scores(d.repartition(parts, F.rand(parts)), ["a", "score"], key=key)
+            assert s.columns == [*(key or []), "a", "score", "score_"]
+            runs.append(sorted(map(tuple, s.collect())))
+        assert runs[0] == runs[1] and len(runs[0]) == 60_000
+    r = forest.isolation_forest(d, ["a", "score"], key=["id"]).tables["scores"]
+    assert r.columns == ["id", "a", "score", "score_", "is_anomaly"] and r.select("id").distinct().count() == 60_000
+
+
+def test_forest_draws_copies_as_often_as_they_are(spark):
+    rows = _forest_rows(spark, 60_000).select(F.col("a").alias("v0"), F.col("score").alias("v1"))
+    picks = forest._draw(rows, [], ["v0", "v1"], 60_000, 100, 42).toPandas()
+    first = picks.sort_values(["tree", "u", "v0", "v1"]).groupby("tree").head(forest.SUBSET)
+    assert (first.groupby("tree").size() == forest.SUBSET).all()
+    assert (first["v0"] == 1.5).mean() == pytest.approx(1 / 3, abs=0.03)
+    whole = forest._draw(rows.limit(100), [], ["v0", "v1"], 100, 3, 42)  # a small table is drawn whole by each tree
+    assert whole.groupBy("tree").count().filter("count <> 100").count() == 0
+
+
+def test_forest_edges(spark):
+    assert forest.isolation_scores(spark.createDataFrame([("a",)], "t string")) is None
+    d = spark.range(20).select(F.when(F.col("id") > 4, F.col("id")).alias("x"), F.lit(None).cast("string").alias("k"))
+    got = forest.isolation_scores(d, ["x"], key=["k"])
+    assert got.count() == 15 and got.columns == ["k", "x", "score"]
+    assert run_tool("detect_outliers", d, method="isolation_forest", columns=["x"], key=["k"]).status == "success"

@@ -55,31 +55,68 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
     return nodes
 
 
-def isolation_scores(ds: Dataset | DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, seed: int = SEED) -> DataFrame | None:
-    """Rows with complete numeric cells and their anomaly ``score`` in (0, 1).
-    None when fewer than 10 rows are complete."""
+def _copies(batches: Iterator[pd.DataFrame], names: Sequence[str], keep: float) -> Iterator[pd.DataFrame]:
+    """Of a vector met ``c`` times, the number of its copies that are drawn: binomial,
+    by a generator seeded with the vector's hash. Vectors come here only with one
+    copy drawn at least, so they are few."""
+    for pdf in batches:
+        drawn = []
+        for h, c in zip(pdf["h"], pdf["c"]):
+            rng = np.random.default_rng(int(h) % 2**63)
+            m = 1 if keep < 1 and c * keep < 1e-3 else int(rng.binomial(c, keep))
+            while m == 0:
+                m = int(rng.binomial(c, keep))
+            drawn.append(m)
+        out = pdf.loc[np.repeat(pdf.index.to_numpy(), drawn), ["h", *names]]
+        yield out.assign(copy=np.concatenate([np.arange(m) for m in drawn]) if drawn else np.empty(0, "int64"))
+
+
+def _draw(rows: DataFrame, key: Sequence[str], names: Sequence[str], n: int, trees: int, seed: int) -> DataFrame:
+    """(tree, u, values): about 1.5 * SUBSET rows a tree, chosen by hashes alone, so
+    the same rows are drawn however the table is cut.
+
+    With a key each row is drawn by the key's hash, without a shuffle. Without one,
+    equal vectors are counted and drawn as often as chance would draw their copies."""
+    share = min(1.0, 1.5 * SUBSET / n)
+    keep = min(1.0, share * trees)
+    unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 52)) / float(1 << 52)
+    if key:
+        met = rows.withColumn("h", F.xxhash64(F.lit(seed), *key)).filter(unit(F.col("h"), F.lit(-1)) < keep)
+        copies = met.select("h", F.lit(0).cast("long").alias("copy"), *names)
+    else:
+        met = rows.groupBy(*names).agg(F.count("*").alias("c")).withColumn("h", F.xxhash64(F.lit(seed), *names))
+        if keep < 1.0:  # the chance that no copy is drawn
+            met = met.filter(unit(F.col("h"), F.lit(-1)) >= F.exp(F.col("c") * math.log1p(-keep)))
+        fields = "h long, " + ", ".join(f"{v} double" for v in names) + ", copy long"
+        copies = met.mapInPandas(lambda batches: _copies(batches, names, keep), fields)
+    each = copies.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("u", unit(F.col("h"), F.col("copy"), F.col("tree")))
+    return each.filter(F.col("u") < share / keep).select("tree", "u", *names)
+
+
+def isolation_scores(ds: Dataset | DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, seed: int = SEED,
+                     key: Sequence[str] | None = None) -> DataFrame | None:
+    """Rows with complete numeric cells and their anomaly ``score`` in (0, 1): the
+    columns of ``key``, the numeric columns by name (less those of the key), the score
+    (``score_`` where a column has that name). None when fewer than 10 rows are complete.
+
+    Scores depend on the rows only, not on their order or partitions. A key should
+    tell rows apart: rows with equal keys are drawn together, null keys too."""
     ds = as_dataset(ds)
     cols = numeric_frame(ds, columns, 0.6)
+    if not cols:
+        return None
+    key = list(key or [])
     names = [f"v{i}" for i in range(len(cols))]
-    rows = ds.df.select(*[v.alias(n) for n, (_, v) in zip(names, cols)]).dropna()
+    keys = [f"k{i}" for i in range(len(key))]
+    rows = ds.df.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(keys, key)], *[v.alias(n) for n, (_, v) in zip(names, cols)]).dropna(subset=names)
     n = rows.count()
-    if n < 10 or not cols:
+    if n < 10:
         return None
-    # Each row joins each tree with probability about SUBSET/n; the first
-    # SUBSET of a tree by random order are used. Groups stay near SUBSET rows.
-    share = min(1.0, 1.5 * SUBSET / n)
-    keep = min(1.0, share * trees)
-    drawn = rows.sample(fraction=keep, seed=seed) if keep < 1.0 else rows
-    tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    u = F.pmod(F.xxhash64(F.col("_u"), F.col("tree")), F.lit(1 << 30)) / float(1 << 30)
-    picks = (
-        drawn.withColumn("_u", F.rand(seed)).withColumn("tree", F.explode(tree_ids)).withColumn("u", u)
-        .filter(F.col("u") < share / keep).select("tree", "u", *names)
-    )
+    picks = _draw(rows, keys, names, n, trees, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        part = pdf.sort_values("u")[names].to_numpy()[:SUBSET]
+        part = pdf.sort_values(["u", *names])[names].to_numpy()[:SUBSET]
         nodes = _grow(part, np.random.default_rng(seed + tree))
         return pd.DataFrame({"tree": [tree], "size": [len(part)], "nodes": [json.dumps(nodes)]})
 
@@ -106,22 +143,30 @@ def isolation_scores(ds: Dataset | DataFrame, columns: Sequence[str] | None = No
                 total += nodes[pos, 4]
             yield pdf.assign(score=np.power(2.0, -total / len(shared.value) / norm))
 
-    return rows.mapInPandas(score, ", ".join(f"{n} double" for n in names) + ", score double")
+    named = {c: v for v, (c, _) in zip(names, cols) if c not in key}
+    fields = [*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], *[f"{n} double" for n in names], "score double"]
+    scored = rows.mapInPandas(score, ", ".join(fields))
+    last = "score"
+    while last in key or last in named:
+        last += "_"
+    return scored.select(*[F.col(k).alias(c) for k, c in zip(keys, key)], *[F.col(v).alias(c) for c, v in named.items()], F.col("score").alias(last))
 
 
-def isolation_forest(ds: Dataset | DataFrame, columns: Sequence[str] | None = None) -> ToolResult:
-    """Rows whose score is above the 95 % quantile are anomalous."""
+def isolation_forest(ds: Dataset | DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] | None = None) -> ToolResult:
+    """Rows whose score is above the 95 % quantile are anomalous. The table ``scores``
+    holds key, values, score and ``is_anomaly``."""
     from tidemark.session import materialize
 
     ds = as_dataset(ds)
-    scores = isolation_scores(ds, columns)
+    scores = isolation_scores(ds, columns, key=key)
     if scores is None:
         return ToolResult("detect_outliers", "skipped", "Fewer than 10 complete rows for an isolation forest.")
     scores = materialize(scores, "forest-scores")
-    cut = exact_quantiles(scores, ["score"], [1 - CONTAMINATION]).first()["value"]
+    score = F.col(f"`{scores.columns[-1]}`")
+    cut = exact_quantiles(scores.select(score.alias("score")), ["score"], [1 - CONTAMINATION]).first()["value"]
     total = ds.df.agg(F.count("*").alias("n")).scalar()
     summary = scores.agg(
-        F.count("*").alias("n_used"), F.count_if(F.col("score") > cut).alias("anomaly_count"),
+        F.count("*").alias("n_used"), F.count_if(score > cut).alias("anomaly_count"),
     ).select(
         F.lit("isolation_forest").alias("method"), total.alias("total_records"), "n_used",
         (total - F.col("n_used")).alias("n_excluded"), "anomaly_count",
@@ -129,5 +174,5 @@ def isolation_forest(ds: Dataset | DataFrame, columns: Sequence[str] | None = No
     )
     return ToolResult(
         "detect_outliers", "success", summary=summary,
-        tables={"scores": scores.withColumn("is_anomaly", F.col("score") > cut)}, params={"method": "isolation_forest"},
+        tables={"scores": scores.withColumn("is_anomaly", score > cut)}, params={"method": "isolation_forest"},
     )

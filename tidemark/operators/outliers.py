@@ -68,15 +68,15 @@ def _flags(ds: Dataset, cols: list[tuple[str, Column]], limits: dict[str, object
     return out
 
 
-def outliers(ds: Dataset | DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, threshold: float = 3.0) -> ToolResult:
-    """The outlier tool. Limits are one small row per column; the counts of all
+def outliers(ds: Dataset | DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, threshold: float = 3.0, key: Sequence[str] | None = None) -> ToolResult:
+    """The outlier tool; ``key`` names rows in the forest's result. Limits are one small row per column; the counts of all
     columns and the row-level union (AN-07) then come from one scan."""
     ds = as_dataset(ds)
     method = method.lower().replace("z-score", "zscore").replace("isolationforest", "isolation_forest")
     if method == "isolation_forest":
         from tidemark.operators.forest import isolation_forest
 
-        return isolation_forest(ds, columns)
+        return isolation_forest(ds, columns, key)
     if method not in ("iqr", "zscore"):
         raise ValueError(f"Unsupported outlier detection method '{method}'. Use 'iqr', 'zscore', or 'isolation_forest'.")
     cols = numeric_frame(ds, columns, 0.6)

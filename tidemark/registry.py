@@ -81,7 +81,7 @@ OPERATORS: dict[str, OperatorSpec] = {
         OperatorSpec("run_correlation", {"columns": _COLUMNS, _THRESHOLD: Param("smallest strong |r|", float)}, correlation),
         OperatorSpec("detect_outliers", {
             "method": Param("how limits are found", str, ("iqr", "zscore", "z-score", "isolation_forest", "isolationforest")), "columns": _COLUMNS,
-            _THRESHOLD: Param("fence width", float)}, outliers),
+            _THRESHOLD: Param("fence width", float), "key": Param("what names a row in the forest's scores", list)}, outliers),
         OperatorSpec("segment_compare", {"segment": _SEGMENT, "metric": _METRIC, "allow_high_cardinality": Param("skip the identifier guard", bool)}, segment_compare, ("segment", "metric")),
         OperatorSpec("trend_analysis", {"date": _DATE, "value": _VALUE, "freq": _FREQ}, trend, ("date", "value")),
         OperatorSpec("query_sql", {"sql": Param("a read-only statement", str), "max_rows": Param("result limit", int)}, query_sql, ("sql",)),

@@ -113,6 +113,12 @@ def an06(spark, sf):
     return ou.outliers(table(spark, sf, "lineitem"), "isolation_forest", LINE_NUMS).summary
 
 
+@query("an06_forest_rows", "SELECT event_id, value, true AS scored FROM events WHERE value IS NOT NULL")
+def an06_rows(spark, sf):
+    r = ou.outliers(table(spark, sf, "events"), "isolation_forest", ["value"], key=["event_id"]).tables["scores"]
+    return r.select("event_id", "value", F.col("score").between(0, 1).alias("scored"))
+
+
 @query("an07_anomalous_rows", """
 WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b,
  quantile_cont(l_quantity, 0.25) AS c, quantile_cont(l_quantity, 0.75) AS d FROM lineitem),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sets as st
 from tidemark.plans.clean import clean
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import catalog as ca, readers as rd, store as so
 from tidemark.streaming import events as sm
 from workload.cleaning import CLEAN_SQL
@@ -231,3 +231,26 @@ def sm04(spark, sf):
     e.unionByName(e).write.parquet(src)
     out = sm.drain(sm.stream_dedupe(spark.readStream.schema(e.schema).parquet(src), ["event_id"], "ts", "40 days"), "append", "dedupe")
     return out.drop("batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Ten batches of three days; a key is met at most once in each. Keys stay known for five
+# days past the watermark, which follows one batch behind: after a row of bucket b its
+# repeats up to bucket b + 5 are dropped, one of bucket b + 6 passes. Rows of bucket 0
+# that come again with batch 8 are late.
+_BUCKET = "floor(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) / 3)::INTEGER"
+
+
+@query("sm04_state_across_batches", f"""WITH e AS (SELECT DISTINCT user_id * 20 + event_id % 20 AS k, {_BUCKET} AS b FROM events),
+ one AS (SELECT k, min(b) AS b FROM e GROUP BY k), two AS (SELECT e.k, min(e.b) AS b FROM e JOIN one o ON e.k = o.k AND e.b >= o.b + 6 GROUP BY e.k)
+ SELECT k, b, TIMESTAMP '2024-01-01' + to_days(3 * b) AS ts, b::BIGINT AS batch FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""")
+def sm04_batches(spark, sf):
+    src = scratch_path(spark, "batches")
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    e = table(spark, sf, "events").select((F.col("user_id") * 20 + F.col("event_id") % 20).alias("k"), F.floor(day / 3).cast("int").alias("b")).distinct()
+    e = materialize(e.withColumn("ts", F.timestamp_add("DAY", 3 * F.col("b"), F.lit("2024-01-01").cast("timestamp"))), "buckets")
+    for b in range(10):  # one file a batch, in the order they are written
+        late = F.lit(b == 8) & (F.col("b") == 0)
+        e.filter((F.col("b") == b) | late).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = sm.drain(sm.stream_dedupe(stream, ["k"], "ts", "5 days"), "append", "dedupe")
+    return out.select("k", "b", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("batch").cast("long").alias("batch"))
