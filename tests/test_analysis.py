@@ -28,7 +28,7 @@ def test_profile_edges(spark):
     d = spark.createDataFrame([(None, 5, True, "a"), (None, 5, False, "b")], "n double, c int, b boolean, t string")
     p = {r["column"]: r for r in pr.profile_columns(d).collect()}
     assert p["n"]["null_percentage"] == 100.0 and p["c"]["unique_count"] == 1 and p["b"]["inferred_type"] == "boolean"
-    assert "Zero variance (constant column)" in p["c"]["warnings"]
+    assert "Only one value (constant column)" in p["c"]["warnings"]
     assert p["t"]["inferred_type"] == "categorical"
 
 

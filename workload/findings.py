@@ -119,10 +119,10 @@ def _seg_source():
     nothing = "(CASE WHEN kind = 'rate' THEN NOT coalesce(p_value < 0.05, false) ELSE coalesce(p_value >= 0.05, false) END)"
     pt = f"coalesce('p=' || {dec('p_value', 4)}, 'p not available')"
     power = "CASE WHEN smallest < 30 THEN ' (limited statistical power due to small sample size in some groups, n < 30)' ELSE '' END"
-    title = f"CASE WHEN {nothing} THEN 'No significant difference in ' || metric_column || ' across ' || segment_column WHEN kind = 'rate' THEN metric_column || ' rate varies significantly across ' || segment_column ELSE 'Variance in ' || metric_column || ' across ' || segment_column END"
-    summary = (f"CASE WHEN {nothing} THEN 'no statistically significant difference detected (n per group: ' || groups || ', ' || {pt} || ')' || {power} || '.' "
+    title = f"CASE WHEN {nothing} THEN 'No clear difference in ' || metric_column || ' across ' || segment_column WHEN kind = 'rate' THEN metric_column || ' rate depends on ' || segment_column ELSE 'Differences in ' || metric_column || ' across ' || segment_column END"
+    summary = (f"CASE WHEN {nothing} THEN 'the groups do not differ significantly (group sizes: ' || groups || ', ' || {pt} || ')' || {power} || '.' "
                f"WHEN kind = 'rate' THEN 'Overall ' || metric_column || ' rate is ' || {dec('overall_rate_percent', 2)} || '% across ' || n_used || ' non-imputed rows (chi2 ' || {pt} || '). ' || top_segment || ' recorded ' || {dec('ts', 2)} || '% (n=' || tn || '), compared to ' || bottom_segment || ' at ' || {dec('bs', 2)} || '% (n=' || bn || ').' "
-               f"ELSE top_segment || ' recorded the highest ' || metric_column || ' (median ' || {dec('ts', 2)} || ') compared to ' || bottom_segment || ' (median ' || {dec('bs', 2)} || ')' || coalesce(', a ' || {dec('top_vs_bottom_ratio', 2)} || 'x differential', '') || coalesce(' (p=' || {dec('p_value', 4)} || ')', '') || '.' END")
+               f"ELSE top_segment || ' leads in ' || metric_column || ' (median ' || {dec('ts', 2)} || ') compared to ' || bottom_segment || ' (median ' || {dec('bs', 2)} || ')' || coalesce(', ' || {dec('top_vs_bottom_ratio', 2)} || ' times as much', '') || coalesce(' (p=' || {dec('p_value', 4)} || ')', '') || '.' END")
     eff = "CASE WHEN kind = 'rate' THEN round(absolute_difference / 100, 4) ELSE coalesce(round(abs(top_vs_bottom_ratio - 1), 4), 0.2) END"
     return insight_sql(per, "segment_difference", "segment_difference", "(segment_column || ' vs ' || metric_column)", "'insight-seg-' || segment_column || '-' || metric_column", title, summary, eff, "p_value")
 
@@ -147,7 +147,7 @@ _PSRC = f"""(SELECT *, n_used + n_excluded AS total_records FROM (SELECT *, {_ST
 
 @query("in06_correlation_insights", insight_sql(_PSRC, "correlation", "correlation", "(column_x || ' vs ' || column_y)", "'insight-corr-' || column_x || '-' || column_y",
        "upper(left(strength, 1)) || substr(strength, 2) || ' relationship between ' || column_x || ' and ' || column_y",
-       f"'A correlation coefficient of r=' || {dec('correlation', 4)} || ' was observed between ' || column_x || ' and ' || column_y || ' across ' || n_used || ' observations (exclusion rate ' || {dec('r * 100', 1)} || '%).'", "correlation", "p_value").replace("SELECT *, total_records - n_used AS n_excluded", "SELECT * EXCLUDE (n_excluded), total_records - n_used AS n_excluded"))
+       f"'Pearson r=' || {dec('correlation', 4)} || ' relates ' || column_x || ' and ' || column_y || ' across ' || n_used || ' rows with both (left out: ' || {dec('r * 100', 1)} || '%).'", "correlation", "p_value").replace("SELECT *, total_records - n_used AS n_excluded", "SELECT * EXCLUDE (n_excluded), total_records - n_used AS n_excluded"))
 def in06(spark, sf):
     p = derived(spark, sf, _PAIRS)
     p = p.withColumns({"strength": co.strength(F.col("correlation")), "is_strong": F.abs("correlation") >= 0.08})
@@ -162,8 +162,8 @@ _PT = f"coalesce('p=' || {dec('p_value', 4)}, 'p not available')"
 
 
 @query("in07_trend_insights", insight_sql(f"({_TRENDS})", "trend", "trend", "value_column", "'insight-trend-' || value_column",
-       f"CASE WHEN p_value >= 0.05 THEN 'No significant trend in ' || value_column ELSE upper(left({_DIR}, 1)) || substr({_DIR}, 2) || ' trajectory in ' || value_column || ' (' || {sdec('percentage_change', 1)} || '%)' END",
-       f"CASE WHEN p_value >= 0.05 THEN 'OLS regression indicates no statistically significant trend in ' || value_column || ' (' || {_PT} || ', standardized slope=' || {sdec('standardized_slope', 4)} || ')' ELSE value_column || ' followed an overall ' || {_DIR} || ' trajectory (standardized slope=' || {sdec('standardized_slope', 4)} || ', ' || {_PT} || ')' END || ' across ' || n_periods || ' time periods (' || n_used || ' rows used).'",
+       f"CASE WHEN p_value >= 0.05 THEN 'No clear trend in ' || value_column ELSE upper(left({_DIR}, 1)) || substr({_DIR}, 2) || ' course of ' || value_column || ' (' || {sdec('percentage_change', 1)} || '%)' END",
+       f"CASE WHEN p_value >= 0.05 THEN 'A fitted line shows no significant trend in ' || value_column || ' (' || {_PT} || ', standardized slope=' || {sdec('standardized_slope', 4)} || ')' ELSE value_column || ' shows a mostly ' || {_DIR} || ' course (standardized slope=' || {sdec('standardized_slope', 4)} || ', ' || {_PT} || ')' END || ' across ' || n_periods || ' time periods (' || n_used || ' rows used).'",
        "round(abs(standardized_slope), 4)", "p_value"))
 def in07(spark, sf):
     return flat(ins.trend_insights(derived(spark, sf, _TRENDS)))
@@ -174,8 +174,8 @@ _OUTL = """SELECT l_suppkey AS run_id, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELS
 
 
 @query("in08_outlier_insights", insight_sql(f"(SELECT *, coalesce(top_column, 'features') AS c FROM ({_OUTL}))", "outlier", "outliers", "c", "'insight-outlier-' || c",
-       f"CASE WHEN anomaly_count = 0 THEN 'No anomalous outliers detected across features' ELSE anomaly_count || ' statistical outliers identified (' || {dec('anomaly_rate_percent', 1)} || '%)' END",
-       f"CASE WHEN anomaly_count = 0 THEN 'Zero statistical outliers were identified across ' || n_used || ' records using IQR 3.0x fence methodology.' ELSE 'Identified ' || anomaly_count || ' anomalous rows (' || {dec('anomaly_rate_percent', 1)} || '% anomaly rate) across ' || n_used || ' records, predominantly concentrated in column ''' || c || '''.' END",
+       f"CASE WHEN anomaly_count = 0 THEN 'No values beyond the fences' ELSE anomaly_count || ' values beyond the fences (' || {dec('anomaly_rate_percent', 1)} || '%)' END",
+       f"CASE WHEN anomaly_count = 0 THEN 'No value lies beyond the fences among ' || n_used || ' records using IQR 3.0x fence methodology.' ELSE 'Identified ' || anomaly_count || ' anomalous rows (' || {dec('anomaly_rate_percent', 1)} || '% anomaly rate) across ' || n_used || ' records, predominantly concentrated in column ''' || c || '''.' END",
        "round(anomaly_rate_percent / 100, 4)", "NULL::DOUBLE", "anomaly_count"))
 def in08(spark, sf):
     return flat(ins.outlier_insights(derived(spark, sf, _OUTL)))

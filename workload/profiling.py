@@ -74,9 +74,9 @@ _SMALL = ["priority", "unit_price", "age", "visits", "notes", "source"]
 _WARN = f"""WITH {R}, o AS (SELECT * FROM ({stats_sql('age', 'm')} UNION ALL {stats_sql('visits', 'm')})), p AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS u, round((count(*) - count({c})) / count(*) * 100, 2) AS np, "
     + ("'numeric'" if c in ("age", "visits") else _type(c)) + " AS t FROM m" for c in _SMALL) + """)
-SELECT "column", concat_ws('|', CASE WHEN np > 30 THEN 'High missingness (' || np::VARCHAR || '% null)' END, CASE WHEN u = 1 THEN 'Zero variance (constant column)' END,
- CASE WHEN t = 'categorical' AND u > 100 THEN 'High cardinality categorical (' || u || ' distinct values)' END,
- CASE WHEN outliers_count > 0 THEN outliers_count || ' statistical extreme outlier(s) detected via 3.0x IQR fence.' END) AS warnings FROM p LEFT JOIN o USING ("column")"""
+SELECT "column", concat_ws('|', CASE WHEN np > 30 THEN 'Many nulls (' || np::VARCHAR || '% of rows)' END, CASE WHEN u = 1 THEN 'Only one value (constant column)' END,
+ CASE WHEN t = 'categorical' AND u > 100 THEN 'Labels with many values (' || u || ' distinct values)' END,
+ CASE WHEN outliers_count > 0 THEN outliers_count || ' value(s) beyond three interquartile ranges.' END) AS warnings FROM p LEFT JOIN o USING ("column")"""
 
 
 @query("pr06_column_warnings", _WARN)
@@ -93,8 +93,8 @@ x AS (SELECT row_count, {len(_SMALL)}::BIGINT AS column_count, missing_cells, ro
  round(missing_cells / (row_count * {len(_SMALL)}) * 100, 2) AS missing_percentage, round(duplicate_rows / row_count * 100, 2) AS duplicate_percentage FROM t, d, w)
 SELECT row_count, column_count, missing_cells, total_cells, duplicate_rows, warnings::BIGINT AS column_warnings, missing_percentage, duplicate_percentage,
  greatest(0.0, round(100 - (0.7 * missing_percentage + duplicate_percentage + 1.5 * warnings), 1)) AS quality_score,
- concat_ws('|', CASE WHEN missing_percentage > 10 THEN 'Overall missingness is elevated at ' || missing_percentage::VARCHAR || '%.' END,
-  CASE WHEN duplicate_rows > 0 THEN 'Detected ' || duplicate_rows || ' duplicate rows (' || duplicate_percentage::VARCHAR || '%).' END) AS warnings FROM x""")
+ concat_ws('|', CASE WHEN missing_percentage > 10 THEN 'More than a tenth of all cells are null: ' || missing_percentage::VARCHAR || '%.' END,
+  CASE WHEN duplicate_rows > 0 THEN duplicate_rows || ' rows repeat others (' || duplicate_percentage::VARCHAR || '%).' END) AS warnings FROM x""")
 def pr07(spark, sf):
     return pr.profile_dataset(messy(spark, sf).select(*_SMALL)).withColumn("warnings", F.array_join("warnings", "|"))
 
