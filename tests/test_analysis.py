@@ -321,3 +321,15 @@ def test_forest_edges(spark):
     got = forest.isolation_scores(d, ["x"], key=["k"])
     assert got.count() == 15 and got.columns == ["k", "x", "score"]
     assert run_tool("detect_outliers", d, method="isolation_forest", columns=["x"], key=["k"]).status == "success"
+
+
+def test_profile_of_long_texts(spark):
+    base = "x" * 40_000
+    texts = [base + chr(97 + i % 7) for i in range(50)] + ["short", "short", "", None]
+    d = spark.createDataFrame([(t, i % 3, f"2025-01-{i % 28 + 1:02d}") for i, t in enumerate(texts)], "t string, n int, `d.ay` string").repartition(4)
+    p = {r["column"]: r for r in pr.column_counts(d).collect()}
+    assert p["t"]["unique_count"] == 9 and p["t"]["null_count"] == 1 and p["t"]["rows"] == 54
+    assert p["t"]["sample_values"] == sorted({t for t in texts if t is not None})[:5]
+    assert p["n"]["sample_values"] == ["0", "1", "2"] and p["d.ay"]["inferred_type"] == "datetime"
+    empty = {r["column"]: r for r in pr.column_counts(d.limit(0)).collect()}
+    assert empty["t"]["unique_count"] == 0 and empty["t"]["sample_values"] is None

@@ -33,12 +33,12 @@ _COUNT_SQL = f"WITH {R} " + " UNION ALL ".join(
     f"round((count(*) - count({c})) / count(*) * 100, 2) AS null_percentage, count(DISTINCT {c}) AS unique_count, "
     f"count(DISTINCT {c}) = count(*) AS is_unique, "
     f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM m WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values FROM m"
-    for i, c in enumerate(COLS) if c not in ("quantity",))
+    for i, c in enumerate(COLS))
 
 
 @query("pr02_column_counts", _COUNT_SQL)
 def pr02(spark, sf):
-    return pr.column_counts(rows(spark, sf)).filter("column <> 'quantity'").withColumn("sample_values", F.array_join("sample_values", "|"))
+    return pr.column_counts(rows(spark, sf)).withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
 def stats_sql(c, src):
