@@ -270,3 +270,34 @@ def test_extra_columns_may_clash(spark):
     assert suffix.strip_repeats(clash).count() == 2
     assert mixing.take(clash, mixing.mix(clash)).columns == clash.columns
     assert packing.pack(clash, TOKENS).count() == 2
+
+
+def test_dense_buckets_at_one_bit_link_direct_neighbours_only(spark):
+    from tidemark.llm import simhash
+
+    base, top = 0x1234, (1 << 62) | (1 << 63)
+    fps = [base, base ^ top, base ^ 1, base ^ 1 ^ (1 << 40), base ^ (1 << 63), 77]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    d = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for bits in (1, 2):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in simhash._centres(d, bits).collect():
+            a, b = a % (1 << 64), b % (1 << 64)
+            root[find(a)] = find(b)
+            if bits == 1:
+                assert (a ^ b).bit_count() == 1
+        want = {f: f for f in fps}
+        for a in fps:  # brute force over all pairs, to a fixed point
+            for _ in fps:
+                for x in fps:
+                    for y in fps:
+                        if (x ^ y).bit_count() <= bits:
+                            want[x] = want[y] = min(want[x], want[y])
+        same = lambda g: sorted(sorted(x for x in fps if g(x) == g(y)) for y in fps)
+        assert same(find) == same(want.get)

@@ -172,18 +172,19 @@ def _centres(dense: DataFrame, max_bits: int) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = b.column("fp").to_numpy()
-        flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)]) if max_bits == 2 else np.zeros(1, np.uint64)
-        if max_bits == 1:  # only direct neighbours: the pair is named by its smaller and the bit
-            flips = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        bits = np.arange(64, dtype=np.uint64)
+        flips = np.uint64(1) << bits
+        if max_bits == 2:
+            flips, bits = np.concatenate([np.zeros(1, np.uint64), flips]), np.zeros(65, np.uint64)
         near = (fps.view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
+        # at one bit only direct neighbours link: a pair is named by its smaller and the bit
         centre = near if max_bits == 2 else np.minimum(near, fps[:, None])
-        if max_bits == 1:
-            centre = centre * 64 + np.arange(64)
-        return pa.RecordBatch.from_arrays([pa.array(centre.ravel()), pa.array(np.repeat(fps, len(flips)))], ["centre", "fp"])
+        bit = np.tile(bits.astype(np.int32), len(fps))
+        return pa.RecordBatch.from_arrays([pa.array(centre.ravel()), pa.array(bit), pa.array(np.repeat(fps, len(flips)))], ["centre", "bit", "fp"])
 
-    at = dense.mapInArrow(arrow_rows(run), "centre long, fp long")
-    low = at.groupBy("centre").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return at.join(low, "centre").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    at = dense.mapInArrow(arrow_rows(run), "centre long, bit int, fp long")
+    low = at.groupBy("centre", "bit").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return at.join(low, ["centre", "bit"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, bucket: int = BUCKET,
