@@ -417,3 +417,14 @@ def test_texts_of_one_id_have_their_own_keys(spark):
     docs = spark.createDataFrame([(1, f"{i} {twice}" if i < 2 else f"{i} short") for i in range(20)], "doc_id long, text string")
     got = suffix.remove_repeats(docs).collect()
     assert len(got) == 20 and sum(len(r.spans) > 0 for r in got) == 2
+
+
+def test_word_cache_is_bounded_with_long_words(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "CACHED_WORDS", 50)
+    model = kneser_ney.Model({"a": -1.0, "b": -2.0}, {"": -0.5}, 3)
+    once = kneser_ney.Model({"a": -1.0, "b": -2.0}, {"": -0.5}, 3)
+    for i in range(300):
+        text = "ab " + "a" * (70 + i)  # a word too long to be kept, another one in each text
+        assert model.texts([text]) == once.texts([text])
+        assert len(model.lists[0]) <= 52 and len(model.known) <= 52
+        once.forget()
