@@ -428,3 +428,16 @@ def test_word_cache_is_bounded_with_long_words(monkeypatch):
         assert model.texts([text]) == once.texts([text])
         assert len(model.lists[0]) <= 52 and len(model.known) <= 52
         once.forget()
+
+
+def test_toxicity_grams_are_of_code_points():
+    words = ["дурак".encode(), "坏人".encode(), b"ab"]
+    bucket, owner = toxicity.grams(words)
+    for i, w in enumerate(w.decode() for w in words):
+        marked = "^" + w + "$"
+        assert (owner == i).sum() == sum(max(len(marked) - n + 1, 0) for n in toxicity.GRAMS)
+        alone = toxicity.grams([w.encode()])[0]
+        assert sorted(alone) == sorted(bucket[owner == i])  # neighbours do not matter
+    assert toxicity.words_of("ДУРАК\u00a0Ä\tB\n") == ["дурак\u00a0ä".encode(), b"b"]
+    same, other = toxicity.grams(["дура".encode()])[0], toxicity.grams(["кура".encode()])[0]
+    assert len(set(same) & set(other)) == 6  # of 14 grams those that hold neither the edge before nor the first letter

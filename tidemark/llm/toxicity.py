@@ -1,7 +1,7 @@
 """Toxicity by character n-grams: a linear classifier whose features are scaled by
 naive Bayes log-count ratios, trained on labelled text.
 
-A feature is an n-gram inside a word, its edges marked; its value in a text is its
+A feature is an n-gram of code points inside a lower-cased word, its edges marked; its value in a text is its
 number of occurrences per word. Each feature is multiplied by the log ratio of its
 smoothed share in toxic and in other texts, and a logistic regression over the
 scaled features gives the weights. So a text's score is the mean of its words'
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.llm.common import arrow_rows, bounded, column, encoded, stage, texts
+from tidemark.llm.common import arrow_rows, bounded, column, stage, texts
 
 GRAMS, BITS = (2, 3, 4, 5), 20
 BUCKETS = 1 << BITS
@@ -29,31 +29,37 @@ TRAIN_ROWS, TRAIN_CHARS = 5000, 48_000_000
 STEPS, RATE, RIDGE, SCALE, PRIOR = 50, 0.5, 1e-5, 10.0, 1e-3
 #: Cached words per worker; a cache only.
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
-_LOWER = bytes(range(256)).lower()
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased words, split at the six blanks of ASCII."""
+    return (text or "").lower().encode().split()
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, position of its word) of every n-gram occurrence of the words."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    data = np.frombuffer((b"^" + b"$^".join(words) + b"$").decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w.decode()) for w in words), np.int64, len(words)) + 2
     word = np.repeat(np.arange(len(words)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # characters from here to the word's end
     code, buckets, owners = data, [], []
     for n in range(2, max(GRAMS) + 1):
-        code = code[:-1] | (data[n - 1 :] << np.uint64(8 * (n - 1)))
+        code = code[:-1] * _STEP + data[n - 1 :]  # a polynomial modulo 2 ** 64
         if n in GRAMS:
             at = np.flatnonzero(left[: len(code)] >= n)
-            mixed = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = code[at] + np.uint64(n)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
             buckets.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
             owners.append(word[at])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The features of a text and how often each occurs, per word."""
-    words = Counter(text.translate(_LOWER).split())
+    words = Counter(words_of(text))
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     bucket, owner = grams(list(words))
@@ -98,7 +104,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     met = bounded(met, chars)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [text_features(t) for t in encoded(b)]
+        found = [text_features(t) for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["toxic", "ids", "shares"])
 
     # split over tasks: a sample is one small file
@@ -125,7 +131,7 @@ def _score(model):
         weights, bias = model.value
         known: dict[bytes, float] = {}
         for part in batches:
-            split = [(t or "").encode().translate(_LOWER).split() for t in part]
+            split = [words_of(t) for t in part]
             words = set().union(*split)
             if len(known) > CACHED_WORDS:
                 known = {}
