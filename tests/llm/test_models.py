@@ -66,6 +66,25 @@ def test_kneser_ney_sums_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_kneser_ney_words_by_every_context(spark):
+    """The longest met context gives what trying all contexts gives."""
+    r, words = random.Random(9), vocabulary(60, 5)
+    train = spark.createDataFrame([(prose(150, r, words),) for _ in range(12)], "text string")
+    for order in (2, 3, 5):
+        logp, logb = (dict(map(tuple, t.collect())) for t in kneser_ney.model_tables(train, order))
+        model = kneser_ney.Model(logp, logb, order)
+        odd = ["".join(r.choice("abcdefghijklmnop☃") for _ in range(r.randrange(1, 12))) for _ in range(300)]
+        for word in [*words, *odd, kneser_ney.EDGE, "x" + kneser_ney.EDGE + words[0], "☃" * 9]:
+            w, total = kneser_ney.EDGE + word + kneser_ney.EDGE, 0.0
+            for i in range(1, len(w)):
+                h = max(0, i - order + 1)
+                while h < i and w[h : i + 1] not in logp:
+                    total += logb.get(w[h:i], 0.0)
+                    h += 1
+                total += logp.get(w[h : i + 1], model.unseen) if h == i else logp[w[h : i + 1]]
+            assert model.spelt(word.encode()) == (total, len(w) - 1), word
+
+
 def test_kneser_ney_by_hand(spark):
     """Two words, order 2: every number of the formulas."""
     train = spark.createDataFrame([("ab ab ac",)], "text string")
@@ -426,7 +445,7 @@ def test_word_cache_is_bounded_with_long_words(monkeypatch):
     for i in range(300):
         text = "ab " + "a" * (70 + i)  # a word too long to be kept, another one in each text
         assert model.texts([text]) == once.texts([text])
-        assert len(model.lists[0]) <= 52 and len(model.known) <= 52
+        assert model.met <= 52 and len(model.known) <= 52
         once.forget()
 
 
