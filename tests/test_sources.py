@@ -133,6 +133,24 @@ def test_statement_tables(spark):
     assert sq.check_statements(got.limit(0).select("id", "s"), "s").columns == ["id", "s", "reason", "allowed"]
 
 
+def test_statements_of_one_form_are_parsed_once(spark, monkeypatch):
+    """Names, texts and integers do not make a form; what the parser reads stays as written."""
+    asked, told = [], sq.StatementGuard.reason
+    monkeypatch.setattr(sq.StatementGuard, "reason", lambda self, x: asked.append(x) or told(self, x))
+    one = [f"SELECT c{i} FROM df WHERE s = 'it''s {i}' AND t{i}.x IN ({i}, 'v{i}')" for i in range(40)]
+    two = [f"SELECT * FROM cat.db.t{i}" for i in range(40)]
+    other = [
+        "SELECT date'2024-01-01' FROM df", "SELECT date'soon' FROM df", "WITH t1 AS (SELECT 1) SELECT * FROM t1", "WITH t1 AS (SELECT 1) SELECT * FROM t2", "WITH T1 AS (SELECT 1) SELECT * FROM t1",
+        "SELECT log10(x) FROM df", "SELECT log11(x) FROM df", "SELECT CAST(x AS DECIMAL(50, 2)) FROM df", "SELECT CAST(x AS DECIMAL(8, 2)) FROM df", "SELECT CAST(x AS foo) FROM df",
+        "SELECT x /* it's */ FROM df WHERE y = 'a'", "SELECT x FROM df WHERE y LIKE 'a' ESCAPE '//'", "WITH a AS (SELECT 1), a AS (SELECT 2) SELECT * FROM a", "SELECT * FROM identifier('df')",
+        "SELECT 'a;b' FROM FROM", "SELECT X'1F', 1.5, 1e3 FROM df; SELECT 2", "SELECT x -- a; b\n FROM FROM",
+    ]
+    got = sq.check_statements(spark.createDataFrame([(x,) for x in one + two + other], "s string"), "s").collect()
+    assert len(asked) <= 2 + len(other)
+    guard = sq.StatementGuard(spark)
+    assert {r["s"]: r["reason"] for r in got} == {x: told(guard, x) for x in one + two + other}
+
+
 def test_query_limit_and_views(spark):
     d = spark.range(500).withColumnRenamed("id", "x")
     spark.range(7).createOrReplaceTempView("df")

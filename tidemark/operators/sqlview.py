@@ -9,13 +9,13 @@ from functools import reduce
 
 from py4j.java_gateway import JavaObject, is_instance_of
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, as_dataset
 from tidemark.operators.cleaning import col
-from tidemark.session import pin
+from tidemark.session import materialize, pin
 
 #: The names a statement may read besides those it defines with WITH.
 VIEWS = ("data_clean", "df", "dataset", "data_observed")
@@ -34,8 +34,14 @@ MESSAGES = {
     "external access": "The statement reaches outside the two views.", "unreadable": "The statement cannot be parsed.",
 }
 _CATALYST = "org.apache.spark.sql.catalyst"
-#: A number that stands alone: statements that differ in nothing else have one verdict.
-_NUMBER_RE = r"(?<![\w.\\$])\d+(?![\w.])"
+# The pieces of a statement (text, comments, numbers, words, any other character),
+# and what makes it count as written: other quotes, escapes, settings, hints, nested comments,
+# and words after which the parser reads into a text or a number.
+_PIECE_RE = r"(?s)'[^']*'|--[^\r\n]*|/\*.*?\*/|\d+\.\d*\w*|\.\d+\w*|[\p{L}\w]+|\s+|."
+_AS_WRITTEN_RE = (
+    r"(?is)[`\"\\$]|/\*\+|/\*(?:(?!\*/).){0,999}/\*|\b[rx]\s*'|\b(?:identifier|interval|date|time|timestamp|timestamp_ltz|timestamp_ntz|escape|collate|collation|dec|decimal|numeric"
+    r"|char|character|varchar|tablesample|options|\w*properties|set|reset)\b"
+)
 _CHUNK = 5000
 
 
@@ -57,6 +63,11 @@ class StatementGuard:
         self._parser = spark._jsparkSession.sessionState().sqlParser()
         self._builtin = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - DENIED_FUNCTIONS
 
+    def words(self, spark: SparkSession) -> list[str]:
+        """The lower-case words that mean something to the parser or to this guard."""
+        keywords = {r[0].lower() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect()}
+        return sorted(w for w in keywords | self._builtin | DENIED_FUNCTIONS | TABLE_FUNCTIONS | set(VIEWS) if w.isidentifier())
+
     def reason(self, sql: str | None) -> str | None:
         """None for an allowed statement, else a key of ``MESSAGES``."""
         if sql is None or not sql.strip().rstrip(";").strip():
@@ -65,7 +76,7 @@ class StatementGuard:
             return "external access"
         try:
             plan = self._parser.parsePlan(sql)
-        except (ParseException, Py4JJavaError):
+        except (PySparkException, Py4JJavaError):  # also a number or type that the parser refuses
             ends = (i for i, c in enumerate(sql) if c == ";")
             return "multiple statements" if any(self._parses(sql[:i]) for i in ends) else "unreadable"
         try:
@@ -89,7 +100,7 @@ class StatementGuard:
     def _parses(self, sql: str) -> bool:
         try:
             self._parser.parsePlan(sql)
-        except (ParseException, Py4JJavaError):
+        except (PySparkException, Py4JJavaError):  # also a number or type that the parser refuses
             return False
         return True
 
@@ -144,16 +155,36 @@ class StatementGuard:
         return parts.mkString("\0").lower()
 
 
+def with_form(df: DataFrame, sql: Column, words: Sequence[str]) -> DataFrame:
+    """``df`` with ``_shape``, a statement with other names, texts and numbers in the places
+    of its own: names that are none of ``words`` (lower case) and texts are numbered in the
+    order in which they come first, and integers of up to nine digits become 1. Equal ones
+    stay equal and different ones different, so all statements of a form have one verdict.
+
+    Where the parser looks into a text or a number, or cuts pieces otherwise than here,
+    and where a name comes in two spellings, the statement is its own form."""
+    is_text = lambda p: p.startswith("'")
+    own = lambda p: F.when(is_text(p), F.length(p) > 1).otherwise(p.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~F.lower(p).isin(*words))
+    at = lambda p: F.array_position("_own", p)
+    numbered = lambda p: F.when(is_text(p), F.concat(F.lit("'t"), at(p).cast("string"), F.lit("'"))).otherwise(F.concat(F.lit("_n"), at(p).cast("string")))
+    put = F.transform("_pieces", lambda p: F.when(at(p) > 0, numbered(p)).when(p.rlike("^[0-9]{1,9}$"), F.lit("1")).otherwise(p))
+    low = F.transform("_own", lambda p: F.when(is_text(p), p).otherwise(F.lower(p)))
+    spelled_alike = F.size("_own") == F.size(F.array_distinct(low))
+    out = df.withColumn("_sql", sql).withColumn("_pieces", F.regexp_extract_all("_sql", F.lit(_PIECE_RE), F.lit(0)))
+    out = out.withColumn("_own", F.array_distinct(F.filter("_pieces", own)))
+    shape = F.when(~F.col("_sql").rlike(_AS_WRITTEN_RE) & spelled_alike, F.array_join(put, "")).otherwise(F.col("_sql"))
+    return out.withColumn("_shape", shape).drop("_sql", "_pieces", "_own")
+
+
 def check_statements(df: DataFrame, sql: str) -> DataFrame:
     """SQ-02 over a table of statements: adds ``reason`` and ``allowed``.
 
-    Spark's parser belongs to the driver. Statements that differ only in numbers have one
-    verdict, and each different one is parsed there, some thousands at a time."""
+    Spark's parser belongs to the driver. Statements of one form (:func:`with_form`)
+    have one verdict, and each form is parsed there, some thousands at a time."""
     spark = df.sparkSession
     guard = StatementGuard(spark)
-    s = col(sql).cast("string")
-    # in back quotes a number is part of a name
-    shaped = df.withColumn("_shape", F.when(s.contains("`"), s).otherwise(F.regexp_replace(s, _NUMBER_RE, "0")))
+    # read twice
+    shaped = materialize(with_form(df, col(sql).cast("string"), guard.words(spark)), "statement-forms")
     out, held = [], []
 
     def told() -> None:
