@@ -196,6 +196,17 @@ def test_adjusted_p_values_by_hand(spark, range_rows):
             assert got[g, i] == pytest.approx(want)
 
 
+def test_small_groups_of_p_values_share_ranges(spark, monkeypatch):
+    """However many ranges all the data needs, a small group lies in one or two of them."""
+    seen, plain = [], wn.in_ranges
+    monkeypatch.setattr(wn, "in_ranges", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rows = [(g, i / 7) for g in range(300) for i in range(1, 7)]
+    got = {(x.g, x.p): x.p_adj for x in wn.bh_adjust(spark.createDataFrame(rows, "g int, p double"), "p", ["g"], 20).collect()}
+    assert len(got) == len(rows) and all(v == pytest.approx(6 / 7) for v in got.values())
+    assert seen[0].select("_part").distinct().count() > 20
+    assert seen[0].select("g", "_part").distinct().count() <= 300 + 90
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_long_series_are_cut(spark, by):
     r = random.Random(4)

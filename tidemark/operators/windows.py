@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranges import join_keys, running_sum
+from tidemark.functions.ranges import in_ranges, join_keys, running_sum
+from tidemark.session import materialize
 
 # Rows of a series that one task averages.
 SERIES_ROWS = 50_000
@@ -61,36 +62,27 @@ def bh_adjust(df: DataFrame, p: str, by: Sequence[str], range_rows: int = RANGE_
 
     Rows with a null key are a group; a null p-value has none adjusted.
     p * m / rank, then the running minimum from the largest p, at most 1. Equal
-    p-values share the highest rank, so only distinct ones are ranked; they are
-    cut at quantiles of their group into ranges whose number grows with the data,
-    ranked inside a range, and the ranges carry the offsets. No task sorts a group
-    of more than about ``range_rows`` values."""
+    p-values share the highest rank, so only distinct ones are ranked, in ranges of the
+    order of all groups and their values: a range has about ``range_rows`` values, of many
+    small groups or of a piece of a large one, and hands its count and minimum on."""
     by = list(by)
     rows = df.filter(F.col(p).isNotNull())
-    distinct = rows.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_cnt"))
-    ranges = -(-distinct.count() // range_rows)
-    if ranges > 1:
-        cuts = distinct.groupBy(*by).agg(F.percentile_approx("_p", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("_cuts"))
-        distinct = join_keys(distinct, cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda e: e >= F.col("_p")))).drop("_cuts")
-    else:
-        distinct = distinct.withColumn("_part", F.lit(0))
-    totals = distinct.groupBy(*by, "_part").agg(F.sum("_cnt").alias("_c"))
+    distinct = materialize(rows.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_cnt")), "p-values")
+    distinct = in_ranges(distinct, by, ["_p"], max(1, -(-distinct.count() // range_rows))).withColumnRenamed("_part", "_at")
+    totals = distinct.groupBy(*by, "_at").agg(F.sum("_cnt").alias("_c"))
     g = Window.partitionBy(*by)
-    # A larger part number means smaller p-values.
-    totals = totals.select(
-        *by, "_part", (F.sum("_c").over(g.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(g).alias("_m"),
-    )
-    inside = Window.partitionBy(*by, "_part")
-    ranked = join_keys(distinct, totals, [*by, "_part"]).withColumn(
+    earlier = Window.unboundedPreceding, -1
+    totals = totals.select(*by, "_at", F.coalesce(F.sum("_c").over(g.orderBy("_at").rowsBetween(*earlier)), F.lit(0)).alias("_before"), F.sum("_c").over(g).alias("_m"))
+    inside = Window.partitionBy(*by, "_at")
+    ranked = join_keys(distinct, totals, [*by, "_at"]).withColumn(
         "_rank", F.col("_before") + F.sum("_cnt").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
-    low = ranked.groupBy(*by, "_part").agg(F.min("_q").alias("_qmin"))
-    # The smallest ratio among all larger p-values in other ranges.
-    low = low.select(*by, "_part", F.min("_qmin").over(g.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    adjusted = join_keys(ranked, low, [*by, "_part"]).select(
-        *by, "_p", F.least(F.lit(1.0), F.col("_later"), F.min("_q").over(inside.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))).alias("p_adj"),
-    )
+    ranked = ranked.withColumn("_least", F.min("_q").over(inside.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = materialize(ranked.select(*by, "_at", "_p", "_q", "_least"), "p-ranks")
+    # the smallest ratio among all larger p-values in other ranges
+    low = ranked.groupBy(*by, "_at").agg(F.min("_q").alias("_qmin"))
+    low = low.select(*by, "_at", F.min("_qmin").over(g.orderBy(F.desc("_at")).rowsBetween(*earlier)).alias("_later"))
+    adjusted = join_keys(ranked, low, [*by, "_at"]).select(*by, "_p", F.least(F.lit(1.0), "_later", "_least").alias("p_adj"))
     back = adjusted.withColumnRenamed("_p", p)
     return join_keys(rows, back, [*by, p]).unionByName(df.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
 
