@@ -162,3 +162,12 @@ def test_samples_need_a_key(spark):
         clean(d, CleaningOptions(sample=10))
     kept = cl.sample_rows(d, 10, "k")
     assert kept.count() == 10 and {r.k for r in kept.collect()} == {r.k for r in cl.sample_rows(d.repartition(3), 10, "k").collect()}
+
+
+def test_cells_are_trimmed_as_by_the_pattern(spark):
+    """Without running it on every cell; odd line ends, nulls and blanks too."""
+    cells = ["", " ", " a  b ", "a\tb", "\n a \r\n", "a \u0085", "a \u2028", " \u2029", "a\u00a0 ", "\u00a0a", "a \n\u2028", "\va\f", "plain", None, "a \u2028\u2028", "a b c"]
+    d = spark.createDataFrame([(x,) for x in cells], "s string")
+    ends = F.regexp_replace("s", r"^\s+|\s+$", "")
+    got = d.select(ends.alias("e"), cl.stripped(F.col("s")).alias("t"), F.regexp_replace(ends, r"\s+", " ").alias("c"), cl.collapse_spaces(F.col("s")).alias("k"))
+    assert [(r["t"], r["k"]) for r in got.collect()] == [(r["e"], r["c"]) for r in got.collect()]

@@ -29,4 +29,5 @@ def parse_date(col: str | Column, formats: Sequence[str] = DATE_FORMATS + TIMEST
     """The first format that fits wins. A column whose rows mix several formats
     is read in full; pass only one format to accept just that one."""
     c = F.trim(F.col(f"`{col}`") if isinstance(col, str) else col)
-    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    some = "|".join(f"(?:{_shape(f)})" for f in formats)  # one look at most texts that are no dates
+    return F.when(c.rlike(some), F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats]))

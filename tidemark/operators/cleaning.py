@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tidemark.operators.common import currency_to_double, long_rows
 # Name parts that select a rule.
 DATE_NAMES = ("date", "time", "year", "month", "day", "dob", "period")
 RETURN_NAMES = ("quantity", "count")
+# What ``\\s`` stands for in a pattern.
+SPACES = " \t\n\v\f\r"
 NON_NEGATIVE_NAMES = ("salary", "price", "spend", "revenue", "amount")
 
 
@@ -69,15 +72,23 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def stripped(c: Column) -> Column:
+    """``c`` without what the pattern ``^\\s+|\\s+$`` finds; the pattern itself runs only
+    where its ``$`` stands before a line end that is no white space."""
+    ended = c.endswith("\u0085") | c.endswith("\u2028") | c.endswith("\u2029")
+    return F.when(ended, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.btrim(c, F.lit(SPACES)))
+
+
 def trim_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """CL-04: strip leading and trailing white space from text cells."""
     cols = set(string_columns(df) if cols is None else cols)
-    return df.select([F.regexp_replace(col(c), r"^\s+|\s+$", "").alias(c) if c in cols else col(c) for c in df.columns])
+    return df.select([stripped(col(c)).alias(c) if c in cols else col(c) for c in df.columns])
 
 
 def collapse_spaces(c: Column) -> Column:
     """CL-05: trim, then turn inner white space into single blanks."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " ")
+    inner = reduce(lambda a, b: a | b, [c.contains(x) for x in ("  ", *SPACES[1:])])  # few cells need the pattern
+    return F.when(inner, F.regexp_replace(stripped(c), r"\s+", " ")).otherwise(stripped(c))
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:

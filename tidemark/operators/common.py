@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.dataset import Dataset, as_double, is_numeric
 
 # Currency signs and separators removed before a number is parsed.
-CURRENCY = "[$,€£¥]"
+CURRENCY = "$,€£¥"
 # What a number looks like without them; the JVM alone would also read ``12D`` or ``Infinity``.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Text that stands for a missing label in rate analysis.
@@ -34,7 +34,7 @@ class ToolResult:
 def currency_to_double(col: str | Column) -> Column:
     """CL-11: text such as ``$1,200.50`` as a double, NULL if it is no number."""
     c = F.col(f"`{col}`") if isinstance(col, str) else col
-    bare = F.trim(F.regexp_replace(c, CURRENCY, ""))
+    bare = F.trim(F.translate(c, CURRENCY, ""))
     return as_double(F.when(bare.rlike(NUMBER), bare.try_cast("double")))
 
 
