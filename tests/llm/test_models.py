@@ -460,3 +460,23 @@ def test_toxicity_grams_are_of_code_points():
     assert toxicity.words_of("ДУРАК\u00a0Ä\tB\n") == ["дурак\u00a0ä".encode(), b"b"]
     same, other = toxicity.grams(["дура".encode()])[0], toxicity.grams(["кура".encode()])[0]
     assert len(set(same) & set(other)) == 6  # of 14 grams those that hold neither the edge before nor the first letter
+
+
+def test_quality_model_counts_all_trusted_text(spark, monkeypatch):
+    """What 6,001 and more trusted texts say counts, to the last one; joins give what the
+    tables of one task give, whichever facts are broadcast."""
+    r, words = random.Random(11), vocabulary(120, 12)
+    rows = [(i, prose(r.randrange(1, 12), r, words), "a") for i in range(6400)]
+    rows += [(7000, "☃ zebra " + words[0], "a"), (7001, rows[0][1], "a"), (7002, None, "a"), (7003, " \n", None), (7004, "x" * 3000, "b"), (None, words[1], "b"), (5, rows[9][1], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6400)], "doc_id long, quality int")
+    every = {(x.doc_id, x.lang, x.symbols): x.perplexity for x in kneser_ney.perplexities(docs, labels, F.lit(True), rows=10_000).collect()}
+    for held in (0, 100, 1_000_000):
+        monkeypatch.setattr(kneser_ney, "FACTS_HELD", held)
+        got = kneser_ney.perplexities(docs, labels, F.lit(True)).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            want = every[x.doc_id, x.lang, x.symbols]
+            assert x.perplexity == (want if want is None else pytest.approx(want, rel=1e-9)), x
+    none = kneser_ney.perplexities(docs, labels.limit(0), F.lit(True)).where("symbols > 0").agg(F.min("perplexity"), F.max("perplexity")).first()
+    assert tuple(none) == (1.0, 1.0)

@@ -4,10 +4,10 @@ The model is one of word pairs, trained on trusted (labelled) text: a word depen
 the word before it. Below the pairs are single words, and below these, also for words
 never seen, the word's characters: n-grams inside the word, its edges included.
 Counts, continuation counts, discounts, context totals and the interpolation from
-short to long n-grams are joins of count tables that are sharded by their keys. What
-they leave, a probability per seen n-gram and a back-off weight per seen context, is
-bounded by the training sample, so every task gets these tables and joins them with
-its documents.
+short to long n-grams are joins of count tables that are sharded by their keys, over all
+trusted text. Each different word of the documents is spelt once, by a join of its
+n-grams. What words and met pairs add to a text's log-probability is a table as well,
+which the documents' words meet by their hashes; nothing of it goes through one task.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from tidemark.llm.common import WORD, bounded, column, small_batches, stage
 
 ORDER = 5
-#: Bounds of the trusted rows that the model is fitted on.
+#: Bounds of a sample of the trusted rows, if one is asked for.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 12_000_000
+#: Trusted ids, n-grams and words or pairs that are broadcast at most, and the bits that
+#: tell which of the others there can be.
+TRUSTED_IDS, GRAMS_HELD, FACTS_HELD, KEY_BITS = 2_000_000, 1_000_000, 1_000_000, 27
 #: A language with SHARED held-out rows stands half on its own rows, half on all.
 QUANTILE, SLACK, SHARED, ACCURACY = 0.995, 1.05, 100, 10_000
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
@@ -44,62 +47,102 @@ def sample(docs: DataFrame, trusted: DataFrame, rows: int = TRAIN_ROWS, chars: i
     return bounded(met, chars).select("text")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, broadcast if it is proven to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The texts of all trusted ids, one an id."""
+    # ids alone, 16 bytes each; more of them meet the documents by a shuffle
+    met = docs.join(_few(trusted, TRUSTED_IDS), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return stage(met, "trusted-texts").select("text")
+
+
 def _discounted(counts: DataFrame) -> DataFrame:
-    """``counts`` (k, c and more) with the discount ``d`` of each count of its order."""
+    """``counts`` (k, c and more) with the discount ``d`` of each count of its order; a
+    count of 0 has none."""
     of = [F.count(F.when(F.col("c") == j, 1)).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)]
     n = counts.groupBy("k").agg(*of)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     # a discount is between 0 and its count; counts of counts of tiny samples may be 0
     d = [F.least(F.greatest(F.coalesce(j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5 * j)), F.lit(0.1)), F.lit(j - 0.05)).alias(f"d{j}") for j in (1, 2, 3)]
     discounts = n.select("k", *d)  # a row per order
-    return counts.join(F.broadcast(discounts), "k").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+    return counts.join(F.broadcast(discounts), "k").withColumn("d", F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
 
 
-def model_tables(train: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(gram, logp) of every seen n-gram and (context, logb) of every seen context."""
-    words = train.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    marked = words.select(F.concat(F.lit(EDGE), "word", F.lit(EDGE)).alias("w"), "n")
-    ends = marked.select("w", "n", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("i"))
-    ends = ends.select("w", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), "i"))).alias("k"))
-    grams = ends.groupBy("k", F.expr("substr(w, i - k + 1, k)").alias("gram")).agg(F.sum("n").alias("raw"))
+def _windows(word: Column, order: int) -> Column:
+    """For each character of a word and its end, these and up to order - 1 characters
+    before, edges included; read from the back, as the word is walked once that way."""
+    edged = F.concat(F.lit(EDGE), F.reverse(word), F.lit(EDGE))
+    return F.slice(F.regexp_extract_all(edged, F.lit(f"(?s)(?=(.{{1,{order}}}))."), F.lit(1)), F.lit(1), F.length(word) + 1)
+
+
+def _interpolated(words: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(k, gram, p) of every n-gram of ``words`` (word, n), and (context, b); n counts a
+    word in the training text. Words with n = 0 count for nothing; their n-grams only
+    get the probability that the others leave them."""
+    windows = words.select("n", F.explode(_windows(F.col("word"), order)).alias("w")).groupBy("w").agg(F.sum("n").alias("n"))
+    ends = windows.select(F.reverse("w").alias("w"), "n", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+    grams = ends.groupBy("k", F.expr("right(w, k)").alias("gram")).agg(F.sum("n").alias("raw"))
     grams = stage(grams, "kn-grams")
     # shorter n-grams count how many different characters they follow; at a word's start none can
-    left = grams.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("follows"))
+    left = grams.where("k > 1 and raw > 0").groupBy((F.col("k") - 1).alias("k"), F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("follows"))
     at_start = (F.col("k") > 1) & F.col("gram").startswith(EDGE)
-    c = F.when((F.col("k") == order) | at_start, F.col("raw")).otherwise(F.coalesce("follows", F.lit(1)))
+    c = F.when((F.col("k") == order) | at_start, F.col("raw")).otherwise(F.coalesce("follows", F.lit(0)))
     counts = grams.join(left, ["k", "gram"], "left").select("k", "gram", c.alias("c"), F.expr("substr(gram, 1, k - 1)").alias("context"))
     counts = stage(counts, "kn-counts")
     cut = _discounted(counts)
     contexts = cut.groupBy("k", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-    cut = stage(cut.join(contexts, ["k", "context"]).select("k", "gram", "context", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("held") / F.col("total")).alias("b")), "kn-discounted")
-    alphabet = F.lit(1.0) / (cut.where("k = 1").count() + 1)  # one more for what was never seen
-    level = cut.where("k = 1").select("gram", (F.col("own") + F.col("b") * alphabet).alias("p"))
+    own = F.coalesce(F.try_divide(F.col("c") - F.col("d"), F.col("total")), F.lit(0.0))
+    b = F.coalesce(F.try_divide("held", "total"), F.lit(1.0))  # no weight is lost after a context never met
+    cut = stage(cut.join(contexts, ["k", "context"]).select("k", "gram", "context", "c", own.alias("own"), b.alias("b")), "kn-discounted")
+    alphabet = F.lit(1.0) / (cut.where("k = 1 and c > 0").count() + 1)  # one more for what was never seen
+    level = cut.where("k = 1").select("k", "gram", (F.col("own") + F.col("b") * alphabet).alias("p"))
     out = level
     for k in range(2, order + 1):
         lower = level.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        level = cut.where(F.col("k") == k).join(lower, F.expr("substr(gram, 2)") == F.col("suffix")).select("gram", (F.col("own") + F.col("b") * F.col("lower")).alias("p"))
+        level = cut.where(F.col("k") == k).join(lower, F.expr("substr(gram, 2)") == F.col("suffix")).select("k", "gram", (F.col("own") + F.col("b") * F.col("lower")).alias("p"))
         level = stage(level, f"kn-level{k}")
         out = out.union(level)
-    backoff = cut.select("context", "b").distinct()
+    return out, cut.select("context", "b").distinct()
+
+
+def model_tables(train: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(gram, logp) of every seen n-gram and (context, logb) of every seen context."""
+    words = train.select(F.explode(_split(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    out, backoff = _interpolated(words, order)
     return out.select("gram", F.log("p").alias("logp")), backoff.select("context", F.log("b").alias("logb"))
 
 
-def pair_tables(train: DataFrame) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The words of the sample and, by their numbers: ``own`` and ``own_pair``, the
-    discounted shares of words and of pairs (first * (size + 1) + second, sorted);
-    ``back``, each first word's back-off weight, of a text's start at ``size``, and of
-    single words in front of the characters at ``size + 1``."""
-    words = train.select(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("ws")).where(F.size("ws") > 0)
+def _split(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _pair_shares(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, v, w, c, own), the counts and discounted shares of words (k = 1) and of pairs (k = 2, v empty
+    at a text's start), and (k, v, b), the back-off weights of what they stand after."""
+    words = train.select(_split(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     zipped = F.zip_with(F.concat(F.array(F.lit("")), "ws"), "ws", lambda v, w: F.struct(v.alias("v"), w.alias("w")))
     pairs = words.select(F.explode(zipped).alias("p")).select("p.*").where(F.col("w").isNotNull()).groupBy("v", "w").agg(F.count("*").alias("c"))
     pairs = stage(pairs, "kn-pairs")
     single = pairs.groupBy("w").agg(F.count("*").alias("c")).select(F.lit(1).alias("k"), F.lit("").alias("v"), "w", "c")  # how many words each follows
-    cut = stage(_discounted(single.union(pairs.select(F.lit(2), "v", "w", "c"))), "kn-words")
+    # not staged: a row per pair is written once, as a count, and once as a fact
+    cut = _discounted(single.union(pairs.select(F.lit(2), "v", "w", "c")))
     contexts = cut.groupBy("k", "v").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-    own = cut.join(contexts, ["k", "v"]).select("k", "v", "w", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
+    own = cut.join(contexts, ["k", "v"]).select("k", "v", "w", "c", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
+    return own, contexts.select("k", "v", (F.col("held") / F.col("total")).alias("b"))
+
+
+def pair_tables(train: DataFrame) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The words of the sample and, by their numbers: ``own`` and ``own_pair``, the
+    discounted shares of words and of pairs (first * (size + 1) + second, sorted);
+    ``back``, each first word's back-off weight, of a text's start at ``size``, and of
+    single words in front of the characters at ``size + 1``."""
+    own, contexts = _pair_shares(train)
     # at most a row per word of the bounded sample
     single, pair = (own.where(F.col("k") == k).select("v", "w", "own").toArrow() for k in (1, 2))
-    back = contexts.select("k", "v", (F.col("held") / F.col("total")).alias("b")).toArrow()
+    back = contexts.toArrow()
     order = pc.sort_indices(single.column("w"))
     names = single.column("w").take(order).combine_chunks()
     size = len(names)
@@ -234,15 +277,106 @@ def _perplexity(tables, order: int):
     return F.pandas_udf(run, _RESULT).asNondeterministic()
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, trusted_on: Column, order: int = ORDER, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS,
+def _facts(docs: DataFrame, train: DataFrame, order: int) -> tuple[DataFrame, float]:
+    """(key, a, n), what a word, a pair of words or a text's last word adds to the text's
+    log-probability, and what a text's start adds.
+
+    A word adds its log-probability without the word before it and, as the word before
+    another one, its back-off weight; a text's last word takes that back. A pair that was
+    met adds what it gains over that; n is about how often it is met. Keys are 64-bit hashes, so that a long word does not
+    make long rows. The tables grow with the input and stay sharded by their keys."""
+    each = lambda df, n: df.select(F.explode(_split(F.col("text"))).alias("word"), F.lit(n).alias("n"))
+    words = stage(each(docs, 0).union(each(train, 1)).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("met")), "kn-vocabulary")
+    grams, _ = _interpolated(words, order)
+    whole = (F.col("k") == order) | ((F.col("k") > 1) & F.col("gram").startswith(EDGE))
+    grams = _few(grams.where(whole).select(F.reverse("gram").alias("w"), F.log("p").alias("logp")), GRAMS_HELD)
+    chars = words.select(F.xxhash64("word").alias("key"), "met", F.explode(_windows(F.col("word"), order)).alias("w"))
+    spelt = chars.join(grams, "w").groupBy("key").agg(F.sum("logp").alias("spelt"), F.max("met").alias("n"))
+    own, contexts = _pair_shares(train)
+    contexts = stage(contexts, "kn-back")
+    # a row each, none without training text
+    back_off = lambda k: next((r[0] for r in contexts.where((F.col("k") == k) & (F.col("v") == "")).select("b").collect()), 1.0)
+    single, start = back_off(1), back_off(2)
+    seen = own.where("k = 1").select(F.xxhash64("w").alias("key"), F.col("w").alias("word"), "own")
+    rest = F.col("spelt") + math.log(single)
+    alone = stage(spelt.join(seen, "key", "left").select("key", "word", "n", F.when(F.col("own").isNull(), rest).otherwise(F.log(F.col("own") + F.exp(rest))).alias("alone")), "kn-alone")
+    back = contexts.where("k = 2").select("v", F.log("b").alias("logb"))
+    first = back.where("v <> ''")
+    pairs = own.where("k = 2").join(alone.where("word is not null").select(F.col("word").alias("w"), "alone"), "w").join(back, "v")
+    backed = F.col("logb") + F.col("alone")
+    out = alone.join(first.select(F.xxhash64("v").alias("key"), "logb"), "key", "left").select("key", (F.col("alone") + F.coalesce("logb", F.lit(0.0))).alias("a"), "n")
+    out = out.union(first.select(F.xxhash64("v", F.lit("")), -F.col("logb"), F.lit(0)))
+    return out.union(pairs.select(F.xxhash64("v", "w"), F.log(F.col("own") + F.exp(backed)) - backed, "c")), math.log(start)
+
+
+def _often(facts: DataFrame) -> int:
+    """From which n on there are at most FACTS_HELD facts."""
+    held, least = 0, None
+    for n, rows in facts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += rows
+        if held > FACTS_HELD:
+            break
+        least = n
+    return (1 << 62) if least is None else least
+
+
+def _can_be(keys: DataFrame):
+    """A function of a column of hashes: false for those not among ``keys`` but for some,
+    as only the first KEY_BITS bits are looked up. The table has one size for any input."""
+    bit = F.shiftrightunsigned("key", 64 - KEY_BITS) + 1
+    parts = keys.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    table = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    for part, bits in parts.toLocalIterator():
+        table[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            at = part.to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            yield pd.Series((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return F.pandas_udf(run, "boolean")
+
+
+def _scored(plain: DataFrame, train: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, symbols, perplexity) by joins of the texts' words and pairs of words
+    with what each adds: those met often are broadcast, all others meet by a shuffle,
+    without most of the pairs that there are no facts for. Equal texts are added up as one
+    and divided again."""
+    facts, start = _facts(plain, train, order)
+    facts = stage(facts, "kn-facts")
+    text = F.xxhash64("text").alias("t")
+    around = F.zip_with(F.concat(F.array(F.lit("")), "ws"), F.concat("ws", F.array(F.lit(""))), lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    pairs = plain.select(text, _split(F.col("text")).alias("ws")).where(F.size("ws") > 0).select("t", F.explode(around).alias("p"))
+    asked = pairs.select("t", F.explode(F.array(F.xxhash64("p.w"), F.xxhash64("p.v", "p.w"))).alias("key"))
+    least = _often(facts)
+    often, rare = facts.where(F.col("n") >= least).drop("n"), facts.where(F.col("n") < least).drop("n")
+    parts = asked.join(F.broadcast(often), "key").groupBy("t").agg(F.sum("a").alias("sum"))
+    others = asked.join(F.broadcast(often.select("key")), "key", "left_anti").where(_can_be(rare)("key"))
+    parts = parts.union(others.join(rare, "key").groupBy("t").agg(F.sum("a")))
+    sums = parts.groupBy("t").agg(F.sum("sum").alias("sum"))
+    # each word and its end
+    n_words = F.size(_split(F.col("text")))
+    symbols = F.coalesce(F.when(n_words > 0, F.length(F.translate("text", " \t\n\x0b\f\r", "")) + n_words), F.lit(0)).cast("long")
+    rows = plain.select("doc_id", "lang", text, symbols.alias("symbols"))
+    copies = rows.where("symbols > 0").groupBy("t").agg(F.count("*").alias("copies"))
+    sums = stage(sums.join(copies, "t").select("t", (F.col("sum") / F.col("copies") + start).alias("total")), "kn-sums")
+    perplexity = F.when(F.col("symbols") > 0, F.exp(F.least(-F.col("total") / F.col("symbols"), F.lit(700.0))))
+    return rows.join(sums, "t", "left").select("doc_id", "lang", "symbols", perplexity.alias("perplexity"))
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, trusted_on: Column, order: int = ORDER, rows: int | None = None, chars: int | None = None,
                  id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, symbols, perplexity), learnt from labelled rows of quality 1 for
+    """(doc_id, lang, symbols, perplexity), learnt from all labelled rows of quality 1 for
     which ``trusted_on``, a condition on doc_id, holds. Without any, all characters are
-    equally likely."""
+    equally likely. With ``rows`` or ``chars`` the model is fitted on a sample of at most
+    these, small enough that every task holds its tables."""
     small_batches(docs)
     plain = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     good = labels.groupBy(column("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where((F.col("q") == 1) & F.col("doc_id").isNotNull() & trusted_on).select("doc_id")
-    train = sample(plain, good, rows, chars)
+    if rows is None and chars is None:
+        return _scored(plain, trusted_texts(plain.select("doc_id", "text"), good), order)
+    train = sample(plain, good, rows or TRAIN_ROWS, chars or TRAIN_CHARS)
     logp, logb = model_tables(train, order)
     # at most a few n-grams per character of the bounded sample
     as_dict = lambda df: dict(zip(*(c.to_pylist() for c in df.toArrow().columns)))
@@ -250,7 +384,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, trusted_on: Column, order:
     return plain.select("doc_id", "lang", _perplexity(tables, order)("text").alias("m")).select("doc_id", "lang", "m.symbols", "m.perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, order: int = ORDER, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, quantile: float = QUANTILE, slack: float = SLACK,
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, order: int = ORDER, rows: int | None = None, chars: int | None = None, quantile: float = QUANTILE, slack: float = SLACK,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, symbols, perplexity, threshold, kept.
 
