@@ -129,6 +129,23 @@ def test_pages_of_given_tables_give_their_articles(spark):
         assert (got[x["page_id"]]["text"], got[x["page_id"]]["n_chars"], got[x["page_id"]]["url"]) == (want, len(want), x["url"])
 
 
+def test_marked_articles_are_differenced_too(spark):
+    """An unmarked line that all pages around have goes from an article as well; a
+    sentence that the nearest articles repeat stays, as does one on a host's few pages."""
+    own = lambda h, i: " ".join(f"{h}{i}{k} is said here" for k in range(30))
+    rows = []
+    for i in range(40):
+        said = "<p>It rained again.</p>" if 10 <= i < 15 else ""
+        rows.append((i, f"http://a.org/p/{i:03d}", f"<article><h1>Title {i}</h1><p>{own('a', i)}</p>{said}<p>Tell your friends about us</p></article>"))
+    rows += [(100 + i, f"http://b.org/{i}", f"<article><p>{own('b', i)}</p><p>It rained again.</p></article>") for i in range(3)]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(2, 38):
+        assert got[i] == f"Title {i} {own('a', i)}" + (" It rained again." if 10 <= i < 15 else ""), i
+    # an end of the order has too few pages on one side
+    assert got[0].endswith("Tell your friends about us") and got[39].endswith("Tell your friends about us")
+    assert all(got[100 + i].endswith("It rained again.") for i in range(3))
+
+
 def test_pages_edges(spark):
     schema = "page_id long, url string, html string, text string, part int, k string, n_chars int"
     long = "<p>" + "</p><p>".join(f"word{i} é" for i in range(50_000)) + "</p>"

@@ -5,7 +5,8 @@ matter, and without blocks that their markup names as menus, headers, footers,
 sidebars, notices, adverts, forms or comments. Where the page marks its article, lines
 outside of it go too. Pages of a host are then ordered by path; each is aligned with
 the nearest ones before and after it by longest common subsequence, and lines that it
-shares with most of them are template and are deleted.
+shares with most of them are template and are deleted; inside a marked article only if
+most of all the pages looked at, on either side, have them too.
 
 The order is cut into ranges by the urls themselves, so that a host with a third of all
 pages lies in many tasks. The few pages next to a cut go to both sides, and a range is
@@ -275,32 +276,45 @@ def _zeros(v: int, n: int) -> list[int]:
     return out
 
 
-def difference(page: list[str], before: Sequence[list[str]], after: Sequence[list[str]], compared: int = COMPARED, copy: float = COPY) -> list[str]:
+def difference(page: list[str], before: Sequence[list[str]], after: Sequence[list[str]], compared: int = COMPARED, copy: float = COPY, sure: bool = False) -> list[str]:
     """The lines of a page that it does not share with most of the nearest other pages.
 
     ``before`` and ``after`` come nearest first. Of each side the first ``compared``
     pages count that are no copies: of two copies each shares ``copy`` of its characters
-    with the other. Without a page to compare with, all lines stay."""
-    total = sum(map(len, page))
-    if not total:
+    with the other. Without a page to compare with, all lines stay.
+
+    Where the lines are those of a marked article (``sure``), articles near each other
+    may repeat a sentence: a line shared with most of the nearest pages goes if most of
+    all the pages given have it too, on either side, of at least ``compared`` each."""
+    if not sum(map(len, page)):
         return page
-    votes, pages = [0] * len(page), 0
-    for side in (before, after):
-        used = 0
-        for other in side:
-            if used == compared:
-                break
-            if not other:
-                continue
-            at = shared(page, other)
-            same = sum(len(page[i]) for i in at)
-            if same >= copy * total and same >= copy * sum(map(len, other)):
-                continue
-            used += 1
-            for i in at:
-                votes[i] += 1
-        pages += used
-    return [x for x, v in zip(page, votes) if 2 * v <= pages or not pages]
+    near = [_votes(page, side, compared, copy) for side in (before, after)]
+    votes, pages = [x + y for x, y in zip(near[0][0], near[1][0])], near[0][1] + near[1][1]
+    gone = [2 * v > pages > 0 for v in votes]
+    if sure and any(gone):
+        for side in (before, after):
+            votes, pages = _votes(page, side, len(side), copy)
+            gone = [g and 2 * v > pages >= compared for g, v in zip(gone, votes)]
+    return [x for x, g in zip(page, gone) if not g]
+
+
+def _votes(page: list[str], side: Sequence[list[str]], compared: int, copy: float) -> tuple[list[int], int]:
+    """With how many of the first ``compared`` pages that are no copies each line is
+    shared, and how many these are."""
+    total, votes, used = sum(map(len, page)), [0] * len(page), 0
+    for other in side:
+        if used == compared:
+            break
+        if not other:
+            continue
+        at = shared(page, other)
+        same = sum(len(page[i]) for i in at)
+        if same >= copy * total and same >= copy * sum(map(len, other)):
+            continue
+        used += 1
+        for i in at:
+            votes[i] += 1
+    return votes, used
 
 
 def _sort_key(url: Column, page_id: Column) -> Column:
@@ -360,8 +374,7 @@ def _deal(cuts: list[str], ends: dict[int, tuple[str, str]]):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each own page of a range differenced against its neighbours of the same host; of a
-    marked article all lines stay. Rows come in order and LOOK of them are held each way."""
+    """Each own page of a range differenced against its neighbours of the same host. Rows come in order and LOOK of them are held each way."""
     held: deque[dict] = deque()  # the pages before, the page in turn, the pages after
     turn = 0  # where in ``held`` the page in turn is
 
@@ -369,7 +382,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = rows[at]
         host = row["k"].partition("\0")[0]
         near = lambda places: [rows[i]["lines"] for i in places if rows[i]["k"].partition("\0")[0] == host]
-        kept = row["lines"] if row["sure"] else difference(row["lines"], near(range(at - 1, max(at - 1 - LOOK, -1), -1)), near(range(at + 1, min(at + 1 + LOOK, len(rows)))))
+        kept = difference(row["lines"], near(range(at - 1, max(at - 1 - LOOK, -1), -1)), near(range(at + 1, min(at + 1 + LOOK, len(rows)))), sure=row["sure"])
         text = " ".join(kept)
         return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text)}
 
