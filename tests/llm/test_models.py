@@ -480,3 +480,23 @@ def test_quality_model_counts_all_trusted_text(spark, monkeypatch):
             assert x.perplexity == (want if want is None else pytest.approx(want, rel=1e-9)), x
     none = kneser_ney.perplexities(docs, labels.limit(0), F.lit(True)).where("symbols > 0").agg(F.min("perplexity"), F.max("perplexity")).first()
     assert tuple(none) == (1.0, 1.0)
+
+
+def test_masked_lm_holds_frequent_words_only(spark, monkeypatch):
+    """Broadcast or joined, a word beyond the vocabulary counts the same, and what is
+    broadcast is bounded; what tasks learnt goes into sums without being staged."""
+    vocab = [f"w{i}" for i in range(masked_lm.VOCABULARY)]
+    rows = [(" ".join(vocab) + " ") * 9 + "lanterns " * 5 + "evenings evenings rainings landings", "w1 lanterns w2 landings", "w1 evenings lanterns", None, "qzxkvwjqpx"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got, often, staged = {}, masked_lm._frequent, []
+    for held, words in ((0, 0), (1, 1), (4, 3), (100, 5)):  # counts 7, 3, 2, 1, 1: those of a count are held together
+        met = []
+        monkeypatch.setattr(masked_lm, "WORDS_HELD", held)
+        monkeypatch.setattr(masked_lm, "_frequent", lambda known: met.append(often(known)) or met[0])
+        got[held] = [r.log_likelihood for r in masked_lm.score(docs, rounds=0).orderBy("doc_id").collect()]
+        assert len(met[0][0]) == words
+    assert all(x == pytest.approx(got[0], rel=1e-9) for x in got.values()) and got[0][3] == 0 and len(set(got[0])) == 5
+    plain = masked_lm.stage
+    monkeypatch.setattr(masked_lm, "stage", lambda df, name: staged.append(name) or plain(df, name))
+    masked_lm.train(docs, [b"w1"], 2)
+    assert {x.rstrip("01") for x in staged} == {"lm-sums"}

@@ -6,8 +6,8 @@ table per relative position, and a tanh layer predicts the word in the middle in
 steps: its class (words of like frequency), then the word within the class. A word
 beyond the vocabulary takes a third step, P(word | shape): its discounted count in
 the corpus, and what the discounts leave shared out by its spelling, a model of byte
-triples. This table has a row per distinct word and grows with the input; documents
-meet it by a join. As a neighbour such a word is one of BESIDE rows, by its hash.
+triples. This table has a row per distinct word and grows with the input: its most
+frequent words are broadcast, documents meet the others by a join. As a neighbour such a word is one of BESIDE rows, by its hash.
 Word counts run over all documents. Training is data-parallel: in each round every
 task walks its documents from the common weights, and weights averaged by a tree of
 small sums start the next round. Over the rounds every word is predicted once. A document's score is the sum of its words' log
@@ -16,6 +16,7 @@ probabilities.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from tidemark.llm.common import encoded, stage, texts
 VOCABULARY, SHAPES, CLASS, BESIDE = 1984, 64, 32, 1 << 14
 SIDE, HIDDEN, ROUNDS, BATCH, HELD, RATE, SEED = 3, 24, 2, 2048, 32_768, 0.1, 11
 FAN_IN, CHUNKS, CACHED_WORDS, CACHED_LENGTH = 16, 64, 400_000, 64
+#: Words beyond the vocabulary, the most frequent, whose probabilities every task holds; the others meet theirs by a join.
+WORDS_HELD = 300_000
 _COUNTED = 400_000
 # Each byte as upper-case letter, other letter (all beyond ASCII), digit, mark, or none of these.
 _KINDS = np.array([8 if 65 <= c <= 90 else 4 if 97 <= c <= 122 or c >= 128 else 2 if 48 <= c <= 57 else 1 if 33 <= c <= 126 else 0 for c in range(256)], np.int64)
@@ -118,63 +121,94 @@ def windows(docs: list[np.ndarray], turn: int = 0, rounds: int = 1) -> tuple[np.
     return np.stack([beside[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), flat[at] & 0xFFFF
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exps(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: exp(z) up to a factor (in the place of z), its sum, and the log-probability of place ``at``."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return z, total, chosen - np.log(total)
 
 
 def _hidden(w, near):
-    h = w["bias"] + w["near"][0][near[:, 0]]
+    h = w["near"][0].take(near[:, 0], axis=0)
     for k in range(1, 2 * SIDE):
-        h += w["near"][k][near[:, k]]
-    return np.tanh(h)
+        h += w["near"][k].take(near[:, k], axis=0)
+    h += w["bias"]
+    return np.tanh(h, out=h)
+
+
+def _by_class(w, h, middle):
+    """Words in the order of their classes: (order, where each class that occurs begins
+    and ends, hidden rows, word scores inside the class), computed class by class."""
+    group = (middle // CLASS).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(len(w["word_bias"]) + 1)).tolist()
+    parts = [(g, slice(edges[g], edges[g + 1])) for g in range(len(edges) - 1) if edges[g] < edges[g + 1]]
+    h = h.take(order, axis=0)
+    z = w["word_bias"].take(group[order], axis=0)
+    for g, at in parts:
+        z[at] += h[at] @ w["to_word"][g]
+    return order, parts, h, z
 
 
 def log_probabilities(w: dict[str, np.ndarray], near: np.ndarray, middle: np.ndarray) -> np.ndarray:
     h = _hidden(w, near)
-    group, inside = middle // CLASS, middle % CLASS
-    out = _log_softmax(h @ w["to_class"] + w["class_bias"])[np.arange(len(h)), group].astype(np.float64)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(w["word_bias"]) + 1))
-    for g in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[g] : edges[g + 1]]
-        out[rows] += _log_softmax(h[rows] @ w["to_word"][g] + w["word_bias"][g])[np.arange(len(rows)), inside[rows]]
+    out = _exps(h @ w["to_class"] + w["class_bias"], middle // CLASS)[2].astype(np.float64)
+    order, _, _, z = _by_class(w, h, middle)
+    out[order] += _exps(z, (middle % CLASS)[order])[2]
     return out
 
 
 def _scatter(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row sums of ``values`` by id."""
-    order = np.argsort(ids, kind="stable")
-    found, first = np.unique(ids[order], return_index=True)
-    return found, np.add.reduceat(values[order], first, axis=0)
+    """Row sums of ``values`` (double precision) by id: differences of running sums."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # ids are below 2 ** 16
+    ids = ids[order]
+    last = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
+    rows = values.take(order, axis=0)
+    sums = np.cumsum(rows, axis=0, out=rows).take(last, axis=0)
+    sums[1:] -= sums[:-1].copy()
+    return ids[last], sums
 
 
 def train_batch(w, seen, near, middle, rate: float = RATE) -> None:
     """One step of gradient ascent; step sizes fall with the squared gradients so far."""
 
-    def step(name, g, at=slice(None)):
-        seen[name][at] += g * g
-        w[name][at] -= rate * g / np.sqrt(seen[name][at] + 1e-6)
+    def step(name, g, at=...):
+        if at is ...:
+            seen[name] += g * g
+            w[name] -= rate * g / np.sqrt(seen[name] + 1e-6)
+        else:
+            k, ids = at
+            squares = seen[name][k].take(ids, axis=0) + g * g
+            seen[name][k][ids] = squares
+            w[name][k][ids] -= rate * g / np.sqrt(squares + 1e-6)
 
     h, n = _hidden(w, near), len(middle)
-    group, inside = middle // CLASS, middle % CLASS
-    e = np.exp(_log_softmax(h @ w["to_class"] + w["class_bias"]))
-    e[np.arange(n), group] -= 1
+    every, group = np.arange(n), middle // CLASS
+    e, total, _ = _exps(h @ w["to_class"] + w["class_bias"], group)
+    e /= total[:, None]
+    e[every, group] -= 1
     back = e @ w["to_class"].T
-    updates = [("to_class", h.T @ e / n, slice(None)), ("class_bias", e.mean(axis=0), slice(None))]
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(w["word_bias"]) + 1))
-    for g in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[g] : edges[g + 1]]
-        e = np.exp(_log_softmax(h[rows] @ w["to_word"][g] + w["word_bias"][g]))
-        e[np.arange(len(rows)), inside[rows]] -= 1
-        back[rows] += e @ w["to_word"][g].T
-        updates += [("to_word", h[rows].T @ e / n, g), ("word_bias", e.sum(axis=0) / n, g)]
+    updates = [("to_class", h.T @ e / n), ("class_bias", e.mean(axis=0))]
+    order, parts, by_class, z = _by_class(w, h, middle)
+    e, total, _ = _exps(z, inside := (middle % CLASS)[order])
+    e /= total[:, None]
+    e[every, inside] -= 1
+    # classes that do not occur have no gradient, and a step of none changes nothing
+    words, biases, below = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"]), np.empty_like(by_class)
+    for g, at in parts:
+        np.matmul(e[at], w["to_word"][g].T, out=below[at])
+        np.matmul(by_class[at].T, e[at], out=words[g])
+    biases[[g for g, _ in parts]] = np.add.reduceat(e, [at.start for _, at in parts], axis=0)
+    back[order] += below
+    updates += [("to_word", words / n), ("word_bias", biases / n)]
     d = back * (1 - h * h) / n
-    updates.append(("bias", d.sum(axis=0), slice(None)))
+    updates.append(("bias", d.sum(axis=0)))
+    double = d.astype(np.float64)
     for k in range(2 * SIDE):
-        ids, g = _scatter(near[:, k], d)
-        updates.append(("near", g, (k, ids)))
+        ids, g = _scatter(near[:, k], double)
+        updates.append(("near", g.astype(d.dtype), (k, ids)))
     for u in updates:
         step(*u)
 
@@ -236,14 +270,13 @@ def train(docs: DataFrame, vocabulary: list[bytes], rounds: int = ROUNDS) -> np.
     kind = "part long, chunk int, n long, w binary"
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, flat))
-        sums = stage(docs.mapInArrow(_train_task(shared, turn, rounds), kind), f"lm-round{turn}")
-        parts = sums.agg(F.max("part")).first()[0]
-        if parts is None:  # no words anywhere
-            break
-        while parts > 0:  # a tree: no task adds up more than FAN_IN tasks' weights
+        sums, parts = docs.mapInArrow(_train_task(shared, turn, rounds), kind), 1
+        while parts:  # a tree: no task adds up more than FAN_IN tasks' weights; what each task learnt is not staged
             node = sums.withColumn("node", F.floor(F.col("part") / FAN_IN))
             sums = stage(node.groupBy("node", "chunk").applyInPandas(lambda g: _add_up(g.drop(columns="node")), kind), f"lm-sums{turn}")
-            parts //= FAN_IN
+            parts = sums.agg(F.max("part")).first()[0]
+        if parts is None:  # no words anywhere
+            break
         rows = sums.orderBy("chunk").collect()
         flat = np.concatenate([np.frombuffer(r["w"], np.float32) / np.float32(r["n"]) for r in rows])
         shared.destroy()
@@ -292,7 +325,7 @@ def spelling(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def word_probabilities(counts: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """(word, logp) of each word beyond the vocabulary: log P(word | shape), a
+    """(word, n, logp) of each word beyond the vocabulary: log P(word | shape), a
     distribution over the words of a shape. Absolute discounting; the discounts go to
     the shape's words by spelling."""
     grams = counts.mapInArrow(_rare(vocabulary, _count_triples, ["code", "n"]), "code int, n long")
@@ -312,23 +345,40 @@ def word_probabilities(counts: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     share = F.exp(F.col("q") - F.col("top"))
     shares = F.broadcast(words.join(of, "shape").groupBy("shape").agg(F.sum(share).alias("shares")))
     p = (F.col("n") - F.col("d") + F.col("d") * F.col("kinds") * share / F.col("shares")) / F.col("total")
-    return words.join(of, "shape").join(shares, "shape").select("word", F.log(p).alias("logp"))
+    return words.join(of, "shape").join(shares, "shape").select("word", "n", F.log(p).alias("logp"))
+
+
+def _frequent(known: DataFrame) -> tuple[dict[bytes, float], int]:
+    """The log-probabilities of the most frequent words, and from which n on: at most
+    WORDS_HELD, all words of a count or none."""
+    held, least = 0, 1 << 62
+    for n, words in known.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += words
+        if held > WORDS_HELD:
+            break
+        least = n
+    table = known.where(F.col("n") >= least).toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("logp").to_pylist())), least
 
 
 def _score(shared):
-    """(row, doc_id, n_words, network, words, times): the network's part of the sum, and
-    the text's distinct words beyond the vocabulary."""
+    """(row, doc_id, n_words, network, words, times): the part of the sum that the network
+    and the held words give, and the text's other distinct words beyond the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
-        ids, w = Ids(vocabulary), _shaped(flat)
+        vocabulary, flat, logs = shared.value
+        ids, w, none = Ids(vocabulary), _shaped(flat), math.nan
         for b in batches:
-            lengths, sums, held, pending, rare, ends = [], [], [], 0, [], [0]
+            lengths, sums, held, pending, rare, ends, spelt = [], [], [], 0, [], [0], []
             times: list[int] = []
             for i, t in enumerate(encoded(b)):
                 words = t.split()
                 held.append(ids.codes(words))
-                found = Counter(map(words.__getitem__, np.flatnonzero((held[-1] & 0xFFFF) < SHAPES).tolist()))
+                beyond = [words[k] for k in np.flatnonzero((held[-1] & 0xFFFF) < SHAPES).tolist()]
+                p = np.array([logs.get(x, none) for x in beyond])
+                unknown = np.isnan(p)
+                spelt.append(p[~unknown].sum())
+                found = Counter(beyond[k] for k in np.flatnonzero(unknown).tolist())
                 rare += found.keys()
                 times += found.values()
                 ends.append(len(rare))
@@ -340,7 +390,7 @@ def _score(shared):
             if lengths:
                 at = pa.array(ends, pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((rare, pa.binary()), (times, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(np.concatenate(sums)), *lists], ["row", "doc_id", "n_words", "network", "words", "times"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(np.concatenate(sums) + np.array(spelt)), *lists], ["row", "doc_id", "n_words", "network", "words", "times"])
 
     return run
 
@@ -365,10 +415,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # at most VOCABULARY rows
     vocabulary = [bytes(r["word"]) for r in top]
     known = word_probabilities(counts, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(plain, vocabulary, rounds)))
+    often, least = _frequent(known)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(plain, vocabulary, rounds), often))
     rows = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = stage(rows.mapInArrow(_score(shared), "row long, doc_id long, n_words long, network double, words array<binary>, times array<long>"), "lm-network")
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
-    spelt = each.join(known, each["words"] == known["word"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("spelt"))
+    rest = known.where(F.col("n") < least)
+    spelt = each.join(rest, each["words"] == rest["word"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("spelt"))
     out = rows.drop("words", "times").join(spelt, "row", "left").select("doc_id", "n_words", (F.col("network") + F.coalesce("spelt", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
