@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import ann, kneser_ney, masked_lm, suffix, toxicity, warc
+from tidemark.llm.common import unstage
 from tidemark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -500,3 +501,24 @@ def test_masked_lm_holds_frequent_words_only(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "stage", lambda df, name: staged.append(name) or plain(df, name))
     masked_lm.train(docs, [b"w1"], 2)
     assert {x.rstrip("01") for x in staged} == {"lm-sums"}
+
+
+def test_quality_model_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    """Pairs go through shuffles in slices, tables no longer read go away, nobody else's do."""
+    r, words = random.Random(5), vocabulary(60, 6)
+    docs = spark.createDataFrame([(i, prose(20, r, words), "a") for i in range(200)] + [(500, "y" * 3000 + " " + words[0], "a")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in (*range(100), 500)], "doc_id long, quality int")
+    plain, got = kneser_ney.stage, {}
+    for slices in (1, 3):
+        staged = []
+        monkeypatch.setattr(kneser_ney, "SLICES", slices)
+        monkeypatch.setattr(kneser_ney, "stage", lambda df, name: staged.append((name, df.count(), out := plain(df, name), out.inputFiles())) or out)
+        got[slices] = {x.doc_id: x.perplexity for x in kneser_ney.perplexities(docs, labels, F.lit(True)).collect()}
+        pairs = [n for name, n, *_ in staged if name == "kn-pairs"]
+        assert len(pairs) == slices and max(pairs) < sum(pairs) * (1.1 if slices == 1 else 0.7)
+        left = {name for name, _, _, files in staged if any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)}
+        assert left <= {"kn-parts", "kn-sums"}, left
+    assert got[1] == pytest.approx(got[3], rel=1e-12) and all(math.isfinite(p) for p in got[1].values())
+    docs.write.parquet(at := f"{tmp_path}/docs-0123456789ab")
+    unstage(spark.read.parquet(at))
+    assert spark.read.parquet(at).count() == 201

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_dir
 
 #: A word is a run of bytes other than these six: what ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +26,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
 
 
+def unstage(*staged: DataFrame) -> None:
+    """Takes away tables that ``stage`` wrote and that no later step reads. Files
+    elsewhere than in a staged table's own folder stay."""
+    for df in staged:
+        spark = df.sparkSession
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+        root = path(scratch_dir(spark)).toUri().getPath()
+        for at in map(path, {x.rsplit("/", 1)[0] for x in df.inputFiles()}):
+            if at.getParent().toUri().getPath() == root and re.search("-[0-9a-f]{12}$", at.getName()):
+                at.getFileSystem(conf).delete(at, True)
+
+
 @contextmanager
 def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
     """What is written in here takes its shuffle files away when it is done."""

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidemark.llm.common import WORD, bounded, column, small_batches, stage
+from tidemark.llm.common import WORD, bounded, column, small_batches, stage, unstage
+from tidemark.session import pin
 
 ORDER = 5
 #: Bounds of a sample of the trusted rows, if one is asked for.
@@ -32,6 +34,8 @@ TRAIN_ROWS, TRAIN_CHARS = 6000, 12_000_000
 #: Trusted ids, n-grams and words or pairs that are broadcast at most, and the bits that
 #: tell which of the others there can be.
 TRUSTED_IDS, GRAMS_HELD, FACTS_HELD, KEY_BITS = 2_000_000, 1_000_000, 1_000_000, 27
+#: Pairs, and texts with their words, go through shuffles in so many parts, one after the other.
+SLICES = 4
 #: A language with SHARED held-out rows stands half on its own rows, half on all.
 QUANTILE, SLACK, SHARED, ACCURACY = 0.995, 1.05, 100, 10_000
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
@@ -59,18 +63,26 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return stage(met, "trusted-texts").select("text")
 
 
-def _discounted(counts: DataFrame) -> DataFrame:
-    """``counts`` (k, c and more) with the discount ``d`` of each count of its order; a
-    count of 0 has none."""
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(k, d1, d2, d3): the discounts of each order of ``counts`` (k, c and more)."""
     of = [F.count(F.when(F.col("c") == j, 1)).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)]
     n = counts.groupBy("k").agg(*of)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     # a discount is between 0 and its count; counts of counts of tiny samples may be 0
     d = [F.least(F.greatest(F.coalesce(j - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5 * j)), F.lit(0.1)), F.lit(j - 0.05)).alias(f"d{j}") for j in (1, 2, 3)]
-    discounts = n.select("k", *d)  # a row per order
+    return n.select("k", *d)  # a row per order
+
+
+def _cut(counts: DataFrame, discounts: DataFrame) -> DataFrame:
+    """``counts`` with the discount ``d`` of each count; a count of 0 has none."""
     return counts.join(F.broadcast(discounts), "k").withColumn("d", F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
 
 
+def _discounted(counts: DataFrame) -> DataFrame:
+    """``counts`` (k, c and more) with the discount ``d`` of each count of its order."""
+    return _cut(counts, _discounts(counts))
+
+
 def _windows(word: Column, order: int) -> Column:
     """For each character of a word and its end, these and up to order - 1 characters
     before, edges included; read from the back, as the word is walked once that way."""
@@ -105,6 +117,7 @@ def _interpolated(words: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         level = cut.where(F.col("k") == k).join(lower, F.expr("substr(gram, 2)") == F.col("suffix")).select("k", "gram", (F.col("own") + F.col("b") * F.col("lower")).alias("p"))
         level = stage(level, f"kn-level{k}")
         out = out.union(level)
+    unstage(grams, counts)
     return out, cut.select("context", "b").distinct()
 
 
@@ -287,26 +300,50 @@ def _facts(docs: DataFrame, train: DataFrame, order: int) -> tuple[DataFrame, fl
     make long rows. The tables grow with the input and stay sharded by their keys."""
     each = lambda df, n: df.select(F.explode(_split(F.col("text"))).alias("word"), F.lit(n).alias("n"))
     words = stage(each(docs, 0).union(each(train, 1)).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("met")), "kn-vocabulary")
-    grams, _ = _interpolated(words, order)
+    every, _ = _interpolated(words, order)
     whole = (F.col("k") == order) | ((F.col("k") > 1) & F.col("gram").startswith(EDGE))
-    grams = _few(grams.where(whole).select(F.reverse("gram").alias("w"), F.log("p").alias("logp")), GRAMS_HELD)
+    grams = _few(every.where(whole).select(F.reverse("gram").alias("w"), F.log("p").alias("logp")), GRAMS_HELD)
     chars = words.select(F.xxhash64("word").alias("key"), "met", F.explode(_windows(F.col("word"), order)).alias("w"))
     spelt = chars.join(grams, "w").groupBy("key").agg(F.sum("logp").alias("spelt"), F.max("met").alias("n"))
-    own, contexts = _pair_shares(train)
-    contexts = stage(contexts, "kn-back")
-    # a row each, none without training text
-    back_off = lambda k: next((r[0] for r in contexts.where((F.col("k") == k) & (F.col("v") == "")).select("b").collect()), 1.0)
-    single, start = back_off(1), back_off(2)
-    seen = own.where("k = 1").select(F.xxhash64("w").alias("key"), F.col("w").alias("word"), "own")
-    rest = F.col("spelt") + math.log(single)
-    alone = stage(spelt.join(seen, "key", "left").select("key", "word", "n", F.when(F.col("own").isNull(), rest).otherwise(F.log(F.col("own") + F.exp(rest))).alias("alone")), "kn-alone")
-    back = contexts.where("k = 2").select("v", F.log("b").alias("logb"))
-    first = back.where("v <> ''")
-    pairs = own.where("k = 2").join(alone.where("word is not null").select(F.col("word").alias("w"), "alone"), "w").join(back, "v")
-    backed = F.col("logb") + F.col("alone")
-    out = alone.join(first.select(F.xxhash64("v").alias("key"), "logb"), "key", "left").select("key", (F.col("alone") + F.coalesce("logb", F.lit(0.0))).alias("a"), "n")
-    out = out.union(first.select(F.xxhash64("v", F.lit("")), -F.col("logb"), F.lit(0)))
-    return out.union(pairs.select(F.xxhash64("v", "w"), F.log(F.col("own") + F.exp(backed)) - backed, "c")), math.log(start)
+    slices = [stage(x, "kn-pairs") for x in _pair_counts(train)]
+    pairs = reduce(DataFrame.union, slices).withColumn("k", F.lit(2))
+    singles = stage(pairs.groupBy("w").agg(F.count("*").alias("c")), "kn-singles").withColumn("k", F.lit(1))  # how many words each follows
+    weights = [F.sum("c").alias("total"), F.sum("d").alias("held")]
+    contexts = stage(_discounted(pairs).groupBy("v").agg(*weights), "kn-back")
+    total, held = _discounted(singles).agg(*weights).first()
+    # a row, none without training text
+    begin = contexts.where(F.col("v") == F.xxhash64(F.lit(""))).select(F.log(F.col("held") / F.col("total"))).first()
+    seen = _discounted(singles).select(F.col("w").alias("key"), ((F.col("c") - F.col("d")) / (total or 1)).alias("own"))
+    rest = F.col("spelt") + math.log(held / total if total else 1.0)
+    first = contexts.select(F.col("v").alias("key"), F.log(F.col("held") / F.col("total")).alias("logb"))
+    alone = F.when(F.col("own").isNull(), rest).otherwise(F.log(F.col("own") + F.exp(rest))).alias("alone")
+    words_of = stage(spelt.join(seen, "key", "left").select("key", "n", alone, F.col("own").isNotNull().alias("seen")).join(first, "key", "left"), "kn-alone")
+    unstage(words, singles, every)
+    known = words_of.where("seen").select(F.col("key").alias("w"), "alone")
+    back = contexts.select("v", F.log("held").alias("held"))
+    # log(1 + exp(x)), x the log of what the pair has over what the single word gets after v
+    x = F.log(F.col("c") - F.col("d")) - F.col("held") - F.col("alone")
+    gain = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    out = words_of.select("key", (F.col("alone") + F.coalesce("logb", F.lit(0.0))).alias("a"), "n")
+    out = out.union(words_of.where("logb is not null").select(F.xxhash64("key", F.xxhash64(F.lit(""))), -F.col("logb"), F.lit(0)))
+    gains = []
+    cuts = pin(_discounts(pairs))
+    for i, part in enumerate(slices):
+        cut = _cut(part.withColumn("k", F.lit(2)), cuts)
+        of = back.where(F.pmod("v", F.lit(SLICES)) == i)
+        gains.append(stage(cut.join(of, "v").join(known, "w").select(F.xxhash64("v", "w").alias("key"), gain.alias("a"), F.col("c").alias("n")), "kn-gains"))
+    out = stage(out, "kn-facts")
+    unstage(contexts, words_of, *slices)
+    return reduce(DataFrame.union, gains, out), begin[0] if begin else 0.0
+
+
+def _pair_counts(train: DataFrame) -> list[DataFrame]:
+    """(v, w, c): hashes of words that follow each other, v that of the empty word at a
+    text's start, and how often; SLICES tables by v."""
+    ws = train.select(_split(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    zipped = F.zip_with(F.concat(F.array(F.lit("")), "ws"), "ws", lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    pairs = ws.select(F.explode(zipped).alias("p")).where(F.col("p.w").isNotNull()).select(F.xxhash64("p.v").alias("v"), F.xxhash64("p.w").alias("w"))
+    return [pairs.where(F.pmod("v", F.lit(SLICES)) == i).groupBy("v", "w").agg(F.count("*").alias("c")) for i in range(SLICES)]
 
 
 def _often(facts: DataFrame) -> int:
@@ -339,22 +376,29 @@ def _can_be(keys: DataFrame):
 
 
 def _scored(plain: DataFrame, train: DataFrame, order: int) -> DataFrame:
-    """(doc_id, lang, symbols, perplexity) by joins of the texts' words and pairs of words
+    """(doc_id, lang, symbols, perplexity), ``train`` staged, by joins of the texts' words and pairs of words
     with what each adds: those met often are broadcast, all others meet by a shuffle,
-    without most of the pairs that there are no facts for. Equal texts are added up as one
+    without most of the pairs that there are no facts for. What was staged on the way goes
+    as soon as nothing reads it. Equal texts are added up as one
     and divided again."""
     facts, start = _facts(plain, train, order)
-    facts = stage(facts, "kn-facts")
+    unstage(train)
     text = F.xxhash64("text").alias("t")
     around = F.zip_with(F.concat(F.array(F.lit("")), "ws"), F.concat("ws", F.array(F.lit(""))), lambda v, w: F.struct(v.alias("v"), w.alias("w")))
     pairs = plain.select(text, _split(F.col("text")).alias("ws")).where(F.size("ws") > 0).select("t", F.explode(around).alias("p"))
-    asked = pairs.select("t", F.explode(F.array(F.xxhash64("p.w"), F.xxhash64("p.v", "p.w"))).alias("key"))
+    asked = pairs.select("t", F.explode(F.array(F.xxhash64("p.w"), F.xxhash64(F.xxhash64("p.v"), F.xxhash64("p.w")))).alias("key"))
     least = _often(facts)
     often, rare = facts.where(F.col("n") >= least).drop("n"), facts.where(F.col("n") < least).drop("n")
-    parts = asked.join(F.broadcast(often), "key").groupBy("t").agg(F.sum("a").alias("sum"))
-    others = asked.join(F.broadcast(often.select("key")), "key", "left_anti").where(_can_be(rare)("key"))
-    parts = parts.union(others.join(rare, "key").groupBy("t").agg(F.sum("a")))
-    sums = parts.groupBy("t").agg(F.sum("sum").alias("sum"))
+    can_be, sums = _can_be(rare), []
+    for i in range(SLICES):  # what a slice of the texts asks for takes its shuffle files away with it
+        some = asked.where(F.pmod("t", F.lit(SLICES)) == i)
+        met = some.join(F.broadcast(often), "key", "left")
+        parts = met.where("a is not null").groupBy("t").agg(F.sum("a").alias("sum"))
+        others = met.where("a is null").select("t", "key").where(can_be("key"))
+        parts = parts.union(others.join(rare, "key").groupBy("t").agg(F.sum("a")))
+        sums.append(stage(parts.groupBy("t").agg(F.sum("sum").alias("sum")), "kn-parts"))
+    unstage(facts)
+    sums = reduce(DataFrame.union, sums)
     # each word and its end
     n_words = F.size(_split(F.col("text")))
     symbols = F.coalesce(F.when(n_words > 0, F.length(F.translate("text", " \t\n\x0b\f\r", "")) + n_words), F.lit(0)).cast("long")
