@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -132,6 +133,26 @@ def test_packing_is_exact_and_gapless(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), TOKENS).count() == 0
 
 
+def test_words_of_many_texts_are_looked_up_once():
+    class Counting(dict):
+        n = 0
+
+        def get(self, *a):
+            Counting.n += 1
+            return super().get(*a)
+
+    texts = ["The cat, the CAT\nand don't! l'été " * 50, None, "", "x" * 200 + " Ωμέγα 42 the", "naïve\u00a0the"] * 20
+    plain, got = Tokenizer.from_file(TOKENS), packing.WordTokenizer(TOKENS)
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    got._ids = Counting(got._ids)
+    assert got(pa.array(texts)) == want == got(pa.array(texts))
+    assert Counting.n < 50  # of 14,500 words
+    # where no id tells that a word ends, the tokenizer's own word numbers do
+    other = packing.WordTokenizer(TOKENS)
+    other._last[:] = False
+    assert other(pa.array(texts, pa.large_string())) == want and other(pa.array([], pa.string())) == []
+
+
 def test_best_fit_needs_few_bins():
     sizes = np.array([2500] * 10 + [1596] * 10 + [1] * 3)
     bins, offsets, fill = packing.best_fit(sizes, 4096)

@@ -18,6 +18,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from tidemark.llm.common import stage, texts
 CAPACITY, SLACK, FAN_IN, NODE_ITEMS = 4096, 8, 8, 1_000_000
 #: Cached words per worker; a cache only, the ids do not depend on it.
 CACHED_WORDS, CACHED_LENGTH = 800_000, 64
+#: Words that go to the merges at once.
+MERGED = 250
 #: Letters and then ASCII marks without an apostrophe, which would join a contraction.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 
@@ -39,8 +42,9 @@ def _certain(letters: str) -> bool:
 class WordTokenizer:
     """Token ids of whole texts for a vocabulary that lower-cases and drops white space:
     the ids of a text are those of its words in order, so a frequent word is encoded
-    once. A word of letters and closing marks is the letters' ids and the marks' ids;
-    letters in any case share theirs and go to the merges alone, many at a time."""
+    once and looked up once for many texts. A word of letters and closing marks is the
+    letters' ids and the marks' ids; letters in any case share theirs and go to the
+    merges alone, many at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
@@ -49,53 +53,75 @@ class WordTokenizer:
         self._whole, self._letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._letters.normalizer = normalizers.Sequence([])
         self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, mark = self._letters.get_vocab(), self._letters.model.end_of_word_suffix
+        #: Which ids end a word, where the vocabulary says so.
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         self._ids: dict[str, bytes] = {"": b""}
         self._parts: dict[str, bytes] = {"": b""}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null has none."""
+        if not len(texts):
+            return []
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._ids) > CACHED_WORDS:
             self._ids = {"": b""}
         if len(self._parts) > CACHED_WORDS:
             self._parts = {"": b""}
         ids = self._ids
-        self._encode(words.difference(ids))
-        out = [b"".join(map(ids.__getitem__, x)) for x in split]
-        for w in [w for w in words if len(w) > CACHED_LENGTH]:
-            del ids[w]
-        return out
-
-    def _encode(self, words: set[str]) -> None:
-        """Add the words to the known ones."""
-        plain, letters, marks, rest, match = [], [], [], [], _PLAIN.fullmatch
+        found = list(map(ids.get, names))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(new, self._encode([names[i] for i in new])):
+            found[i] = x
+            if len(names[i]) <= CACHED_LENGTH:
+                ids[names[i]] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # each word's ids, copied from where its name has them
+        flat, at = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(n.sum())]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *pc.list_value_length(split).to_pylist()])].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; those of letters and of marks are kept."""
+        letters, marks, rest, match = [], [], [], _PLAIN.fullmatch
         for w in words:
-            if len(w) <= CACHED_LENGTH and (m := match(w)) and ((x := m[1]).isascii() or _certain(x)):
-                plain.append(w)
-                letters.append(x.lower())
-                marks.append(m[2])
-            else:
+            x, y = None, ""
+            if len(w) <= CACHED_LENGTH:
+                if w.isascii() and w.isalpha():
+                    x = w.lower()
+                elif (m := match(w)) and (m[1].isascii() or _certain(m[1])):
+                    x, y = m[1].lower(), m[2]
+            if x is None:
                 rest.append(w)
+            letters.append(x)
+            marks.append(y)
         parts = self._parts
-        parts.update(self._merge(list(set(letters).difference(parts))))
-        new = list(set(marks).difference(parts))
+        self._merge([x for x in dict.fromkeys(letters) if x is not None and x not in parts])
+        new = [y for y in set(marks) if y not in parts]
         encoded = self._whole.encode_batch_fast(new + rest, add_special_tokens=False)
         other = [array("I", e.ids).tobytes() for e in encoded]
         parts.update(zip(new, other))
-        part = parts.__getitem__
-        self._ids.update(zip(plain, map(add, map(part, letters), map(part, marks))))
-        self._ids.update(zip(rest, other[len(new):]))
-
-    def _merge(self, letters: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            e = self._letters.encode(" ".join(some), add_special_tokens=False)
-            word, raw = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(word, np.arange(len(some)), side="right").tolist()
-            out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends))
-        return out
+        others = iter(other[len(new):])
+        return [next(others) if x is None else parts[x] + parts[y] if y else parts[x] for x, y in zip(letters, marks)]
+
+    def _merge(self, letters: list[str]) -> None:
+        """Add the letters to the known parts."""
+        for at in range(0, len(letters), MERGED):
+            some = letters[at : at + MERGED]
+            text = " ".join(some)
+            ids = np.array(self._letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._last[ids]) + 1
+            if len(ends) != len(some):  # the ids do not tell where words end
+                word = self._letters.encode(text, add_special_tokens=False).word_ids
+                ends = np.searchsorted(np.array(word, np.int64), np.arange(len(some)), side="right")
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self._parts.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -141,7 +167,7 @@ def _pack_partition(path: str, end_id: int, capacity: int, digest, keep_ids: boo
         encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         doc_id, piece, start, length, mark, kept = [], [], [], [], [], []
         for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
-            ids_of = encode([t or "" for t in b.column("text").to_pylist()])
+            ids_of = encode(b.column("text"))
             for d, ids in zip(b.column("doc_id").to_pylist(), ids_of):
                 ids += end
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
