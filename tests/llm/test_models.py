@@ -1,6 +1,7 @@
 """Classifiers, language models, archives, search and the pipeline."""
 
 import gzip
+import hashlib
 import math
 import os
 import random
@@ -200,6 +201,23 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_not_written_twice(spark, tmp_path, monkeypatch):
+    """What is kept of transactions is staged without the payloads, digests are of what was read back."""
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id % 300), 512), 40) AS html")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    staged, before = [], warc.stage
+    monkeypatch.setattr(warc, "stage", lambda df, name: staged.append(before(df, name)) or staged[-1])
+    got = {r.page_id: r for r in QUERIES["op7_warc_transactions"](spark, f"file://{tmp_path}").collect()}
+    assert all("payload" not in (f.dataType.simpleString() + f.name).replace("payload_", "") for df in staged for f in df.schema)
+    assert all(r.request.block and r.metadata.block for df in staged for r in df.collect())
+    for r in pages.collect():
+        x, keeper = got[r.page_id], r.page_id + 300 if r.page_id < 100 else None
+        assert (x.payload_bytes, x.payload_digest) == (5120, hashlib.sha1(r.html.encode()).hexdigest())
+        assert (x.record_type, x.refers_to) == ("revisit" if keeper else "response", keeper)
+    some = warc.round_trip(pages.limit(3), keep=["page_id", "response.payload"]).collect()
+    assert len(some) == 3 and all(len(r.payload) == 5120 for r in some)
+
+
 def test_archives_from_elsewhere(spark, tmp_path):
     """Unmatched, repeated and orphan records; a damaged archive is an error."""
     def record(kind, rid, block, *more):

@@ -78,12 +78,14 @@ FROM p LEFT JOIN b USING (d)
 
 @_query("op7_warc_transactions", _OP7_SQL)
 def op7(spark, sf_dir):
-    got = warc.round_trip(_table(spark, sf_dir, "pages"))
+    payload = F.col("response.payload")
+    digests = [F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest")]
+    # whole transactions; of the payload, what the query returns
+    keep = ["capture_id", "page_id", "url", "response.record_type", "response.refers_to", "response.digest", *digests, "request", "metadata"]
+    got = warc.round_trip(_table(spark, sf_dir, "pages"), keep=keep)
     # a revisit has the payload of the response that it names
-    full = got.where("response.record_type = 'response'").select(F.col("capture_id").alias("held_in"), F.col("page_id").alias("held_by"), F.col("response.payload").alias("payload"))
-    full = full.select("held_in", "held_by", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    kind, refers = F.col("response.record_type"), F.col("response.refers_to")
-    each = got.select("page_id", kind.alias("record_type"), F.coalesce(refers, F.col("capture_id")).alias("held_in"))
+    full = got.where("record_type = 'response'").select(F.col("capture_id").alias("held_in"), F.col("page_id").alias("held_by"), "payload_bytes", "payload_digest")
+    each = got.select("page_id", "record_type", F.coalesce("refers_to", "capture_id").alias("held_in"))
     return each.join(full, "held_in").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("held_by")).alias("refers_to"),
     )

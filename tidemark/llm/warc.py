@@ -9,7 +9,7 @@ WARC-Concurrent-To. Reading gives one row per record; ``transactions`` joins the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -231,8 +231,13 @@ def transactions(rows: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, min_bytes: int = REVISIT_BYTES, **cols: str) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back, assemble."""
+def round_trip(pages: DataFrame, min_bytes: int = REVISIT_BYTES, keep: Sequence[Column | str] = (), **cols: str) -> DataFrame:
+    """Write the pages as archives in the shared folder, read them back, assemble.
+
+    ``keep`` names what is wanted of each transaction; the rest, payloads that were
+    read and digested there for instance, is not written a second time.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path, min_bytes, **cols)
-    return stage(transactions(read(pages.sparkSession, path)), "warc-transactions")
+    out = transactions(read(pages.sparkSession, path))
+    return stage(out.select(*keep) if keep else out, "warc-transactions")
