@@ -14,7 +14,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, kneser_ney, masked_lm, suffix, toxicity, warc
+from tidemark.llm import ann, kneser_ney, masked_lm, shards, suffix, toxicity, warc
 from tidemark.llm.common import unstage
 from tidemark.llm.queries import ORACLES, QUERIES
 
@@ -540,3 +540,43 @@ def test_quality_model_leaves_little_on_disk(spark, tmp_path, monkeypatch):
     docs.write.parquet(at := f"{tmp_path}/docs-0123456789ab")
     unstage(spark.read.parquet(at))
     assert spark.read.parquet(at).count() == 201
+
+
+def test_words_as_keys():
+    """Words, symbols and what stands around them as bytes.split() has them; packing is lossless."""
+    r = random.Random(3)
+    parts = ["a", "b", " ", "\n", "\t", "\x0b", "\xa0", "é", "☃", "𝄞", "\0", "longer-than-8", "q" * 70, "q" * 71]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(400)] + [None, "", " ", "a", "a\0", "a\0\0"]
+    words = shards.Words(pa.chunked_array([pa.array(texts[:90]), pa.array(["left out", *texts[90:]]).slice(1)]))
+    split = [(t or "").encode().split() for t in texts]
+    flat = [w for ws in split for w in ws]
+    assert words.count.tolist() == [len(ws) for ws in split]
+    assert words.symbols.tolist() == [sum(len(w.decode()) + 1 for w in ws) for ws in split]
+    assert [words.raw[s : s + n].tobytes() for s, n in zip(words.start, words.size)] == flat
+    assert len({*zip(flat, words.key)}) == len({*flat}) == len({*words.key})
+    key = dict(zip(flat, words.key))
+    assert words.last().tolist() == [key[ws[-1]] for ws in split if ws]
+    assert words.before().tolist() == [key[w] if w else shards.START for ws in split for w in [None, *ws[:-1]][: len(ws)]]
+    for x in (words.key, np.sort(words.key), words.size.astype("<u4"), np.array([0.5, -1e300]), words.raw, words.key[:0], words.raw[:0]):
+        assert (shards.unpacked(pa.py_buffer(shards.packed(x)), x.dtype) == x).all()
+    table = shards.table_of(words.key[:100], np.arange(100.0))
+    assert shards.look_up(table, words.key)[0].tolist() == np.isin(words.key, words.key[:100]).tolist()
+
+
+def test_quality_words_travel_packed(spark, monkeypatch):
+    """Neither a word nor a pair is a row of what is staged, and chunks, shards, held n-grams and
+    hot pairs do not change a result."""
+    r, words = random.Random(21), vocabulary(150, 22)
+    docs = spark.createDataFrame([(i, prose(40, r, words) + " so it is" * (i % 40), "a") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
+    want = {x.doc_id: x.perplexity for x in kneser_ney.perplexities(docs, labels, F.lit(True), rows=10_000).collect()}
+    pairs = len({p for d in docs.where("doc_id < 150").collect() for p in zip(["", *d.text.split()], d.text.split())})
+    plain = kneser_ney.stage
+    for grams, size, hot, held in ((0, 400, 8, 20), (60, 3000, 2048, 0)):
+        staged = {}
+        monkeypatch.setattr(kneser_ney, "stage", lambda df, name: staged.update({name: staged.get(name, 0) + (out := plain(df, name)).count()}) or out)
+        for where, name, value in ((kneser_ney, "GRAMS_HELD", grams), (kneser_ney, "SHARD_BYTES", size), (kneser_ney, "HOT", hot), (kneser_ney, "FACTS_HELD", held), (shards, "CHUNK", 5000)):
+            monkeypatch.setattr(where, name, value)
+        got = {x.doc_id: x.perplexity for x in kneser_ney.perplexities(docs, labels, F.lit(True)).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+        assert 8 < max(staged[name] for name in ("kn-vocabulary", "kn-pairs", "kn-words")) < pairs / 10
